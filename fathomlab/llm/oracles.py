@@ -42,4 +42,24 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f LEFT JOIN hv ON hv.source = f.source
 """
 
-ORACLES: dict[str, str] = {"op10_quality_rules": OP10}
+OP6 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, i, sha256(array_to_string(ws[i:i+49], ' ')) AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), m AS (
+  SELECT g, min(doc_id) AS first_doc FROM g GROUP BY g
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS pos FROM g JOIN m USING (g), (SELECT unnest(range(0, 50)) AS k) WHERE first_doc < doc_id
+), p AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w
+), k AS (
+  SELECT p.doc_id, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE c.pos IS NULL) AS kept
+  FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.pos = p.pos GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op10_quality_rules": OP10, "op6_substring_dedup": OP6}
