@@ -29,6 +29,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, copy_of, class_id: one row per document with its group of near duplicates."""
+    from .near_dedup import near_duplicate_groups
+
+    return near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of the words that stay."""
     from .substring_dedup import dedup_substrings
@@ -57,6 +64,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_token_files": op8_token_files,
     "op10_quality_rules": op10_quality_rules,
