@@ -29,6 +29,26 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected; learned from the rows that are not held out."""
+    from .language_id import identify_languages
+    from .models import crc_remainder
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.filter(crc_remainder(5) != 0))
+    return found.select("doc_id", (crc_remainder(5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, spans; learned from the rows that are not held out."""
+    from .models import crc_remainder
+    from .toxicity import score, train
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = train(docs, labels.filter(crc_remainder(4) != 2))
+    return score(docs, field).select("doc_id", (crc_remainder(4) == 2).alias("held_out"), "score", "predicted", "spans")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, copy_of, class_id: one row per document with its group of near duplicates."""
     from .near_dedup import near_duplicate_groups
@@ -64,8 +84,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_language_id": op3_language_id,
     "op5_near_dedup": op5_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_token_files": op8_token_files,
+    "op9_toxicity": op9_toxicity,
     "op10_quality_rules": op10_quality_rules,
 }
