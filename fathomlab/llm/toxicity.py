@@ -1,9 +1,9 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters and digits of the lower-cased text, with three hashed features each: the
-token, its first five bytes and its last four. Document labels are turned into token labels first: in
+Tokens are runs of letters and digits of the lower-cased text, with four hashed features each: the
+token, its first five and first seven bytes, and its last four. Document labels are turned into token labels first: in
 a toxic document of the training sample (bounded: TOXIC_DOCS and CLEAN_DOCS documents) a token is
-toxic if its token or head feature is LIFT times as frequent in toxic documents as in clean ones, in
+toxic if its token or a head feature is LIFT times as frequent in toxic documents as in clean ones, in
 at least SUPPORT toxic documents. The two-state field is then trained on those sequences by gradient
 steps with exact forward-backward marginals.
 
@@ -32,6 +32,7 @@ from .models import bounded, dense_logistic, sigmoid
 from .textops import IS_PUNCT, Text, mix, slices
 
 CELLS = 1 << 18
+FEATURES = 4
 TOXIC_DOCS, CLEAN_DOCS = 2000, 3000
 #: Tokens of the sample that the field is trained on.
 MAX_TOKENS = 800_000
@@ -42,12 +43,12 @@ THRESHOLD = 0.3
 
 
 def tokens(column: pa.Array):
-    """Segments of the lower-cased text and their three feature cells (3 x tokens)."""
+    """Segments of the lower-cased text and their feature cells (FEATURES x tokens)."""
     lowered = pc.utf8_lower(column.cast(pa.large_string()))
     found = Text(lowered).segments(IS_PUNCT)
-    parts = [found.names(), found.names(head=5), found.names(tail=4)]
+    parts = [found.names(), found.names(head=5), found.names(head=7), found.names(tail=4)]
     cells = [(mix(p + np.uint64(k + 1)) & np.uint64(CELLS - 1)).astype(np.int64) + k * CELLS for k, p in enumerate(parts)]
-    return found, np.stack(cells) if len(found.starts) else np.zeros((3, 0), np.int64)
+    return found, np.stack(cells) if len(found.starts) else np.zeros((FEATURES, 0), np.int64)
 
 
 def _ratios(e: np.ndarray, ptr: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -136,7 +137,7 @@ def _ratios_from(e: np.ndarray, ptr: np.ndarray, mt: np.ndarray) -> np.ndarray:
 
 def train_field(cells: np.ndarray, ptr: np.ndarray, y: np.ndarray) -> Field:
     """Adagrad ascent of the conditional likelihood of token labels ``y``."""
-    field = Field(np.zeros(3 * CELLS), np.array([[2.0, -2.0], [0.0, 0.0]]))
+    field = Field(np.zeros(FEATURES * CELLS), np.array([[2.0, -2.0], [0.0, 0.0]]))
     field.w[:] = 0.0
     used, at = np.unique(cells, return_inverse=True)
     at = at.reshape(cells.shape)
@@ -148,7 +149,7 @@ def train_field(cells: np.ndarray, ptr: np.ndarray, y: np.ndarray) -> Field:
         e = np.clip(w[at].sum(axis=0), -30, 30)
         p, ahead, back = field.marginals(e, ptr)
         g = (y - p) / 100.0
-        d = sum(np.bincount(at[k], g, minlength=len(used)) for k in range(3)) - 1e-4 * w
+        d = sum(np.bincount(at[k], g, minlength=len(used)) for k in range(FEATURES)) - 1e-4 * w
         gw += d * d
         w += 0.6 * d / np.sqrt(gw)
         m = np.exp(field.trans)
@@ -167,32 +168,33 @@ def train_field(cells: np.ndarray, ptr: np.ndarray, y: np.ndarray) -> Field:
 
 
 def summary(p: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """Per text: log odds of its greatest marginal, and log of 1 + expected toxic tokens."""
+    """Per text: log odds of its greatest marginal, and log of 1 + expected toxic tokens (each counted
+    with its own probability once more, so that many near-zero marginals of a long text add nothing)."""
     n = len(ptr) - 1
     most, total = np.full(n, 1e-9), np.zeros(n)
     full = np.flatnonzero(np.diff(ptr) > 0)
     if len(full):
         most[full] = np.clip(np.maximum.reduceat(p, ptr[:-1][full]), 1e-9, 1 - 1e-9)
-        total[full] = np.add.reduceat(p, ptr[:-1][full])
+        total[full] = np.add.reduceat(p * p, ptr[:-1][full])
     return np.column_stack([np.log(most / (1 - most)) / 10, np.log1p(total)])
 
 
 def token_labels(cells: np.ndarray, ptr: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Labels of tokens from labels of documents (see the module's text)."""
     row = np.repeat(np.arange(len(toxic)), np.diff(ptr))
-    strong = np.zeros(3 * CELLS, bool)
-    for k in range(2):
+    strong = np.zeros(FEATURES * CELLS, bool)
+    for k in range(3):
         pairs = np.unique(row * CELLS + (cells[k] - k * CELLS))
         r, c = pairs // CELLS, pairs % CELLS
         hit = np.bincount(c[toxic[r]], minlength=CELLS)
         miss = np.bincount(c[~toxic[r]], minlength=CELLS)
         lift = (hit / max(1, toxic.sum())) / ((miss + 0.5) / max(1, (~toxic).sum()))
         strong[k * CELLS : (k + 1) * CELLS] = (hit >= SUPPORT) & (lift >= LIFT)
-    return ((strong[cells[0]] | strong[cells[1]]) & toxic[row]).astype(np.float64)
+    return (strong[cells].any(axis=0) & toxic[row]).astype(np.float64)
 
 
 def fit(sample: list[tuple[bool, np.ndarray]], share: float) -> Field | None:
-    """``sample``: (toxic, cells 3 x tokens) of documents; ``share``: of toxic among all labels."""
+    """``sample``: (toxic, cells FEATURES x tokens) of documents; ``share``: of toxic among all labels."""
     toxic = np.array([t for t, _ in sample], bool)
     if not toxic.any() or toxic.all():
         return None
@@ -218,14 +220,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
             found, cells = tokens(batch.column(2))
             ptr = pa.array(found.ptr, pa.int32())
             lists = [pa.ListArray.from_arrays(ptr, pa.array(c, pa.int32())) for c in cells]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "a", "b", "c"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "a", "b", "c", "d"])
 
     found = (
         docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-        .mapInArrow(run, "doc_id long, toxic boolean, a array<int>, b array<int>, c array<int>").toArrow()
+        .mapInArrow(run, "doc_id long, toxic boolean, a array<int>, b array<int>, c array<int>, d array<int>").toArrow()
     )
     order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()]), kind="stable")
-    lists = [found.column(k).combine_chunks() for k in (2, 3, 4)]
+    lists = [found.column(k).combine_chunks() for k in (2, 3, 4, 5)]
     sample = [(found.column(1)[int(k)].as_py(), np.stack([x[int(k)].values.to_numpy().astype(np.int64) for x in lists])) for k in order]
     total = sum(counts.values())
     return fit(sample, min(0.999, max(0.001, counts.get(True, 0) / max(1, total))))
