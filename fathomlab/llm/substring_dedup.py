@@ -7,8 +7,9 @@ so every task of the cluster gives the same substring the same interior names wi
 dictionary.
 
 * After LOW_ROUNDS rounds of pairs a name covers at most 4 words and depends on at most 3 words
-  beside a repeat. Of these names the least of any 41 consecutive starts is an *anchor*: two equal
-  windows of 50 words hold the same anchor at the same place.
+  beside a repeat, so two repeats of 50 words cut their interior at the same places. Each cut opens a
+  phrase of PHRASE words; of the phrases that start at REACH consecutive words the one of the least
+  name is an *anchor*: two equal windows of 50 words hold the same anchor at the same place.
 * Later rounds make *high* names of HIGH_WORDS words or more, and one name stands for the whole text.
 
 Spark groups names over the corpus. A high name that a smaller doc_id has too reveals and verifies
@@ -38,8 +39,10 @@ WINDOW = 50
 LOW_ROUNDS = 2
 #: A low name covers at most LOW_SPAN words and depends on at most EDGE words beyond a repeat.
 LOW_SPAN, EDGE = 4, 3
-#: Starts of names among which the least is an anchor.
-REACH = WINDOW - 2 * EDGE - LOW_SPAN + 1
+#: Words of the phrase that names a cut: so many that chance repeats are rare.
+PHRASE = 8
+#: Starts of phrases among which the least is an anchor.
+REACH = min(WINDOW - EDGE - PHRASE, WINDOW - 2 * EDGE - LOW_SPAN) + 1
 HIGH_WORDS = 128
 HIGH_ROUNDS = 24
 _FAR = np.uint64(2**64 - 1)
@@ -102,10 +105,14 @@ def _sliding(values: np.ndarray, size: int, least: bool) -> np.ndarray:
     return pick(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def _order(parse: Parse, n: int) -> np.ndarray:
-    """Per word, the rank of the low name that starts there."""
-    order = np.full(n, _FAR)
-    order[parse.at] = mix(parse.sym ^ _A)
+def _phrases(names: np.ndarray, ptr: np.ndarray, parse: Parse) -> np.ndarray:
+    """Per word, the name of the phrase that starts there if a low name does, else the greatest."""
+    order = np.full(len(names), _FAR)
+    starts, named = windows(names, ptr, PHRASE)
+    cut = np.zeros(len(names), bool)
+    cut[parse.at] = True
+    cut = cut[starts]
+    order[starts[cut]] = named[cut]
     return order
 
 
@@ -121,12 +128,11 @@ def low(names: np.ndarray, ptr: np.ndarray) -> Parse:
     return parse
 
 
-def anchors(names: np.ndarray, ptr: np.ndarray, parse: Parse) -> np.ndarray:
+def anchors(order: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     """Words at which an anchor starts."""
-    n = len(names)
+    n = len(order)
     if n < WINDOW:
         return np.zeros(0, np.int64)
-    order = _order(parse, n)
     least = _sliding(order, REACH, True)  # of starts i .. i + REACH - 1
     start = _valid_starts(ptr, n, WINDOW)[: n - WINDOW + 1]  # windows of words
     least = np.where(start, least[EDGE : EDGE + len(start)], np.uint64(0))
@@ -144,9 +150,9 @@ def symbols(column: pa.Array) -> dict[str, np.ndarray]:
     names, ptr = words.names(), words.ptr
     size = np.diff(ptr)
     parse = low(names, ptr)
-    at = anchors(names, ptr, parse)
-    where = np.searchsorted(parse.at, at)
-    out = [(parse.sym[where], parse.row[where], at, np.zeros(len(at), np.int64))]
+    order = _phrases(names, ptr, parse)
+    at = anchors(order, ptr)
+    out = [(order[at], np.searchsorted(ptr, at, side="right") - 1, at, np.zeros(len(at), np.int64))]
     big = np.repeat(size >= HIGH_WORDS, size)
     if big.any():
         parse._keep(big[parse.at])
@@ -201,7 +207,7 @@ def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.nd
                 upto[a : a + m["span"]] = np.maximum(upto[a : a + m["span"]], a + m["span"])
             else:
                 shared[a] = True
-    order = _order(low(names, ptr), n)
+    order = _phrases(names, ptr, low(names, ptr))
     least = _sliding(order, REACH, True)
     least_shared = _sliding(np.where(shared, order, _FAR), REACH, True)
     starts, named = windows(names, ptr, WINDOW)
