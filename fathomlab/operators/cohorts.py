@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.guards import Registry, require_safe
 from ..plans.predicates import Predicate, as_filter, as_mask
+from ..session import settle
 from .metrics import summarize
 from .ordered import equity
 
@@ -27,7 +28,7 @@ def halves(df: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """``df`` with ``half``: 1 for the first floor(n/2) rows in time, 2 for the rest."""
     groups = groups or []
     one = groups or ["__all"]
-    d = equity(df if groups else df.withColumn("__all", F.lit(1)), one)
+    d = settle(equity(df if groups else df.withColumn("__all", F.lit(1)), one))
     n = d.groupBy(*one).agg(F.count("*").alias("__count"))
     d = d.join(F.broadcast(n) if not groups else n, one)
     return d.withColumn("half", F.when(F.col("i") < F.floor(F.col("__count") / 2), 1).otherwise(2)).drop("__count", "__all", "i", "equity", "peak", "__chunk")

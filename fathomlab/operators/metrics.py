@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import t_p_value, t_statistic, wilson
+from ..session import settle
 from .ordered import by_chunk, carried, equity, matched, sliced
 
 METRICS = [
@@ -106,9 +107,10 @@ def summarize(df: DataFrame, groups: list[str] | None = None, ts: str = "entry_t
     one = groups or ["__all"]
     if not groups:
         rows = rows.withColumn("__all", F.lit(1))
-    eq = equity(rows.select(*one, ts, tie, pnl), one, ts, tie, pnl)
+    rows = settle(rows.select(*one, ts, tie, pnl))  # a few narrow columns, read several times
+    eq = settle(equity(rows, one, ts, tie, pnl).select(*one, "i", "equity", "peak"))
     out = ratios(rows.groupBy(*one).agg(*sums(pnl)))
-    for part in (drawdowns(eq, one), streaks(rows.select(*one, ts, tie, pnl), one, ts, tie, pnl), trend(eq, one)):
+    for part in (drawdowns(eq, one), streaks(rows, one, ts, tie, pnl), trend(eq, one)):
         out = matched(out, part, one, "left")
     if groups:
         return out.select(*groups, *METRICS)
