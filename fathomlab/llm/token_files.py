@@ -19,7 +19,6 @@ that is run again after the loss of an executor leaves the same file.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -38,8 +37,8 @@ MAGIC = b"FTOK"
 BLOCK = 4096
 #: Documents of a file, about.
 FILE_DOCS = 8192
-#: Words whose ids each Python worker keeps.
-CACHED_WORDS = 500_000
+#: Words whose ids each Python worker keeps in each of two generations.
+CACHED_WORDS = 300_000
 _HEADER, _TAIL = struct.Struct("<4sBBxx"), struct.Struct("<QQQQ4s")
 
 
@@ -131,10 +130,9 @@ class Reader:
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each word that is kept:
-    its byte-level pre-tokeniser always splits before a single space between two other characters,
-    so a text without double, leading or trailing white space is encoded word by word."""
-
-    _wide = re.compile(r"\s\s|\A\s|\s\Z")
+    its byte-level pre-tokeniser always splits before a single space or newline between two other
+    characters, so a text without other white space is encoded word by word. A word stands for itself
+    after a space; with a newline before it, for itself after that newline."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,28 +140,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.bits = max(1, (self.tokenizer.get_vocab_size() - 1).bit_length())
-        a, b = "Ab, cd\n.x1 2", "e f\tg"
-        self.by_word = self._library([a + " " + b])[0] == b"".join(self._library([a, " " + b]))
+        parts = ["Ab,", " cd", "\n.x1", " 2", "\nE", " f\tg"]
+        self.by_word = self._library(["".join(parts)])[0] == b"".join(self._library(parts))
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        decoded = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
+        space, line = (self.tokenizer.encode(x, add_special_tokens=False).tokens for x in (" ", "\n"))
+        self.opens = np.array([len(space) == len(line) == 1 and (x.startswith(space[0]) or x == line[0]) for x in decoded])
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. They are encoded as one text: exactly the first token of a word opens with
+        its space or is its newline."""
+        own = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.frombuffer(self._library(["".join(own)])[0], "<u4")
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(words) or at[0]:
+            return self._library(own)
+        raw, cuts = ids.tobytes(), np.append(at, len(ids)) * 4
+        return [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+    def _split(self, text: str) -> list[str] | None:
+        if not text or not self.by_word or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+            return None
+        return text.replace("\n", " \n").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        split = [x.split(" ") if x and self.by_word and not self._wide.search(x) else None for x in texts]
+            self.words, self.old = {}, self.words
+        split = [self._split(x) for x in texts]
         heads = self._library([s[0] if s else x for s, x in zip(split, texts)])
-        new = list(set().union(*(s[1:] for s in split if s)).difference(self.words))
-        long = [w for w in new if len(w) > 60]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            self.words.update(zip(part, self._library([" " + w for w in part])))
+        new = []
+        for w in set().union(*(s[1:] for s in split if s)).difference(self.words):
+            known = self.old.get(w)
+            if known is None:
+                new.append(w)
+            else:
+                self.words[w] = known
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
+            self.words.update(zip(part, self._words(part)))
         get = self.words.__getitem__
         found = [h + b"".join(map(get, s[1:])) if s else h for s, h in zip(split, heads)]
-        for w in long:  # rare, and large
-            self.words.pop(w, None)
+        for w in new:
+            if len(w) > 60:  # rare, and large
+                del self.words[w]
         return found
 
 
