@@ -33,9 +33,9 @@ from .textops import IS_PUNCT, Text, mix, slices
 
 CELLS = 1 << 18
 FEATURES = 4
-TOXIC_DOCS, CLEAN_DOCS = 2000, 3000
+TOXIC_DOCS, CLEAN_DOCS = 1500, 2200
 #: Tokens of the sample that the field is trained on.
-MAX_TOKENS = 800_000
+MAX_TOKENS = 600_000
 LIFT, SUPPORT = 20.0, 4
 STEPS = 25
 BLOCK = 64
