@@ -174,42 +174,53 @@ class Index:
         return share if share >= (LCS if len(own) >= MIN_TOKENS else 1.0) and answers >= ANSWER else 0.0
 
 
-def window_candidates(column: pa.Array, space: np.ndarray, idf: np.ndarray, latent: np.ndarray, live: np.ndarray, at_least: float = CANDIDATE):
+def window_candidates(column: pa.Array, weighted: np.ndarray, idf: np.ndarray, latent: np.ndarray, vocabulary: np.ndarray, at_least: float = CANDIDATE):
     """Token names, row bounds, and (first token, row, passage) of windows whose cosine with a passage
-    is ``at_least``; windows of short texts are shorter."""
+    is ``at_least``; windows of short texts are shorter. ``weighted``: the latent space times idf;
+    ``vocabulary``: the sorted names of the passages' tokens."""
     names, cells, ptr = tokens(column)
     size = np.diff(ptr)
     blocks = -(-size // STRIDE)
     total = int(blocks.sum())
     none = np.zeros(0, np.int64)
-    if not total or not len(latent):
+    if not total or not len(latent) or not len(vocabulary):
         return names, ptr, none, none, none
     first = np.cumsum(blocks) - blocks
     row = np.repeat(np.arange(len(size)), blocks)
     head = ptr[:-1][row] + STRIDE * (np.arange(total) - first[row])
-    energy = idf[cells].astype(np.float64) ** 2
-    inside = np.where(live[cells], energy, 0.0)
-    end = (first + blocks)[row]
+    energy = np.take(idf.astype(np.float64) ** 2, cells)
+    marked = np.zeros(FEATURES, bool)
+    marked[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+    known = np.flatnonzero(np.take(marked & (idf > 0), cells))
+    place = np.minimum(np.searchsorted(vocabulary, names[known]), len(vocabulary) - 1)
+    known = known[vocabulary[place] == names[known]]
+    inside = np.zeros(len(cells))
+    inside[known] = energy[known]
     all_, in_ = (np.concatenate([[0], np.cumsum(np.add.reduceat(x, head))]) for x in (energy, inside))
-    last = np.minimum(np.arange(total) + BLOCKS, end)
+    last = np.minimum(np.arange(total) + BLOCKS, (first + blocks)[row])
     whole, part = all_[last] - all_[:-1], in_[last] - in_[:-1]
     keep = np.flatnonzero((part >= at_least**2 * whole) & (part > 0))
     if not len(keep):
         return names, ptr, none, none, none
-    need = np.unique(np.concatenate([np.minimum(keep + j, last[keep] - 1) for j in range(BLOCKS)]))
-    stop = np.append(head[1:], len(cells))
-    take = np.concatenate([np.arange(head[b], stop[b]) for b in need])
-    owner = np.repeat(np.arange(len(need)), stop[need] - head[need])
-    use = live[cells[take]]
-    take, owner = take[use], owner[use]
-    sums = np.zeros((len(need), space.shape[1]), np.float32)
-    if len(take):
-        edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        sums[owner[edge]] = np.add.reduceat(space[cells[take]] * idf[cells[take]][:, None], edge, axis=0)
-    run = np.concatenate([np.zeros((1, sums.shape[1]), np.float64), np.cumsum(sums, axis=0, dtype=np.float64)])
-    a = np.searchsorted(need, keep)
-    b = np.searchsorted(need, last[keep] - 1) + 1
-    vec = (run[b] - run[a]).astype(np.float32) / np.sqrt(whole[keep])[:, None].astype(np.float32)
+    need = np.zeros(total + 1, bool)
+    for j in range(BLOCKS):
+        need[np.minimum(keep + j, last[keep] - 1)] = True
+    slot = np.cumsum(need) - 1
+    owner = np.searchsorted(head, known, side="right") - 1
+    known, owner = known[need[owner]], slot[owner[need[owner]]]
+    # the j-th known token of every block at once
+    turn = np.arange(len(known)) - np.searchsorted(owner, owner)
+    order = np.argsort(turn, kind="stable")
+    cuts = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2)) if len(turn) else [0]
+    sums = np.zeros((int(slot[-1]) + 2, weighted.shape[1]), np.float32)
+    for a, b in zip(cuts, cuts[1:]):
+        k = order[a:b]
+        sums[owner[k]] += weighted[cells[known[k]]]
+    blank = len(sums) - 1
+    vec = sums[slot[keep]]
+    for j in range(1, BLOCKS):
+        vec += sums[np.where(keep + j < last[keep], slot[np.minimum(keep + j, total)], blank)]
+    vec /= np.sqrt(whole[keep])[:, None].astype(np.float32)
     hit_w, hit_p = np.nonzero(vec @ latent.T >= at_least)
     return names, ptr, head[keep[hit_w]], row[keep[hit_w]], hit_p
 
@@ -225,13 +236,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         block = items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(max(1, -(-count // BLOCK_PASSAGES)))) == k)
         space = latent_space(block, idf) if count else np.zeros((FEATURES, 0), np.float32)
         index = Index([(r["item_id"], r["names"]) for r in block.orderBy("item_id", "part").collect()], space, idf)
-        live = np.abs(space).sum(axis=1) > 0 if space.size else np.zeros(FEATURES, bool)
-        shared = spark.sparkContext.broadcast((idf, space, index, live))
+        vocabulary = np.unique(np.array([x for own in index.names for x in own], np.uint64))
+        shared = spark.sparkContext.broadcast((idf, space * idf[:, None], index, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            idf, space, index, live = shared.value
+            idf, weighted, index, vocabulary = shared.value
             for batch in slices(batches):
-                names, ptr, head, row, hit = window_candidates(batch.column(1), space, idf, index.latent, live)
+                names, ptr, head, row, hit = window_candidates(batch.column(1), weighted, idf, index.latent, vocabulary)
                 best: dict[tuple[int, int], float] = {}
                 for a, r, k in zip(head.tolist(), row.tolist(), hit.tolist()):
                     key = (r, k)

@@ -89,6 +89,7 @@ class Segments:
         first &= ~sep
         last &= ~sep
         self.text, self.sep, self.first = text, sep, first
+        self.table = np.where(separator, np.uint64(0), _BYTE_NAMES)
         self.starts = np.flatnonzero(first)
         self.lens = np.flatnonzero(last) + 1 - self.starts
         self.ptr = np.searchsorted(self.starts, off)
@@ -98,17 +99,17 @@ class Segments:
         the last ``tail`` bytes if given."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
-        at = np.cumsum(self.first) - 1
-        place = np.arange(len(self.sep)) - self.starts[at]
-        most = int(self.lens.max())
-        value = np.where(self.sep, np.uint64(0), _BYTE_NAMES[self.text.data])
+        at = np.cumsum(self.first, dtype=np.int64)  # 0 before the first segment
+        place = np.arange(len(self.sep))
+        place -= np.take(np.concatenate([[0], self.starts]), at)
+        value = np.take(self.table, self.text.data)  # 0 for separators
         if head is not None:
             value[place >= head] = 0
         if tail is not None:
-            place = place - np.maximum(self.lens - tail, 0)[at]
+            place -= np.take(np.concatenate([[0], np.maximum(self.lens - tail, 0)]), at)
             value[place < 0] = 0
         with np.errstate(over="ignore"):
-            value *= powers(most + 1)[np.clip(place, 0, most)]
+            value *= np.take(powers(int(self.lens.max()) + 1), place, mode="clip")
             return mix(np.add.reduceat(value, self.starts))
 
     def counts(self) -> np.ndarray:
