@@ -83,23 +83,32 @@ def _vector(names: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 4) -> np.ndarray:
     """Right singular vectors (FEATURES x rank) of the passages' TF-IDF matrix. The driver holds only
-    matrices of FEATURES x (rank + OVERSAMPLE); rows of the passages stay in Spark."""
+    matrices of at most FEATURES x (rank + OVERSAMPLE); rows of the passages stay in Spark."""
     spark = items.sparkSession
     shared_idf = spark.sparkContext.broadcast(idf)
 
+    live = np.zeros(FEATURES, bool)
+    live[[r[0] for r in items.select(F.explode(F.transform("names", lambda x: F.shiftrightunsigned(x, 48))).alias("cell")).distinct().collect()]] = True
+    cells_at = np.flatnonzero(live & (idf > 0))  # cells of the passages, at most FEATURES
+    place = np.full(FEATURES, -1, np.int64)
+    place[cells_at] = np.arange(len(cells_at))
+    if not len(cells_at):
+        return np.zeros((FEATURES, 0), np.float32)
+
     def product(x: np.ndarray) -> np.ndarray:
-        """A'(A x), summed over tasks, cell by cell."""
-        right = spark.sparkContext.broadcast(x.astype(np.float32))
+        """A'(A x), summed over tasks, cell by cell; rows are the passages' cells."""
+        right = spark.sparkContext.broadcast((place, x.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            where, own = right.value
             total: dict[int, np.ndarray] = {}
             for batch in batches:
                 for names in batch.column(0).to_pylist():
                     cells, w = _vector(np.array(names, np.int64), shared_idf.value)
-                    y = w @ right.value[cells]
+                    cells, w = where[cells[w > 0]], w[w > 0]
+                    y = w @ own[cells]
                     for c, v in zip(cells.tolist(), w):
-                        if v:
-                            total[c] = total.get(c, 0) + v * y
+                        total[c] = total.get(c, 0) + v * y
             keys = sorted(total)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([total[k].astype(np.float32).tobytes() for k in keys], pa.binary())], ["cell", "part"])
 
@@ -108,25 +117,22 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int
 
             return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [sum(np.frombuffer(p, np.float32).astype(np.float64) for p in pdf["part"]).astype(np.float32).tobytes()]})
 
-        out = np.zeros((FEATURES, x.shape[1]))
+        out = np.zeros(x.shape)
         for r in items.select("names").mapInArrow(run, "cell long, part binary").groupBy("cell").applyInPandas(add, "cell long, part binary").collect():
             out[r["cell"]] = np.frombuffer(r["part"], np.float32)
         right.unpersist()
         return out
 
     width = rank + OVERSAMPLE
-    q = np.random.default_rng(seed).standard_normal((FEATURES, width))
+    q = np.random.default_rng(seed).standard_normal((len(cells_at), width))
     for _ in range(ITERATIONS):
-        z = product(q)
-        live = np.abs(z).sum(axis=1) > 0
-        q = np.zeros_like(z)
-        if live.any():
-            q[live] = _orthonormal(z[live], width)
-    z = product(q)
-    values, vectors = np.linalg.eigh(q.T @ z)
+        q = _orthonormal(product(q), width)
+    values, vectors = np.linalg.eigh(q.T @ product(q))
     best = np.argsort(-values)[:rank]
     best = best[values[best] > 1e-9]
-    return (q @ vectors[:, best]).astype(np.float32)
+    space = np.zeros((FEATURES, len(best)), np.float32)
+    space[cells_at] = q @ vectors[:, best]
+    return space
 
 
 def _orthonormal(z: np.ndarray, width: int) -> np.ndarray:
