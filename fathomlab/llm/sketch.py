@@ -15,9 +15,10 @@ PARTS = 16
 FANOUT = 16
 
 
-def cell_counts(docs: DataFrame, cells_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]], size: int) -> tuple[np.ndarray, int]:
+def cell_counts(docs: DataFrame, cells_of: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, int]], size: int, times: str | None = None) -> tuple[np.ndarray, int]:
     """In how many texts each cell occurs, and the number of texts. ``cells_of`` gives, for a string
-    column, row and cell of each feature and the number of texts that count. Tasks add up their own
+    column, row and cell of each feature and the number of texts that count. With the column ``times``, each
+    text (all of them count then) counts so many times. Tasks add up their own
     rows; sums meet in two levels, cut into PARTS, so no task and not the driver sees more than a few
     arrays of ``size`` numbers."""
 
@@ -29,8 +30,14 @@ def cell_counts(docs: DataFrame, cells_of: Callable[[pa.Array], tuple[np.ndarray
         total, n = np.zeros(size, np.int64), 0
         for batch in slices(batches):
             row, cell, rows = cells_of(batch.column(0))
-            total += np.bincount(np.unique(row * size + cell) % size, minlength=size)
-            n += rows
+            found = np.unique(row * size + cell)
+            if times is None:
+                total += np.bincount(found % size, minlength=size)
+                n += rows
+            else:
+                each = np.asarray(batch.column(1), np.int64)
+                total += np.bincount(found % size, each[found // size], minlength=size).astype(np.int64)
+                n += int(each.sum())
         if n:
             yield pa.RecordBatch.from_arrays(pack(total, n), ["part", "counts", "n"])
 
@@ -41,7 +48,7 @@ def cell_counts(docs: DataFrame, cells_of: Callable[[pa.Array], tuple[np.ndarray
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.astype("<u8").tobytes(), 1)], "n": [pdf["n"].sum()]})
 
     schema = "part int, counts binary, n long"
-    counted = docs.select("text").mapInArrow(count, schema).withColumn("at", (F.rand(3) * FANOUT).cast("int"))
+    counted = docs.select("text", *([times] if times else [])).mapInArrow(count, schema).withColumn("at", (F.rand(3) * FANOUT).cast("int"))
     rows = counted.groupBy("part", "at").applyInPandas(add, schema).groupBy("part").applyInPandas(add, schema).collect()
     total, n = np.zeros(size, np.int64), 0
     for r in rows:

@@ -103,6 +103,28 @@ def test_near_duplicate_groups_equal_brute_force(spark):
     assert sorted(k for k in kept if k is not None) == sorted({root(i) for i, _ in own}) and kept.count(None) == 1
 
 
+def test_large_group_of_edits_stays_together(spark):
+    rng = random.Random(6)
+    base = words(rng, 100)
+    texts = [" ".join(words(rng, 100)) for _ in range(80)]
+    for k in range(40):  # a third of all rows, each with another word edited
+        texts.append(" ".join([*base[: 2 * k + 5], f"edit{k}", *base[2 * k + 6 :]]))
+    rows = list(enumerate(texts))
+    sets = [{tuple(t.split()[j : j + 5]) for j in range(96)} for t in texts]  # no shingle repeats in a text
+    want = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a + 1, len(rows)):
+            both = len(sets[a] & sets[b])
+            if both / (192 - both) >= 0.8 and want[a] != want[b]:
+                x, y = sorted((want[a], want[b]))
+                want = [x if w == y else w for w in want]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()}
+    assert want.count(80) == 40 and got == dict(enumerate(want))
+    copies = docs.unionByName(spark.range(1000, 1060).select(F.col("id").alias("doc_id"), F.lit(texts[80]).alias("text")))
+    assert (near_dedup.document_weights(copies) == near_dedup.document_weights(docs)).all()
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert near_duplicate_groups(odd).count() == odd.count()
     assert drop_near_duplicates(odd).filter("doc_id = 4").count() == 1
