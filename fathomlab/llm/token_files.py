@@ -163,7 +163,8 @@ class WordEncoder:
         return [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
     def _split(self, text: str) -> list[str] | None:
-        if not text or not self.by_word or len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        # equal only if single spaces and newlines are all the white space, so that no unit is empty
+        if not text or not self.by_word or " ".join(text.split()) != text.replace("\n", " "):
             return None
         return text.replace("\n", " \n").split(" ")
 

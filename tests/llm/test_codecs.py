@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fathomlab.llm.sentencepiece_codec import MergeCodec, decode_ids, encode_decode
-from fathomlab.llm.token_files import Reader, pack, read_token_files, unpack, write_token_files
+from fathomlab.llm.token_files import Reader, WordEncoder, pack, read_token_files, unpack, write_token_files
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 PARTS = ["a", "b", "the", " ", "  ", "\n", "▁", "é", "☃", "in", "ing", "tion", "0", "123", ".", ",", "\t", "<s>", "<0x0A>", "梦", "\U0001f600", "   ", "aaaa", "ﬁ", "====", "\r\n"]
@@ -43,6 +43,14 @@ def test_packing_round_trip(bits):
     assert len(raw) == -(-1001 * bits // 8) and np.array_equal(unpack(raw, bits, 1001), ids)
 
 
+def test_word_shortcut_on_other_white_space():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(file), WordEncoder(file)
+    texts = ["a\tb  c", "a\tb ", " a\u00a0b", "a\u00a0b  c", "prix : 5\u00a0% ", "one\ttwo\n\nthree", "x\x1cy \n", "a\u3000b\n", "a b", "a\tb c", " a", "a\r\nb"]
+    for text in texts:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_token_files(spark, odd, none, tmp_path):
     file = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(file)
