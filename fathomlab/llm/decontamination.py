@@ -35,8 +35,6 @@ FEATURES = 1 << 16
 PASSAGE = 64
 STRIDE, BLOCKS = 12, 4
 RANK, OVERSAMPLE, ITERATIONS = 192, 8, 2
-#: Tokens in more than about a fifth of the documents carry no weight.
-MIN_IDF = 1.6
 CANDIDATE, LCS, ANSWER, ANSWER_TOKENS, MIN_TOKENS = 0.3, 0.6, 0.6, 5, 8
 #: Passages that are searched at once; a larger benchmark is taken in blocks.
 BLOCK_PASSAGES = 4000
@@ -54,8 +52,8 @@ def document_weights(docs: DataFrame) -> np.ndarray:
         return np.repeat(np.arange(len(column)), np.diff(ptr)), cells, int((np.diff(ptr) > 0).sum())
 
     df, n = cell_counts(docs, cells_of, FEATURES)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    return np.where(idf < MIN_IDF, 0.0, idf).astype(np.float32)
+    # never zero: a passage that leaked into a large share of the documents keeps its weights
+    return np.maximum(np.log((n + 1) / (df + 1)) + 0.1, 0.1).astype(np.float32)
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
