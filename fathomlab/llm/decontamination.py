@@ -34,10 +34,10 @@ from .textops import IS_PUNCT, Text, slices
 FEATURES = 1 << 16
 PASSAGE = 64
 STRIDE, BLOCKS = 12, 4
-RANK, OVERSAMPLE, ITERATIONS = 192, 8, 2
+OVERSAMPLE, ITERATIONS = 8, 2
 CANDIDATE, LCS, ANSWER, ANSWER_TOKENS, MIN_TOKENS = 0.3, 0.6, 0.6, 5, 8
 #: Passages that are searched at once; a larger benchmark is taken in blocks.
-BLOCK_PASSAGES = 4000
+BLOCK_PASSAGES = 256
 
 
 def tokens(column: pa.Array):
@@ -79,7 +79,7 @@ def _vector(names: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cells, (w / norm if norm else w)
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 4) -> np.ndarray:
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) -> np.ndarray:
     """Right singular vectors (FEATURES x rank) of the passages' TF-IDF matrix. The driver holds only
     matrices of at most FEATURES x (rank + OVERSAMPLE); rows of the passages stay in Spark."""
     spark = items.sparkSession
@@ -238,7 +238,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     out = None
     for k in range(max(1, -(-count // BLOCK_PASSAGES))):
         block = items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(max(1, -(-count // BLOCK_PASSAGES)))) == k)
-        space = latent_space(block, idf) if count else np.zeros((FEATURES, 0), np.float32)
+        block = settle(block)
+        space = latent_space(block, idf, max(1, block.count())) if count else np.zeros((FEATURES, 0), np.float32)
         index = Index([(r["item_id"], r["names"]) for r in block.orderBy("item_id", "part").collect()], space, idf)
         vocabulary = np.unique(np.array([x for own in index.names for x in own], np.uint64))
         shared = spark.sparkContext.broadcast((idf, space * idf[:, None], index, vocabulary))
