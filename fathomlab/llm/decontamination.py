@@ -5,10 +5,12 @@ digits). Passages and documents are TF-IDF vectors over FEATURES hashed tokens;
 cover all documents. A randomised SVD of the passage matrix - subspace iteration, each step one
 distributed product A'(A X) over the passages - gives the latent space that indexes every passage.
 
-Every document is searched whole, in windows of BLOCKS x STRIDE tokens: a window whose share of
-benchmark terms bounds its cosine below CANDIDATE is skipped (an exact bound), the others are
-projected and compared with all passages. Each candidate is then checked on the text itself: the
-longest common subsequence of its passage and the window's neighbourhood must have LCS of the
+Every document is searched whole, in stretches about a block of STRIDE tokens: one with fewer answer
+tokens than the second check asks for is skipped, the others are projected and compared with all
+passages. The space spans every passage of its block, so the product of a stretch and a passage is
+exact, and what the checks ask for gives the least product of a leak: other words around a passage do
+not lower it, and the candidates miss nothing that passes the checks. Each candidate is then checked
+on the text itself: the longest common subsequence of its passage and the stretch must have LCS of the
 passage's tokens, and ANSWER of its rarest tokens (what the item asks for or about) must be among
 them. That finds passages with words replaced, dropped or inserted as well as exact copies.
 
@@ -20,6 +22,7 @@ share is contaminated if one of them is.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,13 @@ from .textops import IS_PUNCT, Text, slices
 
 FEATURES = 1 << 16
 PASSAGE = 64
-STRIDE, BLOCKS = 12, 4
+#: Tokens of a block; a stretch has BEFORE tokens before its block and AFTER from its start on.
+STRIDE, BEFORE, AFTER = 48, 64, 148
 OVERSAMPLE, ITERATIONS = 8, 2
-CANDIDATE, LCS, ANSWER, ANSWER_TOKENS, MIN_TOKENS = 0.3, 0.6, 0.6, 5, 8
-#: Passages that are searched at once; a larger benchmark is taken in blocks.
-BLOCK_PASSAGES = 256
+LCS, ANSWER, ANSWER_TOKENS, MIN_TOKENS = 0.6, 0.6, 5, 8
+#: Passages that are searched at once, about; a larger benchmark is taken in blocks. The rank of a block's
+#: space is its number of passages, and each passage must keep RETAINED of its norm.
+BLOCK_PASSAGES, RETAINED = 256, 0.99
 
 
 def tokens(column: pa.Array):
@@ -79,6 +84,11 @@ def _vector(names: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cells, (w / norm if norm else w)
 
 
+def _raw(names: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    cells, tf = np.unique((names.view(np.uint64) >> np.uint64(48)).astype(np.int64), return_counts=True)
+    return tf * idf[cells]
+
+
 def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) -> np.ndarray:
     """Right singular vectors (FEATURES x rank) of the passages' TF-IDF matrix. The driver holds only
     matrices of at most FEATURES x (rank + OVERSAMPLE); rows of the passages stay in Spark."""
@@ -159,57 +169,86 @@ class Index:
         self.ids = [r[0] for r in rows]
         self.names = [[x & (2**64 - 1) for x in r[1]] for r in rows]
         self.latent = np.zeros((len(rows), space.shape[1]), np.float32)
+        self.least = np.zeros(len(rows), np.float32)
         self.rare: list[list[int]] = []
+        self.answers = np.zeros(len(rows), np.int64)
         for k, (_, names) in enumerate(rows):
             own = np.array(names, np.int64)
             cells, w = _vector(own, idf)
-            v = w @ space[cells]
-            norm = np.linalg.norm(v)
-            self.latent[k] = v / norm if norm else v
-            rank = idf[(own.view(np.uint64) >> np.uint64(48)).astype(np.int64)]
-            self.rare.append([self.names[k][j] for j in np.argsort(-rank, kind="stable")[:ANSWER_TOKENS]])
+            self.latent[k] = w @ space[cells]
+            if np.linalg.norm(self.latent[k]) < RETAINED:
+                raise ValueError(f"item {self.ids[k]}: the latent space keeps {np.linalg.norm(self.latent[k]):.3f} of a passage's norm")
+            rank = idf[(own.view(np.uint64) >> np.uint64(48)).astype(np.int64)].astype(np.float64)
+            order = np.argsort(-rank, kind="stable")
+            self.rare.append([self.names[k][j] for j in order[:ANSWER_TOKENS]])
+            self.least[k], self.answers[k] = self._least_product(k, rank, order, np.linalg.norm(_raw(own, idf)))
+        self.answer_names = np.unique(np.array([x for own in self.rare for x in own], np.uint64))
+
+    def _least_product(self, k: int, rank: np.ndarray, order: np.ndarray, norm: float) -> tuple[float, int]:
+        """The least product of passage k (as a unit vector) with a stretch that passes both checks, less
+        what rounding and RETAINED may take, and the least number of different answer tokens in it."""
+        own, rare = self.names[k], self.rare[k]
+        tf = Counter(own)
+        energy = [tf[x] * e * e for x, e in zip(own, rank)]
+        times = Counter(rare)
+        asked = next(m for m in range(len(rare) + 1) if m / len(rare) >= ANSWER)
+        answers = sorted(energy[j] / times[own[j]] for j in order[: len(rare)])[:asked]
+        most, different = 0, 0
+        for n in sorted(times.values(), reverse=True):
+            if most < asked:
+                most, different = most + n, different + 1
+        share = LCS if len(own) >= MIN_TOKENS else 1.0
+        matched = next(m for m in range(len(own) + 1) if m / len(own) >= share)
+        others = sorted(0.0 if own[j] in times else energy[j] for j in order[len(rare) :])
+        return 0.95 * (sum(answers) + sum(others[: max(0, matched - len(rare))])) / norm, different
 
     def leaked(self, k: int, near: list[int]) -> float:
         """The matched share of passage k in a stretch of tokens; 0 if a check fails."""
-        own = self.names[k]
-        length, there = lcs_length(own, near)
-        share = length / len(own)
-        answers = sum(x in there for x in self.rare[k]) / len(self.rare[k])
-        return share if share >= (LCS if len(own) >= MIN_TOKENS else 1.0) and answers >= ANSWER else 0.0
+        own, present = self.names[k], set(near)
+        answers = sum(x in present for x in self.rare[k]) / len(self.rare[k])
+        if answers < ANSWER:
+            return 0.0
+        share = lcs_length(own, near)[0] / len(own)
+        return share if share >= (LCS if len(own) >= MIN_TOKENS else 1.0) else 0.0
 
 
-def window_candidates(column: pa.Array, weighted: np.ndarray, idf: np.ndarray, latent: np.ndarray, vocabulary: np.ndarray, at_least: float = CANDIDATE):
-    """Token names, row bounds, and (first token, row, passage) of windows whose cosine with a passage
-    is ``at_least``; windows of short texts are shorter. ``weighted``: the latent space times idf;
-    ``vocabulary``: the sorted names of the passages' tokens."""
+def _among(names: np.ndarray, cells: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
+    """Places of the names that a sorted vocabulary has."""
+    marked = np.zeros(FEATURES, bool)
+    marked[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+    known = np.flatnonzero(np.take(marked, cells))
+    place = np.minimum(np.searchsorted(vocabulary, names[known]), len(vocabulary) - 1)
+    return known[vocabulary[place] == names[known]]
+
+
+def window_candidates(column: pa.Array, weighted: np.ndarray, index: Index, vocabulary: np.ndarray):
+    """Token names, row bounds, and (first token of a block, row, passage) of stretches that may hold a
+    passage. ``weighted``: the latent space times idf; ``vocabulary``: the sorted names of the passages'
+    tokens."""
     names, cells, ptr = tokens(column)
     size = np.diff(ptr)
     blocks = -(-size // STRIDE)
     total = int(blocks.sum())
     none = np.zeros(0, np.int64)
-    if not total or not len(latent) or not len(vocabulary):
+    if not total or not len(index.latent) or not len(vocabulary):
         return names, ptr, none, none, none
     first = np.cumsum(blocks) - blocks
     row = np.repeat(np.arange(len(size)), blocks)
     head = ptr[:-1][row] + STRIDE * (np.arange(total) - first[row])
-    energy = np.take(idf.astype(np.float64) ** 2, cells)
-    marked = np.zeros(FEATURES, bool)
-    marked[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-    known = np.flatnonzero(np.take(marked & (idf > 0), cells))
-    place = np.minimum(np.searchsorted(vocabulary, names[known]), len(vocabulary) - 1)
-    known = known[vocabulary[place] == names[known]]
-    inside = np.zeros(len(cells))
-    inside[known] = energy[known]
-    all_, in_ = (np.concatenate([[0], np.cumsum(np.add.reduceat(x, head))]) for x in (energy, inside))
-    last = np.minimum(np.arange(total) + BLOCKS, (first + blocks)[row])
-    whole, part = all_[last] - all_[:-1], in_[last] - in_[:-1]
-    keep = np.flatnonzero((part >= at_least**2 * whole) & (part > 0))
+    start = np.maximum(np.arange(total) - -(-BEFORE // STRIDE), first[row])
+    stop = np.minimum(np.arange(total) - (-AFTER // STRIDE), (first + blocks)[row])  # whole blocks about the stretch
+    answer = np.zeros(len(cells), np.int64)
+    answer[_among(names, cells, index.answer_names)] = 1
+    answer = np.concatenate([[0], np.cumsum(np.add.reduceat(answer, head))])
+    keep = np.flatnonzero(answer[stop] - answer[start] >= index.answers.min())
     if not len(keep):
         return names, ptr, none, none, none
-    need = np.zeros(total + 1, bool)
-    for j in range(BLOCKS):
-        need[np.minimum(keep + j, last[keep] - 1)] = True
+    need = np.zeros(total + 1, np.int64)
+    np.add.at(need, start[keep], 1)
+    np.add.at(need, stop[keep], -1)
+    need = np.cumsum(need) > 0
     slot = np.cumsum(need) - 1
+    known = _among(names, cells, vocabulary)
     owner = np.searchsorted(head, known, side="right") - 1
     known, owner = known[need[owner]], slot[owner[need[owner]]]
     # the j-th known token of every block at once
@@ -220,12 +259,13 @@ def window_candidates(column: pa.Array, weighted: np.ndarray, idf: np.ndarray, l
     for a, b in zip(cuts, cuts[1:]):
         k = order[a:b]
         sums[owner[k]] += weighted[cells[known[k]]]
-    blank = len(sums) - 1
-    vec = sums[slot[keep]]
-    for j in range(1, BLOCKS):
-        vec += sums[np.where(keep + j < last[keep], slot[np.minimum(keep + j, total)], blank)]
-    vec /= np.sqrt(whole[keep])[:, None].astype(np.float32)
-    hit_w, hit_p = np.nonzero(vec @ latent.T >= at_least)
+    product = sums @ index.latent.T  # of each block; those of a stretch's blocks add up
+    got = np.zeros((len(keep), len(index.latent)), np.float32)
+    for j in range(int((stop - start).max())):
+        at = start[keep] + j
+        inside = np.flatnonzero(at < stop[keep])
+        got[inside] += product[slot[at[inside]]]
+    hit_w, hit_p = np.nonzero(got >= index.least)
     return names, ptr, head[keep[hit_w]], row[keep[hit_w]], hit_p
 
 
@@ -242,17 +282,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         space = latent_space(block, idf, max(1, block.count())) if count else np.zeros((FEATURES, 0), np.float32)
         index = Index([(r["item_id"], r["names"]) for r in block.orderBy("item_id", "part").collect()], space, idf)
         vocabulary = np.unique(np.array([x for own in index.names for x in own], np.uint64))
-        shared = spark.sparkContext.broadcast((idf, space * idf[:, None], index, vocabulary))
+        shared = spark.sparkContext.broadcast((space * idf[:, None], index, vocabulary))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            idf, weighted, index, vocabulary = shared.value
+            weighted, index, vocabulary = shared.value
             for batch in slices(batches):
-                names, ptr, head, row, hit = window_candidates(batch.column(1), weighted, idf, index.latent, vocabulary)
+                names, ptr, head, row, hit = window_candidates(batch.column(1), weighted, index, vocabulary)
                 best: dict[tuple[int, int], float] = {}
                 for a, r, k in zip(head.tolist(), row.tolist(), hit.tolist()):
                     key = (r, k)
                     if best.get(key, 0.0) < 1.0:
-                        near = names[max(ptr[r], a - PASSAGE) : min(ptr[r + 1], a + STRIDE * BLOCKS + PASSAGE)].tolist()
+                        near = names[max(ptr[r], a - BEFORE) : min(ptr[r + 1], a + AFTER)].tolist()
                         share = index.leaked(k, near)
                         if share > best.get(key, 0.0):
                             best[key] = share

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from fathomlab.llm import toxicity
+from fathomlab.llm import decontamination, toxicity
 from fathomlab.llm.decontamination import contamination_report, drop_contaminated, lcs_length
 from fathomlab.llm.language_id import identify_languages
 from fathomlab.llm.quality_classifier import score as quality_score, train as quality_train
@@ -47,6 +48,40 @@ def test_toxicity_held_out(spark, odd, none):
     assert score(odd, train(odd, labels.limit(0))).filter("score > 0").count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: f"{rng.choice('klmnoprst')}{rng.randrange(3000)}"
+    items = [[word() for _ in range(rng.choice((5, 7, 15, 20, 30, 60)))] for _ in range(300)]
+    rows = []
+    for k in range(600):
+        w = [word() for _ in range(rng.randrange(60, 200))]
+        at = rng.randrange(len(w))
+        if k % 3 == 0:  # one passage in a third of the documents
+            w[at:at] = items[3]
+        elif k % 3 == 1:
+            own = [x if len(items[k % 300]) < 8 or rng.random() > 0.3 else word() for x in items[k % 300]]
+            w[at:at] = own
+        rows.append((k, w))
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: set(r["items"]) for r in contamination_report(docs, bench).collect()}
+    assert all(3 in got[k] for k in range(0, 600, 3))
+    idf = decontamination.document_weights(docs)
+    names = lambda texts: decontamination.tokens(pa.array(texts))[0]
+    checks = []
+    for own in items:
+        n = names([" ".join(own)])
+        rank = idf[(n >> np.uint64(48)).astype(np.int64)]
+        checks.append((n.tolist(), [n.tolist()[i] for i in np.argsort(-rank, kind="stable")[:5]]))
+    for k, w in rows:
+        near, want = names([" ".join(w)]).tolist(), set()
+        for j, (n, rare) in enumerate(checks):
+            length, there = lcs_length(n, near)
+            if length / len(n) >= (0.6 if len(n) >= 8 else 1.0) and sum(x in there for x in rare) / len(rare) >= 0.6:
+                want.add(j)
+        assert got[k] >= want and (k % 3 != 2 or got[k] == want), k
+
+
 def test_language_held_out(spark, odd, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
