@@ -115,7 +115,9 @@ def top(found: Found, df: DataFrame, registry: Registry, keys: list[str], k: int
     for rank in range(len(rows), 0, -1):
         q = min(q, rows[rank - 1]["p_value"] * total / rank)
         best.append({**rows[rank - 1], "q_value": q})
-    best = sorted((b for b in best if b["q_value"] <= max_q), key=lambda b: (b["q_value"], b["p_value"]))[: 5 * k]
+    best = sorted((b for b in best if b["q_value"] <= max_q), key=lambda b: (b["q_value"], b["p_value"]))
+    if min_win_rate is None and min_profit_factor is None and max_drawdown_pct is None and 0 < k < len(best):
+        best = [b for b in best if b["q_value"] <= best[k - 1]["q_value"]]  # ties of q stay: later keys order them
     long = bucketed(df, keys, registry, ["id", "entry_ts", "pnl_cents"]).filter("bucket IS NOT NULL")
     wanted = spark.createDataFrame([(j, c["variable"], float(c["bucket"]), len(b["conditions"])) for j, b in enumerate(best) for c in b["conditions"]] or [(-1, "", 0.0, 1)], "node int, variable string, bucket double, size int")
     member = long.join(F.broadcast(wanted), ["variable", "bucket"]).groupBy("node", "size", "id", "entry_ts", "pnl_cents").agg(F.count("*").alias("hits")).filter("hits = size")

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession, functions as F
 from fathomlab.errors import LookaheadError, UnknownVariableError, ValidationError
 from fathomlab.functions.stats import benjamini_hochberg, binomial_upper_tail, student_t_upper
 from fathomlab.model import Binning, Split, Variable, is_variable_key
-from fathomlab.operators import cohorts, hypotheses, indicators, marginal, metrics, storage
+from fathomlab.operators import cohorts, discovery, hypotheses, indicators, marginal, metrics, storage
 from fathomlab.plans.guards import Registry, inspect, require_safe
 from fathomlab.plans.language import parse
 from fathomlab.plans.predicates import (
@@ -255,3 +255,15 @@ def test_registered_queries_match_their_oracles(spark):
         got = run[name](spark, folder).toPandas()
         got = sorted(map(str, got[columns].astype(object).where(got[columns].notna(), None).values.tolist()))
         assert got == want, name
+
+
+def test_discovery_orders_all_tied_patterns(spark):
+    rows = [(10 * b + j, b, 100 if b >= 17 or j else -10) for b in range(20) for j in range(4)]
+    df = spark.createDataFrame(rows, "id long, n long, pnl_cents long").withColumn("entry_ts", F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz"))
+    reg = Registry.of(Variable("x.a", "n", binning=Binning("edges", edges=tuple(float(e) for e in range(1, 20)))))
+    schema = "conditions array<struct<variable:string,bucket:double>>, n long, net double, t_stat double, p_value double"
+    nodes = spark.createDataFrame([([("x.a", float(b))], 4, 0.0, 0.0, 1.0) for b in range(20)], schema).coalesce(1)
+    found = discovery.Found(nodes, nodes, 20, False)
+    got = discovery.top(found, df, reg, ["x.a"], k=2, min_win_rate=0.9).collect()
+    assert [r["pattern"] for r in got] == ["x.a=17", "x.a=18"]
+    assert {r["win_rate"] for r in discovery.top(found, df, reg, ["x.a"], k=2).collect()} == {1.0}
