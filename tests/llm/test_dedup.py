@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -129,3 +129,45 @@ def test_near_duplicates_on_odd_rows(spark, odd, none):
     assert near_duplicate_groups(odd).count() == odd.count()
     assert drop_near_duplicates(odd).filter("doc_id = 4").count() == 1
     assert near_duplicate_groups(none).count() == 0 and drop_near_duplicates(none).count() == 0
+
+
+def test_edits_of_one_text_among_others_form_one_group(spark):
+    rng = random.Random(16)
+    base = words(rng, 200)
+    texts = [" ".join([*base[:k], f"edit{k}", *base[k + 1 :]]) for k in range(0, 200, 2)]
+    texts += [" ".join(words(rng, 200)) for _ in range(200)]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: 0 if k < 100 else k for k in range(300)}
+
+
+def test_recall_of_plain_similarity_by_size(spark):
+    """Pairs at 0.8 to 0.9 of plain Jaccard similarity, short and long, among unrelated texts."""
+    rng = random.Random(26)
+    texts = []
+    for size in (12, 40, 150, 260, 300, 450, 700, 2500):
+        for _ in range(12):
+            a = words(rng, size)
+            b = list(a)
+            edits = max(1, round(size * 0.019)) if size > 40 else 0
+            for k in range(edits):
+                b[(k + 1) * size // (edits + 1)] = f"edit{rng.randrange(10**6)}"
+            texts += [a, b if edits else [*a, "more"]]
+    texts += [words(rng, 120) for _ in range(100)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()}
+    sets = [Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4)) for t in texts]
+    near = [k for k in range(0, 192, 2) if (sets[k] & sets[k + 1]).total() / (sets[k] | sets[k + 1]).total() >= 0.8]
+    assert len(near) >= 80
+    assert sum(got[k] == got[k + 1] for k in near) >= 0.98 * len(near)
+
+
+def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
+    rng = random.Random(36)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    near = " ".join([*a.split()[:-1], "edit"])
+    rows = [(1, a), (1, b), (2, c), (2, c), (3, near), (4, None), (4, None), (4, b), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(7))
+    kept = sorted(((r["doc_id"], r["text"]) for r in drop_near_duplicates(docs).collect()), key=str)
+    assert kept == sorted([(1, a), (1, b), (2, c), (4, None), (4, None), (5, "")], key=str)
+    assert all(r["node"] == 7 for r in drop_near_duplicates(docs).collect())
+    assert near_duplicate_groups(docs).count() == len(rows)
