@@ -43,6 +43,8 @@ LCS, ANSWER, ANSWER_TOKENS, MIN_TOKENS = 0.6, 0.6, 5, 8
 #: Passages that are searched at once, about; a larger benchmark is taken in blocks. The rank of a block's
 #: space is its number of passages, and each passage must keep RETAINED of its norm.
 BLOCK_PASSAGES, RETAINED = 256, 0.99
+#: Blocks that one pass over the documents searches.
+BLOCKS_AT_ONCE = 16
 
 
 def tokens(column: pa.Array):
@@ -89,8 +91,9 @@ def _raw(names: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return tf * idf[cells]
 
 
-def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) -> np.ndarray:
-    """Right singular vectors (FEATURES x rank) of the passages' TF-IDF matrix. The driver holds only
+def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors of the passages' TF-IDF matrix: the place of each of FEATURES cells among
+    those that the passages have (-1 for others), and their rows (cells x rank). The driver holds only
     matrices of at most FEATURES x (rank + OVERSAMPLE); rows of the passages stay in Spark."""
     spark = items.sparkSession
     shared_idf = spark.sparkContext.broadcast(idf)
@@ -101,7 +104,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) ->
     place = np.full(FEATURES, -1, np.int64)
     place[cells_at] = np.arange(len(cells_at))
     if not len(cells_at):
-        return np.zeros((FEATURES, 0), np.float32)
+        return place, np.zeros((0, 0), np.float32)
 
     def product(x: np.ndarray) -> np.ndarray:
         """A'(A x), summed over tasks, cell by cell; rows are the passages' cells."""
@@ -138,9 +141,7 @@ def latent_space(items: DataFrame, idf: np.ndarray, rank: int, seed: int = 4) ->
     values, vectors = np.linalg.eigh(q.T @ product(q))
     best = np.argsort(-values)[:rank]
     best = best[values[best] > 1e-9]
-    space = np.zeros((FEATURES, len(best)), np.float32)
-    space[cells_at] = q @ vectors[:, best]
-    return space
+    return place, (q @ vectors[:, best]).astype(np.float32)
 
 
 def _orthonormal(z: np.ndarray, width: int) -> np.ndarray:
@@ -165,7 +166,7 @@ def lcs_length(a: list[int], b: list[int]) -> tuple[int, set[int]]:
 class Index:
     """The passages of one block in the latent space, and what the checks need."""
 
-    def __init__(self, rows: list[tuple[int, list[int]]], space: np.ndarray, idf: np.ndarray):
+    def __init__(self, rows: list[tuple[int, list[int]]], place: np.ndarray, space: np.ndarray, idf: np.ndarray):
         self.ids = [r[0] for r in rows]
         self.names = [[x & (2**64 - 1) for x in r[1]] for r in rows]
         self.latent = np.zeros((len(rows), space.shape[1]), np.float32)
@@ -175,7 +176,7 @@ class Index:
         for k, (_, names) in enumerate(rows):
             own = np.array(names, np.int64)
             cells, w = _vector(own, idf)
-            self.latent[k] = w @ space[cells]
+            self.latent[k] = w @ space[place[cells]]
             if np.linalg.norm(self.latent[k]) < RETAINED:
                 raise ValueError(f"item {self.ids[k]}: the latent space keeps {np.linalg.norm(self.latent[k]):.3f} of a passage's norm")
             rank = idf[(own.view(np.uint64) >> np.uint64(48)).astype(np.int64)].astype(np.float64)
@@ -183,6 +184,10 @@ class Index:
             self.rare.append([self.names[k][j] for j in order[:ANSWER_TOKENS]])
             self.least[k], self.answers[k] = self._least_product(k, rank, order, np.linalg.norm(_raw(own, idf)))
         self.answer_names = np.unique(np.array([x for own in self.rare for x in own], np.uint64))
+        self.vocabulary = np.unique(np.array([x for own in self.names for x in own], np.uint64))
+        self.place = place.astype(np.int32)
+        cells = np.flatnonzero(place >= 0)
+        self.weighted = space * idf[cells][:, None]
 
     def _least_product(self, k: int, rank: np.ndarray, order: np.ndarray, norm: float) -> tuple[float, int]:
         """The least product of passage k (as a unit vector) with a stretch that passes both checks, less
@@ -221,17 +226,15 @@ def _among(names: np.ndarray, cells: np.ndarray, vocabulary: np.ndarray) -> np.n
     return known[vocabulary[place] == names[known]]
 
 
-def window_candidates(column: pa.Array, weighted: np.ndarray, index: Index, vocabulary: np.ndarray):
-    """Token names, row bounds, and (first token of a block, row, passage) of stretches that may hold a
-    passage. ``weighted``: the latent space times idf; ``vocabulary``: the sorted names of the passages'
-    tokens."""
-    names, cells, ptr = tokens(column)
+def window_candidates(names: np.ndarray, cells: np.ndarray, ptr: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(First token of a block, row, passage) of the stretches of some texts' tokens that may hold a
+    passage."""
     size = np.diff(ptr)
     blocks = -(-size // STRIDE)
     total = int(blocks.sum())
     none = np.zeros(0, np.int64)
-    if not total or not len(index.latent) or not len(vocabulary):
-        return names, ptr, none, none, none
+    if not total or not len(index.latent) or not len(index.vocabulary):
+        return none, none, none
     first = np.cumsum(blocks) - blocks
     row = np.repeat(np.arange(len(size)), blocks)
     head = ptr[:-1][row] + STRIDE * (np.arange(total) - first[row])
@@ -242,23 +245,23 @@ def window_candidates(column: pa.Array, weighted: np.ndarray, index: Index, voca
     answer = np.concatenate([[0], np.cumsum(np.add.reduceat(answer, head))])
     keep = np.flatnonzero(answer[stop] - answer[start] >= index.answers.min())
     if not len(keep):
-        return names, ptr, none, none, none
+        return none, none, none
     need = np.zeros(total + 1, np.int64)
     np.add.at(need, start[keep], 1)
     np.add.at(need, stop[keep], -1)
     need = np.cumsum(need) > 0
     slot = np.cumsum(need) - 1
-    known = _among(names, cells, vocabulary)
+    known = _among(names, cells, index.vocabulary)
     owner = np.searchsorted(head, known, side="right") - 1
     known, owner = known[need[owner]], slot[owner[need[owner]]]
     # the j-th known token of every block at once
     turn = np.arange(len(known)) - np.searchsorted(owner, owner)
     order = np.argsort(turn, kind="stable")
     cuts = np.searchsorted(turn[order], np.arange(int(turn.max()) + 2)) if len(turn) else [0]
-    sums = np.zeros((int(slot[-1]) + 2, weighted.shape[1]), np.float32)
+    sums = np.zeros((int(slot[-1]) + 2, index.weighted.shape[1]), np.float32)
     for a, b in zip(cuts, cuts[1:]):
         k = order[a:b]
-        sums[owner[k]] += weighted[cells[known[k]]]
+        sums[owner[k]] += index.weighted[index.place[cells[known[k]]]]
     product = sums @ index.latent.T  # of each block; those of a stretch's blocks add up
     got = np.zeros((len(keep), len(index.latent)), np.float32)
     for j in range(int((stop - start).max())):
@@ -266,45 +269,48 @@ def window_candidates(column: pa.Array, weighted: np.ndarray, index: Index, voca
         inside = np.flatnonzero(at < stop[keep])
         got[inside] += product[slot[at[inside]]]
     hit_w, hit_p = np.nonzero(got >= index.least)
-    return names, ptr, head[keep[hit_w]], row[keep[hit_w]], hit_p
+    return head[keep[hit_w]], row[keep[hit_w]], hit_p
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs: every benchmark item found in a document, with its matched share."""
     spark = docs.sparkSession
     idf = document_weights(docs)
-    items = settle(passages(benchmark))
-    count = items.count()
-    out = None
-    for k in range(max(1, -(-count // BLOCK_PASSAGES))):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(max(1, -(-count // BLOCK_PASSAGES)))) == k)
-        block = settle(block)
-        space = latent_space(block, idf, max(1, block.count())) if count else np.zeros((FEATURES, 0), np.float32)
-        index = Index([(r["item_id"], r["names"]) for r in block.orderBy("item_id", "part").collect()], space, idf)
-        vocabulary = np.unique(np.array([x for own in index.names for x in own], np.uint64))
-        shared = spark.sparkContext.broadcast((space * idf[:, None], index, vocabulary))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            weighted, index, vocabulary = shared.value
-            for batch in slices(batches):
-                names, ptr, head, row, hit = window_candidates(batch.column(1), weighted, index, vocabulary)
-                best: dict[tuple[int, int], float] = {}
-                for a, r, k in zip(head.tolist(), row.tolist(), hit.tolist()):
-                    key = (r, k)
-                    if best.get(key, 0.0) < 1.0:
-                        near = names[max(ptr[r], a - BEFORE) : min(ptr[r + 1], a + AFTER)].tolist()
-                        share = index.leaked(k, near)
-                        if share > best.get(key, 0.0):
-                            best[key] = share
-                ids = batch.column(0).to_pylist()
-                found = [(ids[r], index.ids[k], v) for (r, k), v in best.items() if v]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "lcs"])
-
-        found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, lcs double")
-        out = found if out is None else out.unionByName(found)
+    items = settle(passages(benchmark).dropDuplicates())
+    blocks = max(1, -(-items.count() // BLOCK_PASSAGES))
+    out = spark.createDataFrame([], "doc_id long, item_id long, lcs double")
+    for first in range(0, blocks, BLOCKS_AT_ONCE):
+        indexes = []
+        for k in range(first, min(first + BLOCKS_AT_ONCE, blocks)):
+            block = settle(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == k))
+            rows = [(r["item_id"], r["names"]) for r in block.orderBy("item_id", "part").collect()]
+            if rows:
+                indexes.append(Index(rows, *latent_space(block, idf, len(rows)), idf))
+        if indexes:
+            out = out.unionByName(_found(docs, spark.sparkContext.broadcast(indexes)))
     return out
 
 
+def _found(docs: DataFrame, shared) -> DataFrame:
+    """The leaks of the passages of some blocks, in one pass over the documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            names, cells, ptr = tokens(batch.column(1))
+            ids = batch.column(0).to_pylist()
+            found: list[tuple] = []
+            for index in shared.value:
+                best: dict[tuple[int, int], float] = {}
+                for a, r, k in zip(*(x.tolist() for x in window_candidates(names, cells, ptr, index))):
+                    if best.get((r, k), 0.0) < 1.0:
+                        share = index.leaked(k, names[max(ptr[r], a - BEFORE) : min(ptr[r + 1], a + AFTER)].tolist())
+                        best[r, k] = max(share, best.get((r, k), 0.0))
+                found += [(ids[r], index.ids[k], v) for (r, k), v in best.items() if v]
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "lcs"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, lcs double")
+
+
 def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return settle(
         leaks(docs, benchmark).filter("doc_id IS NOT NULL").groupBy("doc_id")
