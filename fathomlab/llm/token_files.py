@@ -9,11 +9,13 @@ byte offset of each block, so any range of ids is read by unpacking only its blo
     footer   block offsets u64[], doc ids i64[], doc id is null u8[], ids per document u64[]
     tail     number of blocks, of documents, of ids (u64 each), byte offset of the footer u64, magic
 
-Documents are dealt by ranges of doc_id (hash of the text between equal ids), one file a range, so
-the files in order of their number hold the corpus in ascending doc_id; null doc_ids come first.
-Repeated rows are written each. Null texts have only the end id. An empty table gives files without
-documents. Files are written to the shared folder under a temporary name and then moved, so a task
-that is run again after the loss of an executor leaves the same file.
+Documents are dealt by ranges of doc_id (hash of the text between equal ids), about FILE_BYTES of text a
+range; a range's files end at the first document past FILE_IDS ids, so the files in order of their two
+numbers hold the corpus in ascending doc_id; null doc_ids come first. The list of files, and how many ids
+lie before each, stay in Spark; files are read by ranges of bytes. Repeated rows are written each. Null
+texts have only the end id. An empty table gives a file without documents. Files are written to the
+shared folder under a temporary name and then moved, so a task that is run again after the loss of an
+executor leaves the same files.
 """
 
 from __future__ import annotations
@@ -27,18 +29,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .shared import settle, shared_dir
 from .textops import slices
 
 MAGIC = b"FTOK"
 BLOCK = 4096
-#: Documents of a file, about.
-FILE_DOCS = 8192
+#: Bytes of text of a task that writes files, about; ids after which it starts another file.
+FILE_BYTES, FILE_IDS = 32 << 20, 1 << 25
+#: Files whose numbers of ids are added up together.
+GROUP = 4096
 #: Words whose ids each Python worker keeps in each of two generations.
 CACHED_WORDS = 300_000
+#: White space other than single spaces and newlines between other characters: such texts are encoded whole.
+_UNSAFE = r"[\t\x0B-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _HEADER, _TAIL = struct.Struct("<4sBBxx"), struct.Struct("<QQQQ4s")
 
 
@@ -97,31 +104,37 @@ class Writer:
 
 
 class Reader:
-    """Random access to the ids of one file's bytes."""
-
-    def __init__(self, raw: bytes):
-        magic, version, self.bits = _HEADER.unpack_from(raw, 0)
-        blocks, docs, self.total, foot, end = _TAIL.unpack_from(raw, len(raw) - _TAIL.size)
-        if magic != MAGIC or end != MAGIC or version != 1:
+    """Random access to the ids of one file (bytes, or an Arrow file): the footer, and then only the blocks
+    that are asked for, are read."""
+
+    def __init__(self, source):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        end = self.source.size()
+        magic, version, self.bits = _HEADER.unpack(self._bytes(0, _HEADER.size))
+        blocks, docs, self.total, foot, last = _TAIL.unpack(self._bytes(end - _TAIL.size, end))
+        if magic != MAGIC or last != MAGIC or version != 1:
             raise ValueError("not a token file")
-        self.raw = raw
-        self.offsets = np.append(np.frombuffer(raw, "<u8", blocks, foot), np.uint64(foot)).astype(np.int64)
-        foot += 8 * blocks
-        ids = np.frombuffer(raw, "<i8", docs, foot)
-        null = np.frombuffer(raw, "u1", docs, foot + 8 * docs)
+        raw = self._bytes(foot, end - _TAIL.size)
+        self.offsets = np.append(np.frombuffer(raw, "<u8", blocks), np.uint64(foot)).astype(np.int64)
+        ids = np.frombuffer(raw, "<i8", docs, 8 * blocks)
+        null = np.frombuffer(raw, "u1", docs, 8 * (blocks + docs))
         self.docs = pa.array(ids, pa.int64(), mask=null.astype(bool))
-        self.sizes = np.frombuffer(raw, "<u8", docs, foot + 9 * docs).astype(np.int64)
+        self.sizes = np.frombuffer(raw, "<u8", docs, 8 * blocks + 9 * docs).astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
 
+    def _bytes(self, start: int, stop: int) -> bytes:
+        self.source.seek(start)
+        return self.source.read(stop - start)
+
     def ids(self, start: int, stop: int) -> np.ndarray:
-        """Ids number start .. stop-1 of the file; only their blocks are unpacked."""
+        """Ids number start .. stop-1 of the file; only their blocks are read and unpacked."""
         stop = min(stop, self.total)
         if start >= stop:
             return np.zeros(0, np.uint32)
         first, last = start // BLOCK, (stop - 1) // BLOCK
-        found = np.concatenate([
-            unpack(self.raw[self.offsets[b] : self.offsets[b + 1]], self.bits, min(BLOCK, self.total - b * BLOCK)) for b in range(first, last + 1)
-        ])
+        own = self.offsets[first : last + 2] - self.offsets[first]
+        raw = self._bytes(int(self.offsets[first]), int(self.offsets[last + 1]))
+        found = np.concatenate([unpack(raw[own[b] : own[b + 1]], self.bits, min(BLOCK, self.total - (first + b) * BLOCK)) for b in range(last + 1 - first)])
         return found[start - first * BLOCK : stop - first * BLOCK]
 
     def document(self, k: int) -> np.ndarray:
@@ -162,35 +175,58 @@ class WordEncoder:
         raw, cuts = ids.tobytes(), np.append(at, len(ids)) * 4
         return [raw[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
 
-    def _split(self, text: str) -> list[str] | None:
-        # equal only if single spaces and newlines are all the white space, so that no unit is empty
-        if not text or not self.by_word or " ".join(text.split()) != text.replace("\n", " "):
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        """Ids of some different words, from the cache or the library."""
         if len(self.words) > CACHED_WORDS:
             self.words, self.old = {}, self.words
-        split = [self._split(x) for x in texts]
-        heads = self._library([s[0] if s else x for s, x in zip(split, texts)])
+        found = [self.words.get(w) for w in words]
         new = []
-        for w in set().union(*(s[1:] for s in split if s)).difference(self.words):
-            known = self.old.get(w)
-            if known is None:
-                new.append(w)
-            else:
-                self.words[w] = known
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            self.words.update(zip(part, self._words(part)))
-        get = self.words.__getitem__
-        found = [h + b"".join(map(get, s[1:])) if s else h for s, h in zip(split, heads)]
-        for w in new:
-            if len(w) > 60:  # rare, and large
-                del self.words[w]
+        for k, w in enumerate(words):
+            if found[k] is None:
+                found[k] = self.old.get(w)
+                if found[k] is None:
+                    new.append(k)
+                elif len(w) <= 60:
+                    self.words[w] = found[k]
+        for at in range(0, len(new), 5000):
+            part = new[at : at + 5000]
+            for k, ids in zip(part, self._words([words[k] for k in part])):
+                found[k] = ids
+                if len(words[k]) <= 60:  # longer ones are rare, and large
+                    self.words[words[k]] = ids
         return found
 
+    def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), each followed by ``end`` if given, and how many each has. A
+        text is split into words in Arrow; each different word is looked up once and its ids are copied to
+        its places."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        n = len(column)
+        whole = pc.match_substring_regex(column, _UNSAFE) if self.by_word else pa.array(np.ones(n, bool))
+        split = pc.split_pattern(pc.replace_substring(pc.if_else(whole, pa.scalar("", pa.large_string()), column), "\n", " \n"), " ")
+        off = split.offsets.to_numpy().astype(np.int64)
+        values = split.values.slice(off[0], off[-1] - off[0])
+        off = off - off[0]
+        head = np.zeros(len(values), bool)
+        head[off[:-1]] = True  # a text's first unit has no space before it, and a whole text is one unit
+        coded = values.filter(pa.array(~head)).dictionary_encode()
+        known = self._lookup(coded.dictionary.to_pylist())
+        heads = pc.if_else(whole, column, values.filter(pa.array(head))).to_pylist()
+        known += self._library(heads)
+        if end is not None:
+            known.append(np.array([end], "<u4").tobytes())
+        unit = np.empty(len(values), np.int64)
+        unit[~head] = coded.indices.to_numpy(zero_copy_only=False)
+        unit[head] = len(coded.dictionary) + np.arange(n)
+        if end is not None:
+            unit, off = np.insert(unit, off[1:], len(known) - 1), off + np.arange(n + 1)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(size) - size
+        each = size[unit]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[unit] - upto[:-1], each) + np.arange(upto[-1])]
+        return ids, np.diff(upto[off])
+
 
 @lru_cache(maxsize=2)
 def encoder(file: str) -> WordEncoder:
@@ -202,15 +238,14 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
     table with one row per file: part, path, n_docs, n_ids."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
-    files = max(1, -(-docs.count() // FILE_DOCS))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = (
         docs.select("doc_id", "text")
         .withColumn("__fl_tie", F.xxhash64("text"))
-        .repartitionByRange(files, F.col("doc_id").asc_nulls_first(), "__fl_tie")
+        .repartitionByRange(max(1, -(-size // FILE_BYTES)), F.col("doc_id").asc_nulls_first(), "__fl_tie")
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__fl_tie")
         .select("doc_id", "text")
     )
-    tail = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -218,49 +253,61 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None
         own, task = encoder(tokenizer), TaskContext.get()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        part = task.partitionId()
-        path, draft = f"{root}/part-{part:07d}.ftok", f"{root}/.draft-{part:07d}-{task.taskAttemptId()}"
-        with store.open_output_stream(draft) as out:
-            writer = Writer(out, own.bits)
-            for batch in slices(batches):
-                ids = [x + tail for x in own.encode([t or "" for t in batch.column(1).to_pylist()])]
-                writer.add(batch.column(0).to_pylist(), np.array([len(x) // 4 for x in ids], np.int64), np.frombuffer(b"".join(ids), "<u4"))
-            writer.close()
-        store.move(draft, path)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([f"{folder}/part-{part:07d}.ftok"]), pa.array([len(writer.docs)]), pa.array([writer.total])], ["part", "path", "n_docs", "n_ids"])
-
-    return settle(ordered.mapInArrow(run, "part long, path string, n_docs long, n_ids long"))
+        part, rows, pieces = task.partitionId(), [], slices(batches, most=4 << 20)
+        piece = next(pieces, None)
+        while piece is not None or not rows:
+            name = f"part-{part:07d}-{len(rows):05d}.ftok"
+            draft = f"{root}/.draft-{name}-{task.taskAttemptId()}"
+            with store.open_output_stream(draft) as out:
+                writer = Writer(out, own.bits)
+                while piece is not None and writer.total < FILE_IDS:
+                    ids, sizes = own.encode(piece.column(1), end_id)
+                    writer.add(piece.column(0).to_pylist(), sizes, ids)
+                    piece = next(pieces, None)
+                writer.close()
+            store.move(draft, f"{root}/{name}")
+            rows.append((part, len(rows), f"{folder}/{name}", len(writer.docs), writer.total))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in range(5)], ["part", "piece", "path", "n_docs", "n_ids"])
+
+    return settle(ordered.mapInArrow(run, "part long, piece long, path string, n_docs long, n_ids long"))
 
 
 def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, ``start`` (ids of all documents before it), n_tokens and
     ``ids_le``, its ids as little-endian unsigned 32-bit integers. ``files`` is what
-    :func:`write_token_files` returned; its one row per file is all that the driver sees."""
-    rows = files.orderBy("part").select("part", "path", "n_ids").collect()
-    before = np.concatenate([[0], np.cumsum([r["n_ids"] for r in rows])]).tolist()
-    folder = rows[0]["path"].rsplit("/", 1)[0] if rows else shared_dir(spark)
-    base = spark.createDataFrame([(r["part"], b) for r, b in zip(rows, before)] or [(-1, 0)], "part long, base long")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.ftok").load(folder) if rows else None
-    if raw is None:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_le binary")
-    named = raw.select(F.regexp_extract("path", r"part-(\d+)\.ftok$", 1).cast("long").alias("part"), "content")
+    :func:`write_token_files` returned; the driver sees one number for GROUP of its parts."""
+    grouped = files.withColumn("group", F.floor(F.col("part") / GROUP))
+    before, bases = 0, []
+    for r in grouped.groupBy("group").agg(F.sum("n_ids").alias("n")).orderBy("group").collect():
+        bases.append((r["group"], before))
+        before += r["n"]
+    ahead = Window.partitionBy("group").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        grouped.withColumn("inside", F.coalesce(F.sum("n_ids").over(ahead), F.lit(0)))
+        .join(F.broadcast(spark.createDataFrame(bases, "group long, base long")), "group")
+        .select("part", "piece", "path", (F.col("base") + F.col("inside")).alias("base"))
+        .repartition(max(1, files.rdd.getNumPartitions()), "part", "piece")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
         for batch in batches:
-            for part, base, content in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                file = Reader(content)
-                for k in range(0, len(file.docs), 512):
-                    top = min(k + 512, len(file.docs))
-                    bounds = file.starts[k : top + 1]
-                    body = file.ids(bounds[0], bounds[-1]).astype("<u4").tobytes()
-                    cuts = (bounds - bounds[0]) * 4
-                    yield pa.RecordBatch.from_arrays(
-                        [file.docs.slice(k, top - k), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array([body[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                        ["doc_id", "start", "n_tokens", "ids_le"],
-                    )
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType())])
-    return named.join(F.broadcast(base), "part").select("part", "base", "content").mapInArrow(run, schema)
+            for path, base in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                store, name = fs.FileSystem.from_uri(path)
+                with store.open_input_file(name) as source:
+                    file = Reader(source)
+                    for k in range(0, len(file.docs), 512):
+                        top = min(k + 512, len(file.docs))
+                        bounds = file.starts[k : top + 1]
+                        body = file.ids(bounds[0], bounds[-1]).astype("<u4").tobytes()
+                        cuts = (bounds - bounds[0]) * 4
+                        yield pa.RecordBatch.from_arrays(
+                            [file.docs.slice(k, top - k), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array([body[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary())],
+                            ["doc_id", "start", "n_tokens", "ids_le"],
+                        )
+
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_le binary")
 
 
 def crc_of(ids: np.ndarray) -> int:

@@ -2,12 +2,14 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from fathomlab.llm import token_files
 from fathomlab.llm.sentencepiece_codec import MergeCodec, decode_ids, encode_decode
 from fathomlab.llm.token_files import Reader, WordEncoder, pack, read_token_files, unpack, write_token_files
 
@@ -47,8 +49,25 @@ def test_word_shortcut_on_other_white_space():
     file = public_tokenizers.path("byte_bpe_50k.json")
     library, own = Tokenizer.from_file(file), WordEncoder(file)
     texts = ["a\tb  c", "a\tb ", " a\u00a0b", "a\u00a0b  c", "prix : 5\u00a0% ", "one\ttwo\n\nthree", "x\x1cy \n", "a\u3000b\n", "a b", "a\tb c", " a", "a\r\nb"]
-    for text in texts:
-        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    rng = random.Random(3)
+    texts += ["", None, *("".join(rng.choice(PARTS) for _ in range(rng.randint(0, 30))) for _ in range(800))]
+    for end in (None, 2):
+        ids, sizes = own.encode(pa.array(texts), end)
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        for k, text in enumerate(texts):
+            want = library.encode(text or "", add_special_tokens=False).ids + ([end] if end else [])
+            assert ids[cuts[k] : cuts[k + 1]].tolist() == want, repr(text)
+
+
+def test_token_files_roll_over_and_keep_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "FILE_BYTES", 2000)
+    monkeypatch.setattr(token_files, "GROUP", 3)
+    docs = spark.range(0, 300).select((300 - F.col("id")).alias("doc_id"), F.repeat(F.lit("some words here "), (F.col("id") % 7).cast("int")).alias("text"))
+    files = write_token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, folder=str(tmp_path / "many"))
+    assert files.count() > 6
+    rows = sorted(read_token_files(spark, files).collect(), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in rows] == list(range(1, 301))
+    assert [r["start"] for r in rows] == np.concatenate([[0], np.cumsum([r["n_tokens"] for r in rows])[:-1]]).tolist()
 
 
 def test_token_files(spark, odd, none, tmp_path):
