@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 100_000
 #: Copies of the small side of a join that is too large to broadcast; the large side's hot keys spread over them.
 SALTS = 16
+#: A key is hot if it holds this share of the rows or more, so there are at most 1 / HOT of them.
+HOT = 0.001
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -18,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     has it, else a temporary folder (a single machine, as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fathomlab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -51,3 +55,19 @@ def join_counted(large: DataFrame, small: DataFrame, key: str, how: str) -> Data
         .join(salted, [key, "__fl_salt"], how)
         .drop("__fl_salt")
     )
+
+
+def join_spread(large: DataFrame, small: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """Inner join with ``small``, settled, one row a key, whose column ``n`` has the key's rows in
+    ``large``. Rows of hot keys (at most 1 / HOT, so their list is broadcast) are dealt to SALTS tasks by
+    the column ``by``; all other keys meet as they are."""
+    total = small.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") >= max(1, total * HOT)
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    named = small.filter(hot).select(*keys, F.lit(True).alias("__fl_hot"))
+    return (
+        large.join(F.broadcast(named), keys, "left")
+        .withColumn("__fl_salt", F.when(F.col("__fl_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0))
+        .join(small.withColumn("__fl_salt", F.explode(salts)), [*keys, "__fl_salt"])
+        .drop("__fl_hot", "__fl_salt", "n")
+    )

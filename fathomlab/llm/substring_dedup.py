@@ -15,12 +15,14 @@ dictionary.
 Spark groups names over the corpus. A high name that a smaller doc_id has too reveals and verifies
 a long repeat at once: all its words go. Elsewhere only windows whose anchor occurs in several texts
 are compared, by their own names, against the smallest doc_id that has them. Each word covered by a
-window whose words also start in a document with a smaller doc_id is removed, exactly (up to
-collisions of 64-bit names).
+window whose words also start in a document with a smaller doc_id is removed, exactly: what decides is
+a pair of 64-bit names of the words (``sym`` or ``name``, and ``check``), of different bases.
+
+Hot names (of a passage that a large share of the documents has) are spread over tasks where rows meet.
 
 Defined results: a null text has no words; texts under 50 words lose nothing; a row whose doc_id is
 null is neither a source nor loses words; rows that repeat a doc_id do not count as smaller than
-each other; an empty table gives an empty result. Other columns are ignored.
+each other, and each is cut by its own text; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import settle
+from .shared import join_spread, settle
 from .textops import IS_SPACE, Text, mix, powers, slices, windows
 
 WINDOW = 50
@@ -46,6 +48,7 @@ REACH = min(WINDOW - EDGE - PHRASE, WINDOW - 2 * EDGE - LOW_SPAN) + 1
 HIGH_WORDS = 128
 HIGH_ROUNDS = 24
 _FAR = np.uint64(2**64 - 1)
+_CHECK = np.uint64(0x589965CC75374CC3)
 _A, _B, _C = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -142,9 +145,21 @@ def anchors(order: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.flatnonzero((best == order) & (order != _FAR))
 
 
+def _second(names: np.ndarray, at: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """A second name of some disjoint runs of words, in ascending order."""
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    edges = np.stack([at, at + span], axis=1).reshape(-1)
+    place = np.arange(len(names)) - np.take(at, np.maximum(np.searchsorted(at, np.arange(len(names)), side="right") - 1, 0))
+    with np.errstate(over="ignore"):
+        value = mix(names ^ _CHECK) * np.take(powers(int(span.max()) + 1), place, mode="clip")
+        total = np.add.reduceat(np.append(value, np.uint64(0)), edges)[::2]
+        return mix(total + span.astype(np.uint64))
+
+
 def symbols(column: pa.Array) -> dict[str, np.ndarray]:
-    """Anchors (span 0), high names and whole texts of a slice: name, row, first word, span, and the
-    text's own key (for whole texts: none)."""
+    """Anchors (span 0), high names and whole texts of a slice: name and second name (of anchors 0), row,
+    first word, span, and the text's own key (for whole texts: none)."""
     text = Text(column)
     words = text.segments(IS_SPACE)
     names, ptr = words.names(), words.ptr
@@ -152,7 +167,8 @@ def symbols(column: pa.Array) -> dict[str, np.ndarray]:
     parse = low(names, ptr)
     order = _phrases(names, ptr, parse)
     at = anchors(order, ptr)
-    out = [(order[at], np.searchsorted(ptr, at, side="right") - 1, at, np.zeros(len(at), np.int64))]
+    zero = np.zeros(len(at), np.int64)
+    out = [(order[at], np.searchsorted(ptr, at, side="right") - 1, at, zero, zero.view(np.uint64))]
     big = np.repeat(size >= HIGH_WORDS, size)
     if big.any():
         parse._keep(big[parse.at])
@@ -160,7 +176,7 @@ def symbols(column: pa.Array) -> dict[str, np.ndarray]:
             parse.runs()
             parse.pairs(k, HIGH_WORDS)
         high = parse.span >= HIGH_WORDS
-        out.append((parse.sym[high], parse.row[high], parse.at[high], parse.span[high]))
+        out.append((parse.sym[high], parse.row[high], parse.at[high], parse.span[high], _second(names, parse.at[high], parse.span[high])))
     key = np.zeros(text.n, np.uint64)
     full = np.flatnonzero(size > 0)
     if len(full):
@@ -168,36 +184,37 @@ def symbols(column: pa.Array) -> dict[str, np.ndarray]:
         with np.errstate(over="ignore"):
             key[full] = mix(np.add.reduceat(names * powers(int(size.max()) + 1)[place], ptr[:-1][full]) + size[full].astype(np.uint64))
     long = np.flatnonzero(size >= WINDOW)
-    out.append((mix(key[long] ^ _B), long, ptr[:-1][long], size[long]))
-    sym, row, at, span = (np.concatenate([x[k] for x in out]) for k in range(4))
+    out.append((mix(key[long] ^ _B), long, ptr[:-1][long], size[long], _second(names, ptr[:-1][long], size[long])))
+    sym, row, at, span, check = (np.concatenate([x[k] for x in out]) for k in range(5))
     whole = np.arange(len(sym)) >= len(sym) - len(long)
-    return {"sym": sym.view(np.int64), "row": row, "pos": at - ptr[:-1][row] if len(row) else at, "span": span, "key": key[row].view(np.int64), "whole": whole}
+    return {"sym": sym.view(np.int64), "check": check.view(np.int64), "row": row, "pos": at - ptr[:-1][row] if len(row) else at, "span": span, "key": key[row].view(np.int64), "whole": whole}
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """sym, doc_id, pos, span and ``text_key``: what tells texts apart (for whole texts, doc_id)."""
+def occurrences(texts: DataFrame) -> DataFrame:
+    """sym, check, doc_id, own, pos, span and ``text_key``: what tells texts apart (for whole texts,
+    doc_id). ``texts``: doc_id, own, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = symbols(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)[found["row"]]
+            found = symbols(batch.column(2))
+            ids, own = (batch.column(k).to_numpy(zero_copy_only=False)[found["row"]] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found["sym"]), pa.array(ids, pa.int64()), pa.array(found["pos"], pa.int32()), pa.array(found["span"], pa.int32()), pa.array(np.where(found["whole"], ids, found["key"]), pa.int64())],
-                ["sym", "doc_id", "pos", "span", "text_key"],
+                [pa.array(found["sym"]), pa.array(found["check"]), pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(found["pos"], pa.int32()), pa.array(found["span"], pa.int32()), pa.array(np.where(found["whole"], ids, found["key"]), pa.int64())],
+                ["sym", "check", "doc_id", "own", "pos", "span", "text_key"],
             )
 
-    return docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull()).mapInArrow(run, "sym long, doc_id long, pos int, span int, text_key long")
+    return texts.filter(F.col("doc_id").isNotNull()).mapInArrow(run, "sym long, check long, doc_id long, own long, pos int, span int, text_key long")
 
 
-def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word in the row and name of each window that has to be compared."""
+def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first word in the row, name and second name of each window that has to be compared."""
     text = Text(column)
     words = text.segments(IS_SPACE)
     names, ptr = words.names(), words.ptr
     n = len(names)
     empty = np.zeros(0, np.int64)
     if n < WINDOW or not any(marks):
-        return empty, empty, np.zeros(0, np.uint64)
+        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
     shared = np.zeros(n, bool)
     upto = np.zeros(n, np.int64)  # end of the repeated high name that covers a word
     for k, found in enumerate(marks):
@@ -211,40 +228,47 @@ def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.nd
     least = _sliding(order, REACH, True)
     least_shared = _sliding(np.where(shared, order, _FAR), REACH, True)
     starts, named = windows(names, ptr, WINDOW)
+    second = windows(mix(names ^ _CHECK), ptr, WINDOW)[1]
     take = (least[starts + EDGE] == least_shared[starts + EDGE]) & (least_shared[starts + EDGE] != _FAR) & (upto[starts] < starts + WINDOW)
-    starts, named = starts[take], named[take]
+    starts, named, second = starts[take], named[take], second[take]
     row = np.searchsorted(ptr, starts, side="right") - 1
-    return row, starts - ptr[row], named
+    return row, starts - ptr[row], named, second
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``, the words that stay, joined by single spaces."""
     spark = docs.sparkSession
-    found = occurrences(docs)
-    several = (
-        found.groupBy("sym")
-        .agg(F.min("doc_id").alias("first_doc"), F.min("text_key").alias("a"), F.max("text_key").alias("b"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")  # own: tells rows that share a doc_id apart
+    found = occurrences(texts)
+    several = settle(
+        found.groupBy("sym", "check")
+        .agg(F.min("doc_id").alias("first_doc"), F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n"))
         .filter("a <> b")
-        .select("sym", "first_doc")
+        .select("sym", "check", "first_doc", "n")
     )
     marks = settle(
-        found.join(several, "sym")
+        join_spread(found, several, ["sym", "check"], "doc_id")
         .filter("span = 0 OR first_doc < doc_id")
-        .groupBy("doc_id")
+        .groupBy("doc_id", "own")
         .agg(F.collect_set(F.struct("pos", "span")).alias("marks"))
     )
-    texts = docs.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "own")
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, start, named = _candidate_windows(batch.column(1), batch.column(2).to_pylist())
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = ids[row] if len(row) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(ids, pa.int64()), pa.array(start, pa.int32())], ["name", "doc_id", "start"])
+            row, start, named, second = _candidate_windows(batch.column(2), batch.column(3).to_pylist())
+            ids, own = (batch.column(k).to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32())], ["name", "check", "doc_id", "own", "start"])
 
-    compared = texts.join(marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(name_windows, "name long, doc_id long, start int")
-    firsts = compared.groupBy("name").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").select("name", "first_doc")
-    starts = compared.join(firsts, "name").filter("first_doc < doc_id").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    compared = (
+        texts.join(marks, ["doc_id", "own"], "left").select("doc_id", "own", "text", "marks")
+        .mapInArrow(name_windows, "name long, check long, doc_id long, own long, start int")
+    )
+    firsts = settle(
+        compared.groupBy("name", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+        .filter("first_doc < last_doc").select("name", "check", "first_doc", "n")
+    )
+    starts = join_spread(compared, firsts, ["name", "check"], "doc_id").filter("first_doc < doc_id").groupBy("doc_id", "own").agg(F.collect_set("start").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -266,8 +290,8 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
     return (
-        texts.join(marks, "doc_id", "left")
-        .join(starts, "doc_id", "left")
+        texts.join(marks, ["doc_id", "own"], "left")
+        .join(starts, ["doc_id", "own"], "left")
         .select("doc_id", "text", "marks", "starts")
         .mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string")
     )

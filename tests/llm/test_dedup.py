@@ -171,3 +171,12 @@ def test_rows_that_share_a_doc_id_keep_their_own_texts(spark):
     assert kept == sorted([(1, a), (1, b), (2, c), (4, None), (4, None), (5, "")], key=str)
     assert all(r["node"] == 7 for r in drop_near_duplicates(docs).collect())
     assert near_duplicate_groups(docs).count() == len(rows)
+
+
+def test_substring_dedup_cuts_rows_that_share_a_doc_id_by_their_own_text(spark):
+    rng = random.Random(46)
+    long, other = words(rng, 360), words(rng, 80)
+    rows = [(1, long), (2, long), (2, words(rng, 20)), (2, other + long[100:170]), (3, other), (2, other + long[100:170])]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in dedup_substrings(docs).collect())
+    assert got == [(1, 360, 0), (2, 20, 0), (2, 150, 70), (2, 150, 70), (2, 360, 360), (3, 80, 80)]
