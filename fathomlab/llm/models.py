@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import join_counted, settle
+
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
@@ -12,10 +14,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 def bounded(rows: DataFrame, key: str, per_class: int, seed: int) -> DataFrame:
     """About ``per_class`` rows of each value of ``key`` (all, where there are no more), chosen by a
-    hash of doc_id; the number of rows per class is counted over all rows."""
+    hash of doc_id; the number of rows per class is counted over all rows. The list of classes is
+    broadcast if it is short."""
     counts = rows.groupBy(key).count().select(F.col(key).alias("__fl_class"), (F.lit(per_class) / F.col("count")).alias("__fl_share"))
+    counts = settle(counts.filter("__fl_class IS NOT NULL"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return rows.join(F.broadcast(counts), F.col(key) == F.col("__fl_class")).filter(draw < F.col("__fl_share")).drop("__fl_class", "__fl_share")
+    keyed = rows.filter(F.col(key).isNotNull()).withColumn("__fl_class", F.col(key))
+    return join_counted(keyed, counts, "__fl_class", "inner").filter(draw < F.col("__fl_share")).drop("__fl_class", "__fl_share")
 
 
 def crc_remainder(divisor: int) -> Column:

@@ -1,16 +1,18 @@
 """Quality classifier by co-training.
 
-Two views of a document: its *content* (hashed words and word shapes of the whole text) and its
-*page metadata* (host, language, and the layout of the page: sizes, lines, repeated lines, shares of
-capitals, digits and symbols). A logistic classifier of each view starts from labelled documents;
-then, for ROUNDS rounds, each picks the unlabelled documents it is surest of and hands them, with its
-pseudo-labels, to the other. The two calibrated views are combined by a logistic regression on
-labelled documents held back from both, and every document is scored in one pass.
-
-Labelled and unlabelled documents for fitting are bounded samples (LABELLED per class, POOL); all
-documents are scored, whole texts.
-
-Defined results: null texts are empty texts; a null host or language is a value of its own; without
+Two views of a document: its *content* (hashed words, word shapes and the layout of the whole text) and
+its *page metadata* (host, language and size, from the columns source, lang and n_chars). A logistic
+classifier of each view starts from labelled documents. Then, for ROUNDS rounds, every unlabelled document
+is scored by both views, each view picks the HANDED documents it is surest of, and hands them, with its
+pseudo-labels, to the other view alone; a view never learns from what it picked itself. The views are
+calibrated on one half of labelled documents held back from both and combined by a logistic regression on
+the other half, and every document is scored in one pass.
+
+Labelled documents for fitting are a bounded sample (LABELLED per class); the unlabelled documents that are
+scored and searched for the surest are all of them, in Spark, and only those picked reach the driver.
+
+Defined results: null texts are empty texts; a null host, language or size is a value of its own (so is a
+column that is not there); without
 labels of both classes every score is 0.5; several labels of one doc_id count as good only if all
 are; labels that are null or lack a document are ignored. A document is kept if its score is KEEP or
 more.
@@ -18,6 +20,7 @@ more.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from .models import Bags, bounded, dense_logistic, logistic, sigmoid
 from .quality_rules import measure
+from .shared import join_counted, settle
 from .textops import IS_SPACE, Text, mix, slices
 
-LABELLED, POOL = 1500, 6000
-ROUNDS = 5
+LABELLED = 1500
+ROUNDS = 3
 #: Pseudo-labels that each view hands over per round, and the least confidence for them.
 HANDED, SURE = 200, 0.95
 KEEP = 0.5
@@ -75,32 +79,40 @@ def layout(column: pa.Array) -> np.ndarray:
 N_LAYOUT = 10
 
 
-def _host_cells(hosts: list, langs: list) -> np.ndarray:
-    return np.array([[zlib.crc32(repr(("host", h)).encode()) % HOSTS, zlib.crc32(repr(("lang", x)).encode()) % HOSTS] for h, x in zip(hosts, langs)], np.int64).reshape(-1, 2)
+def _meta_cells(hosts: list, langs: list, sizes: list) -> np.ndarray:
+    cell = lambda kind, x: zlib.crc32(repr((kind, x)).encode()) % HOSTS
+    grade = lambda n: None if n is None else int(2 * math.log2(max(n, 0) + 1))
+    return np.array([[cell("host", h), cell("lang", x), cell("size", grade(n))] for h, x, n in zip(hosts, langs, sizes)], np.int64).reshape(-1, 3)
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the metadata (null where a column is not there)."""
+    have = lambda c, kind: (F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)).alias(c)
+    return docs.select("doc_id", "text", have("source", "string"), have("lang", "string"), have("n_chars", "long"))
 
 
 class CoTrained:
     """Weights of both views and of their combination."""
 
     def __init__(self):
-        self.words, self.words_b = np.zeros(WORDS), 0.0
-        self.meta, self.meta_b = np.zeros(HOSTS + N_LAYOUT * 2), 0.0
+        self.words, self.words_b = np.zeros(WORDS + 2 * N_LAYOUT), 0.0
+        self.meta, self.meta_b = np.zeros(HOSTS), 0.0
         self.mean, self.scale = np.zeros(N_LAYOUT), np.ones(N_LAYOUT)
         self.text_fit = self.meta_fit = np.array([1.0, 0.0])
         self.both = np.array([1.0, 1.0, 0.0])
 
     def content(self, column: pa.Array) -> np.ndarray:
         words = Text(column).segments(IS_SPACE)
+        x = (layout(column) - self.mean) / self.scale
+        out = np.concatenate([x, x * x], axis=1) @ self.words[WORDS:] + self.words_b
         n, row = words.counts(), words.rows()
-        if not len(row):
-            return np.full(len(column), self.words_b)
-        cells = _word_cells(words)
-        return np.bincount(row, self.words[cells[0]] + self.words[cells[1]], minlength=len(n)) / np.maximum(n, 1) + self.words_b
+        if len(row):
+            cells = _word_cells(words)
+            out += np.bincount(row, self.words[cells[0]] + self.words[cells[1]], minlength=len(n)) / np.maximum(n, 1)
+        return out
 
-    def metadata(self, column: pa.Array, hosts: list, langs: list) -> np.ndarray:
-        x = (layout(column) - self.mean) / self.scale
-        cells = _host_cells(hosts, langs)
-        return self.meta[cells].sum(axis=1) + np.concatenate([x, x * x], axis=1) @ self.meta[HOSTS:] + self.meta_b
+    def metadata(self, hosts: list, langs: list, sizes: list) -> np.ndarray:
+        return self.meta[_meta_cells(hosts, langs, sizes)].sum(axis=1) + self.meta_b
 
     def combined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated views and the final score."""
@@ -108,68 +120,52 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(np.clip(a, -10, 10) * self.both[0] + np.clip(b, -10, 10) * self.both[1] + self.both[2])
 
 
-def fit(rows: list[dict], share: float) -> CoTrained:
-    """``rows``: label (1, 0 or None), words (cells, counts), layout, cells of host and language."""
-    model = CoTrained()
-    marked = [r for r in rows if r["label"] is not None]
-    pool = [r for r in rows if r["label"] is None]
-    if len({r["label"] for r in marked}) < 2:
-        model.both = np.zeros(3)
-        return model
-    held, train = marked[::4], [r for k, r in enumerate(marked) if k % 4]
-    x = np.array([r["layout"] for r in train])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+class Learner:
+    """The driver's side of co-training: features of the labelled sample and of handed documents. A row has
+    cells, counts, layout and meta (cells of the metadata)."""
 
-    def content_bags(part):
-        return Bags([(np.asarray(r["cells"]), np.asarray(r["counts"], float) / max(1, sum(r["counts"]) / 2)) for r in part])
+    def __init__(self, rows: list[dict], share: float):
+        self.model, self.share = CoTrained(), share
+        self.held, self.rows = rows[::4], [r for k, r in enumerate(rows) if k % 4]
+        x = np.array([r["layout"] for r in self.rows])
+        self.model.mean, self.model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+        self.handed: list[list[tuple[dict, float]]] = [[], []]  # what each view has been given
 
-    def meta_bags(part):
+    def _bags(self, view: int, part: list[dict]) -> Bags:
+        if view:
+            return Bags([(np.asarray(r["meta"]), np.ones(len(r["meta"]))) for r in part])
         out = []
         for r in part:
-            z = (np.array(r["layout"]) - model.mean) / model.scale
-            out.append((np.concatenate([r["hosts"], HOSTS + np.arange(2 * N_LAYOUT)]), np.concatenate([[1.0, 1.0], z, z * z])))
+            z = (np.array(r["layout"]) - self.model.mean) / self.model.scale
+            words = np.asarray(r["counts"], float) / max(1, sum(r["counts"]) / 2)
+            out.append((np.concatenate([r["cells"], WORDS + np.arange(2 * N_LAYOUT)]), np.concatenate([words, z, z * z])))
         return Bags(out)
 
-    both = train + pool
-    views = [content_bags(both), meta_bags(both)]
-    sizes = [WORDS, HOSTS + 2 * N_LAYOUT]
-    n = len(train)
-    y = np.concatenate([[r["label"] for r in train], np.zeros(len(pool))]).astype(float)
-    weight = np.concatenate([np.ones(n), np.zeros(len(pool))])
-    fitted = [None, None]
-    for turn in range(ROUNDS + 1):
-        scores = []
-        for k in range(2):
-            fitted[k] = logistic(views[k], y, sizes[k], weight, steps=100 if turn in (0, ROUNDS) else 40, decay=1e-5 if k == 0 else 1e-4)
-            scores.append(sigmoid(views[k].dot(fitted[k][0]) + fitted[k][1]))
-        if turn == ROUNDS or not pool:
-            break
-        for p in scores:  # each view's surest pool documents, in the classes' proportion
-            free = n + np.flatnonzero(weight[n:] == 0)
-            for label, most, conf in ((1.0, int(HANDED * share), p), (0.0, HANDED - int(HANDED * share), 1 - p)):
-                sure = free[conf[free] >= SURE]
-                pick = sure[np.argsort(-conf[sure], kind="stable")[:most]]
-                y[pick], weight[pick] = label, 0.5
-    (model.words, model.words_b), (model.meta, model.meta_b) = fitted
-    truth = np.array([r["label"] for r in held], float)
-    a = content_bags(held).dot(model.words) + model.words_b
-    b = meta_bags(held).dot(model.meta) + model.meta_b
-    model.text_fit, model.meta_fit = dense_logistic(a[:, None], truth, 0.1), dense_logistic(b[:, None], truth, 0.1)
-    a, b = model.text_fit[0] * a + model.text_fit[1], model.meta_fit[0] * b + model.meta_fit[1]
-    model.both = dense_logistic(np.column_stack([np.clip(a, -10, 10), np.clip(b, -10, 10)]), truth, 0.1)
-    balance = truth.mean()
-    model.both[-1] += np.log(share / (1 - share)) - np.log(balance / (1 - balance))
-    return model
+    def fit(self, view: int, steps: int) -> None:
+        """Learn a view from the labels and from what the other view handed over."""
+        part = self.rows + [r for r, _ in self.handed[view]]
+        y = np.array([r["label"] for r in self.rows] + [v for _, v in self.handed[view]], float)
+        weight = np.concatenate([np.ones(len(self.rows)), np.full(len(self.handed[view]), 0.5)])
+        w, b = logistic(self._bags(view, part), y, (WORDS + 2 * N_LAYOUT, HOSTS)[view], weight, steps=steps, decay=(1e-5, 1e-4)[view])
+        if view:
+            self.model.meta, self.model.meta_b = w, b
+        else:
+            self.model.words, self.model.words_b = w, b
+
+    def finish(self) -> CoTrained:
+        model, truth = self.model, np.array([r["label"] for r in self.held], float)
+        a = self._bags(0, self.held).dot(model.words) + model.words_b
+        b = self._bags(1, self.held).dot(model.meta) + model.meta_b
+        model.text_fit, model.meta_fit = (dense_logistic(x[::2, None], truth[::2], 0.1) for x in (a, b))
+        a, b = model.text_fit[0] * a + model.text_fit[1], model.meta_fit[0] * b + model.meta_fit[1]
+        model.both = dense_logistic(np.column_stack([np.clip(a, -10, 10), np.clip(b, -10, 10)])[1::2], truth[1::2], 0.1)
+        balance = np.clip(truth.mean(), 0.01, 0.99)
+        model.both[-1] += np.log(self.share / (1 - self.share)) - np.log(balance / (1 - balance))
+        return model
 
 
-def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
-    """Learn from ``labels`` (doc_id, quality) and a pool of further documents."""
-    marked = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
-    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    picked = bounded(marked, "label", LABELLED, 21)
-    total = sum(counts.values())
-    source = docs.select("doc_id", "text", "source", "lang")
-    pool = bounded(source.filter("doc_id IS NOT NULL").select("doc_id", F.lit(1).alias("one")), "one", POOL, 22).select("doc_id").distinct()
+def _features(docs: DataFrame, wanted: DataFrame) -> list[dict]:
+    """Features of the documents that ``wanted`` (doc_id, label) lists, in an order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -178,26 +174,60 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
             cells = _word_cells(words) if len(row) else np.zeros((2, 0), np.int64)
             both, count = np.unique(np.concatenate([row, row]) * WORDS + cells.reshape(-1), return_counts=True)
             ptr = pa.array(np.searchsorted(both // WORDS, np.arange(batch.num_rows + 1)), pa.int32())
-            hosts = _host_cells(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            meta = _meta_cells(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
             fixed = lambda a, k: pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(a.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(4), pa.ListArray.from_arrays(ptr, pa.array(both % WORDS, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int32())), fixed(layout(batch.column(1)), N_LAYOUT), fixed(hosts, 2)],
-                ["doc_id", "label", "cells", "counts", "layout", "hosts"],
+                [batch.column(0), batch.column(5), pa.ListArray.from_arrays(ptr, pa.array(both % WORDS, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int32())), fixed(layout(batch.column(1)), N_LAYOUT), fixed(meta, 3)],
+                ["doc_id", "label", "cells", "counts", "layout", "meta"],
             )
 
-    wanted = picked.join(pool.withColumn("in_pool", F.lit(True)), "doc_id", "full").select("doc_id", "label")
-    # labelled documents that were not drawn stay out of the pool
-    wanted = wanted.join(F.broadcast(marked.join(pool, "doc_id").select("doc_id", F.lit(True).alias("has_label"))), "doc_id", "left").filter("label IS NOT NULL OR has_label IS NULL").select("doc_id", "label")
     found = (
-        source.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "source", "lang", "label")
-        .mapInArrow(run, "doc_id long, label int, cells array<int>, counts array<int>, layout array<double>, hosts array<long>").toArrow()
+        _source(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "label")
+        .mapInArrow(run, "doc_id long, label int, cells array<int>, counts array<int>, layout array<double>, meta array<long>").toArrow().combine_chunks()
     )
-    ids = np.array(found.column(0).to_pylist(), np.int64)
-    order = np.argsort(mix(ids.astype(np.uint64)), kind="stable")
-    found = found.combine_chunks()
+    order = np.argsort(mix(np.array(found.column(0).to_pylist(), np.int64).astype(np.uint64)), kind="stable")
     columns = {c: found.column(c).combine_chunks() if isinstance(found.column(c), pa.ChunkedArray) else found.column(c) for c in found.column_names}
-    rows = [{"label": columns["label"][int(k)].as_py(), **{c: columns[c][int(k)].values.to_numpy() for c in ("cells", "counts", "layout", "hosts")}} for k in order]
-    return fit(rows, min(0.99, max(0.01, counts.get(1, 0) / max(1, total))))
+    return [{"label": columns["label"][int(k)].as_py(), **{c: columns[c][int(k)].values.to_numpy() for c in ("cells", "counts", "layout", "meta")}} for k in order]
+
+
+def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
+    """Learn from ``labels`` (doc_id, quality) and from all documents without a label."""
+    marked = settle(labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")))
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    rows = _features(docs, bounded(marked, "label", LABELLED, 21))
+    if len({r["label"] for k, r in enumerate(rows) if k % 4}) < 2:
+        model = CoTrained()
+        model.both = np.zeros(3)
+        return model
+    learner = Learner(rows, min(0.99, max(0.01, counts.get(1, 0) / sum(counts.values()))))
+    taken = marked.select("doc_id")
+    good = max(1, int(HANDED * learner.share))
+    for turn in range(ROUNDS + 1):
+        for view in range(2):
+            learner.fit(view, 100 if turn in (0, ROUNDS) else 40)
+        if turn == ROUNDS:
+            return learner.finish()
+        sure = settle(join_counted(_views(docs, learner.model).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), taken, "doc_id", "left_anti"))
+        picks = []
+        for view, p in enumerate(("p_content", "p_metadata")):
+            for label, most, conf in ((1, good, F.col(p)), (0, max(1, HANDED - good), 1 - F.col(p))):
+                picks.append(sure.filter(conf >= SURE).orderBy(conf.desc(), F.xxhash64("doc_id")).limit(most).select("doc_id", F.lit(label + 2 * view).alias("label")))
+        handed = settle(picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]))
+        for r in _features(docs, handed):
+            learner.handed[1 - r["label"] // 2].append((r, float(r["label"] % 2)))
+        taken = settle(taken.union(handed.select("doc_id")).distinct())
+
+
+def _views(docs: DataFrame, model: CoTrained) -> DataFrame:
+    """doc_id, p_content, p_metadata by the views as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            a, b = shared.value.content(batch.column(1)), shared.value.metadata(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(a)), pa.array(sigmoid(b))], ["doc_id", "p_content", "p_metadata"])
+
+    return _source(docs).mapInArrow(run, "doc_id long, p_content double, p_metadata double")
 
 
 def score(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
@@ -207,7 +237,7 @@ def score(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in slices(batches):
-            a, b, s = own.combined(own.content(batch.column(1)), own.metadata(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            a, b, s = own.combined(own.content(batch.column(1)), own.metadata(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(s), pa.array(s >= keep)], ["doc_id", "p_content", "p_metadata", "score", "kept"])
 
-    return docs.select("doc_id", "text", "source", "lang").mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, kept boolean")
+    return _source(docs).mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, kept boolean")
