@@ -5,8 +5,10 @@ method adds spans: wider patterns propose candidates (also of secrets and identi
 labelers vote on each - shape, validity, a gazetteer of cue words before it, its surroundings, and the
 mix of its characters. Expectation-maximisation over the vote patterns of all documents (counted in
 Spark: at most a few thousand patterns) estimates how reliable each labeler is per kind, without
-labels; its posteriors train the final span classifier, a logistic regression on votes and context of
-a bounded sample of candidates (SAMPLE). Candidates that it accepts and that touch no base span are
+labels; its posteriors train the final span classifier, a logistic regression on votes and context.
+Candidates of equal kind, votes and context are one row, weighted by their number, and of each kind at most
+about SAMPLE such rows are drawn, by a hash of the row itself, so the model does not depend on how the
+table is partitioned. Candidates that it accepts and that touch no base span are
 added.
 
 Offsets are code points, ends exclusive. Matching is linear in the length of a text. Null and empty
@@ -32,7 +34,8 @@ from .textops import slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "id_number")
-SAMPLE = 20_000
+#: Different (kind, votes, context) rows of each kind that the span classifier learns from.
+SAMPLE = 4_000
 EM_ROUNDS = 50
 #: Votes of the labelers: abstain, yes, no.
 LABELERS = ("shape", "validity", "gazetteer", "surroundings", "mix")
@@ -52,13 +55,14 @@ _WIDE = {
     "secret": re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[ ]?[:=][ ]?[\"']?[A-Za-z0-9+/_.-]{8,200}"),
     "id_number": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])|\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b"),
 }
+#: Cue words in English, German, French and Spanish.
 _CUES = {
-    "email": ("mail", "contact", "reach", "write"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "contact"),
-    "secret": ("password", "passwd", "pwd", "secret", "token", "key"),
-    "id_number": ("ssn", "social", "iban", "account", "passport", "id"),
+    "email": ("mail", "contact", "reach", "write", "kontakt", "schreib", "courriel", "écri", "correo", "escrib"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "contact", "cell", "dial", "telefon", "anruf", "rufnummer", "handy", "kontakt", "tél", "appel", "portable", "móvil", "llam", "celular"),
+    "secret": ("password", "passwd", "pwd", "secret", "token", "key", "credential", "passwort", "kennwort", "schlüssel", "geheim", "mot de passe", "clé", "contraseña", "clave"),
+    "id_number": ("ssn", "social", "iban", "account", "passport", "id", "tax", "konto", "ausweis", "steuer", "compte", "sécurité", "carte", "cuenta", "documento", "pasaporte"),
 }
-_DUMMY = ("example", "changeme", "xxxx", "your_", "placeholder")
+_DUMMY = ("example", "changeme", "xxxx", "your_", "placeholder", "dummy", "sample", "redacted", "beispiel", "exemple", "ejemplo", "<", "****")
 
 
 def _luhn(digits: str) -> bool:
@@ -199,12 +203,14 @@ def train(docs: DataFrame) -> SpanModel:
     if not patterns:
         return SpanModel(None)
     belief = expectation_maximisation(patterns)
-    share = min(1.0, SAMPLE / sum(p[2] for p in patterns))
-    rows = found.filter(F.pmod(F.xxhash64("kind", "votes", "cells", F.monotonically_increasing_id()), F.lit(1_000_003)) < share * 1_000_003).collect()
+    alike = settle(found.groupBy("kind", "votes", "cells").agg(F.count("*").alias("n")))
+    kinds = {r["kind"]: r["count"] for r in alike.groupBy("kind").count().collect()}
+    share = F.coalesce(*[F.when(F.col("kind") == k, F.lit(min(1.0, SAMPLE / n))) for k, n in kinds.items()])
+    rows = alike.filter(F.pmod(F.xxhash64("kind", "votes", "cells"), F.lit(1_000_003)) < share * 1_000_003).collect()
     rows.sort(key=lambda r: (r["kind"], r["votes"], r["cells"]))
     bags = Bags([(np.array(r["cells"]), np.ones(len(r["cells"]))) for r in rows])
     y = np.array([belief[r["kind"], tuple(r["votes"])] for r in rows])
-    return SpanModel(*logistic(bags, y, CELLS, steps=120))
+    return SpanModel(*logistic(bags, y, CELLS, np.array([r["n"] for r in rows], float), steps=120))
 
 
 def find_pii(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
