@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -26,47 +28,48 @@ def wilson(successes: Column, trials: Column, z: float = Z95) -> tuple[Column, C
 
 
 def student_t_upper(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(T > t) of Student's distribution, by the continued fraction of the incomplete beta function."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    out = np.empty(t.shape)
-    for k, (a, d) in enumerate(zip(t.ravel(), df.ravel())):
-        out.ravel()[k] = _upper(a, d)
+    """P(T > t) of Student's distribution, by the continued fraction of the incomplete beta function, for
+    whole arrays at once; 1 where t is not a number or there are no degrees of freedom."""
+    t, df = np.broadcast_arrays(np.asarray(t, float), np.asarray(df, float))
+    out = np.ones(t.shape)
+    out[np.isposinf(t) & (df > 0)] = 0.0
+    fine = np.isfinite(t) & (df > 0)
+    if fine.any():
+        a, d = t[fine], df[fine]
+        tail = 0.5 * regularised_beta(d / (d + a * a), d / 2, 0.5)
+        out[fine] = np.where(a >= 0, tail, 1 - tail)
     return out
 
 
-def _upper(t: float, df: float) -> float:
-    if math.isnan(t) or df <= 0:
-        return 1.0
-    if math.isinf(t):
-        return 0.0 if t > 0 else 1.0
-    tail = 0.5 * regularised_beta(df / (df + t * t), df / 2, 0.5)
-    return tail if t >= 0 else 1 - tail
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
 
 
-def regularised_beta(x: float, a: float, b: float) -> float:
-    """I_x(a, b)."""
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - regularised_beta(1 - x, b, a)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    return front * _fraction(x, a, b)
+def regularised_beta(x, a, b):
+    """I_x(a, b), of numbers or arrays."""
+    shape = np.broadcast(x, a, b).shape
+    x, a, b = (np.array(np.broadcast_to(v, shape), float).reshape(-1) for v in (x, a, b))
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    inner = np.clip(x, 1e-300, 1 - 1e-16)
+    log_front = _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inner) + b * np.log1p(-inner)
+    value = np.exp(log_front) / a * _fraction(inner, a, b)
+    value = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, value))
+    value = np.where(swap, 1 - value, value).reshape(shape)
+    return float(value) if shape == () else value
 
 
-def _fraction(x: float, a: float, b: float) -> float:
+def _fraction(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Modified Lentz evaluation of the beta continued fraction."""
     tiny = 1e-300
-    c, d = 1.0, 1 - (a + b) * x / (a + 1)
-    d = 1 / (d if abs(d) > tiny else tiny)
-    f = d
+    safe = lambda v: np.where(np.abs(v) > tiny, v, tiny)
+    c, d = np.ones(len(x)), 1 / safe(1 - (a + b) * x / (a + 1))
+    f = d.copy()
     for m in range(1, 400):
         for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + step * d
-            d = 1 / (d if abs(d) > tiny else tiny)
-            c = 1 + step / c
-            c = c if abs(c) > tiny else tiny
+            d = 1 / safe(1 + step * d)
+            c = safe(1 + step / c)
             f *= c * d
-        if abs(c * d - 1) < 1e-15:
+        if np.all(np.abs(c * d - 1) < 1e-15):
             break
     return f
 
@@ -120,33 +123,79 @@ def bonferroni(p: Column, n: Column | int) -> Column:
 
 
 def guarded_corr(x: Column, y: Column) -> Column:
-    """Pearson correlation over rows where both are known; null below two rows or without spread."""
-    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).cast("double")
-    cov = n * F.sum(a * b) - F.sum(a) * F.sum(b)
-    va, vb = n * F.sum(a * a) - F.sum(a) * F.sum(a), n * F.sum(b * b) - F.sum(b) * F.sum(b)
-    return F.when((n >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
-
-
-def poisson_bootstrap(df: DataFrame, value: str, draws: int = 2000, seed: int = 42, level: float = 0.95, by: list[str] | None = None) -> DataFrame:
-    """Percentile interval of the mean by a Poisson bootstrap: each row counts Poisson(1) times in each
-    draw, from a hash of the row's place and the draw, so draws are sums that Spark adds up map-side."""
-    by = by or []
-    u = (F.pmod(F.xxhash64(F.col("__row"), F.col("__draw"), F.lit(seed)), F.lit(1_000_003)) + 0.5) / 1_000_003.0
-    #: cumulative Poisson(1) probabilities
-    cdf, total, term = [], 0.0, math.exp(-1)
-    for k in range(8):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    times = F.lit(8)
-    for k in reversed(range(8)):
-        times = F.when(F.col("__u") < cdf[k], k).otherwise(times)
-    drawn = (
-        df.select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(*df.columns).alias("__row"))
-        .withColumn("__draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-        .withColumn("__u", u).withColumn("__w", times)
-        .groupBy(*by, "__draw").agg((F.sum(F.col("__w") * F.col("__v")) / F.nullif(F.sum("__w"), F.lit(0))).alias("__mean"))
-    )
+    """Pearson correlation over rows where both are known; null below two rows or without spread. The
+    aggregate updates centred moments, so large values keep their digits."""
+    a, b = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    known = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
+    return F.when((known >= 2) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), F.nanvl(F.corr(a, b), F.lit(None).cast("double")))
+
+
+def normal_quantile(p: float) -> float:
+    """The value that a standard normal variable stays below with probability p."""
+    if not 0 < p < 1:
+        return math.nan if not 0 <= p <= 1 else math.copysign(math.inf, p - 0.5)
+    return NormalDist().inv_cdf(p)
+
+
+def gaussians(uniform: Iterator[float]) -> Iterator[float]:
+    """Standard normal values from uniform ones, in pairs by the polar method."""
+    while True:
+        a, b = 2 * next(uniform) - 1, 2 * next(uniform) - 1
+        r = a * a + b * b
+        if 0 < r < 1:
+            scale = math.sqrt(-2 * math.log(r) / r)
+            yield a * scale
+            yield b * scale
+
+
+def _poisson(draws: int, seed: int, key: np.ndarray) -> np.ndarray:
+    """Poisson(1) counts (rows x draws) from a hash of row and draw."""
+    with np.errstate(over="ignore"):
+        z = key.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(0x2545F491)) * np.uint64(0xD1B54A32D192ED03)
+        z = (z ^ (z >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        u = ((z ^ (z >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+    return np.searchsorted(steps, u).astype(np.float64)
+
+
+#: Statistics of a bootstrap: parts of a row that are added up, and what follows from the sums.
+STATISTICS = {
+    "mean": (lambda v: [np.ones(len(v)), v], lambda n, s: s / n),
+    "profit_factor": (lambda v: [np.maximum(-v, 0), np.maximum(v, 0)], lambda loss, gain: gain / loss),
+    "win_rate": (lambda v: [(v != 0).astype(float), (v > 0).astype(float)], lambda n, s: s / n),
+}
+
+
+def poisson_bootstrap(df: DataFrame, value: str, key: list[str], draws: int = 2000, seed: int = 42, level: float = 0.95, by: list[str] | None = None, statistic: str = "mean") -> DataFrame:
+    """Percentile interval of a statistic by a Poisson bootstrap: each row counts Poisson(1) times in each
+    draw, by a hash of its ``key`` and the draw. A task adds up its rows into one array of ``draws`` sums for
+    each group, and only these arrays are shuffled. Draws in which the statistic is undefined do not count."""
+    by = by or ["__all"]
+    rows = df.withColumn("__all", F.lit(1)) if by == ["__all"] else df
+    rows = rows.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"), F.xxhash64(*key).alias("__k"))
+    parts, finish = STATISTICS[statistic]
+    kinds = [T.StructField(c, rows.schema[c].dataType) for c in by]
+    sums = T.StructType([*kinds, T.StructField("__draw", T.IntegerType()), T.StructField("__a", T.DoubleType()), T.StructField("__b", T.DoubleType())])
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for frame in frames:
+            for group, part in frame.groupby(by, dropna=False, sort=False):
+                own = total.setdefault(group, np.zeros((2, draws)))
+                for k in range(0, len(part), 1024):
+                    piece = part.iloc[k : k + 1024]
+                    own += np.stack(parts(piece["__v"].to_numpy(float))) @ _poisson(draws, seed, piece["__k"].to_numpy().view(np.uint64))
+        for group, (a, b) in total.items():
+            yield pd.DataFrame({**{c: [g] * draws for c, g in zip(by, group)}, "__draw": np.arange(draws, dtype=np.int32), "__a": a, "__b": b})
+
+    @F.pandas_udf(T.DoubleType())
+    def finished(a: pd.Series, b: pd.Series) -> pd.Series:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return pd.Series(finish(a.to_numpy(float), b.to_numpy(float))).replace([np.inf, -np.inf], np.nan)
+
+    drawn = rows.mapInPandas(add, sums).groupBy(*by, "__draw").agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b"))
+    drawn = drawn.select(*by, F.nanvl(finished("__a", "__b"), F.lit(None).cast("double")).alias("__s"))
     tail = (1 - level) / 2
-    return drawn.groupBy(*by).agg(F.percentile("__mean", F.lit(tail)).alias("lower"), F.percentile("__mean", F.lit(1 - tail)).alias("upper"))
+    out = drawn.groupBy(*by).agg(F.percentile("__s", F.lit(tail)).alias("lower"), F.percentile("__s", F.lit(1 - tail)).alias("upper"))
+    return out.drop("__all")

@@ -51,6 +51,7 @@ class Variable:
     binning: Binning = field(default_factory=Binning)
     label: str = ""
     unit: str = ""
+    produced_by: str = ""
 
     @property
     def categorical(self) -> bool:

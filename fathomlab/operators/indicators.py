@@ -106,3 +106,14 @@ def ema(df: DataFrame, n: int, value: str = "close", name: str | None = None) ->
 def atr(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
     """Wilder's average true range: weight 1 / n."""
     return recurrence(df.withColumn("__tr", true_range()), "__tr", name or f"atr{n}", n, 1 / n).drop("__tr")
+
+
+def buffered(bars: DataFrame, value: str, size: int) -> DataFrame:
+    """``bars`` with ``buffer``: the last ``size`` values up to this bar, oldest first."""
+    w = Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(1 - size, Window.currentRow)
+    return bars.withColumn("buffer", F.collect_list(F.struct("ts", value)).over(w)).withColumn("buffer", F.transform(F.sort_array("buffer"), lambda x: x[value]))
+
+
+def back(buffer: str, n: int) -> Column:
+    """The value ``n`` bars back (0: this bar), null while there are not so many."""
+    return F.when(F.size(buffer) > n, F.element_at(buffer, -1 - n))

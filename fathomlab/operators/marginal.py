@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.stats import benjamini_hochberg, guarded_corr
@@ -46,6 +48,26 @@ def edges_of(df: DataFrame, variables: list[Variable], registry: Registry) -> di
     return out
 
 
+def distinct_values(df: DataFrame, keys: list[str], registry: Registry, limit: int = MAX_CATEGORIES) -> DataFrame:
+    """variable, values: its distinct values in order, or null if there are more than ``limit``. A sketch of
+    fixed size settles which variables have few; only those are listed."""
+    counted = df.agg(*(F.approx_count_distinct(registry.column(k), 0.02).alias(f"n{i}") for i, k in enumerate(keys))).first()
+    few = [k for i, k in enumerate(keys) if counted[i] <= 2 * limit]
+    lists = [F.slice(F.sort_array(F.collect_set(registry.column(k))), 1, limit + 1) for k in few]
+    pairs = [F.struct(F.lit(k).alias("variable"), F.when(F.size(x) <= limit, x).alias("values")) for k, x in zip(few, lists)]
+    pairs += [F.struct(F.lit(k).alias("variable"), F.lit(None).cast("array<double>").alias("values")) for k in keys if k not in few]
+    return df.agg(F.array(*pairs).alias("__p")).select(F.explode("__p").alias("__p")).select("__p.*")
+
+
+def analyze_variable(df: DataFrame, key: str, registry: Registry, pnl: str = "pnl_cents") -> DataFrame:
+    """Buckets of one variable. A category with more than MAX_CATEGORIES values, or without any, is cut into
+    ranges like a continuous variable."""
+    v = registry[key]
+    if v.categorical and distinct_values(df, [key], registry).filter("values IS NULL OR size(values) = 0").count():
+        registry = Registry({**registry, key: replace(v, value_type="continuous")})
+    return buckets(df, [key], registry, pnl)
+
+
 def bucket(c: Column, edges: list[float] | None) -> Column:
     """Number of the range [e_k, e_k+1) that holds a value; the value itself if it is a category."""
     if edges is None:

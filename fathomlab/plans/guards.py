@@ -28,8 +28,8 @@ class Registry(dict[str, Variable]):
     def predictors(self) -> list[str]:
         return sorted(k for k, v in self.items() if v.causality == "predictor")
 
-    def listed(self, causality: str | None = None) -> list[Variable]:
-        return [self[k] for k in sorted(self) if causality in (None, self[k].causality)]
+    def listed(self, causality: str | None = None, produced_by: str | None = None) -> list[Variable]:
+        return [v for _, v in sorted(self.items()) if causality in (None, v.causality) and produced_by in (None, v.produced_by)]
 
     def column(self, key: str) -> Column:
         """The column that holds a variable, as a double (NaN is null)."""

@@ -219,24 +219,27 @@ def describe(p: Predicate, labels: Mapping[str, str] | None = None, words: Mappi
 #: Stand-ins for infinite bounds in JSON (fixed values).
 _INFINITE = {math.inf: "__Infinity__", -math.inf: "__-Infinity__"}
 _BACK = {v: k for k, v in _INFINITE.items()}
+#: Operators as they are stored (fixed values).
+STORED = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "==", "neq": "!="}
+_OPERATOR = {v: k for k, v in STORED.items()}
 
 
 def to_json(p: Predicate) -> str:
     def plain(x: Predicate) -> dict:
         bound = lambda v: _INFINITE.get(v, v)
         if isinstance(x, Always):
-            return {"kind": "always"}
+            return {"type": "always"}
         if isinstance(x, Compare):
-            return {"kind": "compare", "variable": x.variable, "op": x.op, "value": x.value}
+            return {"type": "compare", "variable": x.variable, "op": STORED[x.op], "value": x.value}
         if isinstance(x, Between):
-            return {"kind": "between", "variable": x.variable, "min": bound(x.low), "max": bound(x.high), "inclusiveMax": x.inclusive}
+            return {"type": "between", "variable": x.variable, "min": bound(x.low), "max": bound(x.high), "inclusiveMax": x.inclusive}
         if isinstance(x, In):
-            return {"kind": "in", "variable": x.variable, "values": list(x.values)}
+            return {"type": "in", "variable": x.variable, "values": list(x.values)}
         if isinstance(x, IsNull):
-            return {"kind": "isNull", "variable": x.variable}
+            return {"type": "isNull", "variable": x.variable}
         if isinstance(x, Not):
-            return {"kind": "not", "operand": plain(x.part)}
-        return {"kind": "and" if isinstance(x, And) else "or", "operands": [plain(y) for y in x.parts]}
+            return {"type": "not", "operand": plain(x.part)}
+        return {"type": "and" if isinstance(x, And) else "or", "operands": [plain(y) for y in x.parts]}
 
     return json.dumps(plain(p), ensure_ascii=False)
 
@@ -252,7 +255,7 @@ def from_json(text: str) -> Predicate:
     def build(x) -> Predicate:
         if not isinstance(x, dict):
             raise ValidationError("a predicate is an object")
-        kind = x.get("kind")
+        kind = x.get("type")
         if kind == "always":
             return Always()
         if kind in ("and", "or"):
@@ -266,9 +269,9 @@ def from_json(text: str) -> Predicate:
         if not isinstance(variable, str) or not variable:
             raise ValidationError("a variable is missing")
         if kind == "compare":
-            if x.get("op") not in OPERATORS:
+            if x.get("op") not in _OPERATOR:
                 raise ValidationError(f"unknown operator {x.get('op')!r}")
-            return Compare(variable, x["op"], finite(x.get("value")))
+            return Compare(variable, _OPERATOR[x["op"]], finite(x.get("value")))
         if kind == "between":
             low, high = (_BACK[v] if isinstance(v, str) and v in _BACK else finite(v) for v in (x.get("min"), x.get("max")))
             return Between(variable, low, high, bool(x.get("inclusiveMax", False)))
@@ -278,7 +281,7 @@ def from_json(text: str) -> Predicate:
             return In(variable, tuple(map(finite, x["values"])))
         if kind == "isNull":
             return IsNull(variable)
-        raise ValidationError(f"unknown kind {kind!r}")
+        raise ValidationError(f"unknown type {kind!r}")
 
     try:
         return build(json.loads(text))

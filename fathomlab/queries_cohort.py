@@ -379,7 +379,7 @@ def bootstrap(spark, sf_dir) -> DataFrame:
     from .functions.stats import poisson_bootstrap
 
     d = in_split(observations(spark, sf_dir), TRAIN).select("rule_id", "id", "pnl_cents")
-    return poisson_bootstrap(d, "pnl_cents", draws=200, by=["rule_id"])
+    return poisson_bootstrap(d, "pnl_cents", ["id"], by=["rule_id"])
 
 
 @query("walk_forward", f"""WITH {OBS_SQL}, f AS (SELECT k, TIMESTAMP '1995-01-01' + to_months(CAST(6 * k AS INT)) AS a, TIMESTAMP '1995-01-01' + to_months(CAST(6 * k + 24 AS INT)) AS b, TIMESTAMP '1995-01-01' + to_months(CAST(6 * k + 30 AS INT)) AS c FROM range(0, 8) t(k))

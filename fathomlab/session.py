@@ -13,14 +13,21 @@ def session(master: str | None = None, name: str = "fathomlab") -> SparkSession:
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and cut its lineage, in the folder that the cluster shares
-    (``spark.checkpoint.dir``; a temporary one where it is unset, as on a single machine)."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary
+    one on a single machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="fathomlab-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Run ``df`` once and cut its lineage, in the folder that the cluster shares."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.calendar import local, parse_naive, to_utc, zone
-from ..model import BAR_KEY
+from ..model import BAR_KEY, BAR_SCHEMA
 
 #: Header names that are understood (fixed values), without angle brackets, spaces and underscores.
 ALIASES = {
@@ -53,7 +53,26 @@ def number(text: Column) -> Column:
 @dataclass
 class BarRead:
     good: DataFrame
-    bad: DataFrame  # line, error
+    bad: DataFrame  # file, number (from 1), line, error
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 1 in each file), line of text files. Lines are numbered inside the pieces that tasks
+    read; only how many lines each piece has is gathered."""
+    low = F.lit((1 << 33) - 1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("line"))
+    lines = lines.withColumn("__piece", F.shiftright("__id", 33)).withColumn("__at", F.col("__id").bitwiseAND(low))
+    ends = lines.groupBy("file", "__piece").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    w = Window.partitionBy("file").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).select("file", "__piece", "__first", "__before")
+    return lines.join(ends, ["file", "__piece"]).select("file", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("number"), "line")
+
+
+def _checked(bars: DataFrame) -> DataFrame:
+    """``bars`` with ``error``: why a row is no bar, null if it is one."""
+    missing = F.greatest(*(F.col(c).isNull().cast("int") for c in PRICES)) == 1
+    outside = (F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.col("high"))
+    return bars.withColumn("error", F.when(F.col("ts").isNull(), "bad date").when(missing, "bad price").when(outside, "prices outside low..high"))
 
 
 def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC", start: str | None = None, end: str | None = None, delimiter: str | None = None) -> BarRead:
@@ -67,42 +86,79 @@ def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str =
     places = (header_map(names) if header else None) or {c: k for k, c in enumerate(POSITIONS)}
     width = max(len(names), len(POSITIONS))
     schema = ", ".join(f"c{k} string" for k in range(width))
-    raw = spark.read.schema(schema).csv(path, sep=sep, header=header, enforceSchema=True, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    raw = raw.filter(F.coalesce(*(F.nullif(F.col(f"c{k}"), F.lit("")) for k in range(width))).isNotNull())
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+
+    def typed(lines: DataFrame) -> DataFrame:
+        rows = lines.filter((F.trim("line") != "") & ((F.col("line") != F.lit(line)) if header else F.lit(True))).withColumn("__c", F.from_csv("line", schema, options)).select(*lines.columns, "__c.*")
+        return rows.filter(F.coalesce(*(F.nullif(F.col(f"c{k}"), F.lit("")) for k in range(width))).isNotNull())
+
     text = lambda c: F.col(f"c{places[c]}") if c in places else F.lit(None).cast("string")
     if "datetime" in places:
         whole = F.split(F.trim(text("datetime")), r"[ T]", 2)
         when = parse_naive(whole[0], F.coalesce(F.get(whole, F.lit(1)), F.lit("")))
     else:
         when = parse_naive(text("date"), text("time"))
-    bars = raw.select(
-        F.concat_ws(sep, *(f"c{k}" for k in range(width))).alias("line"), to_utc(when, zone(tz)).alias("ts"),
-        *(number(text(c)).alias(c) for c in PRICES), *(F.coalesce(number(text(c)), F.lit(0.0)).alias(c) for c in EXTRAS),
-    )
-    missing = F.greatest(*(F.col(c).isNull().cast("int") for c in PRICES)) == 1
-    error = F.when(F.col("ts").isNull(), "bad date").when(missing, "bad price").when((F.col("low") > F.least("open", "close")) | (F.col("high") < F.greatest("open", "close")) | (F.col("low") > F.col("high")), "prices outside low..high")
-    bars = bars.withColumn("error", error)
+
+    def checked(lines: DataFrame) -> DataFrame:
+        return _checked(typed(lines).select(
+            *lines.columns, to_utc(when, zone(tz)).alias("ts"), *(number(text(c)).alias(c) for c in PRICES), *(F.coalesce(number(text(c)), F.lit(0.0)).alias(c) for c in EXTRAS),
+        ))
+
+    bars = checked(spark.read.text(path).withColumnRenamed("value", "line"))
     good = bars.filter("error IS NULL").select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), "ts", *PRICES, *EXTRAS)
     if start:
         good = good.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
     if end:
         good = good.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-    return BarRead(good, bars.filter("error IS NOT NULL").select("line", "error"))
+    return BarRead(good, checked(numbered_lines(spark, path)).filter("error IS NOT NULL").select("file", "number", "line", "error"))
 
 
-def read_json_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC") -> DataFrame:
-    """Bars from JSON records; the time is epoch seconds or milliseconds (by magnitude) or text."""
+def read_json_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC") -> BarRead:
+    """Bars from JSON records; the time is epoch seconds or milliseconds (by magnitude) or text. Records that are no bar are kept with their error."""
     schema = "ts string, time string, datetime string, date string, open double, high double, low double, close double, tick_volume double, tickVolume double, volume double, spread double"
-    raw = spark.read.schema(schema).json(path)
+    raw = numbered_lines(spark, path).filter(F.trim("line") != "").withColumn("__j", F.from_json("line", schema)).select("file", "number", "line", "__j.*")
     text = F.coalesce("ts", "time", "datetime", "date")
     epoch = text.try_cast("double")
     ms = F.when(F.abs(epoch) > 1e11, epoch).otherwise(epoch * 1000)
     words = F.split(F.regexp_replace(text, r"Z$", ""), r"[ T]", 2)
     when = F.coalesce(F.timestamp_millis(ms.cast("long")).cast("timestamp_ntz"), to_utc(parse_naive(words[0], F.coalesce(F.get(words, F.lit(1)), F.lit(""))), zone(tz)))
-    return raw.select(
-        F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), when.alias("ts"), *PRICES,
+    bars = _checked(raw.select(
+        "file", "number", "line", when.alias("ts"), *PRICES,
         F.coalesce("tick_volume", "tickVolume", F.lit(0.0)).alias("tick_volume"), F.coalesce("volume", F.lit(0.0)).alias("volume"), F.coalesce("spread", F.lit(0.0)).alias("spread"),
-    ).filter(F.col("ts").isNotNull())
+    ))
+    good = bars.filter("error IS NULL").select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), "ts", *PRICES, *EXTRAS)
+    return BarRead(good, bars.filter("error IS NOT NULL").select("file", "number", "line", "error"))
+
+
+class BarSource:
+    """Where bars come from: :meth:`fetch` gives those of [start, end) in UTC, and the range reaches the scan."""
+
+    def fetch(self, spark: SparkSession, instrument: str, timeframe: str, start: str | None = None, end: str | None = None) -> DataFrame:
+        raise NotImplementedError
+
+
+@dataclass
+class FileSource(BarSource):
+    """Delimited files."""
+
+    path: str
+    tz: str = "UTC"
+
+    def fetch(self, spark, instrument, timeframe, start=None, end=None):
+        return read_bars(spark, self.path, instrument, timeframe, self.tz, start, end).good
+
+
+@dataclass
+class TableSource(BarSource):
+    """A stored table of bars (Parquet, by instrument and timeframe)."""
+
+    path: str
+
+    def fetch(self, spark, instrument, timeframe, start=None, end=None):
+        d = spark.read.schema(BAR_SCHEMA).parquet(self.path).filter((F.col("instrument") == instrument) & (F.col("timeframe") == timeframe))
+        if start:
+            d = d.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+        return d.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz")) if end else d
 
 
 def write_bars(bars: DataFrame, path: str, tz: str = "UTC") -> None:

@@ -267,3 +267,55 @@ def test_discovery_orders_all_tied_patterns(spark):
     got = discovery.top(found, df, reg, ["x.a"], k=2, min_win_rate=0.9).collect()
     assert [r["pattern"] for r in got] == ["x.a=17", "x.a=18"]
     assert {r["win_rate"] for r in discovery.top(found, df, reg, ["x.a"], k=2).collect()} == {1.0}
+
+
+def test_more_statistics(spark):
+    from fathomlab.functions.stats import gaussians, normal_quantile, poisson_bootstrap
+    from fathomlab.sources.synthetic import mulberry32
+
+    assert normal_quantile(0.975) == pytest.approx(1.959963984540054) and normal_quantile(0.5) == 0 and normal_quantile(0) == float("-inf")
+    made = gaussians(mulberry32(7))
+    values = [next(made) for _ in range(4000)]
+    assert abs(sum(values) / 4000) < 0.05 and abs(sum(v * v for v in values) / 4000 - 1) < 0.08
+    assert student_t_upper([2.0, float("nan"), float("inf")], [0, 5, 5]).tolist() == [1.0, 1.0, 0.0]
+    rows = spark.createDataFrame([(k, float(10 * (k % 2) - 4)) for k in range(400)], "id long, v double")
+    mean = poisson_bootstrap(rows, "v", ["id"], draws=500).first()
+    assert mean["lower"] < 1.0 < mean["upper"] and 0.6 < mean["upper"] - mean["lower"] < 1.4
+    factor = poisson_bootstrap(rows, "v", ["id"], draws=500, statistic="profit_factor").first()
+    assert factor["lower"] < 1.5 < factor["upper"]
+
+
+def test_errors_carry_line_numbers(spark, tmp_path):
+    from fathomlab.sources.bar_files import read_bars, read_json_bars
+
+    f = tmp_path / "bars.csv"
+    f.write_text("date,time,open,high,low,close\n2024.01.02,09:30:00,1,2,1,2\n\nnope,09:31:00,1,2,1,2\n2024.01.02,09:32:00,,2,1,2\n")
+    assert [(r["number"], r["error"]) for r in read_bars(spark, str(f), "i").bad.orderBy("number").collect()] == [(4, "bad date"), (5, "bad price")]
+    j = tmp_path / "bars.json"
+    j.write_text('{"ts":1704188000,"open":1,"high":2,"low":1,"close":2}\nnot json\n{"time":1704188060000,"open":3,"high":2,"low":1,"close":2}\n')
+    found = read_json_bars(spark, str(j), "i")
+    assert [(r["number"], r["error"]) for r in found.bad.orderBy("number").collect()] == [(2, "bad date"), (3, "prices outside low..high")]
+    assert str(found.good.first()["ts"]) == "2024-01-02 09:33:20"
+
+
+def test_catalog(spark, tmp_path):
+    from datetime import datetime as d
+
+    from fathomlab.errors import ConfigError
+    from fathomlab.operators.catalog import Catalog
+
+    store = Catalog(spark, str(tmp_path / "catalog"))
+    first = store.start_batch("bars.csv", "aa")
+    assert store.batch_by_hash("aa") is None
+    store.finish_batch(first, 10, 2, ["bad date"] * 120)
+    assert store.batch_by_hash("aa") == first and len(store.batches().first()["errors"]) == 100
+    train, other = Split("t", "training", d(2022, 1, 1), d(2023, 1, 1)), Split("v", "validation", d(2023, 1, 1), d(2024, 1, 1))
+    store.create_split(other)
+    store.create_split(train)
+    assert [s.name for s in store.splits()] == ["t", "v"] and store.split("v") == other
+    with pytest.raises(ValidationError):
+        store.create_split(Split("w", "validation", d(2022, 6, 1), d(2022, 7, 1)))
+    store.delete_split("v")
+    with pytest.raises(ConfigError):
+        store.split("v")
+    assert [store.record_evaluation(other) for _ in range(11)][-1] == (11, "soft") and store.record_evaluation(train) == (1, None)
