@@ -104,18 +104,39 @@ def t_statistic(n: Column, mean: Column, sd: Column) -> Column:
     return F.when(n >= 2, F.when(sd > 0, mean / (sd / F.sqrt(n.cast("double")))).when(mean > 0, F.lit(math.inf)).otherwise(0.0))
 
 
+#: Ranges of p-values that are ranked apart.
+RANGES = 32
+
+
 def benjamini_hochberg(df: DataFrame, p: str, q: str = "q", by: list[str] | None = None) -> DataFrame:
-    """q = min over equal or larger p of p * n / rank, capped at 1. Ranks of distinct p-values are
-    found from counts, so only distinct p-values are ordered; use ``by`` for separate families."""
+    """q = min over equal or larger p of p * n / rank, capped at 1; null p have null q. Distinct p-values are
+    counted, cut into RANGES ranges and ordered inside these; what a range hands on (how many p lie before it,
+    the least value after it) is one row. Use ``by`` for separate families."""
     by = by or []
-    counts = df.groupBy(*by, p).agg(F.count("*").alias("__m"))
-    up = Window.partitionBy(*by).orderBy(F.col(p).asc())
-    whole = Window.partitionBy(*by)
-    ranked = counts.withColumn("__rank", F.sum("__m").over(up)).withColumn("__n", F.sum("__m").over(whole))
-    raw = ranked.withColumn("__raw", F.col(p) * F.col("__n") / F.col("__rank"))
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc())
-    qs = raw.withColumn(q, F.least(F.lit(1.0), F.min("__raw").over(down))).select(*by, p, q)
-    return df.join(qs, [*by, p], "left")
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__m"))
+    cuts = sorted(set(counts.approxQuantile(p, [k / RANGES for k in range(1, RANGES)], 0.01)))
+    place = F.lit(0)
+    for k, cut in enumerate(cuts, 1):
+        place = F.when(F.col(p) > cut, k).otherwise(place)
+    inside = [*by, "__range"]
+    ranked = counts.withColumn("__range", place).withColumn("__up", F.sum("__m").over(Window.partitionBy(*inside).orderBy(F.col(p).asc())))
+    order = Window.partitionBy(*by).orderBy("__range")
+    totals = ranked.groupBy(*inside).agg(F.sum("__m").alias("__t"))
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__t").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("__n", F.sum("__t").over(Window.partitionBy(*by)))
+    raw = _same(ranked, totals, inside).withColumn("__raw", F.col(p) * F.col("__n") / (F.col("__before") + F.col("__up")))
+    least = raw.groupBy(*inside).agg(F.min("__raw").alias("__least")).withColumn("__after", F.min("__least").over(order.rowsBetween(1, Window.unboundedFollowing)))
+    down = Window.partitionBy(*inside).orderBy(F.col(p).desc())
+    qs = _same(raw, least, inside).withColumn(q, F.least(F.lit(1.0), F.min("__raw").over(down), "__after")).select(*by, p, q)
+    return _same(df, qs, [*by, p])
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on equal keys, null equal to null; of ``right`` only the other columns are added."""
+    renamed = right.select(*(F.col(k).alias(f"__r_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return left.join(renamed, condition, "left").drop(*(f"__r_{k}" for k in keys))
 
 
 def bonferroni(p: Column, n: Column | int) -> Column:

@@ -1,34 +1,61 @@
 """Pattern discovery: conjunctions of buckets, level by level.
 
-Each observation carries the sorted list of its frequent buckets (at most one per variable); a level
-groups the k-subsets of these lists, so a level is one grouping without a join, its size bounded by
-observations x choose(variables, k). A node is kept if it has min_trades rows and its (k-1)-subsets were
-kept (anti-monotone pruning: a subset of an observation's list is only built on kept nodes). Every
-combination of the level counts in the universe of the multiplicity correction, empty ones with p = 1.
+Level 1 is every bucket of every variable; those with min_trades rows are *candidates*, numbered by variable
+and bucket. A node is an ascending list of candidates of different variables. On each level every node that
+was kept is extended by every later candidate of another variable; each extension counts in the universe of
+the multiplicity correction (an empty one with p = 1), and those with min_trades rows are kept.
+
+An observation carries the sorted list of its own candidates, made in its row without a shuffle; a level
+groups the lists' subsets that begin with a kept node, so the work of a level is one grouping. Extensions,
+p-values and corrections stay in Spark; the driver sees candidates and counts.
+
+Two valves bound the search, in the order of evaluation (by node): the universe grows to ``max_search_space``,
+and a level keeps ``max_frontier`` nodes; what was evaluated up to there counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import LookaheadError
+from ..functions.stats import benjamini_hochberg
 from ..plans.guards import Registry
-from .marginal import bucketed
+from ..session import settle
+from .marginal import bucket, bucketed, edges_of
 from .metrics import ratios, summarize, sums
 
 MAX_CONDITIONS, TOP, MAX_SEARCH_SPACE = 3, 20, 2_000_000
+#: Nodes that a level keeps: a share of FRONTIER_ROWS by the number of observations, LEAST_FRONTIER at least.
+FRONTIER_ROWS, LEAST_FRONTIER = 250_000_000, 200
+#: Up to so many kept nodes are broadcast.
+BROADCAST_NODES = 100_000
+_NODE = ["node", "n", "net", "win_rate", "profit_factor", "t_stat", "p_value"]
 
 
 @dataclass
 class Found:
-    candidates: DataFrame  # variable, bucket, n, net ...: frequent single conditions
-    nodes: DataFrame  # conditions (array of variable, bucket), n, net, t_stat, p_value
+    candidates: DataFrame  # variable, bucket, n, net ...: all single conditions
+    names: list[tuple[str, float]]  # variable and bucket of each candidate
+    evaluated: DataFrame  # node, n, net, win_rate, profit_factor, t_stat, p_value: the whole universe
+    lists: DataFrame  # id, entry_ts, outcome, own: candidates of each observation
+    min_trades: int
     universe: int  # combinations evaluated, with empty ones
     truncated: bool
 
+    @property
+    def level1_survivors(self) -> int:
+        return len(self.names)
+
+    @property
+    def nodes(self) -> DataFrame:
+        """Frequent conjunctions: conditions (array of variable, bucket) beside the columns of ``evaluated``."""
+        named = F.array(*(F.struct(F.lit(v).alias("variable"), F.lit(float(b)).alias("bucket")) for v, b in self.names))
+        some = self.evaluated.filter((F.col("n") >= self.min_trades) & F.col("node").isNotNull())
+        return some.withColumn("conditions", F.transform("node", lambda j: F.element_at(named, j + 1))) if self.names else some.withColumn("conditions", F.lit(None))
+
 
 def _checked(keys: list[str], registry: Registry) -> None:
     bad = [k for k in keys if k in registry and registry[k].causality != "predictor"]
@@ -36,61 +63,80 @@ def _checked(keys: list[str], registry: Registry) -> None:
         raise LookaheadError(f"not predictors: {', '.join(bad)}")
 
 
-def _evaluated(grouped: DataFrame) -> DataFrame:
-    return grouped.withColumn("net", F.col("net_profit"))
-
-
-def candidates(df: DataFrame, keys: list[str], registry: Registry, min_trades: int, pnl: str = "pnl_cents") -> Found:
-    """Level 1: every non-null bucket of every variable; those with min_trades rows remain."""
+def candidates(df: DataFrame, keys: list[str], registry: Registry, pnl: str = "pnl_cents") -> DataFrame:
+    """Level 1: every non-null bucket of every variable."""
     _checked(keys, registry)
     long = bucketed(df, keys, registry, [pnl]).filter("bucket IS NOT NULL")
-    all_ = _evaluated(ratios(long.groupBy("variable", "bucket").agg(*sums(pnl))))
-    return Found(all_.filter(F.col("n") >= min_trades), all_, 0, False)
-
-
-def discover(df: DataFrame, keys: list[str], registry: Registry, max_conditions: int = MAX_CONDITIONS, min_trades: int = 30, pnl: str = "pnl_cents", max_search_space: int = MAX_SEARCH_SPACE) -> Found:
-    """All frequent conjunctions of up to ``max_conditions`` buckets of different variables."""
-    first = candidates(df, keys, registry, min_trades, pnl)
-    level1 = first.nodes.select("variable", "bucket", "n", "net", "t_stat", "p_value").collect()  # buckets of variables, not rows
-    frequent = [r for r in level1 if r["n"] >= min_trades]
-    per_variable = {k: sum(r["variable"] == k for r in frequent) for k in keys}
-    name = {(r["variable"], r["bucket"]): j for j, r in enumerate(sorted(frequent, key=lambda r: (r["variable"], r["bucket"])))}
-    spark = df.sparkSession
-    schema = "conditions array<struct<variable:string,bucket:double>>, n long, net double, t_stat double, p_value double"
-    nodes = spark.createDataFrame([([(r["variable"], r["bucket"])], r["n"], r["net"], r["t_stat"], r["p_value"]) for r in frequent], schema)
-    universe, truncated = len(level1), False
-    if max_conditions < 2 or len(frequent) < 2:
-        return Found(first.candidates, nodes, universe, truncated)
-
-    long = bucketed(df.select("*"), keys, registry, ["id", pnl]).filter("bucket IS NOT NULL")
-    ids = spark.createDataFrame([(v, b, j) for (v, b), j in name.items()], "variable string, bucket double, cand int")
-    lists = long.join(F.broadcast(ids), ["variable", "bucket"]).groupBy("id", pnl).agg(F.sort_array(F.collect_list("cand")).alias("own")).cache()
-    kept: set[tuple[int, ...]] = {(j,) for j in name.values()}
-    back = {j: key for key, j in name.items()}
+    return ratios(long.groupBy("variable", "bucket").agg(*sums(pnl, quantiles=False))).withColumn("net", F.col("net_profit"))
+
+
+def discover(
+    df: DataFrame, keys: list[str], registry: Registry, max_conditions: int = MAX_CONDITIONS, min_trades: int = 30, pnl: str = "pnl_cents",
+    max_search_space: int = MAX_SEARCH_SPACE, max_frontier: int | None = None,
+) -> Found:
+    """All conjunctions of up to ``max_conditions`` buckets of different variables that the search reaches."""
+    single = settle(candidates(df, keys, registry, pnl))
+    level1 = single.select("variable", "bucket", "n").collect()  # buckets of variables, not rows
+    names = sorted(((r["variable"], r["bucket"]) for r in level1 if r["n"] >= min_trades), key=lambda x: (keys.index(x[0]), x[1]))
+    lists = settle(_lists(df, keys, registry, names, pnl))
+    if max_frontier is None:
+        max_frontier = max(LEAST_FRONTIER, FRONTIER_ROWS // max(1, lists.count()))
+    number = F.create_map(*(x for j, (v, b) in enumerate(names) for x in (F.struct(F.lit(v).alias("variable"), F.lit(float(b)).alias("bucket")), F.lit(j)))) if names else None
+    node = F.lit(None).cast("int") if number is None else F.try_element_at(number, F.struct("variable", F.col("bucket").cast("double").alias("bucket")))
+    evaluated = single.select(F.when(node.isNotNull(), F.array(node)).alias("node"), *_NODE[1:])
+    kept, universe, truncated = evaluated.filter("node IS NOT NULL").select("node"), len(level1), False
     for level in range(2, max_conditions + 1):
-        sizes = [per_variable[k] for k in keys if per_variable[k]]
-        expected = 0
-        for chosen in combinations(sizes, level):
-            product = 1
-            for s in chosen:
-                product *= s
-            expected += product
-        if universe + expected > max_search_space:
-            truncated = True
+        if truncated or len(names) < 2 or kept.isEmpty():
             break
-        subsets = lists.select(pnl, F.explode(_subsets(F.col("own"), level)).alias("node"))
-        if level > 2:  # only on nodes whose beginnings were kept
-            allowed = spark.createDataFrame([(list(k),) for k in sorted(kept)] or [([-1],)], "head array<int>")
-            subsets = subsets.withColumn("head", F.slice("node", 1, level - 1)).join(F.broadcast(allowed), "head").drop("head")
-        found = _evaluated(ratios(subsets.groupBy("node").agg(*sums(pnl)))).filter(F.col("n") >= min_trades).select("node", "n", "net", "t_stat", "p_value")
-        universe += expected
-        rows = found.collect()  # frequent nodes; their number is bounded by max_search_space
-        kept = {tuple(r["node"]) for r in rows}
-        if not rows:
-            break
-        nodes = nodes.unionByName(spark.createDataFrame([([back[j] for j in r["node"]], r["n"], r["net"], r["t_stat"], r["p_value"]) for r in rows], schema))
-    lists.unpersist()
-    return Found(first.candidates, nodes, universe, truncated)
+        counted = settle(ratios(_begun(lists, kept, level).groupBy("node").agg(*sums(pnl, quantiles=False))).withColumn("net", F.col("net_profit")).select(*_NODE))
+        tried = _extended(kept, [v for v, _ in names]).join(counted, "node", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
+        tried = settle(tried.select(*_NODE))
+        size = tried.count()
+        if universe + size > max_search_space:
+            tried, truncated = settle(tried.orderBy("node").limit(max(0, max_search_space - universe))), True
+        frequent = tried.filter(F.col("n") >= min_trades)
+        if frequent.count() >= max_frontier:
+            last = F.array(*map(F.lit, frequent.select("node").orderBy("node").limit(max_frontier).agg(F.max("node")).first()[0]))
+            truncated = truncated or not tried.filter(F.col("node") > last).isEmpty()
+            tried = settle(tried.filter(F.col("node") <= last))
+            frequent = tried.filter(F.col("n") >= min_trades)
+        kept = settle(frequent.select("node"))
+        universe += tried.count()
+        evaluated = evaluated.unionByName(tried)
+    return Found(single, names, evaluated, lists, min_trades, universe, truncated)
+
+
+def _lists(df: DataFrame, keys: list[str], registry: Registry, names: list[tuple[str, float]], pnl: str) -> DataFrame:
+    """id, entry_ts, outcome and ``own``, the candidates that an observation meets, in order."""
+    edges = edges_of(df, [registry[k] for k in keys], registry)
+    found = []
+    for key in keys:
+        mine = [(b, j) for j, (v, b) in enumerate(names) if v == key]
+        if mine:
+            own = bucket(registry.column(key), None if registry[key].categorical else edges.get(key, [])).cast("double")
+            found.append(F.try_element_at(F.create_map(*(F.lit(x) for b, j in mine for x in (float(b), j))), F.coalesce(own, F.lit(float("nan")))))
+    own = F.filter(F.array(*found), lambda j: j.isNotNull()) if found else F.array().cast("array<int>")
+    return df.filter(F.col(pnl).isNotNull()).select("id", "entry_ts", pnl, F.sort_array(own).alias("own"))
+
+
+def _begun(lists: DataFrame, kept: DataFrame, level: int) -> DataFrame:
+    """Rows (outcome columns, node): subsets of ``level`` candidates that begin with a kept node."""
+    columns = [c for c in lists.columns if c != "own"]
+    subsets = lists.select(*columns, F.explode(_subsets(F.col("own"), level)).alias("node"))
+    if level == 2:  # every candidate is a kept node
+        return subsets
+    heads = kept.select(F.col("node").alias("head"))
+    small = heads.count() <= BROADCAST_NODES
+    return subsets.withColumn("head", F.slice("node", 1, level - 1)).join(F.broadcast(heads) if small else heads, "head", "left_semi").drop("head")
+
+
+def _extended(kept: DataFrame, variables: list[str]) -> DataFrame:
+    """Every kept node with every later candidate of another variable."""
+    of = F.array(*map(F.lit, variables))
+    last = F.element_at("node", -1)
+    more = kept.filter(last < len(variables) - 1).select("node", F.explode(F.sequence(last + 1, F.lit(len(variables) - 1))).alias("k"))
+    fresh = ~F.exists("node", lambda j: F.element_at(of, j + 1) == F.element_at(of, F.col("k") + 1))
+    return more.filter(fresh).select(F.concat("node", F.array("k")).alias("node"))
 
 
 def _subsets(items: Column, level: int) -> Column:
@@ -105,30 +151,42 @@ def _subsets(items: Column, level: int) -> Column:
     return found
 
 
-def top(found: Found, df: DataFrame, registry: Registry, keys: list[str], k: int = TOP, max_q: float = 1.0, min_profit_factor: float | None = None, min_win_rate: float | None = None, max_drawdown_pct: float | None = None) -> DataFrame:
-    """The best k patterns by q, equity R-squared and profit factor, with full metrics. The q-values
-    count every evaluated combination: those that are not frequent enter with p = 1."""
-    spark = df.sparkSession
-    rows = [r.asDict() for r in found.nodes.orderBy("p_value").collect()]
-    total = found.universe
-    best, q = [], 1.0
-    for rank in range(len(rows), 0, -1):
-        q = min(q, rows[rank - 1]["p_value"] * total / rank)
-        best.append({**rows[rank - 1], "q_value": q})
-    best = sorted((b for b in best if b["q_value"] <= max_q), key=lambda b: (b["q_value"], b["p_value"]))
-    if min_win_rate is None and min_profit_factor is None and max_drawdown_pct is None and 0 < k < len(best):
-        best = [b for b in best if b["q_value"] <= best[k - 1]["q_value"]]  # ties of q stay: later keys order them
-    long = bucketed(df, keys, registry, ["id", "entry_ts", "pnl_cents"]).filter("bucket IS NOT NULL")
-    wanted = spark.createDataFrame([(j, c["variable"], float(c["bucket"]), len(b["conditions"])) for j, b in enumerate(best) for c in b["conditions"]] or [(-1, "", 0.0, 1)], "node int, variable string, bucket double, size int")
-    member = long.join(F.broadcast(wanted), ["variable", "bucket"]).groupBy("node", "size", "id", "entry_ts", "pnl_cents").agg(F.count("*").alias("hits")).filter("hits = size")
-    full = summarize(member, ["node"])
-    shown = spark.createDataFrame([(j, " and ".join(f"{c['variable']}={c['bucket']:g}" for c in sorted(b["conditions"], key=lambda c: c["variable"])), len(b["conditions"]), b["q_value"]) for j, b in enumerate(best)] or [(-1, "", 0, 1.0)], "node int, pattern string, depth int, q_value double")
-    d = full.join(F.broadcast(shown), "node")
-    if min_win_rate is not None:
-        d = d.filter(F.col("win_rate") >= min_win_rate)
-    if min_profit_factor is not None:
-        d = d.filter(F.col("profit_factor") >= min_profit_factor)
+def corrected(found: Found) -> DataFrame:
+    """The universe with its q-values."""
+    return benjamini_hochberg(found.evaluated, "p_value", "q_value")
+
+
+def matches(found: Found, min_profit_factor: float | None = None, min_win_rate: float | None = None) -> DataFrame:
+    """Frequent nodes that pass the thresholds (an undefined ratio does not), with q-values."""
+    d = corrected(found).filter((F.col("n") >= found.min_trades) & F.col("node").isNotNull())
+    for name, least in (("win_rate", min_win_rate), ("profit_factor", min_profit_factor)):
+        if least is not None:
+            d = d.filter(F.col(name) >= least)
+    return d
+
+
+def top(
+    found: Found, k: int = TOP, max_q: float = 1.0, min_profit_factor: float | None = None, min_win_rate: float | None = None, max_drawdown_pct: float | None = None, pnl: str = "pnl_cents",
+) -> DataFrame:
+    """The best k patterns by q, equity R-squared and profit factor, with full metrics. All nodes whose q is not
+    above the k-th are looked at in full, so ties are ordered by the later keys; a limit on the drawdown is a
+    metric of the path, and with it all matches are."""
+    best = settle(matches(found, min_profit_factor, min_win_rate).filter(F.col("q_value") <= max_q).select("node", "q_value"))
+    if max_drawdown_pct is None:
+        worst = best.orderBy("q_value").limit(k).agg(F.max("q_value")).first()[0]
+        best = settle(best.filter(F.col("q_value") <= (1.0 if worst is None else worst)))
+    wanted = F.broadcast(best.select("node")) if best.count() <= BROADCAST_NODES else best.select("node")
+    depths = [r[0] for r in best.select(F.size("node")).distinct().collect()]
+    per_level = [found.lists.select("id", "entry_ts", pnl, F.explode(F.transform("own", lambda j: F.array(j)) if d == 1 else _subsets(F.col("own"), d)).alias("node")).join(wanted, "node", "left_semi") for d in sorted(depths)]
+    shape = "pattern string, depth int, n long, win_rate double, profit_factor double, equity_r2 double, q_value double"
+    if not per_level:
+        return best.sparkSession.createDataFrame([], shape)
+    full = summarize(reduce(DataFrame.unionByName, per_level), ["node"], pnl=pnl).join(best, "node")
     if max_drawdown_pct is not None:
-        d = d.filter(F.col("max_drawdown_pct") <= max_drawdown_pct)
-    return d.orderBy("q_value", F.coalesce("equity_r2", F.lit(-1.0)).desc(), F.col("profit_factor").desc_nulls_last(), "pattern").limit(k).select("pattern", "depth", "n", "win_rate", "profit_factor", "equity_r2", "q_value")
-
+        full = full.filter(F.col("max_drawdown_pct") <= max_drawdown_pct)
+    label = F.array(*(F.lit(f"{v}={b:g}") for v, b in found.names))
+    pattern = F.array_join(F.sort_array(F.transform("node", lambda j: F.element_at(label, j + 1))), " and ")
+    return (
+        full.select(pattern.alias("pattern"), F.size("node").alias("depth"), "n", "win_rate", "profit_factor", "equity_r2", "q_value")
+        .orderBy("q_value", F.coalesce("equity_r2", F.lit(-1.0)).desc(), F.col("profit_factor").desc_nulls_last(), "pattern").limit(k)
+    )

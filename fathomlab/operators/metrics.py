@@ -19,15 +19,16 @@ METRICS = [
 ]
 
 
-def sums(pnl: str = "pnl_cents") -> list[Column]:
-    """The order-free aggregates; partial sums on the map side."""
+def sums(pnl: str = "pnl_cents", quantiles: bool = True) -> list[Column]:
+    """The order-free aggregates; partial sums on the map side. Exact quantiles (of the outcome's different
+    values) only where they are asked for."""
     x = F.col(pnl)
     d = x.cast("double")
     return [
         F.count(x).alias("n"), F.count_if(x > 0).alias("wins"), F.count_if(x < 0).alias("losses"), F.count_if(x == 0).alias("break_even"),
         F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0)).cast("double").alias("gross_profit"), F.coalesce(-F.sum(F.when(x < 0, x)), F.lit(0)).cast("double").alias("gross_loss"),
         F.sum(x.cast("decimal(38,0)") * x.cast("decimal(18,0)")).alias("__xx"), F.sum(F.when(x < 0, x.cast("decimal(38,0)") * x.cast("decimal(18,0)"))).alias("__down"),
-        F.percentile(d, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__q"),
+        *([F.percentile(d, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__q")] if quantiles else []),
     ]
 
 
@@ -50,9 +51,10 @@ def ratios(df: DataFrame) -> DataFrame:
     d = (
         d.withColumn("sharpe", F.when(F.col("std_dev") > 0, F.col("expectancy") / F.col("std_dev")))
         .withColumn("sortino", F.when(down > 0, F.col("expectancy") / F.nullif(down, F.lit(0.0))))
-        .withColumn("p05", F.col("__q")[0]).withColumn("median", F.col("__q")[1]).withColumn("p95", F.col("__q")[2])
         .withColumn("t_stat", t_statistic(F.col("n"), F.col("expectancy"), F.col("std_dev")))
     )
+    if "__q" in df.columns:
+        d = d.withColumn("p05", F.col("__q")[0]).withColumn("median", F.col("__q")[1]).withColumn("p95", F.col("__q")[2])
     return d.withColumn("p_value", t_p_value(F.col("t_stat"), (F.col("n") - 1).cast("double"))).drop("__xx", "__down", "__q")
 
 
@@ -73,7 +75,7 @@ def drawdowns(eq: DataFrame, groups: list[str]) -> DataFrame:
 def streaks(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
     """Longest runs of wins and of losses; a zero ends both. Runs are numbered by counting the changes
     of sign, which carry from slice to slice."""
-    cut = sliced(df, ts).withColumn("__sign", F.signum(F.col(pnl).cast("double")).cast("int"))
+    cut = (df if "__chunk" in df.columns else sliced(df, ts)).withColumn("__sign", F.signum(F.col(pnl).cast("double")).cast("int"))
     w = by_chunk(groups, [ts, tie])
     cut = cut.withColumn("__first", F.row_number().over(w) == 1)
     cut = cut.withColumn("__turn", F.coalesce((F.col("__sign") != F.lag("__sign").over(w)).cast("int"), F.lit(0)))
@@ -107,7 +109,7 @@ def summarize(df: DataFrame, groups: list[str] | None = None, ts: str = "entry_t
     one = groups or ["__all"]
     if not groups:
         rows = rows.withColumn("__all", F.lit(1))
-    rows = settle(rows.select(*one, ts, tie, pnl))  # a few narrow columns, read several times
+    rows = sliced(settle(rows.select(*one, ts, tie, pnl)), ts)  # a few narrow columns, read several times
     eq = settle(equity(rows, one, ts, tie, pnl).select(*one, "i", "equity", "peak"))
     out = ratios(rows.groupBy(*one).agg(*sums(pnl)))
     for part in (drawdowns(eq, one), streaks(rows, one, ts, tie, pnl), trend(eq, one)):

@@ -48,7 +48,7 @@ def carried(df: DataFrame, groups: list[str], **parts: tuple[Column, str, Column
 def equity(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
     """``df`` with ``i`` (0-based place in its group), ``equity`` (running sum) and ``peak`` (running
     maximum of it, at least 0), in the order of (ts, tie)."""
-    cut = sliced(df, ts)
+    cut = df if "__chunk" in df.columns else sliced(df, ts)
     w = by_chunk(groups, [ts, tie])
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = cut.withColumn("__i", F.row_number().over(w)).withColumn("__e", F.sum(pnl).over(up))

@@ -288,8 +288,8 @@ LEVEL1 = f"WITH {OBS_SQL}, {BUCKET_SQL}, c AS (SELECT * FROM b WHERE bucket IS N
 
 @query("d1_candidates", f"{LEVEL1} SELECT variable, bucket, n, net FROM c")
 def candidates(spark, sf_dir) -> DataFrame:
-    found = discovery.candidates(in_split(observations(spark, sf_dir), TRAIN), BUCKET_KEYS, OBS, min_trades=100)
-    return found.candidates.select("variable", "bucket", "n", F.col("net").cast("long").alias("net"))
+    found = discovery.candidates(in_split(observations(spark, sf_dir), TRAIN), BUCKET_KEYS, OBS).filter("n >= 100")
+    return found.select("variable", "bucket", "n", F.col("net").cast("long").alias("net"))
 
 
 @query("d2_pairs", f"""{LEVEL1}, m AS (SELECT x.id, x.variable, x.bucket, x.pnl_cents FROM x JOIN c ON c.variable = x.variable AND c.bucket = x.bucket)
@@ -302,11 +302,32 @@ def pairs(spark, sf_dir) -> DataFrame:
     return two.select(c[0]["variable"].alias("variable_a"), c[0]["bucket"].alias("bucket_a"), c[1]["variable"].alias("variable_b"), c[1]["bucket"].alias("bucket_b"), "n", F.col("net").cast("long").alias("net"))
 
 
+SPACE = f"""{LEVEL1}, m AS (SELECT x.id, x.variable, x.bucket, x.pnl_cents FROM x JOIN c ON c.variable = x.variable AND c.bucket = x.bucket),
+p2 AS (SELECT a.variable AS va, a.bucket AS ba, b2.variable AS vb, b2.bucket AS bb, count(*) AS n FROM m a JOIN m b2 ON a.id = b2.id AND a.variable < b2.variable GROUP BY ALL HAVING count(*) >= 100),
+p3 AS (SELECT p2.va, p2.ba, p2.vb, p2.bb, z.variable AS vc, z.bucket AS bc, count(*) AS n FROM p2 JOIN m a ON a.variable = va AND a.bucket = ba JOIN m b2 ON b2.id = a.id AND b2.variable = vb AND b2.bucket = bb JOIN m z ON z.id = a.id AND z.variable > vb GROUP BY ALL)"""
+
+
+@query("d2_universe", f"""{SPACE} SELECT (SELECT count(*) FROM b WHERE bucket IS NOT NULL) + (SELECT count(*) FROM c c1 JOIN c c2 ON c1.variable < c2.variable)
+ + (SELECT count(*) FROM p2 JOIN c ON c.variable > p2.vb) AS universe, (SELECT count(*) FROM c) AS level1_survivors,
+ (SELECT count(*) FROM c) + (SELECT count(*) FROM p2) + (SELECT count(*) FROM p3 WHERE n >= 100) AS total_matches, false AS truncated""")
+def universe(spark, sf_dir) -> DataFrame:
+    """How many combinations the search evaluates up to three conditions, and how many match."""
+    found = discovery.discover(in_split(observations(spark, sf_dir), TRAIN), sorted(BUCKET_KEYS), OBS, min_trades=100)
+    total = discovery.matches(found).count()
+    return spark.createDataFrame([(found.universe, found.level1_survivors, total, found.truncated)], "universe long, level1_survivors long, total_matches long, truncated boolean")
+
+
+@query("d2_triples", f"{SPACE} SELECT va AS variable_a, ba AS bucket_a, vb AS variable_b, bb AS bucket_b, vc AS variable_c, bc AS bucket_c, n FROM p3 WHERE n >= 100")
+def triples(spark, sf_dir) -> DataFrame:
+    found = discovery.discover(in_split(observations(spark, sf_dir), TRAIN), sorted(BUCKET_KEYS), OBS, min_trades=100)
+    c = F.col("conditions")
+    return found.nodes.filter(F.size("conditions") == 3).select(*(c[k][f].alias(f"{f}_{name}") for k, name in enumerate("abc") for f in ("variable", "bucket")), "n")
+
+
 @query("d_discover_top", None)
 def discover_top(spark, sf_dir) -> DataFrame:
     """Patterns of up to three conditions with corrected q-values and full metrics, best first."""
-    found = discovery.discover(in_split(observations(spark, sf_dir), TRAIN), BUCKET_KEYS, OBS, max_conditions=3, min_trades=100)
-    return discovery.top(found, in_split(observations(spark, sf_dir), TRAIN), OBS, BUCKET_KEYS, k=20)
+    return discovery.top(discovery.discover(in_split(observations(spark, sf_dir), TRAIN), BUCKET_KEYS, OBS, max_conditions=3, min_trades=100), k=20)
 
 
 @query("i10_validate", f"""WITH {OBS_SQL}, t AS (SELECT count(*) FILTER (WHERE pnl_cents > 0) AS w, count(*) FILTER (WHERE pnl_cents <> 0) AS n FROM train WHERE {COND}),

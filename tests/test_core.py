@@ -262,11 +262,11 @@ def test_discovery_orders_all_tied_patterns(spark):
     df = spark.createDataFrame(rows, "id long, n long, pnl_cents long").withColumn("entry_ts", F.timestamp_seconds(F.col("id") * 86400).cast("timestamp_ntz"))
     reg = Registry.of(Variable("x.a", "n", binning=Binning("edges", edges=tuple(float(e) for e in range(1, 20)))))
     schema = "conditions array<struct<variable:string,bucket:double>>, n long, net double, t_stat double, p_value double"
-    nodes = spark.createDataFrame([([("x.a", float(b))], 4, 0.0, 0.0, 1.0) for b in range(20)], schema).coalesce(1)
-    found = discovery.Found(nodes, nodes, 20, False)
-    got = discovery.top(found, df, reg, ["x.a"], k=2, min_win_rate=0.9).collect()
+    found = discovery.discover(df, ["x.a"], reg, max_conditions=1, min_trades=1)
+    found.evaluated = found.evaluated.withColumn("p_value", F.lit(1.0)).coalesce(1)
+    got = discovery.top(found, k=2, min_win_rate=0.9).collect()
     assert [r["pattern"] for r in got] == ["x.a=17", "x.a=18"]
-    assert {r["win_rate"] for r in discovery.top(found, df, reg, ["x.a"], k=2).collect()} == {1.0}
+    assert {r["win_rate"] for r in discovery.top(found, k=2).collect()} == {1.0}
 
 
 def test_more_statistics(spark):
@@ -319,3 +319,42 @@ def test_catalog(spark, tmp_path):
     with pytest.raises(ConfigError):
         store.split("v")
     assert [store.record_evaluation(other) for _ in range(11)][-1] == (11, "soft") and store.record_evaluation(train) == (1, None)
+
+
+def test_discovery_universe_and_valves(spark):
+    import itertools
+    import random
+
+    rng = random.Random(12)
+    rows = [(k, *(rng.choice([None, *range(n)]) for n in (2, 3, 4)), rng.randrange(-90, 100)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, a long, b long, c long, pnl_cents long").withColumn("entry_ts", F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz"))
+    keys = ["x.a", "x.b", "x.c"]
+    reg = Registry.of(*(Variable(f"x.{c}", c, value_type="categorical") for c in "abc"))
+
+    def search(least, most=10**9, frontier=10**9):
+        level1 = [(v, b) for v, n in enumerate((2, 3, 4)) for b in range(n)]
+        held = lambda node: sum(all(r[1 + v] == b for v, b in node) for r in rows)
+        kept = [(x,) for x in level1 if held((x,)) >= least]
+        singles, universe, out, cut = [k[0] for k in kept], len(level1), list(kept), False
+        for _ in range(2):
+            fresh = []
+            for node, x in itertools.product(kept, singles):
+                if cut or x <= node[-1] or x[0] in {v for v, _ in node}:
+                    continue
+                if universe >= most or len(fresh) >= frontier:
+                    cut = True
+                    continue
+                universe += 1
+                if held((*node, x)) >= least:
+                    fresh.append((*node, x))
+            kept, out = fresh, out + fresh
+            if cut:
+                break
+        return universe, {tuple((keys[v], float(b)) for v, b in node) for node in out}, cut
+
+    for least, limits in ((30, {}), (12, {}), (12, {"max_search_space": 30}), (5, {"max_frontier": 9})):
+        found = discovery.discover(df, keys, reg, min_trades=least, **limits)
+        got = {tuple((c["variable"], c["bucket"]) for c in r["conditions"]) for r in found.nodes.collect()}
+        want = search(least, limits.get("max_search_space", 10**9), limits.get("max_frontier", 10**9))
+        assert (found.universe, got, found.truncated) == want
+    assert discovery.corrected(found).filter("q_value < p_value OR q_value IS NULL").isEmpty()
