@@ -1,11 +1,14 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Tokens are runs of letters and digits of the lower-cased text, with four hashed features each: the
-token, its first five and first seven bytes, and its last four. Document labels are turned into token labels first: in
-a toxic document of the training sample (bounded: TOXIC_DOCS and CLEAN_DOCS documents) a token is
-toxic if its token or a head feature is LIFT times as frequent in toxic documents as in clean ones, in
-at least SUPPORT toxic documents. The two-state field is then trained on those sequences by gradient
-steps with exact forward-backward marginals.
+Tokens are runs of letters and digits of the lower-cased text, with five hashed features each: the
+token, and its first four, five, six and seven bytes (stems of inflected words). Document labels are turned
+into token labels first: in a toxic document of the training sample a token is toxic if one of its features is
+LIFT times as frequent in toxic documents as in clean ones, in at least SUPPORT toxic documents. The two-state
+field is then trained on those sequences by gradient steps with exact forward-backward marginals.
+
+The training sample is bounded: TOXIC_DOCS and CLEAN_DOCS documents, of each at most SAMPLE_BYTES of text; the
+bytes are counted before any text leaves Spark. The document score is calibrated on documents that the field
+it was scored with has not seen: the sample is cut in two, a field of each half scores the other half.
 
 Scoring runs forward-backward over every whole text, vectorised: two-by-two transfer products of
 blocks of tokens, a pass over blocks, and a pass inside blocks. The document score is a calibrated
@@ -32,11 +35,13 @@ from .models import bounded, dense_logistic, sigmoid
 from .textops import IS_PUNCT, Text, mix, slices
 
 CELLS = 1 << 18
-FEATURES = 4
+#: Bytes of the heads of a token that are features beside the token itself.
+HEADS = (4, 5, 6, 7)
+FEATURES = 1 + len(HEADS)
 TOXIC_DOCS, CLEAN_DOCS = 1500, 2200
-#: Tokens of the sample that the field is trained on.
-MAX_TOKENS = 600_000
-LIFT, SUPPORT = 20.0, 4
+#: Bytes of text of each class in the training sample.
+SAMPLE_BYTES = 4_000_000
+LIFT, SUPPORT = 6.0, 6
 STEPS = 25
 BLOCK = 64
 THRESHOLD = 0.3
@@ -46,7 +51,7 @@ def tokens(column: pa.Array):
     """Segments of the lower-cased text and their feature cells (FEATURES x tokens)."""
     lowered = pc.utf8_lower(column.cast(pa.large_string()))
     found = Text(lowered).segments(IS_PUNCT)
-    parts = [found.names(), found.names(head=5), found.names(head=7), found.names(tail=4)]
+    parts = [found.names(), *(found.names(head=n) for n in HEADS)]
     cells = [(mix(p + np.uint64(k + 1)) & np.uint64(CELLS - 1)).astype(np.int64) + k * CELLS for k, p in enumerate(parts)]
     return found, np.stack(cells) if len(found.starts) else np.zeros((FEATURES, 0), np.int64)
 
@@ -183,7 +188,7 @@ def token_labels(cells: np.ndarray, ptr: np.ndarray, toxic: np.ndarray) -> np.nd
     """Labels of tokens from labels of documents (see the module's text)."""
     row = np.repeat(np.arange(len(toxic)), np.diff(ptr))
     strong = np.zeros(FEATURES * CELLS, bool)
-    for k in range(3):
+    for k in range(FEATURES):
         pairs = np.unique(row * CELLS + (cells[k] - k * CELLS))
         r, c = pairs // CELLS, pairs % CELLS
         hit = np.bincount(c[toxic[r]], minlength=CELLS)
@@ -193,18 +198,30 @@ def token_labels(cells: np.ndarray, ptr: np.ndarray, toxic: np.ndarray) -> np.nd
     return (strong[cells].any(axis=0) & toxic[row]).astype(np.float64)
 
 
-def fit(sample: list[tuple[bool, np.ndarray]], share: float) -> Field | None:
-    """``sample``: (toxic, cells FEATURES x tokens) of documents; ``share``: of toxic among all labels."""
+def _trained(sample: list[tuple[bool, np.ndarray]]) -> Field | None:
     toxic = np.array([t for t, _ in sample], bool)
     if not toxic.any() or toxic.all():
         return None
     cells = np.concatenate([c for _, c in sample], axis=1)
     ptr = np.concatenate([[0], np.cumsum([c.shape[1] for _, c in sample])]).astype(np.int64)
-    y = token_labels(cells, ptr, toxic)
-    docs = max(1, int(np.searchsorted(ptr, MAX_TOKENS, side="right")) - 1)
-    field = train_field(cells[:, : ptr[docs]], ptr[: docs + 1], y[: ptr[docs]])
-    p = field.marginals(field.emission(cells), ptr)[0]
-    field.final = dense_logistic(summary(p, ptr), toxic.astype(float))
+    return train_field(cells, ptr, token_labels(cells, ptr, toxic))
+
+
+def fit(sample: list[tuple[bool, np.ndarray]], share: float) -> Field | None:
+    """``sample``: (toxic, cells FEATURES x tokens) of documents; ``share``: of toxic among all labels."""
+    field = _trained(sample)
+    if field is None:
+        return None
+    seen, truth = [], []
+    for half in (0, 1):
+        other = _trained(sample[half::2]) or field
+        rest = sample[1 - half :: 2]
+        ptr = np.concatenate([[0], np.cumsum([c.shape[1] for _, c in rest])]).astype(np.int64)
+        if rest:
+            seen.append(summary(other.marginals(other.emission(np.concatenate([c for _, c in rest], axis=1)), ptr)[0], ptr))
+            truth += [t for t, _ in rest]
+    toxic = np.array(truth, float)
+    field.final = dense_logistic(np.concatenate(seen), toxic)
     field.final[-1] += np.log(share / (1 - share)) - np.log(toxic.mean() / (1 - toxic.mean()))
     return field
 
@@ -214,20 +231,26 @@ def train(docs: DataFrame, labels: DataFrame) -> Field | None:
     marked = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic") > 0).alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     picked = bounded(marked.filter("toxic"), "toxic", TOXIC_DOCS, 5).unionByName(bounded(marked.filter("NOT toxic"), "toxic", CLEAN_DOCS, 5))
+    held = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    sizes = held.groupBy("doc_id", "toxic").agg(F.sum(F.octet_length("text")).alias("size")).collect()  # of a bounded sample
+    taken, left = [], {True: SAMPLE_BYTES, False: SAMPLE_BYTES}
+    for r in sorted(sizes, key=lambda r: hash_order(r["doc_id"])):
+        if r["size"] <= left[r["toxic"]]:
+            left[r["toxic"]] -= r["size"]
+            taken.append((r["doc_id"],))
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found, cells = tokens(batch.column(2))
             ptr = pa.array(found.ptr, pa.int32())
             lists = [pa.ListArray.from_arrays(ptr, pa.array(c, pa.int32())) for c in cells]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", "a", "b", "c", "d"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["doc_id", "toxic", *(f"c{k}" for k in range(FEATURES))])
 
-    found = (
-        docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-        .mapInArrow(run, "doc_id long, toxic boolean, a array<int>, b array<int>, c array<int>, d array<int>").toArrow()
-    )
+    columns = ", ".join(f"c{k} array<int>" for k in range(FEATURES))
+    found = held.join(F.broadcast(wanted), "doc_id").select("doc_id", "toxic", "text").mapInArrow(run, f"doc_id long, toxic boolean, {columns}").toArrow()
     order = np.argsort(np.array([hash_order(x) for x in found.column(0).to_pylist()]), kind="stable")
-    lists = [found.column(k).combine_chunks() for k in (2, 3, 4, 5)]
+    lists = [found.column(2 + k).combine_chunks() for k in range(FEATURES)]
     sample = [(found.column(1)[int(k)].as_py(), np.stack([x[int(k)].values.to_numpy().astype(np.int64) for x in lists])) for k in order]
     total = sum(counts.values())
     return fit(sample, min(0.999, max(0.001, counts.get(True, 0) / max(1, total))))

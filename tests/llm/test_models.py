@@ -38,12 +38,14 @@ def test_forward_backward_equals_enumeration():
 
 
 def test_toxicity_held_out(spark, odd, none):
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    folder = "/root/testdata/sf0.1"  # about one label in twenty is noise
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     field = train(docs, labels.filter(~part))
-    rows = score(docs, field).join(labels.filter(part), "doc_id").collect()
-    hit = sum(r["predicted"] == r["toxic"] for r in rows) / len(rows)
-    assert hit > 0.9 and all(0 <= r["score"] <= 1 for r in rows)
+    rows = score(docs.join(labels.filter(part).select("doc_id"), "doc_id", "left_semi"), field).join(labels.filter(part), "doc_id").collect()
+    hits = sum(r["predicted"] and r["toxic"] for r in rows)
+    assert hits >= 0.9 * sum(r["toxic"] for r in rows) and hits >= 0.9 * sum(r["predicted"] for r in rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
     assert score(odd, field).count() == odd.count() and score(none, field).count() == 0
     assert score(odd, train(odd, labels.limit(0))).filter("score > 0").count() == 0
 
