@@ -6,7 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -27,6 +27,7 @@ class Plugin:
     requires: tuple[str, ...] = ()
     config: dict = field(default_factory=dict)
     enabled: bool = True
+    warmup: int = 0  # bars that it needs before it can be used
 
 
 def stable_json(value) -> str:
@@ -51,6 +52,12 @@ class Plugins:
             raise PluginError(f"{plugin.id}: bad keys {bad}" if bad else f"{plugin.id}: {clash[0]} belongs to {owners[clash[0]]}")
         self._items[plugin.id] = plugin
 
+    def enable(self, plugin_id: str, on: bool = True) -> None:
+        """Switch a plugin on or off; it keeps its variables either way."""
+        if plugin_id not in self._items:
+            raise PluginError(f"no plugin {plugin_id}")
+        self._items[plugin_id] = replace(self._items[plugin_id], enabled=on)
+
     def remove(self, plugin_id: str) -> None:
         self._items.pop(plugin_id, None)
 

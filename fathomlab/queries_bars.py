@@ -149,13 +149,35 @@ def f2(spark, sf_dir) -> DataFrame:
     return features.candle_features(bars_h1(spark, sf_dir)).select("instrument", "ts", *r6("candle_range", "candle_bodyRatio", "candle_upperWickRatio"), "candle_isBullish", *r6("candle_avgRange5"))
 
 
-@query("f3_f5_features", None)
+def averages_sql() -> str:
+    """Exponential averages (name, values, period, weight) as recursions over numbered bars."""
+    out = []
+    for name, value, n, alpha in (("a14", "tr", 14, "1.0 / 14"), ("a50", "tr", 50, "1.0 / 50"), ("e20", "close", 20, "2.0 / 21"), ("e50", "close", 50, "2.0 / 51"), ("e200", "close", 200, "2.0 / 201")):
+        out.append(f"""{name} AS (SELECT instrument, CAST({n} AS BIGINT) AS k, avg({value}) AS x FROM v WHERE k <= {n} GROUP BY instrument HAVING count(*) = {n}
+  UNION ALL SELECT v.instrument, v.k, {name}.x + ({alpha}) * (v.{value} - {name}.x) FROM {name} JOIN v ON v.instrument = {name}.instrument AND v.k = {name}.k + 1)""")
+    return ",\n".join(out)
+
+
+@query("f3_f5_features", f"""WITH RECURSIVE {H1}, q AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS pc FROM h),
+v AS MATERIALIZED (SELECT *, row_number() OVER w AS k, CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END AS tr, lead(ts) OVER w AS entry_ts,
+  max(high) OVER (PARTITION BY instrument ORDER BY ts ROWS 59 PRECEDING) - min(low) OVER (PARTITION BY instrument ORDER BY ts ROWS 59 PRECEDING) AS range60,
+  close - sum((high + low + close) / 3 * tick_volume) OVER d / sum(tick_volume) OVER d AS vd
+  FROM q WINDOW w AS (PARTITION BY instrument ORDER BY ts), d AS (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+{averages_sql()},
+f AS (SELECT v.*, a14.x AS atr, a50.x AS slow, e20.x AS e20, e50.x AS e50, e200.x AS e200, lag(e20.x, 10) OVER (PARTITION BY v.instrument ORDER BY v.ts) AS e20b FROM v
+  LEFT JOIN a14 ON a14.instrument = v.instrument AND a14.k = v.k LEFT JOIN a50 ON a50.instrument = v.instrument AND a50.k = v.k LEFT JOIN e20 ON e20.instrument = v.instrument AND e20.k = v.k
+  LEFT JOIN e50 ON e50.instrument = v.instrument AND e50.k = v.k LEFT JOIN e200 ON e200.instrument = v.instrument AND e200.k = v.k)
+SELECT instrument, ts, entry_ts, round(atr / nullif(slow, 0), 4) + 0.0 AS volatility_atrRegime, round(atr * 10000 / close, 2) + 0.0 AS volatility_atrPercent, round(range60, 4) + 0.0 AS volatility_range60, round((close - e200) / nullif(atr, 0), 4) + 0.0 AS "trend_distanceEma200Atr",
+  round((e20 - e20b) / 10 / nullif(atr, 0), 4) + 0.0 AS "trend_slopeEma20", CAST(CASE WHEN e200 IS NULL THEN NULL WHEN e20 > e50 AND e50 > e200 THEN 1 WHEN e20 < e50 AND e50 < e200 THEN -1 ELSE 0 END AS INT) AS trend_alignment, round(vd / nullif(atr, 0), 4) + 0.0 AS "vwap_distanceAtr" FROM f""")
 def f345(spark, sf_dir) -> DataFrame:
-    """Volatility, trend, VWAP and market features of every bar, with the row at which they are used."""
+    """Volatility, trend and VWAP features of every bar, with the bar at which they are used."""
     b = bars_h1(spark, sf_dir)
-    d = features.vwap_features(features.trend_features(features.volatility_features(b)), "UTC")
-    d = features.entry_rows(features.market_features(d, ops.daily(b, "UTC"), "UTC"))
-    return d.select("instrument", "ts", "entry_ts", *(c for c in d.columns if c.split("_")[0] in ("volatility", "trend", "vwap", "market")))
+    d = features.entry_rows(features.vwap_features(features.trend_features(features.volatility_features(b)), "UTC"))
+    shown = lambda c, k: (F.round(c, k) + 0.0).alias(c)
+    return d.select(
+        "instrument", "ts", "entry_ts", shown("volatility_atrRegime", 4), shown("volatility_atrPercent", 2), shown("volatility_range60", 4), shown("trend_distanceEma200Atr", 4), shown("trend_slopeEma20", 4),
+        "trend_alignment", shown("vwap_distanceAtr", 4),
+    )
 
 
 @query("f6_market", f"WITH {H1}, {DAILY}, p AS (SELECT instrument, session_date, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM d WINDOW w AS (PARTITION BY instrument ORDER BY session_date)), r AS (SELECT *, CAST(ts AS DATE) AS session_date, first(open) OVER w AS o, max(high) OVER w AS th, min(low) OVER w AS tl FROM h WINDOW w AS (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)) SELECT r.instrument, ts, round(o - pc, 6) AS market_gapPoints, round(ph - pl, 6) AS market_prevDayRange, round(CASE WHEN ph > pl THEN (th - tl) / (ph - pl) END, 6) AS market_dayRangeUsed FROM r LEFT JOIN p ON p.instrument = r.instrument AND p.session_date = r.session_date")
@@ -218,12 +240,28 @@ def e4(spark, sf_dir) -> DataFrame:
     return rules.range_fade(closed(spark, sf_dir)).select("instrument", "ts", "direction")
 
 
-@query("e5_opening_reversal", None)
+@query("e5_opening_reversal", f"""WITH {C}, t AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS pc FROM c),
+a AS (SELECT *, avg(CASE WHEN pc IS NOT NULL THEN greatest(high - low, abs(high - pc), abs(low - pc)) END) OVER (PARTITION BY instrument ORDER BY ts ROWS 13 PRECEDING) AS atr FROM t),
+l AS (SELECT instrument, cd, min(cm) AS om, arg_min(open, ts) AS op FROM a WHERE cm >= 540 GROUP BY 1, 2),
+d AS (SELECT a.instrument, a.cd, min(cm) AS done, arg_min(close, ts) AS ic FROM a JOIN l ON l.instrument = a.instrument AND l.cd = a.cd WHERE cm >= 540 AND cm - om >= 179 GROUP BY 1, 2),
+s AS (SELECT a.*, op, done, ic, max(high) OVER w AS sh, min(low) OVER w AS sl FROM a JOIN l ON l.instrument = a.instrument AND l.cd = a.cd JOIN d ON d.instrument = a.instrument AND d.cd = a.cd WHERE cm >= 540 WINDOW w AS (PARTITION BY a.instrument, a.cd ORDER BY ts)),
+q AS (SELECT *, CASE WHEN ic >= op THEN sh - op ELSE op - sl END AS ew, CASE WHEN ic >= op THEN sh - close ELSE close - sl END AS pb FROM s)
+SELECT instrument, min(ts) AS ts, arg_min(CASE WHEN ic > op THEN 'short' ELSE 'long' END, ts) AS direction FROM q
+WHERE cm >= done AND cm <= 1320 AND ic <> op AND atr > 0 AND abs(ic - op) >= 0.5 * atr AND ew > 0 AND pb / ew >= 0.5 AND pb / ew < 1.5 GROUP BY instrument, cd""")
 def e5(spark, sf_dir) -> DataFrame:
     return rules.opening_reversal(closed(spark, sf_dir), "UTC", 180, 540, last=1320).select("instrument", "ts", "direction")
 
 
-@query("e6_pivot_scalp", None)
+PIVOTS = """pd AS (SELECT instrument, session_date, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM d WINDOW w AS (PARTITION BY instrument ORDER BY session_date)),
+pv AS (SELECT *, (ph + pl + pc) / 3 AS pp FROM pd WHERE pc IS NOT NULL),
+lv AS (SELECT instrument, session_date, unnest(['pp', 'r1', 's1', 'r2', 's2', 'r3', 's3']) AS level, unnest([pp, 2 * pp - pl, 2 * pp - ph, pp + (ph - pl), pp - (ph - pl), ph + 2 * (pp - pl), pl - 2 * (ph - pp)]) AS price FROM pv)"""
+
+
+@query("e6_pivot_scalp", f"""WITH RECURSIVE {C}, {DAILY}, {PIVOTS},
+t AS MATERIALIZED (SELECT c.instrument, cd, level, ts, open > price AS above, row_number() OVER (PARTITION BY c.instrument, cd, level ORDER BY ts) AS k FROM c JOIN lv ON lv.instrument = c.instrument AND lv.session_date = c.cd WHERE abs(close - price) <= 5),
+r AS (SELECT *, ts AS last, true AS given FROM t WHERE k = 1
+  UNION ALL SELECT t.*, CASE WHEN t.ts >= r.last + INTERVAL 2 HOUR THEN t.ts ELSE r.last END, t.ts >= r.last + INTERVAL 2 HOUR FROM r JOIN t ON t.instrument = r.instrument AND t.cd = r.cd AND t.level = r.level AND t.k = r.k + 1)
+SELECT instrument, ts, CASE WHEN above THEN 'long' ELSE 'short' END AS direction, 'pivot-scalp' AS rule_id FROM r WHERE given""")
 def e6(spark, sf_dir) -> DataFrame:
     b = bars_h1(spark, sf_dir)
     return rules.pivot_scalp(rules.closed(b, 60, "UTC"), ops.daily(b, "UTC"), tolerance=5, cooldown=120, start=0, end=1439).select("instrument", "ts", "direction", "rule_id")
@@ -255,9 +293,25 @@ def sim(spark, sf_dir) -> DataFrame:
     return _simulated(spark, sf_dir).select("instrument", "direction", "entry_ts", *r6("entry_price"), "exit_ts", "exit_reason", *r6("pnl_points", "mae", "mfe", "slope"))
 
 
-@query("x_path_details", None)
+PATH = SIM[: SIM.rindex("SELECT instrument, direction, entry_ts, round(any_value(ep)")].replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+z AS MATERIALIZED (SELECT *, row_number() OVER w AS k, CASE WHEN sn = 1 THEN high - ep ELSE ep - low END AS fav, CASE WHEN sn = 1 THEN ep - low ELSE high - ep END AS adv, (close - ep) * sn AS fl,
+  greatest(0, max(CASE WHEN sn = 1 THEN high - ep ELSE ep - low END) OVER (PARTITION BY instrument, direction, entry_ts ORDER BY bts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS before
+  FROM y WINDOW w AS (PARTITION BY instrument, direction, entry_ts ORDER BY bts)),
+s AS (SELECT DISTINCT instrument, direction, entry_ts, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS peak, CAST(0 AS INT) AS backs FROM z
+  UNION ALL SELECT z.instrument, z.direction, z.entry_ts, z.k, CASE WHEN z.fav > s.peak THEN z.fav WHEN s.peak > 0 AND s.peak - z.fl > 0.35 * s.peak THEN greatest(0.0, z.fl) ELSE s.peak END,
+    s.backs + CASE WHEN NOT z.fav > s.peak AND s.peak > 0 AND s.peak - z.fl > 0.35 * s.peak THEN 1 ELSE 0 END
+  FROM s JOIN z ON z.instrument = s.instrument AND z.direction = s.direction AND z.entry_ts = s.entry_ts AND z.k = s.k + 1),
+g AS (SELECT instrument, direction, entry_ts, max(m) AS minutes, greatest(0, max(fav)) AS mfe, greatest(0, max(adv)) AS mae, max(CASE WHEN fav > coalesce(before, 0) THEN CASE WHEN m > 0 THEN fav / m ELSE fav END END) AS speed,
+  CASE coalesce(arg_max(coalesce(reason, '-'), bts), '-') WHEN 'stop_loss' THEN -150 WHEN 'take_profit' THEN 150 ELSE arg_max(fl, bts) END AS pnl FROM z GROUP BY ALL)
+SELECT g.instrument, g.direction, g.entry_ts, minutes, (SELECT coalesce(min(m), 0) FROM z WHERE z.instrument = g.instrument AND z.direction = g.direction AND z.entry_ts = g.entry_ts AND adv = g.mae AND adv > 0) AS minutes_to_mae,
+  (SELECT coalesce(min(m), 0) FROM z WHERE z.instrument = g.instrument AND z.direction = g.direction AND z.entry_ts = g.entry_ts AND fav = g.mfe AND fav > 0) AS minutes_to_mfe,
+  round(coalesce(greatest(0, speed), 0), 6) AS max_speed, (SELECT max(backs) FROM s WHERE s.instrument = g.instrument AND s.direction = g.direction AND s.entry_ts = g.entry_ts) AS pullbacks,
+  round(CASE WHEN mfe > 0 THEN pnl / mfe ELSE 0 END, 5) AS efficiency, round(pnl, 6) AS pnl_money FROM g"""
+
+
+@query("x_path_details", PATH)
 def details(spark, sf_dir) -> DataFrame:
-    return _simulated(spark, sf_dir).select("trade_id", "minutes", "minutes_to_mae", "minutes_to_mfe", "max_speed", "pullbacks", "efficiency", "pnl_money")
+    return _simulated(spark, sf_dir).select("instrument", "direction", "entry_ts", "minutes", "minutes_to_mae", "minutes_to_mfe", *r6("max_speed"), "pullbacks", (F.round("efficiency", 5) + 0.0).alias("efficiency"), *r6("pnl_money"))
 
 
 @query("run_research", None)

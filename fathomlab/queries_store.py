@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .functions.stats import t_p_value
-from .operators import catalog, hypotheses, indicators, marginal, storage
+from .model import BAR_SCHEMA
+from .operators import catalog, hypotheses, indicators, marginal, research, storage
+from .plans.builtin import builtin_plugins, installed, parse_manifests
 from .plans.language import parse
-from .queries_bars import H1
+from .queries_bars import H1, INSTRUMENT, ORACLE as ORACLE_BARS, SIM, _simulated as simulated
 from .queries_cohort import COND, OBS_SQL, TEXT
 from .session import shared_dir
 from .sources.bar_files import read_bars, read_json_bars, write_bars
+from .streaming import live_bars
 from .sources.views import OBS, TRAIN, VALIDATION, bars_h1, in_split, observations, read
 
 Q, ORACLE = {}, {}
@@ -210,3 +213,72 @@ def _normal_upper(z):
     poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
     upper = F.exp(-z * z / 2) / 2.5066282746310002 * poly
     return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
+# Plugins, runs and streams ----------------------------------------------------------------------
+
+
+@query("s18_j10_installs", """WITH o AS (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1)
+SELECT CASE WHEN c_custkey % 7 = 0 THEN 'C ' ELSE 'c-' END || c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN 'bad id' WHEN c_custkey % 5 = 0 THEN 'bad version' WHEN c_custkey % 3 = 0 THEN 'provides nothing' END AS error,
+  CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN NULL ELSE k IS NULL OR k % 2 = 0 END AS enabled,
+  CASE WHEN c_custkey % 7 = 0 OR c_custkey % 5 = 0 OR c_custkey % 3 = 0 THEN NULL WHEN k IS NULL THEN '14' ELSE CAST(k AS VARCHAR) END AS period FROM customer LEFT JOIN o ON o_custkey = c_custkey""")
+def installs(spark, sf_dir) -> DataFrame:
+    """Manifests, one a customer, some of them wrong, and the installations that orders stand for."""
+    key = F.col("c_custkey")
+    manifest = F.to_json(F.struct(
+        F.concat(F.when(key % 7 == 0, "C ").otherwise("c-"), key).alias("id"), F.when(key % 5 == 0, "1.0").otherwise("1.0.0").alias("version"), F.lit("feature").alias("kind"),
+        F.when(key % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("c"), key, F.lit(".value")))).alias("provides"), F.create_map(F.lit("period"), F.lit("14")).alias("config"),
+    ))
+    found = parse_manifests(read(spark, sf_dir, "customer").select(manifest.alias("value")))
+    set_ = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("k"))
+    set_ = set_.select(F.concat(F.lit("c-"), "o_custkey").alias("id"), (F.col("k") % 2 == 0).alias("enabled"), F.create_map(F.lit("period"), F.col("k").cast("string")).alias("config"))
+    live = installed(found, set_).select("id", "enabled", F.col("config")["period"].alias("period"))
+    return found.select("id", "error").join(live, "id", "left")
+
+
+TRADES = SIM[: SIM.rindex("SELECT instrument, direction, entry_ts, round(any_value(ep)")]
+
+
+@query("x10_trade_rows", TRADES + """ SELECT instrument, direction, entry_ts, CAST(CAST(entry_ts AS DATE) AS VARCHAR) AS session_date, year(entry_ts) AS year, isodow(entry_ts) AS day_of_week, hour(entry_ts) * 60 + minute(entry_ts) AS minute_of_day,
+  'b1' AS batch, 'events' AS source FROM y GROUP BY instrument, direction, entry_ts""")
+def trade_rows(spark, sf_dir) -> DataFrame:
+    rows = research.trade_rows(simulated(spark, sf_dir), INSTRUMENT, "b1", "events")
+    return rows.select("instrument", "direction", "entry_ts", F.col("session_date").cast("string").alias("session_date"), "year", "day_of_week", "minute_of_day", "batch", "source")
+
+
+@query("run_warmup", f"WITH {H1}, c AS (SELECT *, hour(ts + INTERVAL 1 HOUR) * 60 AS cm, ts + INTERVAL 1 HOUR AS ct, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS k, lead(ts) OVER (PARTITION BY instrument ORDER BY ts) AS entry_ts FROM h) SELECT instrument, entry_ts, unnest(['long', 'short']) AS direction FROM c WHERE cm = 600 AND isodow(ct) <= 5 AND k > 250 AND entry_ts IS NOT NULL")
+def run_warmup(spark, sf_dir) -> DataFrame:
+    """A run of one rule: its trades begin after 250 bars."""
+    own = builtin_plugins(INSTRUMENT, 60)
+    for p in own.ordered("entry"):
+        own.enable(p.id, p.id == "entry-time-of-day")
+    for p in own.ordered("feature"):
+        own.enable(p.id, p.id in ("core-candle", "core-volatility"))
+    rows = research.run(bars_h1(spark, sf_dir), own, INSTRUMENT, 60, **{"entry-time-of-day": {"minute": 600, "tp": 150, "sl": 100, "hold": 360}})
+    return rows.filter("features IS NOT NULL").select("instrument", "entry_ts", "direction")
+
+
+def _live(spark, sf_dir, name: str, make) -> DataFrame:
+    """Bars in a watched folder, worked through as a stream."""
+    folder = scratch(spark, f"{name}-in")
+    bars_h1(spark, sf_dir).withColumn("timeframe", F.lit("H1")).select(*BAR_SCHEMA.names).write.parquet(folder)
+    out = scratch(spark, f"{name}-out")
+    stream = make(live_bars.bar_stream(spark, folder))
+    live_bars.run_available(stream, out, scratch(spark, f"{name}-state"))
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("st1_live_resample", f"WITH {H1}, w AS (SELECT instrument, make_timestamp((epoch_us(ts) // 14400000000) * 14400000000) AS ts, arg_min(open, ts) AS open, max(high) AS high, arg_max(close, ts) AS close, sum(tick_volume) AS tick_volume, max(spread) AS spread, count(*) AS bar_count FROM h GROUP BY 1, 2) SELECT * FROM w WHERE ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM h) - INTERVAL 10 MINUTE")
+def live_resample(spark, sf_dir) -> DataFrame:
+    """Closed four-hour bars of a stream: those that the watermark has passed."""
+    return _live(spark, sf_dir, "resample", lambda b: live_bars.resample_stream(b, "H4")).select("instrument", "ts", "open", "high", "close", "tick_volume", "spread", "bar_count")
+
+
+@query("st2_live_session", ORACLE_BARS["g13_running_session"])
+def live_session(spark, sf_dir) -> DataFrame:
+    return _live(spark, sf_dir, "session", lambda b: live_bars.session_stream(b, "UTC"))
+
+
+@query("st3_live_mean", ORACLE_BARS["w2_sma"])
+def live_mean(spark, sf_dir) -> DataFrame:
+    return _live(spark, sf_dir, "mean", lambda b: live_bars.sliding_stream(b, 20)).select("instrument", "ts", F.round("mean", 6).alias("sma20"))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.calendar import local
 from ..model import BAR_SCHEMA, TIMEFRAMES
 
 
@@ -19,6 +25,68 @@ def resample_stream(bars: DataFrame, timeframe: str, late: str = "10 minutes") -
     d = bars.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["instrument", "timeframe", "ts"])
     return (
         d.groupBy("instrument", F.window("at", f"{minutes} minutes"))
-        .agg(F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("tick_volume").alias("tick_volume"), F.count("*").alias("bar_count"))
-        .select("instrument", F.col("window.start").alias("ts"), "open", "high", "low", "close", "tick_volume", "bar_count")
+        .agg(
+            F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("tick_volume").alias("tick_volume"),
+            F.sum("volume").alias("volume"), F.max("spread").alias("spread"), F.count("*").alias("bar_count"),
+        )
+        .select("instrument", F.col("window.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "tick_volume", "volume", "spread", "bar_count")
     )
+
+
+def session_stream(bars: DataFrame, tz: str, late: str = "10 minutes", idle: str = "36 hours") -> DataFrame:
+    """The running session after every bar (open, extremes, volume, bars so far), by keyed state of instrument and
+    session date. A bar that is not later than the last one of its session is ignored: what was given out is
+    complete. A session's state goes once the watermark is ``idle`` past it."""
+    hold = int(pd.Timedelta(idle).total_seconds() * 1000)
+    d = bars.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).withColumn("session_date", local(F.col("ts"), tz).cast("date"))
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, first, high, low, volume, count = state.get if state.exists else (0, 0.0, float("-inf"), float("inf"), 0.0, 0)
+        for frame in [pd.concat(list(frames)).sort_values("ts")]:
+            micros = frame["ts"].astype("datetime64[us]").astype("int64")
+            frame = frame[micros > last].drop_duplicates("ts")
+            if not len(frame):
+                continue
+            first = first if count else float(frame["open"].iloc[0])
+            out = pd.DataFrame({
+                "instrument": key[0], "ts": frame["ts"], "today_open": first, "today_high": frame["high"].cummax().clip(lower=high), "today_low": frame["low"].cummin().clip(upper=low),
+                "today_volume": frame["tick_volume"].cumsum() + volume, "today_bars": range(count + 1, count + len(frame) + 1),
+            })
+            last, high, low, volume, count = int(micros.max()), float(out["today_high"].iloc[-1]), float(out["today_low"].iloc[-1]), float(out["today_volume"].iloc[-1]), count + len(frame)
+            yield out
+        state.update((last, first, high, low, volume, count))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1) + hold)
+
+    out = "instrument string, ts timestamp_ntz, today_open double, today_high double, today_low double, today_volume double, today_bars long"
+    kept = "last long, first double, high double, low double, volume double, count long"
+    return d.groupBy("instrument", "session_date").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def sliding_stream(bars: DataFrame, size: int) -> DataFrame:
+    """The mean of the last ``size`` closes after every bar (null until there are so many): the state of an
+    instrument is a buffer of its last closes."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, held = state.get if state.exists else (0, [])
+        frame = pd.concat(list(frames)).sort_values("ts").drop_duplicates("ts")
+        micros = frame["ts"].astype("datetime64[us]").astype("int64")
+        frame, micros = frame[micros > last], micros[micros > last]
+        if len(frame):
+            closes = pd.Series([*held, *frame["close"]], dtype=float)
+            mean = closes.rolling(size).mean().iloc[len(held) :]
+            yield pd.DataFrame({"instrument": key[0], "ts": frame["ts"].to_numpy(), "mean": mean.to_numpy()})
+            last, held = int(micros.max()), closes.iloc[1 - size :].tolist() if size > 1 else []
+        state.update((last, held))
+
+    return bars.groupBy("instrument").applyInPandasWithState(step, "instrument string, ts timestamp_ntz, mean double", "last long, held array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Work through everything that is there now, into Parquet files, and stop. The query's ``recentProgress`` says
+    how many rows each batch read."""
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
