@@ -15,31 +15,35 @@ from fathomlab.llm.near_dedup import drop_near_duplicates
 from fathomlab.llm.pii import mask_pii
 from fathomlab.llm.quality_rules import apply_quality_rules
 from fathomlab.llm.sentencepiece_codec import encode_decode
-from fathomlab.llm.shared import spill
+from fathomlab.llm.shared import frugal, spill
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules, or whose host fails them, go."""
+    frugal(spark)
     return apply_quality_rules(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    frugal(spark)
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, frugal(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are masked in the text."""
+    frugal(spark)
     return mask_pii(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the text that they decode to."""
+    frugal(spark)
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumn("n_tokens", F.size("ids").cast("long"))
 
 

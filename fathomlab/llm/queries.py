@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .oracles import ORACLES  # noqa: F401
+from .shared import frugal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return frugal(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

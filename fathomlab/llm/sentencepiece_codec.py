@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame, types as T
 from .textops import slices
 
 #: Words whose encoding each Python worker keeps in each of two generations.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 300_000
 #: Pair checks that are kept.
-CACHED_PAIRS = 400_000
+CACHED_PAIRS = 300_000
 SPACE = "▁"
 
 
@@ -172,8 +172,11 @@ class MergeCodec:
         if self.by_word and SPACE not in text:
             units = text.replace("\n", " \n").split(" ")
             if "" not in units:
-                found = list(map(self.words.__getitem__, units))
-                return b"".join([x[0] for x in found]), "".join([x[1] for x in found])[1:]
+                ids = b"".join(map(self.words.__getitem__, units))
+                odd = self.words.odd
+                if odd.keys().isdisjoint(units):  # every word decodes to itself
+                    return ids, text
+                return ids, "".join([odd[w] if w in odd else w if w[0] == "\n" else " " + w for w in units])[1:]
         ids: list[int] = []
         for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
             ids += self.ids_of(chunk)
@@ -184,25 +187,31 @@ class MergeCodec:
 
 
 class _Words(dict):
-    """Encodings by word: a word stands for itself after a space; with a newline before it, for
-    itself after that newline. The last generation is kept until the next is full."""
+    """Ids by word: a word stands for itself after a space; with a newline before it, for itself after
+    that newline. The last generation is kept until the next is full. ``odd`` has the decoded text of words
+    that do not decode to themselves."""
 
     def __init__(self, codec: MergeCodec):
-        self.codec, self.old = codec, {}
+        self.codec, self.old, self.odd = codec, {}, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
+    def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
+            unit = word if word[0] == "\n" else " " + word
             ids = self.codec.ids_of(word if word[0] == "\n" else SPACE + word)
-            found = (array("i", ids).tobytes(), self.codec.text_of(ids))
-        if len(word) < 40:
+            found, shown = array("i", ids).tobytes(), self.codec.text_of(ids)
+            if shown != unit:
+                self.odd[word] = shown
+        if len(word) < 40 and word not in self.odd:
             self[word] = found
         return found
 
     def trim(self) -> None:
+        """Between texts: forget the oldest words if there are many."""
         if len(self) > CACHED_WORDS:
             self.old = dict(self)
             self.clear()
+        self.odd.clear()
 
 
 def _utf8(raw: bytearray) -> str:

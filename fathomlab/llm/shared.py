@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 BROADCAST_ROWS = 100_000
 #: Copies of the small side of a join that is too large to broadcast; the large side's hot keys spread over them.
 SALTS = 16
+#: Bytes of a batch that Python workers are given, so that their memory does not follow the length of texts.
+BATCH_BYTES = 4 << 20
 #: A key is hot if it holds this share of the rows or more, so there are at most 1 / HOT of them.
 HOT = 0.001
 
@@ -29,6 +31,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def frugal(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches of at most BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Run ``df`` once and cut its lineage: rows are kept in the shared folder, so that the loss of
     an executor costs nothing already computed."""
