@@ -18,7 +18,8 @@ are compared, by their own names, against the smallest doc_id that has them. Eac
 window whose words also start in a document with a smaller doc_id is removed, exactly: what decides is
 a pair of 64-bit names of the words (``sym`` or ``name``, and ``check``), of different bases.
 
-Hot names (of a passage that a large share of the documents has) are spread over tasks where rows meet.
+Hot names (of a passage that a large share of the documents has) are spread over tasks where rows meet; a
+window is hot if its anchor is, which equal windows agree on.
 
 Defined results: a null text has no words; texts under 50 words lose nothing; a row whose doc_id is
 null is neither a source nor loses words; rows that repeat a doc_id do not count as smaller than
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import join_spread, settle
+from .shared import HOT, SALTS, join_spread, settle
 from .textops import IS_SPACE, Text, mix, powers, slices, windows
 
 WINDOW = 50
@@ -206,16 +207,17 @@ def occurrences(texts: DataFrame) -> DataFrame:
     return texts.filter(F.col("doc_id").isNotNull()).mapInArrow(run, "sym long, check long, doc_id long, own long, pos int, span int, text_key long")
 
 
-def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word in the row, name and second name of each window that has to be compared."""
+def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.ndarray, ...]:
+    """Row, first word in the row, name, second name and whether it is hot, of each window that has to be
+    compared."""
     text = Text(column)
     words = text.segments(IS_SPACE)
     names, ptr = words.names(), words.ptr
     n = len(names)
     empty = np.zeros(0, np.int64)
     if n < WINDOW or not any(marks):
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
-    shared = np.zeros(n, bool)
+        return empty, empty, empty.view(np.uint64), empty.view(np.uint64), np.zeros(0, bool)
+    shared, hot = np.zeros(n, bool), np.zeros(n, bool)
     upto = np.zeros(n, np.int64)  # end of the repeated high name that covers a word
     for k, found in enumerate(marks):
         for m in found or ():
@@ -223,16 +225,17 @@ def _candidate_windows(column: pa.Array, marks: list[list[dict]]) -> tuple[np.nd
             if m["span"]:
                 upto[a : a + m["span"]] = np.maximum(upto[a : a + m["span"]], a + m["span"])
             else:
-                shared[a] = True
+                shared[a], hot[a] = True, m["hot"]
     order = _phrases(names, ptr, low(names, ptr))
     least = _sliding(order, REACH, True)
     least_shared = _sliding(np.where(shared, order, _FAR), REACH, True)
+    least_hot = _sliding(np.where(hot, order, _FAR), REACH, True)
     starts, named = windows(names, ptr, WINDOW)
     second = windows(mix(names ^ _CHECK), ptr, WINDOW)[1]
     take = (least[starts + EDGE] == least_shared[starts + EDGE]) & (least_shared[starts + EDGE] != _FAR) & (upto[starts] < starts + WINDOW)
     starts, named, second = starts[take], named[take], second[take]
     row = np.searchsorted(ptr, starts, side="right") - 1
-    return row, starts - ptr[row], named, second
+    return row, starts - ptr[row], named, second, least_hot[starts + EDGE] == least[starts + EDGE]
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
@@ -246,29 +249,32 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         .filter("a <> b")
         .select("sym", "check", "first_doc", "n")
     )
+    total = several.agg(F.sum("n")).first()[0] or 0
     marks = settle(
-        join_spread(found, several, ["sym", "check"], "doc_id")
+        join_spread(found, several.withColumn("hot", F.col("n") >= total * HOT), ["sym", "check"], "doc_id")
         .filter("span = 0 OR first_doc < doc_id")
         .groupBy("doc_id", "own")
-        .agg(F.collect_set(F.struct("pos", "span")).alias("marks"))
+        .agg(F.collect_set(F.struct("pos", "span", "hot")).alias("marks"))
     )
     texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", "own")
 
     def name_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, start, named, second = _candidate_windows(batch.column(2), batch.column(3).to_pylist())
+            row, start, named, second, hot = _candidate_windows(batch.column(2), batch.column(3).to_pylist())
             ids, own = (batch.column(k).to_numpy(zero_copy_only=False)[row] if len(row) else np.zeros(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32())], ["name", "check", "doc_id", "own", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(named.view(np.int64)), pa.array(second.view(np.int64)), pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32()), pa.array(hot)], ["name", "check", "doc_id", "own", "start", "hot"])
 
     compared = (
         texts.join(marks, ["doc_id", "own"], "left").select("doc_id", "own", "text", "marks")
-        .mapInArrow(name_windows, "name long, check long, doc_id long, own long, start int")
+        .mapInArrow(name_windows, "name long, check long, doc_id long, own long, start int, hot boolean")
     )
-    firsts = settle(
-        compared.groupBy("name", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
-        .filter("first_doc < last_doc").select("name", "check", "first_doc", "n")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    firsts = (
+        compared.groupBy("name", "check").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max("hot").alias("hot"))
+        .filter("first_doc < last_doc").select("name", "check", "first_doc", F.explode(salts).alias("salt"))
     )
-    starts = join_spread(compared, firsts, ["name", "check"], "doc_id").filter("first_doc < doc_id").groupBy("doc_id", "own").agg(F.collect_set("start").alias("starts"))
+    dealt = compared.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    starts = dealt.join(firsts, ["name", "check", "salt"]).filter("first_doc < doc_id").groupBy("doc_id", "own").agg(F.collect_set("start").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
