@@ -9,6 +9,7 @@ from ..functions.calendar import local, parts, session_code
 from ..model import Instrument
 from .bars import running_session
 from .indicators import KEYS, atr, ema, highest, lowest, session_vwap, sma, streaks
+from .ordered import moving
 
 
 def ratio(a, b) -> Column:
@@ -112,7 +113,7 @@ def opening_session(bars: DataFrame, tz: str, open_minute: int, range_minutes: i
 def entry_rows(features: DataFrame) -> DataFrame:
     """Each closed bar with the bar that follows it: entry_ts and entry_open (null after the last)."""
     w = Window.partitionBy(*KEYS).orderBy("ts")
-    return features.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_open", F.lead("open").over(w))
+    return moving(features, 0, lambda d: d.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_open", F.lead("open").over(w)), ahead=1)
 
 
 def asof_previous(primary: DataFrame, other: DataFrame, columns: list[str], visible: str = "visible_from") -> DataFrame:

@@ -7,6 +7,8 @@ into a slice is a window over these rows only. So a single group of any size spr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CHUNKS = 64
@@ -58,3 +60,23 @@ def equity(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "i
     d = carried(d, groups, __p=(F.max("equity"), "max", F.lit(0)))
     zero = F.lit(0).cast(d.schema["equity"].dataType)
     return d.withColumn("peak", F.greatest(zero, "__p", "__m")).drop("__i", "__e", "__n", "__s", "__m", "__p")
+
+
+def moving(df: DataFrame, back: int, build: Callable[[DataFrame], DataFrame], ahead: int = 0, key: str = "instrument", ts: str = "ts") -> DataFrame:
+    """``build(df)`` for windows over at most ``back`` earlier and ``ahead`` later rows of a key, without a task per
+    key. Rows are cut into slices of time, each slice borrows the rows next to it that its windows reach, and
+    ``build`` sees key and slice together in the column ``key``; borrowed rows are dropped from what it returns.
+    ``build`` keeps the columns that it is given."""
+    cut = sliced(df, ts)
+    cut = cut.withColumn("__i", F.row_number().over(by_chunk([key], [ts])))
+    sizes = cut.groupBy(key, "__chunk").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__start", before)
+    spans = sizes.groupBy(key).agg(F.collect_list(F.struct("__chunk", "__start", (F.col("__start") + F.col("__n")).alias("__end"))).alias("__spans"))  # CHUNKS of a key at most
+    d = matched(matched(cut, sizes.drop("__n"), [key, "__chunk"]), spans, [key])
+    place = F.col("__start") + F.col("__i") - 1
+    reached = F.filter("__spans", lambda s: ((s["__chunk"] > F.col("__chunk")) & (s["__start"] <= place + back)) | ((s["__chunk"] < F.col("__chunk")) & (s["__end"] > place - ahead)))
+    targets = F.concat(F.array("__chunk"), F.transform(reached, lambda s: s["__chunk"]))
+    d = d.withColumn("__to", F.explode(targets)).withColumn("__borrowed", F.col("__to") != F.col("__chunk"))
+    d = d.withColumn(key, F.struct(F.col(key).alias("name"), F.col("__to").alias("slice"))).select(*df.columns, "__borrowed")
+    return build(d).filter(~F.col("__borrowed")).drop("__borrowed").withColumn(key, F.col(f"{key}.name"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..model import Instrument
 from .indicators import KEYS
+from .ordered import moving
 
 SPREAD, SLIPPAGE, COMMISSION, PULLBACK = 1.0, 0.5, 0.0, 0.35
 OUTCOMES = ["exit_ts", "exit_price", "exit_reason", "minutes", "pnl_points", "pnl_money", "mae", "mfe", "minutes_to_mae", "minutes_to_mfe", "max_speed", "slope", "pullbacks", "efficiency"]
@@ -21,7 +22,7 @@ def positions(signals: DataFrame, bars: DataFrame, spread: float = SPREAD, slipp
     """Signals with the following bar's open, costs, and target and stop prices. A signal on the last bar
     opens nothing."""
     w = Window.partitionBy(*KEYS).orderBy("ts")
-    nxt = bars.select(*KEYS, "ts", F.lead("ts").over(w).alias("entry_ts"), F.lead("open").over(w).alias("entry_open"))
+    nxt = moving(bars.select(*KEYS, "ts", "open"), 0, lambda d: d.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_open", F.lead("open").over(w)), ahead=1).drop("open")
     sign = F.when(F.col("direction") == "long", 1).otherwise(-1)
     d = signals.join(nxt, [*KEYS, "ts"]).filter("entry_ts IS NOT NULL").withColumn("sign", sign)
     d = d.withColumn("entry_price", F.col("entry_open") + F.col("sign") * F.lit(spread / 2 + slippage))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .functions.calendar import parts, session_code
 from .model import Instrument
 from .operators import bars as ops, features, indicators, rules
+from .operators.ordered import moving
 from .operators.simulate import simulate
 from .sources.views import bars_h1, read
 
@@ -88,12 +89,12 @@ def calendar(spark, sf_dir) -> DataFrame:
 
 @query("w2_sma", f"WITH {H1} SELECT instrument, ts, CASE WHEN count(*) OVER w >= 20 THEN round(avg(close) OVER w, 6) END AS sma20 FROM h WINDOW w AS (PARTITION BY instrument ORDER BY ts ROWS 19 PRECEDING)")
 def sma(spark, sf_dir) -> DataFrame:
-    return bars_h1(spark, sf_dir).select("instrument", "ts", F.round(indicators.sma("close", 20), 6).alias("sma20"))
+    return moving(bars_h1(spark, sf_dir), 19, lambda d: d.withColumn("sma20", F.round(indicators.sma("close", 20), 6))).select("instrument", "ts", "sma20")
 
 
 @query("w3_true_range", f"WITH {H1}, p AS (SELECT *, lag(close) OVER (PARTITION BY instrument ORDER BY ts) AS pc FROM h) SELECT instrument, ts, round(CASE WHEN pc IS NULL THEN high - low ELSE greatest(high - low, abs(high - pc), abs(low - pc)) END, 6) AS tr FROM p")
 def tr(spark, sf_dir) -> DataFrame:
-    return bars_h1(spark, sf_dir).select("instrument", "ts", F.round(indicators.true_range(), 6).alias("tr"))
+    return moving(bars_h1(spark, sf_dir), 1, lambda d: d.withColumn("tr", F.round(indicators.true_range(), 6))).select("instrument", "ts", "tr")
 
 
 def recursive_sql(value: str, n: int, alpha: str, name: str) -> str:
@@ -116,7 +117,8 @@ def atr(spark, sf_dir) -> DataFrame:
 
 @query("w5_extremes", f"WITH {H1} SELECT instrument, ts, max(high) OVER w AS highest15, min(low) OVER w AS lowest15 FROM h WINDOW w AS (PARTITION BY instrument ORDER BY ts ROWS 14 PRECEDING)")
 def extremes(spark, sf_dir) -> DataFrame:
-    return bars_h1(spark, sf_dir).select("instrument", "ts", indicators.highest(15).alias("highest15"), indicators.lowest(15).alias("lowest15"))
+    d = moving(bars_h1(spark, sf_dir), 14, lambda b: b.withColumn("highest15", indicators.highest(15)).withColumn("lowest15", indicators.lowest(15)))
+    return d.select("instrument", "ts", "highest15", "lowest15")
 
 
 @query("w6_session_vwap", f"WITH {H1} SELECT instrument, ts, round(sum((high + low + close) / 3 * tick_volume) OVER w / sum(tick_volume) OVER w, 6) AS vwap FROM h WINDOW w AS (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)")

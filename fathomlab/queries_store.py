@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .functions.stats import t_p_value
 from .model import BAR_SCHEMA
 from .operators import catalog, hypotheses, indicators, marginal, research, storage
+from .operators.ordered import moving
 from .plans.builtin import builtin_plugins, installed, parse_manifests
 from .plans.language import parse
 from .queries_bars import H1, INSTRUMENT, ORACLE as ORACLE_BARS, SIM, _simulated as simulated
@@ -188,7 +189,7 @@ def distinct_up_to(spark, sf_dir) -> DataFrame:
 @query("w9_values_back", f"WITH {H1} SELECT instrument, ts, lag(close, 3) OVER w AS back3, CAST(least(row_number() OVER w, 5) AS BIGINT) AS held FROM h WINDOW w AS (PARTITION BY instrument ORDER BY ts)")
 def values_back(spark, sf_dir) -> DataFrame:
     """Of the last five closes that a rule may look at: the one three bars back, and how many there are."""
-    buffer = indicators.buffered(bars_h1(spark, sf_dir), "close", 5)
+    buffer = moving(bars_h1(spark, sf_dir), 4, lambda d: indicators.buffered(d, "close", 5))
     return buffer.select("instrument", "ts", indicators.back("buffer", 3).alias("back3"), F.size("buffer").cast("long").alias("held"))
 
 

@@ -351,3 +351,17 @@ def test_discovery_universe_and_valves(spark):
         want = search(least, limits.get("max_search_space", 10**9), limits.get("max_frontier", 10**9))
         assert (found.universe, got, found.truncated) == want
     assert discovery.corrected(found).filter("q_value < p_value OR q_value IS NULL").isEmpty()
+
+
+def test_moving_windows_over_slices_equal_those_over_the_series(spark):
+    from pyspark.sql import Window
+
+    from fathomlab.operators.ordered import moving
+
+    rng = random.Random(5)
+    rows = [(name, at, float(rng.randrange(100))) for name, n in (("a", 300), ("b", 7), ("c", 1)) for at in sorted(rng.sample(range(100_000) if name != "a" else [*range(250), *range(90_000, 99_000)], n))]
+    df = spark.createDataFrame(rows, "instrument string, at long, v double").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz"))
+    w = Window.partitionBy("instrument").orderBy("ts")
+    build = lambda d: d.withColumn("sum", F.sum("v").over(w.rowsBetween(-40, 2))).withColumn("next", F.lead("v", 2).over(w))
+    got, want = moving(df, 40, build, ahead=2), build(df)
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
