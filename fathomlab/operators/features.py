@@ -9,7 +9,7 @@ from ..functions.calendar import local, parts, session_code
 from ..model import Instrument
 from .bars import running_session
 from .indicators import KEYS, atr, ema, highest, lowest, session_vwap, sma, streaks
-from .ordered import moving
+from .ordered import by_chunk, carried, moving, sliced
 
 
 def ratio(a, b) -> Column:
@@ -118,8 +118,12 @@ def entry_rows(features: DataFrame) -> DataFrame:
 
 def asof_previous(primary: DataFrame, other: DataFrame, columns: list[str], visible: str = "visible_from") -> DataFrame:
     """Columns of the last row of ``other`` that is visible at each primary bar: stacked and filled
-    forward, per instrument, without a range join."""
+    forward inside slices of time, what a slice ends with carried to the next, without a range join."""
     a = primary.select("instrument", F.col("ts").alias("__t"), F.lit(1).alias("__kind"), "ts", *(F.lit(None).cast(other.schema[c].dataType).alias(c) for c in columns))
     b = other.select("instrument", F.col(visible).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast("timestamp_ntz").alias("ts"), *columns)
-    w = Window.partitionBy("instrument").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return a.unionByName(b).select("instrument", "ts", "__kind", *(F.last(c, ignorenulls=True).over(w).alias(c) for c in columns)).filter("__kind = 1").drop("__kind")
+    d = sliced(a.unionByName(b), "__t")
+    up = by_chunk(["instrument"], ["__t", "__kind"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = {c: F.when(F.col(c).isNotNull(), F.struct("__t", "__kind", c)) for c in columns}
+    d = d.select("*", *(F.last(x, ignorenulls=True).over(up).alias(f"__in_{c}") for c, x in seen.items()))
+    d = carried(d, ["instrument"], **{f"__was_{c}": (F.max(x), "max", F.lit(None)) for c, x in seen.items()})
+    return d.filter("__kind = 1").select("instrument", "ts", *(F.coalesce(f"__in_{c}", f"__was_{c}")[c].alias(c) for c in columns))

@@ -117,3 +117,17 @@ def buffered(bars: DataFrame, value: str, size: int) -> DataFrame:
 def back(buffer: str, n: int) -> Column:
     """The value ``n`` bars back (0: this bar), null while there are not so many."""
     return F.when(F.size(buffer) > n, F.element_at(buffer, -1 - n))
+
+
+def running_stats(bars: DataFrame, value: str) -> DataFrame:
+    """``bars`` with ``running_n``, ``running_sum`` and ``running_sd`` (null for one value) of all values so far.
+    Sums are of differences from the instrument's mean, inside slices, and carried from slice to slice."""
+    centre = bars.groupBy(*KEYS).agg(F.avg(value).alias("__c"))
+    d = matched(sliced(bars, "ts"), centre, KEYS).withColumn("__x", F.col(value) - F.col("__c"))
+    up = by_chunk(KEYS, ["ts"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__k", F.count("__x").over(up)).withColumn("__s", F.sum("__x").over(up)).withColumn("__q", F.sum(F.col("__x") * F.col("__x")).over(up))
+    zero = F.lit(0.0)
+    d = carried(d, KEYS, __bk=(F.count("__x"), "sum", F.lit(0)), __bs=(F.sum("__x"), "sum", zero), __bq=(F.sum(F.col("__x") * F.col("__x")), "sum", zero))
+    n, s, q = F.col("__bk") + F.col("__k"), F.col("__bs") + F.col("__s"), F.col("__bq") + F.col("__q")
+    sd = F.when(n > 1, F.sqrt(F.greatest(zero, q - s * s / n) / F.nullif(n - 1, F.lit(0))))
+    return d.select(*bars.columns, n.alias("running_n"), (s + n * F.col("__c")).alias("running_sum"), sd.alias("running_sd"))

@@ -134,10 +134,8 @@ def streaks(spark, sf_dir) -> DataFrame:
 
 @query("w8_running_stats", f"WITH {H1} SELECT instrument, ts, round(sum(close) OVER w, 2) AS total, round(CASE WHEN count(*) OVER w > 1 THEN stddev_samp(close) OVER w END, 5) AS sd FROM h WINDOW w AS (PARTITION BY instrument ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def running_stats(spark, sf_dir) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("instrument").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return bars_h1(spark, sf_dir).select("instrument", "ts", F.round(F.sum("close").over(w), 2).alias("total"), F.round(F.stddev_samp("close").over(w), 5).alias("sd"))
+    d = indicators.running_stats(bars_h1(spark, sf_dir), "close")
+    return d.select("instrument", "ts", F.round("running_sum", 2).alias("total"), F.round("running_sd", 5).alias("sd"))
 
 
 @query("f1_time", f"WITH {H1}, m AS (SELECT *, hour(ts) * 60 + minute(ts) AS m FROM h) SELECT instrument, ts, m AS time_minuteOfDay, m - 540 AS time_minutesFromOpen, 960 - m AS time_minutesToClose, CAST(m >= 540 AND m < 960 AS INT) AS time_isRegularSession FROM m")
