@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import local
 from ..model import TIMEFRAMES
@@ -71,3 +71,14 @@ def minute_profile(bars: DataFrame, tz: str = "America/New_York", top: int = 8,
     p = bars.groupBy("instrument", minute.alias("minute")).agg(F.count("*").alias("n"), F.sum("tick_volume").alias("tick_volume"))
     w = Window.partitionBy("instrument").orderBy(F.col("tick_volume").desc(), F.col("minute").asc())
     return p.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).withColumn("distance", F.abs(F.col("minute") - open_minute))
+
+
+def closed_by(bars: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """Only bars that are complete at ``now``: those whose end is not later."""
+    return bars.filter(F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)) <= now)
+
+
+def require_complete(bars: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """``bars`` as they are, but a bar that is not complete at ``now`` ends the query with an error."""
+    early = F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)) > now
+    return bars.withColumn("ts", F.when(early, F.raise_error(F.concat(F.lit("E_LOOKAHEAD: a bar ends after "), now.cast("string"))).cast("timestamp_ntz")).otherwise(F.col("ts")))

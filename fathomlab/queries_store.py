@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .functions.formatting import integer, num, pct
 from .functions.stats import t_p_value
 from .model import BAR_SCHEMA
-from .operators import catalog, hypotheses, indicators, marginal, research, storage
+from .operators import bars as bar_ops, catalog, hypotheses, indicators, marginal, research, storage
 from .operators.ordered import moving
 from .plans.builtin import builtin_plugins, installed, parse_manifests
 from .plans.language import parse
@@ -283,3 +284,20 @@ def live_session(spark, sf_dir) -> DataFrame:
 @query("st3_live_mean", ORACLE_BARS["w2_sma"])
 def live_mean(spark, sf_dir) -> DataFrame:
     return _live(spark, sf_dir, "mean", lambda b: live_bars.sliding_stream(b, 20)).select("instrument", "ts", F.round("mean", 6).alias("sma20"))
+
+
+@query("sc10_formatted", f"""WITH {OBS_SQL}, g AS (SELECT f_year, count(*) AS n, count(*) FILTER (WHERE pnl_cents > 0) / nullif(count(*) FILTER (WHERE pnl_cents <> 0), 0) AS wr,
+  CASE WHEN count(*) > 1 THEN stddev_samp(CAST(pnl_cents AS DOUBLE)) END AS sd FROM obs WHERE rule_id = 'P' GROUP BY 1)
+SELECT f_year, printf('%.2f', sd / 100) AS sd, printf('%.1f%%', wr * 100) AS win_rate, format('{{:,}}', n) AS n FROM g WHERE n > 1""")
+def formatted(spark, sf_dir) -> DataFrame:
+    d = observations(spark, sf_dir).filter("rule_id = 'P'").groupBy("f_year").agg(
+        F.count("*").alias("n"), F.try_divide(F.count_if(F.col("pnl_cents") > 0).cast("double"), F.count_if(F.col("pnl_cents") != 0).cast("double")).alias("wr"), F.stddev_samp(F.col("pnl_cents").cast("double")).alias("s"))
+    return d.filter("n > 1").select("f_year", num(F.col("s") / 100).alias("sd"), pct(F.col("wr")).alias("win_rate"), integer(F.col("n")).alias("n"))
+
+
+@query("st6_complete_bars", f"WITH {H1} SELECT instrument, ts, close FROM h WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM h) - INTERVAL 1 DAY")
+def complete_bars(spark, sf_dir) -> DataFrame:
+    """The bars that may be seen one day before the last bar opens; the guard lets them all through."""
+    b = bars_h1(spark, sf_dir)
+    now = F.lit(b.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("now")).first()["now"]).cast("timestamp_ntz")
+    return bar_ops.require_complete(bar_ops.closed_by(b, now, 60), now, 60).select("instrument", "ts", "close")

@@ -365,3 +365,16 @@ def test_moving_windows_over_slices_equal_those_over_the_series(spark):
     build = lambda d: d.withColumn("sum", F.sum("v").over(w.rowsBetween(-40, 2))).withColumn("next", F.lead("v", 2).over(w))
     got, want = moving(df, 40, build, ahead=2), build(df)
     assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_guard_and_formats(spark):
+    from fathomlab.functions.formatting import integer, metrics_row, num, pct
+    from fathomlab.operators.bars import closed_by, require_complete
+
+    bars = spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00",) for m in (0, 1, 2)], "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"))
+    now = F.lit("2024-01-01 00:02:30").cast("timestamp_ntz")
+    assert closed_by(bars, now, 1).count() == 2 and require_complete(closed_by(bars, now, 1), now, 1).count() == 2
+    with pytest.raises(Exception, match="E_LOOKAHEAD"):
+        require_complete(bars, now, 1).collect()
+    row = spark.range(1).select(num(F.lit(1.234)).alias("a"), num(F.lit(float("inf"))).alias("b"), pct(F.lit(None)).alias("c"), pct(F.lit(0.256)).alias("d"), metrics_row({"n": integer(F.lit(12345))}).alias("e")).first()
+    assert tuple(row) == ("1.23", "∞", "—", "25.6%", "n 12,345")
