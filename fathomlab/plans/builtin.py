@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable, Mapping
 from functools import partial
 
@@ -99,11 +97,3 @@ def feature_json(columns: Mapping[str, Column]) -> Column:
             raise PluginError(f"bad key {key}")
     finite = lambda c: F.when(F.abs(c.cast("double")) < float("inf"), c.cast("double"))
     return F.to_json(F.struct(*(finite(c).alias(k) for k, c in columns.items())), {"ignoreNullFields": "false"})
-
-
-def stored_config(config: Mapping) -> str:
-    return json.dumps(dict(config), sort_keys=True)
-
-
-def slug(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
