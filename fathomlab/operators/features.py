@@ -3,13 +3,18 @@ row; only the calendar is the entry bar's own. :func:`entry_rows` makes that shi
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import local, parts, session_code
 from ..model import Instrument
-from .bars import running_session
-from .indicators import KEYS, atr, ema, highest, lowest, session_vwap, sma, streaks
-from .ordered import by_chunk, carried, moving, sliced
+from ..session import settle
+from .bars import daily, running_session
+from .indicators import KEYS, highest, lowest, session_vwap, sma, streaks, true_range
+from .ordered import by_chunk, carried, moving, placed, sliced
+from .scan import recurrences
 
 
 def ratio(a, b) -> Column:
@@ -28,57 +33,134 @@ def time_features(ts: Column, ins: Instrument) -> dict[str, Column]:
     }
 
 
-def candle_features(bars: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Bundle:
+    """What a feature plugin asks of the one pass over the bars that all plugins share (:func:`together`): windows over at
+    most ``back`` earlier bars, exponential averages (name, value, n, alpha), further columns by frames (windows inside a
+    session, or carried), windows over these (``late``), and the features, row by row."""
+
+    windows: Mapping[str, Column] = field(default_factory=dict)
+    back: int = 0
+    averages: tuple[tuple[str, str, int, float], ...] = ()
+    frames: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    late: Mapping[str, Column] = field(default_factory=dict)
+    late_back: int = 0
+    columns: Mapping[str, Column] = field(default_factory=dict)
+
+
+def by_time():
+    """A bar's instrument in time order: for the windows of bundles, which run inside slices."""
+    return Window.partitionBy(*KEYS).orderBy("ts")
+
+
+def together(bars: DataFrame, *bundles: Bundle, entries: bool = False) -> DataFrame:
+    """``bars`` with the columns of all bundles, later ones on top of earlier ones: numbered once, cut once into slices that borrow
+    the bars next to them (as many as the widest window reaches), and scanned once for all averages. With ``entries`` also
+    the bar that follows each: entry_ts and entry_open."""
+    d = placed(bars, KEYS)
+    merged = lambda part: {k: c for b in bundles for k, c in getattr(b, part).items()}
+    if windows := merged("windows"):
+        d = moving(d, max(b.back for b in bundles), lambda x: x.withColumns(windows))
+    averages = list(dict.fromkeys(a for b in bundles for a in b.averages))
+    d = recurrences(d, averages, KEYS) if averages else settle(d)
+    for frame in dict.fromkeys(f for b in bundles for f in b.frames):
+        d = frame(d)
+    late = merged("late") | ({f"entry_{c}": F.lead(c).over(by_time()) for c in ("ts", "open")} if entries else {})
+    if late:
+        d = moving(d, max(b.late_back for b in bundles) if bundles else 0, lambda x: x.withColumns(late), ahead=1 if entries else 0)
+    for b in bundles:
+        for name, column in b.columns.items():
+            d = d.withColumn(name, column)
+    return d
+
+
+def _shown(d: DataFrame, *hidden: str) -> DataFrame:
+    return d.drop("__at", "__chunk", *hidden)
+
+
+def candle() -> Bundle:
     """Anatomy of the closed bar; ratios are null without a range."""
     size, body = F.col("high") - F.col("low"), F.abs(F.col("close") - F.col("open"))
     upper, lower = F.col("high") - F.greatest("open", "close"), F.least("open", "close") - F.col("low")
-    w = Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(-4, 0)
-    return streaks(bars).select(
-        "*", size.alias("candle_range"), body.alias("candle_body"), upper.alias("candle_upperWick"), lower.alias("candle_lowerWick"), ratio(body, size).alias("candle_bodyRatio"),
-        ratio(upper, size).alias("candle_upperWickRatio"), ratio(lower, size).alias("candle_lowerWickRatio"), (F.col("close") > F.col("open")).cast("int").alias("candle_isBullish"), F.avg(size).over(w).alias("candle_avgRange5"),
+    return Bundle({"candle_avgRange5": F.avg(size).over(by_time().rowsBetween(-4, 0))}, 4, frames=(streaks,), columns={
+        "candle_range": size, "candle_body": body, "candle_upperWick": upper, "candle_lowerWick": lower, "candle_bodyRatio": ratio(body, size), "candle_upperWickRatio": ratio(upper, size),
+        "candle_lowerWickRatio": ratio(lower, size), "candle_isBullish": (F.col("close") > F.col("open")).cast("int"), "candle_consecutiveBullish": F.col("consecutive_bullish").cast("int"),
+        "candle_consecutiveBearish": F.col("consecutive_bearish").cast("int"),
+    })
+
+
+def volatility(fast: int = 14, slow: int = 50) -> Bundle:
+    """Average true ranges, their ratio, and the spans of the last bars."""
+    ranges = {f"volatility_range{n}": highest(n) - lowest(n) for n in (5, 15, 60)}
+    return Bundle(
+        {"__tr": true_range(), **ranges}, 59, (("volatility_atr", "__tr", fast, 1 / fast), ("volatility_atrSlow", "__tr", slow, 1 / slow)),
+        columns={"volatility_atrRegime": ratio("volatility_atr", "volatility_atrSlow"), "volatility_atrPercent": ratio(F.col("volatility_atr") * 10000, "close")},
+    )
+
+
+def trend(lag: int = 10) -> Bundle:
+    """Needs volatility_atr. Alignment is 1 or -1 if the three averages are in order, 0 if not."""
+    periods = (20, 50, 200)
+    mean = {n: F.col(f"trend_ema{n}") for n in periods}
+    a, b, c = mean.values()
+    return Bundle(
+        averages=tuple((f"trend_ema{n}", "close", n, 2 / (n + 1)) for n in periods), late={f"__was{n}": F.lag(f"trend_ema{n}", lag).over(by_time()) for n in periods}, late_back=lag,
+        columns={f"trend_slopeEma{n}": ratio((mean[n] - F.col(f"__was{n}")) / lag, "volatility_atr") for n in periods}
+        | {f"trend_distanceEma{n}Atr": ratio(F.col("close") - mean[n], "volatility_atr") for n in (20, 200)}
+        | {"trend_alignment": F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), F.when((a > b) & (b > c), 1).when((a < b) & (b < c), -1).otherwise(0))},
     )
 
 
+def vwap(tz: str) -> Bundle:
+    """Distance from the session's volume-weighted price; needs volatility_atr."""
+    return Bundle(frames=(lambda d: session_vwap(d, tz, "vwap_value"),), columns={
+        "vwap_distance": F.col("close") - F.col("vwap_value"), "vwap_distanceAtr": ratio("vwap_distance", "volatility_atr"), "vwap_side": F.signum("vwap_distance")
+    })
+
+
+def market(tz: str) -> Bundle:
+    """Of the running session and the one before; needs volatility_atr."""
+
+    def sessions(d: DataFrame) -> DataFrame:
+        before = daily(d, tz).select("instrument", "session_date", "prev_high", "prev_low", "prev_close")
+        return running_session(d, tz).join(before, ["instrument", "session_date"], "left")
+
+    span, opened = F.col("prev_high") - F.col("prev_low"), F.col("today_open")
+    return Bundle({"__volume60": sma("tick_volume", 60)}, 59, frames=(sessions,), columns={
+        "market_dailyOpen": opened, "market_gapPoints": opened - F.col("prev_close"), "market_gapAtr": ratio(opened - F.col("prev_close"), "volatility_atr"),
+        "market_distanceToOpenAtr": ratio(F.col("close") - opened, "volatility_atr"), "market_prevDayHigh": F.col("prev_high"), "market_prevDayLow": F.col("prev_low"),
+        "market_prevDayClose": F.col("prev_close"), "market_prevDayRange": span, "market_distanceToPrevHighAtr": ratio(F.col("close") - F.col("prev_high"), "volatility_atr"),
+        "market_distanceToPrevLowAtr": ratio(F.col("close") - F.col("prev_low"), "volatility_atr"), "market_dayRangeUsed": ratio(F.col("today_high") - F.col("today_low"), span),
+        "market_volume": F.col("tick_volume"), "market_relativeVolume": ratio("tick_volume", "__volume60"),
+    })
+
+
+def opening(tz: str, open_minute: int, range_minutes: int = 15) -> Bundle:
+    """Of the opening range of a session: what :func:`opening_session` follows, in average true ranges; all null before the open.
+    Needs volatility_atr."""
+    opened, mid = F.col("open_price").isNotNull(), (F.col("range_high") + F.col("range_low")) / 2
+    said = {
+        "minutesSinceOpen": F.col("m") - F.col("open_minute"), "openingRangeHigh": F.col("range_high"), "openingRangeLow": F.col("range_low"),
+        "openingRangeSizeAtr": ratio(F.col("range_high") - F.col("range_low"), "volatility_atr"), "openingRangeComplete": F.col("complete").cast("int"), "impulseDirection": F.col("impulse"),
+        "impulseSizeAtr": ratio("impulse_size", "volatility_atr"), "breakoutSide": F.col("breakout_side"), "minutesSinceBreakout": F.col("m") - F.col("breakout_minute"),
+        "excursionWithImpulseAtr": ratio("excursion_with", "volatility_atr"), "excursionAgainstImpulseAtr": ratio("excursion_against", "volatility_atr"),
+        "pullbackFromExtremeAtr": ratio("pullback", "volatility_atr"), "pullbackFraction": F.col("pullback_fraction"), "crossedBackOpen": F.col("cross_minute").isNotNull().cast("int"),
+        "minutesToOpenCross": F.col("minutes_to_cross"), "distanceToRangeMidAtr": ratio(F.col("close") - mid, "volatility_atr"),
+    }
+    return Bundle(frames=(lambda d: opening_session(d, tz, open_minute, range_minutes),), columns={f"nas100_{k}": F.when(opened, c) for k, c in said.items()})
+
+
+def candle_features(bars: DataFrame) -> DataFrame:
+    return _shown(together(bars, candle()))
+
+
 def volatility_features(bars: DataFrame, fast: int = 14, slow: int = 50) -> DataFrame:
-    d = atr(atr(bars, fast, "volatility_atr"), slow, "volatility_atrSlow")
-    d = d.withColumn("volatility_atrRegime", ratio("volatility_atr", "volatility_atrSlow")).withColumn("volatility_atrPercent", ratio(F.col("volatility_atr") * 10000, "close"))
-    for n in (5, 15, 60):
-        d = d.withColumn(f"volatility_range{n}", highest(n) - lowest(n))
-    return d
+    return _shown(together(bars, volatility(fast, slow)), "__tr")
 
 
-def trend_features(bars: DataFrame, lag: int = 10) -> DataFrame:
-    """Needs volatility_atr. Alignment is 1 or -1 if the three averages are in order, 0 if not."""
-    d = bars
-    for n in (20, 50, 200):
-        d = ema(d, n, name=f"trend_ema{n}")
-        w = Window.partitionBy(*KEYS).orderBy("ts")
-        before = F.lag(f"trend_ema{n}", lag).over(w)
-        d = d.withColumn(f"trend_slopeEma{n}", ratio((F.col(f"trend_ema{n}") - before) / lag, "volatility_atr"))
-    for n in (20, 200):
-        d = d.withColumn(f"trend_distanceEma{n}Atr", ratio(F.col("close") - F.col(f"trend_ema{n}"), "volatility_atr"))
-    a, b, c = (F.col(f"trend_ema{n}") for n in (20, 50, 200))
-    return d.withColumn("trend_alignment", F.when(a.isNotNull() & b.isNotNull() & c.isNotNull(), F.when((a > b) & (b > c), 1).when((a < b) & (b < c), -1).otherwise(0)))
-
-
-def vwap_features(bars: DataFrame, tz: str) -> DataFrame:
-    d = session_vwap(bars, tz, "vwap_value").withColumn("vwap_distance", F.col("close") - F.col("vwap_value"))
-    return d.withColumn("vwap_distanceAtr", ratio("vwap_distance", "volatility_atr")).withColumn("vwap_side", F.signum("vwap_distance"))
-
-
-def market_features(bars: DataFrame, daily: DataFrame, tz: str) -> DataFrame:
-    """Of the running session and the one before; ``daily`` has one row per session with prev_ columns."""
-    d = running_session(bars, tz)
-    day = daily.select("instrument", "session_date", "prev_high", "prev_low", "prev_close")
-    d = d.join(day, ["instrument", "session_date"], "left")
-    span = F.col("prev_high") - F.col("prev_low")
-    return d.select(
-        "*", F.col("today_open").alias("market_dailyOpen"), (F.col("today_open") - F.col("prev_close")).alias("market_gapPoints"), ratio(F.col("today_open") - F.col("prev_close"), "volatility_atr").alias("market_gapAtr"),
-        ratio(F.col("close") - F.col("today_open"), "volatility_atr").alias("market_distanceToOpenAtr"), F.col("prev_high").alias("market_prevDayHigh"), F.col("prev_low").alias("market_prevDayLow"),
-        F.col("prev_close").alias("market_prevDayClose"), span.alias("market_prevDayRange"), ratio(F.col("close") - F.col("prev_high"), "volatility_atr").alias("market_distanceToPrevHighAtr"),
-        ratio(F.col("close") - F.col("prev_low"), "volatility_atr").alias("market_distanceToPrevLowAtr"), ratio(F.col("today_high") - F.col("today_low"), span).alias("market_dayRangeUsed"),
-        F.col("tick_volume").alias("market_volume"), ratio("tick_volume", sma("tick_volume", 60)).alias("market_relativeVolume"),
-    )
+def market_features(bars: DataFrame, tz: str) -> DataFrame:
+    """``bars`` have volatility_atr."""
+    return _shown(together(bars, market(tz)), "__volume60")
 
 
 def opening_session(bars: DataFrame, tz: str, open_minute: int, range_minutes: int, minute: Column | None = None, date: Column | None = None) -> DataFrame:
@@ -112,8 +194,7 @@ def opening_session(bars: DataFrame, tz: str, open_minute: int, range_minutes: i
 
 def entry_rows(features: DataFrame) -> DataFrame:
     """Each closed bar with the bar that follows it: entry_ts and entry_open (null after the last)."""
-    w = Window.partitionBy(*KEYS).orderBy("ts")
-    return moving(features, 0, lambda d: d.withColumn("entry_ts", F.lead("ts").over(w)).withColumn("entry_open", F.lead("open").over(w)), ahead=1)
+    return moving(features, 0, lambda d: d.withColumns({f"entry_{c}": F.lead(c).over(by_time()) for c in ("ts", "open")}), ahead=1)
 
 
 def asof_previous(primary: DataFrame, other: DataFrame, columns: list[str], visible: str = "visible_from") -> DataFrame:

@@ -1,8 +1,7 @@
 """Indicators over bars, per instrument and in time order.
 
-Moving windows are window functions. Exponential recurrences s = a*s + b*x are computed as affine maps:
-inside a slice of time from zero, then carried from slice to slice (a handful of numbers per slice), so
-one long series is not one task. All are null until they have seen enough bars.
+Moving windows are window functions, to be run by ``ordered.moving`` so that one long series is not one task; exponential
+recurrences are scanned (``operators.scan``). All are null until they have seen enough bars.
 """
 
 from __future__ import annotations
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import local
 from ..session import settle
-from .ordered import by_chunk, carried, matched, sliced
+from .ordered import by_chunk, carried, matched, moving, placed, sliced
+from .scan import recurrences
 
 KEYS = ["instrument"]
 
@@ -50,62 +50,26 @@ def session_vwap(bars: DataFrame, tz: str, name: str = "vwap") -> DataFrame:
 def streaks(bars: DataFrame) -> DataFrame:
     """Consecutive bullish and bearish bars up to and with each bar; a bar without body ends both. The
     count is the distance from the last bar of another sign."""
+    d = bars if "__at" in bars.columns else settle(placed(bars, KEYS))
     sign = F.signum(F.col("close") - F.col("open"))
-    cut = settle(sliced(bars, "ts").withColumn("__sign", sign))
-    w = by_chunk(KEYS, ["ts"])
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = carried(cut.withColumn("__i", F.row_number().over(w)), KEYS, __n=(F.count("*"), "sum", F.lit(0)))
-    d = d.withColumn("__at", F.col("__n") + F.col("__i"))
-    for name, s in (("consecutive_bullish", 1), ("consecutive_bearish", -1)):
-        d = d.withColumn("__other", F.when(F.col("__sign") != s, F.col("__at")))
-        d = carried(d, KEYS, __last=(F.max("__other"), "max", F.lit(0)))
-        d = d.withColumn(name, F.col("__at") - F.coalesce(F.max("__other").over(up), "__last")).drop("__other", "__last")
-    return d.drop("__sign", "__i", "__n", "__at", "__chunk")
-
-
-def recurrence(df: DataFrame, value: str, name: str, n: int, alpha: float) -> DataFrame:
-    """``name``: the mean of the first n values at the n-th, then s + alpha * (x - s). In a slice of
-    length m the recurrence is an affine map: a**m times the carry plus what its own values give from
-    zero. The own part is a window sum of x * alpha / a**k in scaled form, slice by slice short enough
-    (SPAN bars) to keep its digits."""
-    a = 1 - alpha
-    span = max(8, min(512, int(200 / max(1e-9, -_ln(a))))) if a > 0 else 512
-    numbered = carried(sliced(df, "ts").withColumn("__i", F.row_number().over(by_chunk(KEYS, ["ts"]))), KEYS, __n=(F.count("*"), "sum", F.lit(0)))
-    d = settle(numbered.withColumn("__at", F.col("__n") + F.col("__i")).drop("__i", "__n", "__chunk"))  # read three times below
-    seed = d.filter(F.col("__at") <= n).groupBy(*KEYS).agg(F.when(F.count("*") == n, F.avg(value)).alias("__seed"))
-    d = matched(d, seed, KEYS, "left")
-    place = F.col("__at") - n  # 0 at the seed, then 1, 2, ...
-    d = d.withColumn("__k", place).withColumn("__block", F.when(place >= 1, F.floor((place - 1) / span)))
-    w = Window.partitionBy(*KEYS, "__block").orderBy("__k")
-    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = F.when(F.col("__k") >= 1, F.pmod(F.col("__k") - 1, F.lit(span)) + 1)
-    grown = F.pow(F.lit(a), -j)
-    d = d.withColumn("__j", j).withColumn("__own", F.sum(F.lit(alpha) * F.col(value) * grown).over(up) * F.pow(F.lit(a), F.col("__j")))
-    ends = d.filter("__block IS NOT NULL").groupBy(*KEYS, "__block").agg(F.max("__j").alias("__m"), F.max_by("__own", "__j").alias("__b"), F.first("__seed").alias("__s0"))
-    # the carry into each block: a fold over the (short) list of blocks of an instrument
-    fold = ends.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("__block", "__m", "__b"))).alias("__list"), F.first("__s0").alias("__s0"))
-    start = F.struct(F.array().cast("array<double>").alias("out"), F.col("__s0").alias("s"))
-    folded = F.aggregate("__list", start, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["s"])).alias("out"), (acc["s"] * F.pow(F.lit(a), x["__m"]) + x["__b"]).alias("s")))
-    carry = fold.select(*KEYS, F.posexplode(folded["out"]).alias("__block", "__carry")).withColumn("__block", F.col("__block").cast("long"))
-    d = matched(d, carry, [*KEYS, "__block"], "left")
-    out = F.when(F.col("__k") == 0, F.col("__seed")).when(F.col("__k") >= 1, F.pow(F.lit(a), F.col("__j")) * F.col("__carry") + F.col("__own"))
-    return d.withColumn(name, out).drop("__at", "__seed", "__k", "__block", "__j", "__own", "__carry")
-
-
-def _ln(x: float) -> float:
-    from math import log
-
-    return log(x)
+    sides = {"consecutive_bullish": 1, "consecutive_bearish": -1}
+    d = d.withColumns({f"__other{s}": F.when(sign != s, F.col("__at")) for s in sides.values()})
+    up = by_chunk(KEYS, ["ts"]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = d.withColumns({f"__here{s}": F.max(f"__other{s}").over(up) for s in sides.values()})
+    d = carried(here, KEYS, **{f"__last{s}": (F.max(f"__other{s}"), "max", F.lit(0)) for s in sides.values()})
+    d = d.withColumns({name: F.col("__at") - F.coalesce(F.col(f"__here{s}"), F.col(f"__last{s}")) for name, s in sides.items()})
+    return d.select(*bars.columns, *sides)
 
 
 def ema(df: DataFrame, n: int, value: str = "close", name: str | None = None) -> DataFrame:
     """Seeded with the simple mean of the first n values; weight 2 / (n + 1)."""
-    return recurrence(df, value, name or f"ema{n}", n, 2 / (n + 1))
+    return recurrences(df, [(name or f"ema{n}", value, n, 2 / (n + 1))], KEYS)
 
 
 def atr(df: DataFrame, n: int, name: str | None = None) -> DataFrame:
     """Wilder's average true range: weight 1 / n."""
-    return recurrence(df.withColumn("__tr", true_range()), "__tr", name or f"atr{n}", n, 1 / n).drop("__tr")
+    ranged = moving(placed(df, KEYS), 1, lambda d: d.withColumn("__tr", true_range()))
+    return recurrences(ranged, [(name or f"atr{n}", "__tr", n, 1 / n)], KEYS).drop("__tr", "__at", "__chunk")
 
 
 def buffered(bars: DataFrame, value: str, size: int) -> DataFrame:

@@ -47,6 +47,15 @@ def carried(df: DataFrame, groups: list[str], **parts: tuple[Column, str, Column
     return matched(df, per, [*groups, "__chunk"], "left")
 
 
+def placed(df: DataFrame, groups: list[str], ts: str = "ts") -> DataFrame:
+    """``df`` with ``__chunk`` and ``__at``, the place of each row in its group, from 1."""
+    if "__at" in df.columns:
+        return df
+    cut = df if "__chunk" in df.columns else sliced(df, ts)
+    d = carried(cut.withColumn("__i", F.row_number().over(by_chunk(groups, [ts]))), groups, __n=(F.count("*"), "sum", F.lit(0)))
+    return d.withColumn("__at", F.col("__n") + F.col("__i")).drop("__n", "__i")
+
+
 def equity(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
     """``df`` with ``i`` (0-based place in its group), ``equity`` (running sum) and ``peak`` (running
     maximum of it, at least 0), in the order of (ts, tie)."""
@@ -66,17 +75,31 @@ def moving(df: DataFrame, back: int, build: Callable[[DataFrame], DataFrame], ah
     """``build(df)`` for windows over at most ``back`` earlier and ``ahead`` later rows of a key, without a task per
     key. Rows are cut into slices of time, each slice borrows the rows next to it that its windows reach, and
     ``build`` sees key and slice together in the column ``key``; borrowed rows are dropped from what it returns.
-    ``build`` keeps the columns that it is given."""
-    cut = sliced(df, ts)
-    cut = cut.withColumn("__i", F.row_number().over(by_chunk([key], [ts])))
-    sizes = cut.groupBy(key, "__chunk").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.withColumn("__start", before)
-    spans = sizes.groupBy(key).agg(F.collect_list(F.struct("__chunk", "__start", (F.col("__start") + F.col("__n")).alias("__end"))).alias("__spans"))  # CHUNKS of a key at most
-    d = matched(matched(cut, sizes.drop("__n"), [key, "__chunk"]), spans, [key])
-    place = F.col("__start") + F.col("__i") - 1
-    reached = F.filter("__spans", lambda s: ((s["__chunk"] > F.col("__chunk")) & (s["__start"] <= place + back)) | ((s["__chunk"] < F.col("__chunk")) & (s["__end"] > place - ahead)))
+    ``build`` keeps the columns that it is given. Rows that are placed already (:func:`placed`) are not numbered again."""
+    d = placed(df, [key], ts)
+    sizes = d.groupBy(key, "__chunk").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    spans = sizes.groupBy(key).agg(F.collect_list(F.struct("__chunk", "__first", "__last")).alias("__spans"))  # CHUNKS of a key at most
+    d = matched(d, spans, [key])
+    reached = F.filter(
+        "__spans", lambda s: ((s["__chunk"] > F.col("__chunk")) & (s["__first"] <= F.col("__at") + back)) | ((s["__chunk"] < F.col("__chunk")) & (s["__last"] >= F.col("__at") - ahead))
+    )
     targets = F.concat(F.array("__chunk"), F.transform(reached, lambda s: s["__chunk"]))
     d = d.withColumn("__to", F.explode(targets)).withColumn("__borrowed", F.col("__to") != F.col("__chunk"))
     d = d.withColumn(key, F.struct(F.col(key).alias("name"), F.col("__to").alias("slice"))).select(*df.columns, "__borrowed")
     return build(d).filter(~F.col("__borrowed")).drop("__borrowed").withColumn(key, F.col(f"{key}.name"))
+
+
+def next_at(wanted: DataFrame, series: DataFrame, key: str, at: str, ts: str, found: str) -> DataFrame:
+    """``wanted`` with ``found``: the first ``ts`` of ``series`` at or after its time ``at``, null if there is none. Both are
+    stacked and looked through backwards inside slices of time; where a slice has none left, the head of a later one
+    counts."""
+    a = wanted.select(key, F.col(at).alias("__t"), F.lit(1).alias("__kind"), F.struct(*wanted.columns).alias("__row"))
+    b = series.select(key, F.col(ts).alias("__t"), F.lit(0).alias("__kind"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"))
+    d = sliced(a.unionByName(b), "__t").withColumn("__seen", F.when(F.col("__kind") == 0, F.col("__t")))
+    later = Window.partitionBy(key, "__chunk").orderBy(F.col("__t").desc(), "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("__here", F.min("__seen").over(later))
+    heads = d.groupBy(key, "__chunk").agg(F.min("__seen").alias("__head"))
+    after = Window.partitionBy(key).orderBy(F.col("__chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select(key, "__chunk", F.min("__head").over(after).alias("__beyond"))  # CHUNKS of a key at most
+    d = matched(d.filter("__kind = 1"), heads, [key, "__chunk"], "left")
+    return d.select(*(F.col(f"__row.{c}").alias(c) for c in wanted.columns), F.coalesce("__here", "__beyond").alias(found))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.calendar import local
 from .features import opening_session
 from .indicators import KEYS, true_range
+from .ordered import moving
 
 SIGNAL = ["instrument", "ts", "direction", "take_profit", "stop_loss", "max_hold", "rule_id"]
 
@@ -67,9 +68,10 @@ def range_fade(c: DataFrame, start: int = 180, end: int = 480, last: int = 1439,
 def opening_reversal(c: DataFrame, tz: str, minutes: int = 15, open_minute: int = 570, atr_period: int = 14, min_impulse: float = 0.5, pullback: tuple[float, float] = (0.5, 1.5), last: int = 780, tp: float = 50, sl: float = 25, hold: int = 180) -> DataFrame:
     """Fades the opening impulse once a pullback confirms it; the true range is a plain mean over the
     last bars that have a predecessor."""
-    w = Window.partitionBy(*KEYS).orderBy("ts").rowsBetween(-(max(2, atr_period) - 1), 0)
-    prev = F.lag("close").over(Window.partitionBy(*KEYS).orderBy("ts"))
-    d = c.withColumn("__tr", F.when(prev.isNotNull(), true_range())).withColumn("__atr", F.avg("__tr").over(w))
+    n = max(2, atr_period)
+    series = Window.partitionBy(*KEYS).orderBy("ts")
+    ranges = {"__tr": F.when(F.lag("close").over(series).isNotNull(), true_range())}
+    d = moving(c, n, lambda x: x.withColumns(ranges).withColumn("__atr", F.avg("__tr").over(series.rowsBetween(1 - n, 0))))
     d = opening_session(d, tz, open_minute, minutes, F.col("close_minute"), F.col("close_date"))
     hit = d.filter(
         F.col("complete") & (F.col("close_minute") <= last) & (F.col("impulse") != 0) & (F.col("__atr") > 0) & (F.col("impulse_size") >= min_impulse * F.col("__atr"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -16,18 +15,35 @@ from .plugins import Plugin, Plugins
 LEAST_WARMUP = 250
 
 
+def keys_of(namespace: str, names: str) -> tuple[str, ...]:
+    return tuple(f"{namespace}.{n}" for n in names.split())
+
+
+#: Variables of the feature plugins, by namespace (fixed values); those of time are the entry's own, see features.time_features.
+VARIABLES = {
+    "candle": "range body upperWick lowerWick bodyRatio upperWickRatio lowerWickRatio isBullish consecutiveBullish consecutiveBearish avgRange5",
+    "volatility": "atr atrSlow atrRegime atrPercent range5 range15 range60",
+    "trend": "ema20 ema50 ema200 distanceEma20Atr distanceEma200Atr slopeEma20 slopeEma50 slopeEma200 alignment",
+    "vwap": "value distance distanceAtr side",
+    "market": "dailyOpen gapPoints gapAtr distanceToOpenAtr prevDayHigh prevDayLow prevDayClose prevDayRange distanceToPrevHighAtr distanceToPrevLowAtr dayRangeUsed volume relativeVolume",
+    "nas100": "minutesSinceOpen openingRangeHigh openingRangeLow openingRangeSizeAtr openingRangeComplete impulseDirection impulseSizeAtr breakoutSide minutesSinceBreakout "
+    "excursionWithImpulseAtr excursionAgainstImpulseAtr pullbackFromExtremeAtr pullbackFraction crossedBackOpen minutesToOpenCross distanceToRangeMidAtr",
+}
+
+
 def builtin_plugins(ins: Instrument, minutes: int = 1) -> Plugins:
-    """F1-F7 and E1-E6 for an instrument and a length of bars. Samplers are off unless enabled."""
-    tz = ins.session_timezone
-    market = lambda b: features.market_features(b, bar_ops.daily(b, tz), tz)
-    vol = ("volatility.atr", "volatility.atrSlow", "volatility.atrRegime", "volatility.atrPercent", "volatility.range5", "volatility.range15", "volatility.range60")
+    """F2-F7 and E1-E6 for an instrument and a length of bars (F1, the entry's calendar, needs no plugin). Samplers are off
+    unless enabled."""
+    tz, atr = ins.session_timezone, ("volatility.atr",)
+    feature = lambda plugin, space, bundle, requires=(), **more: Plugin(plugin, "1.0.0", "feature", None, keys_of(space, VARIABLES[space]), requires, bundle=bundle, **more)
     own = Plugins()
     for p in (
-        Plugin("core-candle", "1.0.0", "feature", lambda b: features.candle_features(b), ("candle.range", "candle.bodyRatio", "candle.isBullish", "candle.avgRange5"), warmup=5),
-        Plugin("core-volatility", "1.0.0", "feature", lambda b, fast=14, slow=50: features.volatility_features(b, fast, slow), vol, config={"fast": 14, "slow": 50}, warmup=50),
-        Plugin("core-trend", "1.0.0", "feature", lambda b, lag=10: features.trend_features(b, lag), ("trend.ema20", "trend.ema50", "trend.ema200", "trend.alignment", "trend.distanceEma20Atr", "trend.distanceEma200Atr"), ("volatility.atr",), {"lag": 10}, warmup=210),
-        Plugin("core-vwap", "1.0.0", "feature", lambda b: features.vwap_features(b, tz), ("vwap.value", "vwap.distance", "vwap.distanceAtr", "vwap.side"), ("volatility.atr",)),
-        Plugin("core-market", "1.0.0", "feature", market, ("market.gapPoints", "market.prevDayRange", "market.dayRangeUsed", "market.relativeVolume"), ("volatility.atr",), warmup=60),
+        feature("core-candle", "candle", features.candle, warmup=5),
+        feature("core-volatility", "volatility", features.volatility, config={"fast": 14, "slow": 50}, warmup=50),
+        feature("core-trend", "trend", features.trend, atr, config={"lag": 10}, warmup=210),
+        feature("core-vwap", "vwap", lambda: features.vwap(tz), atr),
+        feature("core-market", "market", lambda: features.market(tz), atr, warmup=60),
+        feature("opening-session", "nas100", lambda **k: features.opening(tz, **k), atr, config={"open_minute": ins.open_minute, "range_minutes": 15}),
         Plugin("entry-time-of-day", "1.0.0", "entry", lambda c, **k: rules.time_of_day(c, **k), config={"minute": 570}),
         Plugin("entry-scalp-sampler", "1.0.0", "entry", lambda c, **k: rules.scalp_sampler(c, **k), enabled=False),
         Plugin("entry-opening-range-breakout", "1.0.0", "entry", lambda c, **k: rules.opening_range_breakout(c, **k), config={"minutes": 15, "open_minute": ins.open_minute}),
@@ -81,7 +97,7 @@ def load(plugins: Plugins, manifests: list[Mapping], builders: Mapping[str, Call
             on = m.get("enabled", True)
             if on and m["id"] not in builders:
                 raise PluginError(f"{m['id']} has no code")
-            build = partial(builders[m["id"]]) if on else (lambda b, **k: b)
+            build = builders[m["id"]] if on else (lambda b, **k: b)
             plugins.add(Plugin(m["id"], m["version"], m["kind"], build, tuple(m.get("provides") or ()), tuple(m.get("requires") or ()), dict(m.get("config") or {}), on, int(m.get("warmup") or 0)))
         except LabError as error:
             if not tolerant:

@@ -17,17 +17,19 @@ from ..model import is_variable_key
 @dataclass(frozen=True)
 class Plugin:
     """``build`` maps bars (with the columns of required plugins) to bars with more columns, or to
-    signals for the kind ``entry``."""
+    signals for the kind ``entry``. A feature plugin may give a ``bundle`` instead: what it asks of the pass over the bars
+    that all such plugins share (operators.features)."""
 
     id: str
     version: str
     kind: str  # feature or entry
-    build: Callable[..., DataFrame]
+    build: Callable[..., DataFrame] | None = None
     provides: tuple[str, ...] = ()
     requires: tuple[str, ...] = ()
     config: dict = field(default_factory=dict)
     enabled: bool = True
     warmup: int = 0  # bars that it needs before it can be used
+    bundle: Callable[..., object] | None = None
 
 
 def stable_json(value) -> str:
@@ -45,6 +47,8 @@ class Plugins:
             raise ValidationError(f"bad id or version: {plugin.id} {plugin.version}")
         if plugin.id in self._items:
             raise PluginError(f"{plugin.id} is registered already")
+        if not plugin.build and not plugin.bundle:
+            raise PluginError(f"{plugin.id} has nothing to run")
         bad = [k for k in plugin.provides if not is_variable_key(k)]
         owners = {k: p.id for p in self._items.values() for k in p.provides}
         clash = [k for k in plugin.provides if k in owners]
@@ -86,12 +90,6 @@ class Plugins:
                 n.discard(ready[0])
         return out
 
-    def features(self, bars: DataFrame, **overrides: dict) -> DataFrame:
-        """All feature plugins over ``bars``, defaults merged with overrides by id."""
-        for p in self.ordered("feature"):
-            bars = p.build(bars, **{**p.config, **overrides.get(p.id, {})})
-        return bars
-
     def version(self) -> str:
         """16 hex digits that name the set of features."""
         return hashlib.sha256(stable_json([[p.id, p.version, list(p.provides)] for p in self.ordered()]).encode()).hexdigest()[:16]

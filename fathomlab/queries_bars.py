@@ -172,7 +172,7 @@ SELECT instrument, ts, entry_ts, round(atr / nullif(slow, 0), 4) + 0.0 AS volati
 def f345(spark, sf_dir) -> DataFrame:
     """Volatility, trend and VWAP features of every bar, with the bar at which they are used."""
     b = bars_h1(spark, sf_dir)
-    d = features.entry_rows(features.vwap_features(features.trend_features(features.volatility_features(b)), "UTC"))
+    d = features.together(b, features.volatility(), features.trend(), features.vwap("UTC"), entries=True)
     shown = lambda c, k: (F.round(c, k) + 0.0).alias(c)
     return d.select(
         "instrument", "ts", "entry_ts", shown("volatility_atrRegime", 4), shown("volatility_atrPercent", 2), shown("volatility_range60", 4), shown("trend_distanceEma200Atr", 4), shown("trend_slopeEma20", 4),
@@ -183,7 +183,7 @@ def f345(spark, sf_dir) -> DataFrame:
 @query("f6_market", f"WITH {H1}, {DAILY}, p AS (SELECT instrument, session_date, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM d WINDOW w AS (PARTITION BY instrument ORDER BY session_date)), r AS (SELECT *, CAST(ts AS DATE) AS session_date, first(open) OVER w AS o, max(high) OVER w AS th, min(low) OVER w AS tl FROM h WINDOW w AS (PARTITION BY instrument, CAST(ts AS DATE) ORDER BY ts ROWS UNBOUNDED PRECEDING)) SELECT r.instrument, ts, round(o - pc, 6) AS market_gapPoints, round(ph - pl, 6) AS market_prevDayRange, round(CASE WHEN ph > pl THEN (th - tl) / (ph - pl) END, 6) AS market_dayRangeUsed FROM r LEFT JOIN p ON p.instrument = r.instrument AND p.session_date = r.session_date")
 def f6(spark, sf_dir) -> DataFrame:
     b = bars_h1(spark, sf_dir).withColumn("volatility_atr", F.lit(None).cast("double"))
-    return features.market_features(b, ops.daily(b, "UTC"), "UTC").select("instrument", "ts", *r6("market_gapPoints", "market_prevDayRange", "market_dayRangeUsed"))
+    return features.market_features(b, "UTC").select("instrument", "ts", *r6("market_gapPoints", "market_prevDayRange", "market_dayRangeUsed"))
 
 
 @query("f7_opening_session", f"""WITH {H1}, a AS (SELECT *, CAST(ts AS DATE) AS s, hour(ts) * 60 AS m FROM h), o AS (SELECT instrument, s, min(m) AS om, arg_min(open, ts) AS op FROM a WHERE m >= 540 GROUP BY 1, 2),

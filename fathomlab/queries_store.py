@@ -69,6 +69,28 @@ def json_bars(spark, sf_dir) -> DataFrame:
     return good.unionByName(bad.select("error", "n", F.lit(None).cast("double").alias("total"), F.lit(None).cast("timestamp_ntz").alias("last_ts")))
 
 
+@query("k2_import_files", f"""WITH {H1}, one AS (SELECT *, 1 AS line FROM h WHERE instrument = (SELECT min(instrument) FROM h))
+SELECT instrument, ts, open, close, count(*) OVER () AS n, (SELECT count(*) FROM one) * 2 + 1 AS n_read, (SELECT count(*) FROM one) AS n_rejected_or_known, 1 AS n_bad, true AS known_again FROM one""")
+def import_files(spark, sf_dir) -> DataFrame:
+    """A file in which each bar is repeated with other prices, and one line is wrong: the first line of a key stays, the import is
+    a batch with its counts, and the same content is recognised the second time."""
+    from .operators.catalog import Catalog
+    from .sources.bar_files import import_bars
+
+    bars = bars_h1(spark, sf_dir)
+    name = bars.agg(F.min("instrument")).first()[0]
+    text = lambda shift: F.concat_ws(",", F.date_format("ts", "yyyy.MM.dd"), F.date_format("ts", "HH:mm:ss"), *(F.col(c) + shift for c in ("open", "high", "low", "close")), F.lit("1"), F.lit("0"), F.lit("1"))
+    lines = bars.filter(F.col("instrument") == name).select(F.explode(F.array(F.struct(F.lit(0).alias("k"), text(0).alias("line")), F.struct(F.lit(1).alias("k"), text(-50).alias("line")))).alias("x"), "ts").select("x.*", "ts")
+    wrong = spark.createDataFrame([(2, "2099.01.01,00:00:00,1,x,1,1,1,0,1")], "k int, line string").withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    path, store = scratch(spark, "import-in"), scratch(spark, "import-store")
+    lines.unionByName(wrong).repartition(1).sortWithinPartitions("k", F.col("ts").desc()).select("line").write.text(path)
+    catalog = Catalog(spark, scratch(spark, "import-catalog"))
+    first, again = (import_bars(spark, path, store, name, "H1", catalog=catalog) for _ in range(2))
+    counts = [F.lit(v).cast("long" if isinstance(v, int) else "boolean").alias(k) for k, v in {"n_read": first.read, "n_rejected_or_known": first.duplicates, "n_bad": first.rejected}.items()]
+    stored = spark.read.parquet(store)
+    return stored.select("instrument", "ts", "open", "close", F.lit(first.inserted).cast("long").alias("n"), *counts, F.lit(again.repeated == first.batch).alias("known_again"))
+
+
 @query("k1_insert_new", f"""WITH {H1} SELECT instrument, ts, close FROM h WHERE hour(ts) >= 12""")
 def insert_new(spark, sf_dir) -> DataFrame:
     """An import that repeats stored bars and itself adds only what is not stored."""
@@ -270,10 +292,32 @@ def _live(spark, sf_dir, name: str, make) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-@query("st1_live_resample", f"WITH {H1}, w AS (SELECT instrument, make_timestamp((epoch_us(ts) // 14400000000) * 14400000000) AS ts, arg_min(open, ts) AS open, max(high) AS high, arg_max(close, ts) AS close, sum(tick_volume) AS tick_volume, max(spread) AS spread, count(*) AS bar_count FROM h GROUP BY 1, 2) SELECT * FROM w WHERE ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM h) - INTERVAL 10 MINUTE")
+#: Bars with a spread that differs from hour to hour.
+H1_SPREAD = H1.replace("1.0::DOUBLE AS spread", "CAST(1 + (hour(date_trunc('hour', ts)) * 7) % 5 AS DOUBLE) AS spread")
+
+
+def _with_spread(b: DataFrame) -> DataFrame:
+    return b.withColumn("spread", (1 + (F.hour("ts") * 7) % 5).cast("double"))
+
+
+def _live_sql(day: str, closed: str) -> str:
+    return f"""WITH {H1_SPREAD}, w AS (SELECT instrument, {day}, arg_min(open, ts) AS open, max(high) AS high, arg_max(close, ts) AS close, sum(tick_volume) AS tick_volume,
+  arg_max(spread, ts) AS spread, count(*) AS bar_count FROM h GROUP BY ALL) SELECT instrument, ts, open, high, close, tick_volume, spread, bar_count FROM w WHERE {closed}"""
+
+
+@query("st1_live_resample", _live_sql("make_timestamp((epoch_us(h.ts) // 14400000000) * 14400000000) AS ts", "ts + INTERVAL 4 HOUR <= (SELECT max(ts) FROM h) - INTERVAL 10 MINUTE"))
 def live_resample(spark, sf_dir) -> DataFrame:
     """Closed four-hour bars of a stream: those that the watermark has passed."""
-    return _live(spark, sf_dir, "resample", lambda b: live_bars.resample_stream(b, "H4")).select("instrument", "ts", "open", "high", "close", "tick_volume", "spread", "bar_count")
+    return _live(spark, sf_dir, "resample", lambda b: live_bars.resample_stream(_with_spread(b), "H4")).select("instrument", "ts", "open", "high", "close", "tick_volume", "spread", "bar_count")
+
+
+NY_DAY = "CAST(timezone('America/New_York', timezone('UTC', h.ts)) AS DATE)"
+
+
+@query("st1_live_days", _live_sql(f"{NY_DAY} AS d, min(h.ts) AS ts", f"d + INTERVAL 1 DAY <= (SELECT max(timezone('America/New_York', timezone('UTC', h.ts))) FROM h) - INTERVAL 10 MINUTE"))
+def live_days(spark, sf_dir) -> DataFrame:
+    """Closed days of the market, of a stream."""
+    return _live(spark, sf_dir, "days", lambda b: live_bars.resample_stream(_with_spread(b), "D1", tz="America/New_York")).select("instrument", "ts", "open", "high", "close", "tick_volume", "spread", "bar_count")
 
 
 @query("st2_live_session", ORACLE_BARS["g13_running_session"])

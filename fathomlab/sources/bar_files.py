@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 from ..functions.calendar import local, parse_naive, to_utc, zone
 from ..model import BAR_KEY, BAR_SCHEMA
@@ -75,9 +76,8 @@ def _checked(bars: DataFrame) -> DataFrame:
     return bars.withColumn("error", F.when(F.col("ts").isNull(), "bad date").when(missing, "bad price").when(outside, "prices outside low..high"))
 
 
-def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC", start: str | None = None, end: str | None = None, delimiter: str | None = None) -> BarRead:
-    """Typed bars of [start, end) in UTC, and the rows that are wrong: a date that is none, a price that
-    is missing, or prices outside low..high."""
+def _parser(spark: SparkSession, path: str, tz: str, delimiter: str | None) -> Callable[[DataFrame], DataFrame]:
+    """What turns lines (column ``line``, others are kept) into checked bars, by the first line at ``path``."""
     head = peek(spark, path, 1)
     line = head[0] if head else ""
     sep = delimiter or detect_delimiter(line)
@@ -87,11 +87,6 @@ def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str =
     width = max(len(names), len(POSITIONS))
     schema = ", ".join(f"c{k} string" for k in range(width))
     options = {"sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-
-    def typed(lines: DataFrame) -> DataFrame:
-        rows = lines.filter((F.trim("line") != "") & ((F.col("line") != F.lit(line)) if header else F.lit(True))).withColumn("__c", F.from_csv("line", schema, options)).select(*lines.columns, "__c.*")
-        return rows.filter(F.coalesce(*(F.nullif(F.col(f"c{k}"), F.lit("")) for k in range(width))).isNotNull())
-
     text = lambda c: F.col(f"c{places[c]}") if c in places else F.lit(None).cast("string")
     if "datetime" in places:
         whole = F.split(F.trim(text("datetime")), r"[ T]", 2)
@@ -99,18 +94,29 @@ def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str =
     else:
         when = parse_naive(text("date"), text("time"))
 
-    def checked(lines: DataFrame) -> DataFrame:
-        return _checked(typed(lines).select(
+    def parse(lines: DataFrame) -> DataFrame:
+        rows = lines.filter((F.trim("line") != "") & ((F.col("line") != F.lit(line)) if header else F.lit(True))).withColumn("__c", F.from_csv("line", schema, options)).select(*lines.columns, "__c.*")
+        rows = rows.filter(F.coalesce(*(F.nullif(F.col(f"c{k}"), F.lit("")) for k in range(width))).isNotNull())
+        return _checked(rows.select(
             *lines.columns, to_utc(when, zone(tz)).alias("ts"), *(number(text(c)).alias(c) for c in PRICES), *(F.coalesce(number(text(c)), F.lit(0.0)).alias(c) for c in EXTRAS),
         ))
 
-    bars = checked(spark.read.text(path).withColumnRenamed("value", "line"))
-    good = bars.filter("error IS NULL").select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), "ts", *PRICES, *EXTRAS)
+    return parse
+
+
+def _in_range(bars: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start:
-        good = good.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
-    if end:
-        good = good.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz"))
-    return BarRead(good, checked(numbered_lines(spark, path)).filter("error IS NOT NULL").select("file", "number", "line", "error"))
+        bars = bars.filter(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    return bars.filter(F.col("ts") < F.lit(end).cast("timestamp_ntz")) if end else bars
+
+
+def read_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC", start: str | None = None, end: str | None = None, delimiter: str | None = None) -> BarRead:
+    """Typed bars of [start, end) in UTC, and the rows that are wrong: a date that is none, a price that
+    is missing, or prices outside low..high."""
+    parse = _parser(spark, path, tz, delimiter)
+    bars = parse(spark.read.text(path).withColumnRenamed("value", "line"))
+    good = bars.filter("error IS NULL").select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), "ts", *PRICES, *EXTRAS)
+    return BarRead(_in_range(good, start, end), parse(numbered_lines(spark, path)).filter("error IS NOT NULL").select("file", "number", "line", "error"))
 
 
 def read_json_bars(spark: SparkSession, path: str, instrument: str, timeframe: str = "M1", tz: str = "UTC") -> BarRead:
@@ -180,31 +186,54 @@ class ImportSummary:
     first: object
     last: object
     file_hash: str
+    batch: str | None = None
+    repeated: str | None = None  # the finished batch that had the same content
 
 
 def file_hash(spark: SparkSession, path: str) -> str:
-    """SHA-256 over the SHA-256 of each file at ``path``, in the order of their names."""
-    each = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "h"))), lambda x: x["h"]), ","), 256)).first()[0]
+    """A fingerprint of the content at ``path``, whatever its size: sums over all lines of two 64-bit hashes of line and
+    line number, per file, and SHA-256 of these in order."""
+    lines = numbered_lines(spark, path)
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "number", "line").cast("decimal(38,0)"))
+    each = lines.groupBy("file").agg(F.concat_ws(":", F.count("*"), wide(1), wide(2), F.bit_xor(F.xxhash64(F.lit(3), "number", "line"))).alias("h"))
+    return each.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256)).first()[0]
 
 
-def import_bars(spark: SparkSession, path: str, store: str, instrument: str, **options) -> ImportSummary:
+def import_bars(spark: SparkSession, path: str, store: str, instrument: str, timeframe: str = "M1", tz: str = "UTC", start: str | None = None, end: str | None = None, delimiter: str | None = None, catalog=None) -> ImportSummary:
     """Append the bars of a file that the store (Parquet, by instrument and timeframe) lacks. Safe to
-    repeat: the first bar per key stays."""
-    found = read_bars(spark, path, instrument, **options)
-    w = Window.partitionBy(*BAR_KEY).orderBy(*PRICES)
-    unique = found.good.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    repeat: the first line of a key stays, and a stored bar before any line.
+
+    With a ``catalog`` (see operators.catalog) the import is a batch: content that a finished batch had is recognised
+    before a line is parsed and nothing is read; else the batch starts, and it finishes with what was counted. Counts are
+    observed in the pass that writes, so rows are parsed once; lines are parsed again only to name errors, if there are any."""
+    content = file_hash(spark, path)
+    before = catalog.batch_by_hash(content) if catalog else None
+    if before:
+        return ImportSummary(0, 0, 0, 0, 0, None, None, content, None, before)
+    batch = catalog.start_batch(path, content) if catalog else None
+    parse = _parser(spark, path, tz, delimiter)
+    place = ["__file", "__split", "__line"]  # lines of a split have ascending ids
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__line"), F.col("value").alias("line")
+    )
+    seen, added = Observation(), Observation()
+    good = F.col("error").isNull()
+    bars = parse(lines).observe(
+        seen, F.count("*").alias("read"), F.count_if(good).alias("accepted"), F.min(F.when(good, F.col("ts"))).alias("first"), F.max(F.when(good, F.col("ts"))).alias("last")
+    )
+    bars = _in_range(bars.filter(good), start, end).select(F.lit(instrument).alias("instrument"), F.lit(timeframe).alias("timeframe"), "ts", *PRICES, *EXTRAS, *place)
+    w = Window.partitionBy(*BAR_KEY).orderBy(*place)
+    fresh = bars.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n", *place)
     try:
-        existing = spark.read.schema(unique.schema).parquet(store).select(*BAR_KEY)
-        fresh = unique.join(existing, BAR_KEY, "left_anti").select(*unique.columns)
+        existing = spark.read.schema(fresh.schema).parquet(store).select(*BAR_KEY)
+        fresh = fresh.join(existing, BAR_KEY, "left_anti").select(*fresh.columns)
     except Exception as error:  # no store yet
         if "PATH_NOT_FOUND" not in str(error):
             raise
-        fresh = unique
-    totals = found.good.agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last")).first()
-    rejected = found.bad.count()
-    fresh = fresh.persist()
-    inserted = fresh.count()
-    fresh.write.mode("append").partitionBy("instrument", "timeframe").parquet(store)
-    fresh.unpersist()
-    return ImportSummary(totals["n"] + rejected, totals["n"], rejected, inserted, totals["n"] - inserted, totals["first"], totals["last"], file_hash(spark, path))
+    fresh.observe(added, F.count("*").alias("inserted")).write.mode("append").partitionBy("instrument", "timeframe").parquet(store)
+    total, inserted = seen.get, added.get["inserted"]
+    rejected = total["read"] - total["accepted"]
+    if batch:
+        wrong = parse(numbered_lines(spark, path)).filter("error IS NOT NULL").orderBy("file", "number").limit(100).collect() if rejected else []
+        catalog.finish_batch(batch, total["accepted"], rejected, [f"{r['number']}: {r['error']}" for r in wrong])
+    return ImportSummary(total["read"], total["accepted"], rejected, inserted, total["accepted"] - inserted, total["first"], total["last"], content, batch)

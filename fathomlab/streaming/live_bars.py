@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..errors import ValidationError
 from ..functions.calendar import local
 from ..model import BAR_SCHEMA, TIMEFRAMES
 
@@ -18,19 +19,25 @@ def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(BAR_SCHEMA).parquet(folder)
 
 
-def resample_stream(bars: DataFrame, timeframe: str, late: str = "10 minutes") -> DataFrame:
+def resample_stream(bars: DataFrame, timeframe: str, late: str = "10 minutes", tz: str | None = None) -> DataFrame:
     """Closed bars of a longer timeframe: a bucket is given out once the watermark passes its end. Bars
-    that repeat a key within the watermark count once."""
-    minutes = TIMEFRAMES[timeframe]
-    d = bars.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["instrument", "timeframe", "ts"])
+    that repeat a key within the watermark count once; the spread is that of the last bar. D1 is the market's day and
+    needs its zone ``tz``: time and watermark are then those of the market's clock, and a day carries the time of its first bar."""
+    daily = timeframe == "D1"
+    if daily and not tz:
+        raise ValidationError("D1 is a day of the market: give its time zone")
+    clock = local(F.col("ts"), tz) if daily else F.col("ts")
+    d = bars.withColumn("at", clock.cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(["instrument", "timeframe", "ts"])
     return (
-        d.groupBy("instrument", F.window("at", f"{minutes} minutes"))
+        d.groupBy("instrument", F.window("at", f"{TIMEFRAMES[timeframe]} minutes"))
         .agg(
-            F.min_by("open", "at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "at").alias("close"), F.sum("tick_volume").alias("tick_volume"),
-            F.sum("volume").alias("volume"), F.max("spread").alias("spread"), F.count("*").alias("bar_count"),
+            F.min("ts").alias("first_ts"), F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"),
+            F.sum("tick_volume").alias("tick_volume"), F.sum("volume").alias("volume"), F.max_by("spread", "ts").alias("spread"), F.count("*").alias("bar_count"),
         )
-        .select("instrument", F.col("window.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "tick_volume", "volume", "spread", "bar_count")
-    )
+        .select(
+            "instrument", (F.col("first_ts") if daily else F.col("window.start").cast("timestamp_ntz")).alias("ts"), "open", "high", "low", "close", "tick_volume", "volume", "spread", "bar_count"
+        )
+    )
 
 
 def session_stream(bars: DataFrame, tz: str, late: str = "10 minutes", idle: str = "36 hours") -> DataFrame:
