@@ -18,14 +18,11 @@ weights, and 0.004 at LEAST.
 
 Buckets never emit all their pairs. Exact copies are one node. In each bucket every node is compared
 with the one whose buckets hold the most nodes (of near copies, likely the original); similar ones are
-connected, and connected components are contracted. Buckets that hold several components then go on.
-Nodes outside a bucket's largest component are its strays. Up to FULL strays (MORE in sub-buckets) are
-compared with every node of another component. A bucket with more strays compares each with
-REPRESENTATIVES nodes of the largest component, and is split by further bands: its sub-buckets are the
-nodes that share another band too, in as many ways as SPLITS says for the level. So the comparisons of a node do not grow with its group, and what may go unseen is a
-link of a stray in a crowded bucket to a node that none of its sub-buckets puts first; measured on a group
-of 5,000 copies with random edits, 15 of the 4,405 nodes that have a link. A comparison is the exact similarity of the two
-whole texts.
+connected, and connected components are contracted. Buckets that still hold several components go through tiles (see
+:mod:`.ngram_join`): blocks of nodes by weight, each two in a task, which compares parity bitmaps of nodes of
+different components and gives out the pairs whose bound allows 0.8, the FIRST nearest of a node and another component at once,
+more in the next round, until none is left. So no link of two nodes that share a bucket is lost. A comparison is the exact
+similarity of the two whole texts.
 
 Defined results: a text of one to four words is one shingle; texts without words (nulls too) and
 rows whose doc_id is null form their own group; rows that repeat a doc_id are copies if their texts
@@ -41,7 +38,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import BROADCAST_ROWS, join_counted, settle
+from .components import components
+from .ngram_join import bitmaps, tiles
+from .shared import join_counted, settle
 from .sketch import cell_counts
 from .textops import IS_SPACE, Text, mix, powers, scramble, slices, windows
 
@@ -52,12 +51,10 @@ SKETCH = 1 << 20
 #: Weights lie between 1 and 2, so a pair that is near by occurrences alone has at least LEAST of the weights.
 LEAST = THRESHOLD / (THRESHOLD + 2 * (1 - THRESHOLD))
 SMALL_WEIGHT, FEW_SHINGLES = 450.0, 256
-#: Strays of a bucket, and of a sub-bucket, that are compared with every node of another component.
-FULL, MORE = 8, 2
-#: Nodes that strays of a crowded bucket are compared with, and sub-buckets of each member on each level.
-REPRESENTATIVES, SPLITS = 3, (2, 1, 1, 1)
-#: Partitions of a result that was counted and is small.
-FEW_PARTS = 8
+#: Bits of a bitmap for each shingle.
+BITS = 8
+#: Pairs of a node with one other component that a round checks, and by what the next one multiplies them.
+FIRST, GROWTH = 8, 32
 _SALT = np.uint64(0x8F1BBCDC5A827999)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 _FIELD = np.uint64(4095)
@@ -144,11 +141,19 @@ def _least(value: np.ndarray, ident: np.ndarray, first: np.ndarray, group: np.nd
     return np.maximum.reduceat(np.where(value == least[group], ident, np.uint64(0)), first)
 
 
-def signatures(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, HASHES sample identities of each, and the rows' text keys. A row of middle weight
-    has both kinds of signature."""
+def signatures(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Row numbers, HASHES sample identities of each, and the rows' text keys, weights and parity bitmaps. A row of
+    middle weight has both kinds of signature. In a bitmap the k-th occurrence of a shingle is an element of its own, so
+    two differ in no more bits than the texts' multisets in elements; BITS bits an element make that a close bound."""
     row, named, count, size, key = shingles(column)
-    return *_signatures(row, named, count * idf[cell(named)], len(size)), key
+    weight = count * idf[cell(named)]
+    every = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        element = mix(named[every] + nth.astype(np.uint64) * _K)
+    packed, at = bitmaps(row[every], element, BITS * np.bincount(row, count, minlength=len(size)).astype(np.int64))
+    maps = [packed[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+    return *_signatures(row, named, weight, len(size)), key, np.bincount(row, weight, minlength=len(size)), maps
 
 
 def _signatures(row: np.ndarray, named: np.ndarray, weight: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +214,12 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return best
 
 
+def may_be_near(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether texts of these weights that differ in so many shingles at least can reach THRESHOLD. A shingle weighs at least
+    1, so what they share weighs (a + b - differ) / 2 at most, in either measure; half a millionth allows for sums of floats."""
+    return (a + b - differ) * (1 + 1e-6) >= THRESHOLD * (a + b + differ)
+
+
 def text_keys(docs: DataFrame) -> DataFrame:
     """doc_id, n_words and ``node``, the key of the whole word sequence."""
 
@@ -222,11 +233,11 @@ def text_keys(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
-    """node, kind (of the signature), bands: the band keys of every text, once each."""
+    """node, kind (of the signature), bands, weight, bits: the band keys of every text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, got, key = signatures(batch.column(0), idf.value)
+            rows, got, key, weight, maps = signatures(batch.column(0), idf.value)
             if not len(rows):
                 continue
             folded = np.zeros((len(rows), BANDS), np.uint64)
@@ -237,9 +248,11 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
             kind = np.zeros(len(rows), np.int32)
             kind[1:][rows[1:] <= rows[:-1]] = 1  # rows ascend within a kind
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(folded.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(np.maximum.accumulate(kind)), bands], ["node", "kind", "bands"])
+            bits = pa.array([maps[r] for r in rows.tolist()], pa.binary())
+            columns = [pa.array(key[rows].view(np.int64)), pa.array(np.maximum.accumulate(kind)), bands, pa.array(weight[rows]), bits]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "kind", "bands", "weight", "bits"])
 
-    return docs.select("text").mapInArrow(run, "node long, kind int, bands array<long>").dropDuplicates(["node", "kind"])
+    return docs.select("text").mapInArrow(run, "node long, kind int, bands array<long>, weight double, bits binary").dropDuplicates(["node", "kind"])
 
 
 def _own(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -276,71 +289,6 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, idf) -> DataF
     return settle(both.mapInArrow(run, "a long, b long"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: connected components, labelled by their least node. Labels spread along edges and
-    jump to their label's label, so the rounds needed grow with the logarithm of a path's length. Few
-    labels (counted once) are broadcast and kept in few partitions."""
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    few = labels.count() <= BROADCAST_ROWS
-    near_by, kept = (F.broadcast, lambda df: settle(df.coalesce(FEW_PARTS))) if few else (lambda df: df, settle)
-    if few:
-        both, labels = settle(both.coalesce(FEW_PARTS)), kept(labels)
-    while True:
-        near = both.join(near_by(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = kept(
-            labels.join(near_by(jump), "label", "left")
-            .join(near_by(near), "node", "left")
-            .select("node", F.least("label", F.coalesce("far", "label"), F.coalesce("near", "label")).alias("new"), "label")
-        )
-        changed = not new.filter("new <> label").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if not changed:
-            return labels
-
-
-def _several(members: DataFrame) -> DataFrame:
-    """The members (bucket, node, label, fame ...) of buckets with several labels, with the label that most
-    nodes have (``largest``) and the number of other nodes (``strays``)."""
-    sizes = members.groupBy("bucket", "label").count()
-    several = (
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("count", "label"))["label"].alias("largest"), (F.sum("count") - F.max("count")).alias("strays"), F.count("*").alias("labels"))
-        .filter("labels > 1").drop("labels")
-    )
-    return settle(members.join(several, "bucket"))
-
-
-def _further(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different labels that are to be compared after the first contraction.
-    ``members``: bucket, node, kind, band, fame, label."""
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    here, found, own = _several(members), None, None
-    for level in range(len(SPLITS) + 1):
-        few = F.col("strays") <= (MORE if level else FULL)
-        stray = here.filter(few & (F.col("label") != F.col("largest"))).select("bucket", F.col("node").alias("stray"), F.col("label").alias("own"))
-        full = here.filter(few).select("bucket", "node", "label").join(stray, "bucket").filter("label <> own").select(*pair("node", "stray"))
-        crowded = here.filter(~few)
-        heads = crowded.filter("label = largest").groupBy("bucket").agg(
-            F.array(F.max(F.struct("fame", "node"))["node"], *[F.max(F.struct(F.xxhash64("bucket", "node", F.lit(k)).alias("h"), "node"))["node"] for k in range(1, REPRESENTATIVES)]).alias("heads")
-        )
-        some = crowded.filter("label <> largest").join(heads, "bucket").select("node", F.explode(F.array_distinct("heads")).alias("head")).select(*pair("node", "head"))
-        now = settle(full.union(some).distinct())
-        found = now if found is None else found.union(now)
-        if level == len(SPLITS) or crowded.isEmpty():
-            return found.distinct()
-        begin = sum(SPLITS[:level])
-        further = [((F.col("band") + begin + k) % BANDS + 1).cast("int") for k in range(1, SPLITS[level] + 1)]
-        if own is None:  # bands of the nodes that go on
-            own = settle(signed.join(crowded.select("node", "kind").distinct(), ["node", "kind"]))
-            if own.count() <= BROADCAST_ROWS:
-                own = F.broadcast(own)
-        split = F.explode(F.array(*[F.xxhash64("bucket", F.lit(k), F.element_at("bands", at)) for k, at in enumerate(further)]))
-        here = _several(crowded.select("bucket", "node", "kind", "band", "fame", "label").join(own, ["node", "kind"]).select(split.alias("sub"), "node", "kind", "band", "fame", "label").withColumnRenamed("sub", "bucket"))
-    return found
-
-
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows as (doc_id, n_words, node), and per node: copy_of (its least doc_id), and class_id, keeper of its
     group: the least doc_id and the node that has it."""
@@ -353,7 +301,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     crowded = settle(members.join(sizes, "bucket"))
     fame = crowded.groupBy("node").agg(F.sum("n").alias("fame"))
-    shared = settle(crowded.drop("n").join(fame, "node"))
+    shared = settle(crowded.select("bucket", "node").join(fame, "node"))
     pivots = shared.groupBy("bucket").agg(F.max(F.struct("fame", "node"))["node"].alias("pivot"))
     tried = settle(
         shared.join(pivots, "bucket").filter("pivot <> node")
@@ -361,12 +309,25 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     edges = _verified(docs, first, tried, idf)
     labels = components(edges)
-    at = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    fresh = settle(_further(at, signed).join(tried, ["a", "b"], "left_anti"))
-    if not fresh.isEmpty():
-        more = _verified(docs, first, fresh, idf)
-        if not more.isEmpty():
-            labels = components(edges.union(more))
+    maps = signed.dropDuplicates(["node"]).select("node", F.col("weight").alias("n"), "bits")
+    most, further = FIRST, True
+    while further:
+        members = shared.select(F.col("bucket").alias("gid"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_ = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who"))
+        one = settle(open_.filter("low <> high AND size > 2").groupBy("size", "who").agg(F.min("gid").alias("gid")).select("gid"))  # pairs have met
+        if one.isEmpty():
+            break
+        members = settle(members.join(one, "gid", "left_semi"))
+        found = settle(tiles(members.join(maps.select("node", "n"), "node"), maps, most, may_be_near, LEAST))
+        further = not found.filter("more").isEmpty()
+        fresh = settle(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        if not fresh.isEmpty():
+            near = _verified(docs, first, fresh, idf)
+            tried = tried.union(fresh)
+            if not near.isEmpty():
+                edges = edges.union(near)
+                labels = components(edges)
+        most *= GROWTH
     groups = settle(
         first.join(labels, "node", "left")
         .select("node", F.col("doc_id").alias("copy_of"), F.coalesce("label", "node").alias("label"))

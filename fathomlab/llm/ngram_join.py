@@ -30,13 +30,13 @@ result; columns beside doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .near_dedup import components
+from .components import components
 from .shared import join_counted, join_spread, settle, spill
 from .sketch import cell_counts
 from .textops import IS_SPACE, Text, mix, scramble, slices, windows
@@ -154,6 +154,10 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Sizes of two sets, and a least number of elements in which they differ, to whether they can link.
+Bound = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
 def _words(maps: list[bytes], words: int) -> np.ndarray:
     """The bitmaps folded to ``words`` 64-bit words each."""
     out = np.zeros((len(maps), words), np.uint64)
@@ -232,7 +236,7 @@ def _passing(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, most: int, may: Bound) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of rows ``left`` and ``right`` of a tile that are of different components and pass the bound: of each
     row and other component the ``most`` nearest, and whether there are more."""
     words = min(map(len, maps)) // 8
@@ -242,7 +246,7 @@ def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes],
     sides = [(left, right), (right, left)] if left is not right else [(left, right)]
     for mine, theirs in sides:
         differ = _differ(maps[mine], maps[theirs])
-        ok = (label[mine][:, None] != label[theirs][None, :]) & may_link(n[mine][:, None], n[theirs][None, :], differ)
+        ok = (label[mine][:, None] != label[theirs][None, :]) & may(n[mine][:, None], n[theirs][None, :], differ)
         x, y = np.nonzero(ok)
         if not len(x):
             continue
@@ -259,15 +263,16 @@ def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes],
     return np.minimum(a, b), np.maximum(a, b), more
 
 
-def _tiles(members: DataFrame, maps: DataFrame, most: int) -> DataFrame:
-    """a, b, more: pairs to check of groups with several components, by tiles. ``members``: gid, node, n, label."""
+def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = may_link, ratio: float = LIMIT / SHARE) -> DataFrame:
+    """a, b, more: pairs to check of groups with several components, by tiles. ``members``: gid, node, n (the size), label;
+    ``maps``: node, bits. ``may`` is the bound; sizes of less than ``ratio`` to each other never link."""
     sizes = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gid")
     blocks = members.join(sizes, "gid", "left_semi").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("gid").orderBy("n", "node")) - 1) / BLOCK))
     blocks = settle(blocks.join(maps.select("node", "bits"), "node"))
     spans = blocks.groupBy("gid", "block").agg(F.min("n").alias("least"), F.max("n").alias("greatest"))
     later = spans.select("gid", F.col("block").alias("other"), F.col("least").alias("next"))
-    tiles = settle(spans.join(later, "gid").filter(F.expr(f"block <= other AND (block = other OR {SHARE} * greatest >= {LIMIT} * next)")).select("gid", "block", "other"))
-    side = lambda own, at: tiles.join(blocks.withColumnRenamed("block", own), ["gid", own]).withColumn("right", F.lit(at))
+    pairs = settle(spans.join(later, "gid").filter((F.col("block") <= F.col("other")) & ((F.col("block") == F.col("other")) | (F.col("greatest") >= ratio * F.col("next")))).select("gid", "block", "other"))
+    side = lambda own, at: pairs.join(blocks.withColumnRenamed("block", own), ["gid", own]).withColumn("right", F.lit(at))
     dealt = side("block", False).unionByName(side("other", True).filter("block <> other"))
     dealt = dealt.select("gid", "block", "other", "right", "label", "n", "node", "bits").repartition("gid", "block", "other").sortWithinPartitions("gid", "block", "other", "right")
 
@@ -286,7 +291,7 @@ def _tiles(members: DataFrame, maps: DataFrame, most: int) -> DataFrame:
                 left, second = (every[~r], every[r]) if r.any() else (every, every)
                 if left is not second and not (len(left) and len(second)):
                     continue
-                a, b, more = _tile(label[s:e], n[s:e], node[s:e], maps[s:e], left, left if left is second else second, most)
+                a, b, more = _tile(label[s:e], n[s:e], node[s:e], maps[s:e], left, left if left is second else second, most, may)
                 got += [p for p in zip(a.tolist(), b.tolist(), [more] * len(a)) if p not in sent]
             got = list(dict.fromkeys(got))
             if len(sent) < 100_000:  # the same pair comes up under many shingles
@@ -331,7 +336,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     labels, most, further = components(edges), FIRST, True
     while further:
         members = groups.select("gid", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        found = settle(_tiles(members, maps, most))
+        found = settle(tiles(members, maps, most))
         further = not found.filter("more").isEmpty()
         fresh = settle(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():

@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -180,3 +181,30 @@ def test_substring_dedup_cuts_rows_that_share_a_doc_id_by_their_own_text(spark):
     docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string")
     got = sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in dedup_substrings(docs).collect())
     assert got == [(1, 360, 0), (2, 20, 0), (2, 150, 70), (2, 150, 70), (2, 360, 360), (3, 80, 80)]
+
+
+def test_crowded_buckets_lose_no_link(spark):
+    """Copies of one text with one to nine edits: most are near a few others only. Equal to the closure of all pairs."""
+    rng = random.Random(56)
+    base = words(rng, 200)
+    texts = [" ".join(words(rng, 200)) for _ in range(60)]
+    for k in range(240):
+        w = list(base)
+        for _ in range(rng.randrange(1, 10)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice(([], [f"edit{k}x{at}"], [w[at], f"more{k}x{at}"]))
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.document_weights(docs)
+    a, b = (x + 60 for x in np.triu_indices(240, 1))
+    column = np.array(texts, object)
+    want = list(range(300))
+    for k in range(0, len(a), 2000):
+        near = near_dedup.similarities(pa.array(column[a[k : k + 2000]]), pa.array(column[b[k : k + 2000]]), idf) >= near_dedup.THRESHOLD
+        for x, y in zip(a[k : k + 2000][near], b[k : k + 2000][near]):
+            if want[x] != want[y]:
+                low, high = sorted((want[x], want[y]))
+                want = [low if w == high else w for w in want]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert 62 < len(set(want)) < 260
