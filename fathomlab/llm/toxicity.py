@@ -3,8 +3,8 @@
 Tokens are runs of letters and digits of the lower-cased text, with five hashed features each: the
 token, and its first four, five, six and seven bytes (stems of inflected words). Document labels are turned
 into token labels first: in a toxic document of the training sample a token is toxic if one of its features is
-LIFT times as frequent in toxic documents as in clean ones, in at least SUPPORT toxic documents. The two-state
-field is then trained on those sequences by gradient steps with exact forward-backward marginals.
+LIFT times as frequent in toxic documents as in clean ones, in at least SUPPORT toxic documents (fewer where there are
+few to learn from). The two-state field is then trained on those sequences by gradient steps with exact forward-backward marginals.
 
 The training sample is bounded: TOXIC_DOCS and CLEAN_DOCS documents, of each at most SAMPLE_BYTES of text; the
 bytes are counted before any text leaves Spark. The document score is calibrated on documents that the field
@@ -41,7 +41,9 @@ FEATURES = 1 + len(HEADS)
 TOXIC_DOCS, CLEAN_DOCS = 1500, 2200
 #: Bytes of text of each class in the training sample.
 SAMPLE_BYTES = 4_000_000
-LIFT, SUPPORT = 6.0, 6
+LIFT = 6.0
+#: Toxic documents in which a toxic feature occurs at least: a share of all, between two bounds.
+SUPPORT_SHARE, SUPPORT = 0.08, (3, 6)
 STEPS = 25
 BLOCK = 64
 THRESHOLD = 0.3
@@ -188,13 +190,14 @@ def token_labels(cells: np.ndarray, ptr: np.ndarray, toxic: np.ndarray) -> np.nd
     """Labels of tokens from labels of documents (see the module's text)."""
     row = np.repeat(np.arange(len(toxic)), np.diff(ptr))
     strong = np.zeros(FEATURES * CELLS, bool)
+    support = min(max(SUPPORT[0], round(SUPPORT_SHARE * int(toxic.sum()))), SUPPORT[1])
     for k in range(FEATURES):
         pairs = np.unique(row * CELLS + (cells[k] - k * CELLS))
         r, c = pairs // CELLS, pairs % CELLS
         hit = np.bincount(c[toxic[r]], minlength=CELLS)
         miss = np.bincount(c[~toxic[r]], minlength=CELLS)
         lift = (hit / max(1, toxic.sum())) / ((miss + 0.5) / max(1, (~toxic).sum()))
-        strong[k * CELLS : (k + 1) * CELLS] = (hit >= SUPPORT) & (lift >= LIFT)
+        strong[k * CELLS : (k + 1) * CELLS] = (hit >= support) & (lift >= LIFT)
     return (strong[cells].any(axis=0) & toxic[row]).astype(np.float64)
 
 
