@@ -20,7 +20,7 @@ Buckets never emit all their pairs. Exact copies are one node. In each bucket ev
 with the one whose buckets hold the most nodes (of near copies, likely the original); similar ones are
 connected, and connected components are contracted. Buckets that still hold several components go through tiles (see
 :mod:`.ngram_join`): blocks of nodes by weight, each two in a task, which compares parity bitmaps of nodes of
-different components and gives out the pairs whose bound allows 0.8, the FIRST nearest of a node and another component at once,
+different components and gives out the pairs whose bound allows 0.8, the FIRST nearest of a node at once,
 more in the next round, until none is left. So no link of two nodes that share a bucket is lost. A comparison is the exact
 similarity of the two whole texts.
 
@@ -51,10 +51,10 @@ SKETCH = 1 << 20
 #: Weights lie between 1 and 2, so a pair that is near by occurrences alone has at least LEAST of the weights.
 LEAST = THRESHOLD / (THRESHOLD + 2 * (1 - THRESHOLD))
 SMALL_WEIGHT, FEW_SHINGLES = 450.0, 256
-#: Bits of a bitmap for each shingle.
-BITS = 8
-#: Pairs of a node with one other component that a round checks, and by what the next one multiplies them.
-FIRST, GROWTH = 8, 32
+#: Bits of a bitmap for each shingle, and the weight of shingles that have a bitmap of their own.
+BITS, HEAVY = 4, 1.5
+#: Pairs of a node with other components that a round checks, and by what the next one multiplies them.
+FIRST, GROWTH = 4, 8
 _SALT = np.uint64(0x8F1BBCDC5A827999)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 _FIELD = np.uint64(4095)
@@ -141,19 +141,11 @@ def _least(value: np.ndarray, ident: np.ndarray, first: np.ndarray, group: np.nd
     return np.maximum.reduceat(np.where(value == least[group], ident, np.uint64(0)), first)
 
 
-def signatures(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Row numbers, HASHES sample identities of each, and the rows' text keys, weights and parity bitmaps. A row of
-    middle weight has both kinds of signature. In a bitmap the k-th occurrence of a shingle is an element of its own, so
-    two differ in no more bits than the texts' multisets in elements; BITS bits an element make that a close bound."""
+def signatures(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, HASHES sample identities of each, and the rows' text keys. A row of middle weight
+    has both kinds of signature."""
     row, named, count, size, key = shingles(column)
-    weight = count * idf[cell(named)]
-    every = np.repeat(np.arange(len(row)), count)
-    nth = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
-    with np.errstate(over="ignore"):
-        element = mix(named[every] + nth.astype(np.uint64) * _K)
-    packed, at = bitmaps(row[every], element, BITS * np.bincount(row, count, minlength=len(size)).astype(np.int64))
-    maps = [packed[x:y].tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
-    return *_signatures(row, named, weight, len(size)), key, np.bincount(row, weight, minlength=len(size)), maps
+    return *_signatures(row, named, count * idf[cell(named)], len(size)), key
 
 
 def _signatures(row: np.ndarray, named: np.ndarray, weight: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,10 +206,29 @@ def similarities(a: pa.Array, b: pa.Array, idf: np.ndarray) -> np.ndarray:
     return best
 
 
-def may_be_near(a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Whether texts of these weights that differ in so many shingles at least can reach THRESHOLD. A shingle weighs at least
-    1, so what they share weighs (a + b - differ) / 2 at most, in either measure; half a millionth allows for sums of floats."""
-    return (a + b - differ) * (1 + 1e-6) >= THRESHOLD * (a + b + differ)
+def weighted_bitmaps(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of each text its occurrences, weight and two parity bitmaps: of all shingles and of the HEAVY ones. The k-th occurrence
+    of a shingle is an element of its own, so two bitmaps differ in no more bits than the texts in elements."""
+    row, named, count, size, _ = shingles(column)
+    each = idf[cell(named)].astype(np.float64)
+    every = np.repeat(np.arange(len(row)), count)
+    nth = np.arange(len(every)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        element = mix(named[every] + nth.astype(np.uint64) * _K)
+    total = np.bincount(row, count, minlength=len(size)).astype(np.int64)
+    heavy = each[every] >= HEAVY
+    planes = [bitmaps(row[every][keep], element[keep], BITS * total) for keep in (np.ones(len(every), bool), heavy)]
+    maps = [b"".join(packed[at[k] : at[k + 1]].tobytes() for packed, at in planes) for k in range(len(size))]
+    return total, np.bincount(row, count * each, minlength=len(size)), maps
+
+
+def may_be_near(n_a: np.ndarray, n_b: np.ndarray, w_a: np.ndarray, w_b: np.ndarray, differ: list[np.ndarray]) -> np.ndarray:
+    """Whether texts of these occurrences and weights that differ in so many shingles at least, and in so many HEAVY ones, can
+    reach THRESHOLD in either measure: what they share is at most half of what the sums leave when a shingle in which they differ
+    weighs 1, or HEAVY. A millionth allows for sums of floats."""
+    apart = differ[0] + (HEAVY - 1) * differ[1]
+    reach = lambda total, off: (total - off) * (1 + 1e-6) >= THRESHOLD * (total + off)
+    return reach(n_a + n_b, differ[0]) | reach(w_a + w_b, apart)
 
 
 def text_keys(docs: DataFrame) -> DataFrame:
@@ -233,11 +244,11 @@ def text_keys(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame, idf) -> DataFrame:
-    """node, kind (of the signature), bands, weight, bits: the band keys of every text, once each."""
+    """node, kind (of the signature), bands: the band keys of every text, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, got, key, weight, maps = signatures(batch.column(0), idf.value)
+            rows, got, key = signatures(batch.column(0), idf.value)
             if not len(rows):
                 continue
             folded = np.zeros((len(rows), BANDS), np.uint64)
@@ -248,11 +259,9 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
             kind = np.zeros(len(rows), np.int32)
             kind[1:][rows[1:] <= rows[:-1]] = 1  # rows ascend within a kind
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(folded.reshape(-1).view(np.int64)))
-            bits = pa.array([maps[r] for r in rows.tolist()], pa.binary())
-            columns = [pa.array(key[rows].view(np.int64)), pa.array(np.maximum.accumulate(kind)), bands, pa.array(weight[rows]), bits]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "kind", "bands", "weight", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(np.maximum.accumulate(kind)), bands], ["node", "kind", "bands"])
 
-    return docs.select("text").mapInArrow(run, "node long, kind int, bands array<long>, weight double, bits binary").dropDuplicates(["node", "kind"])
+    return docs.select("text").mapInArrow(run, "node long, kind int, bands array<long>").dropDuplicates(["node", "kind"])
 
 
 def _own(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -289,6 +298,19 @@ def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, idf) -> DataF
     return settle(both.mapInArrow(run, "a long, b long"))
 
 
+def _mapped(docs: DataFrame, first: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """node, n, w, bits (see :func:`weighted_bitmaps`) of ``nodes``."""
+    ends = settle(nodes.join(first, "node").select("node", "doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            n, w, maps = weighted_bitmaps(batch.column(1), idf.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(maps, pa.binary())], ["node", "n", "w", "bits"])
+
+    texts = _own(docs.select("doc_id", "text"), ends).select(F.col("__fl_node").alias("node"), "text")
+    return settle(texts.mapInArrow(run, "node long, n long, w double, bits binary").dropDuplicates(["node"]))
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows as (doc_id, n_words, node), and per node: copy_of (its least doc_id), and class_id, keeper of its
     group: the least doc_id and the node that has it."""
@@ -309,8 +331,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     edges = _verified(docs, first, tried, idf)
     labels = components(edges)
-    maps = signed.dropDuplicates(["node"]).select("node", F.col("weight").alias("n"), "bits")
-    most, further = FIRST, True
+    maps, most, further = None, FIRST, True
     while further:
         members = shared.select(F.col("bucket").alias("gid"), "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_ = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("who"))
@@ -318,7 +339,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if one.isEmpty():
             break
         members = settle(members.join(one, "gid", "left_semi"))
-        found = settle(tiles(members.join(maps.select("node", "n"), "node"), maps, most, may_be_near, LEAST))
+        maps = maps or _mapped(docs, first, members.select("node").distinct(), idf)  # later rounds have a part of these nodes
+        found = settle(tiles(members, maps, most, may_be_near, LEAST, 2))
         further = not found.filter("more").isEmpty()
         fresh = settle(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():

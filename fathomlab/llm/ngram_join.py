@@ -15,8 +15,8 @@ tiles: groups of nodes that share a rare shingle and are close in size, cut into
 A group never emits all its pairs. First each node of a group meets one pivot, the node with most
 shared shingles; what links is contracted to components. Then groups that still hold several components
 go through tiles: sorted by size, cut into blocks of BLOCK nodes, and every two blocks whose sizes can link meet in a task,
-which compares bitmaps of nodes of different components. From a node to one other component the best FIRST pairs
-are checked at once; components are joined, and where a node had more, the next round hands out GROWTH times as many,
+which compares bitmaps of nodes of different components. Of each node the FIRST nearest are checked at once;
+components are joined, and where a node had more, the next round hands out GROWTH times as many,
 until no pair of different components is left that passes its bound unchecked. So all links count, and none is
 lost; inside a component, pairs are not looked at as they change nothing.
 
@@ -47,7 +47,7 @@ SHARE, LIMIT = 100, 90
 SKETCH = 1 << 20
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 BLOCK = 256
-#: Pairs of a node with one other component that a round checks, and by what the next one multiplies them.
+#: Pairs of a node with other components that a round checks, and by what the next one multiplies them.
 FIRST, GROWTH = 4, 8
 #: Pairs with one node that are checked in one task.
 PAIRS = 256
@@ -154,16 +154,21 @@ def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Sizes of two sets, and a least number of elements in which they differ, to whether they can link.
-Bound = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Sizes of two sets, their weights, and for each plane of their bitmaps a least number of elements in which they differ, to
+#: whether they can link.
+Bound = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], np.ndarray]
 
 
-def _words(maps: list[bytes], words: int) -> np.ndarray:
-    """The bitmaps folded to ``words`` 64-bit words each."""
-    out = np.zeros((len(maps), words), np.uint64)
+def _may(n_a: np.ndarray, n_b: np.ndarray, w_a: np.ndarray, w_b: np.ndarray, differ: list[np.ndarray]) -> np.ndarray:
+    return may_link(n_a, n_b, differ[0])
+
+
+def _words(maps: list[bytes], words: int, planes: int = 1) -> np.ndarray:
+    """The bitmaps, each of ``planes`` one behind the other, folded to ``words`` 64-bit words a plane: plane, bitmap, word."""
+    out = np.zeros((planes, len(maps), words), np.uint64)
     for k, raw in enumerate(maps):
-        own = np.frombuffer(raw, "<u8")
-        out[k] = np.bitwise_xor.reduce(own.reshape(-1, words), axis=0)
+        own = np.frombuffer(raw, "<u8").reshape(planes, -1, words)
+        out[:, k] = np.bitwise_xor.reduce(own, axis=1)
     return out
 
 
@@ -236,24 +241,23 @@ def _passing(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, most: int, may: Bound) -> tuple[np.ndarray, np.ndarray, bool]:
+def _tile(label: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, most: int, may: Bound, planes: int) -> tuple[np.ndarray, np.ndarray, bool]:
     """Pairs of rows ``left`` and ``right`` of a tile that are of different components and pass the bound: of each
-    row and other component the ``most`` nearest, and whether there are more."""
-    words = min(map(len, maps)) // 8
-    maps = _words(maps, words)
+    row the ``most`` nearest, and whether there are more."""
+    maps = _words(maps, min(map(len, maps)) // 8 // planes, planes)
     found: list[tuple[np.ndarray, np.ndarray]] = []
     more = False
     sides = [(left, right), (right, left)] if left is not right else [(left, right)]
     for mine, theirs in sides:
-        differ = _differ(maps[mine], maps[theirs])
-        ok = (label[mine][:, None] != label[theirs][None, :]) & may(n[mine][:, None], n[theirs][None, :], differ)
+        differ = [_differ(plane[mine], plane[theirs]) for plane in maps]
+        ok = (label[mine][:, None] != label[theirs][None, :]) & may(n[mine][:, None], n[theirs][None, :], w[mine][:, None], w[theirs][None, :], differ)
         x, y = np.nonzero(ok)
         if not len(x):
             continue
-        order = np.lexsort((node[theirs][y], differ[x, y], label[theirs][y], x))
+        order = np.lexsort((node[theirs][y], differ[0][x, y], x))
         x, y = x[order], y[order]
         new = np.ones(len(x), bool)
-        new[1:] = (x[1:] != x[:-1]) | (label[theirs][y[1:]] != label[theirs][y[:-1]])
+        new[1:] = x[1:] != x[:-1]
         rank = np.arange(len(x)) - np.flatnonzero(new)[np.cumsum(new) - 1]
         more |= bool((rank >= most).any())
         found.append((mine[x[rank < most]], theirs[y[rank < most]]))
@@ -263,18 +267,20 @@ def _tile(label: np.ndarray, n: np.ndarray, node: np.ndarray, maps: list[bytes],
     return np.minimum(a, b), np.maximum(a, b), more
 
 
-def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = may_link, ratio: float = LIMIT / SHARE) -> DataFrame:
-    """a, b, more: pairs to check of groups with several components, by tiles. ``members``: gid, node, n (the size), label;
-    ``maps``: node, bits. ``may`` is the bound; sizes of less than ``ratio`` to each other never link."""
+def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = _may, ratio: float = LIMIT / SHARE, planes: int = 1) -> DataFrame:
+    """a, b, more: pairs to check of groups with several components, by tiles. ``members``: gid, node, label; ``maps``: node, n
+    (the size), w (the weight), bits (of ``planes`` bitmaps). ``may`` is the bound; sizes of less than ``ratio`` to each other
+    never link."""
     sizes = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gid")
-    blocks = members.join(sizes, "gid", "left_semi").withColumn("block", F.floor((F.row_number().over(Window.partitionBy("gid").orderBy("n", "node")) - 1) / BLOCK))
-    blocks = settle(blocks.join(maps.select("node", "bits"), "node"))
+    held = members.join(sizes, "gid", "left_semi").select("gid", "node", "label").join(maps.select("node", "n"), "node")
+    blocks = held.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("gid").orderBy("n", "node")) - 1) / BLOCK)).drop("n")
+    blocks = settle(blocks.join(maps.select("node", "n", "w", "bits"), "node"))
     spans = blocks.groupBy("gid", "block").agg(F.min("n").alias("least"), F.max("n").alias("greatest"))
     later = spans.select("gid", F.col("block").alias("other"), F.col("least").alias("next"))
     pairs = settle(spans.join(later, "gid").filter((F.col("block") <= F.col("other")) & ((F.col("block") == F.col("other")) | (F.col("greatest") >= ratio * F.col("next")))).select("gid", "block", "other"))
     side = lambda own, at: pairs.join(blocks.withColumnRenamed("block", own), ["gid", own]).withColumn("right", F.lit(at))
     dealt = side("block", False).unionByName(side("other", True).filter("block <> other"))
-    dealt = dealt.select("gid", "block", "other", "right", "label", "n", "node", "bits").repartition("gid", "block", "other").sortWithinPartitions("gid", "block", "other", "right")
+    dealt = dealt.select("gid", "block", "other", "right", "label", "n", "w", "node", "bits").repartition("gid", "block", "other").sortWithinPartitions("gid", "block", "other", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -283,15 +289,15 @@ def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = may_link,
         def out(table: pa.Table) -> pa.RecordBatch | None:
             gid, block, other = (np.asarray(table.column(k)) for k in range(3))
             cut = np.flatnonzero((gid[1:] != gid[:-1]) | (block[1:] != block[:-1]) | (other[1:] != other[:-1])) + 1
-            right, (label, n, node) = np.asarray(table.column(3)), (np.asarray(table.column(k)) for k in (4, 5, 6))
-            maps, got = table.column(7).to_pylist(), []
+            right, (label, n, w, node) = np.asarray(table.column(3)), (np.asarray(table.column(k)) for k in (4, 5, 6, 7))
+            maps, got = table.column(8).to_pylist(), []
             for s, e in zip([0, *cut.tolist()], [*cut.tolist(), len(gid)]):
                 every = np.arange(e - s)
                 r = right[s:e]
                 left, second = (every[~r], every[r]) if r.any() else (every, every)
                 if left is not second and not (len(left) and len(second)):
                     continue
-                a, b, more = _tile(label[s:e], n[s:e], node[s:e], maps[s:e], left, left if left is second else second, most, may)
+                a, b, more = _tile(label[s:e], n[s:e], w[s:e], node[s:e], maps[s:e], left, left if left is second else second, most, may, planes)
                 got += [p for p in zip(a.tolist(), b.tolist(), [more] * len(a)) if p not in sent]
             got = list(dict.fromkeys(got))
             if len(sent) < 100_000:  # the same pair comes up under many shingles
@@ -325,7 +331,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = settle(rows.filter(worded).groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows")))
     nodes = spill(signed.filter(worded).drop("doc_id").dropDuplicates(["node"]), "nodes")
     groups = _groups(nodes)
-    maps = nodes.select("node", "n", "bits")
+    maps = nodes.select("node", "n", F.col("n").alias("w"), "bits")
 
     pivots = groups.groupBy("gid").agg(F.max(F.struct("fame", "node"))["node"].alias("pivot"))
     tried = settle(
@@ -335,7 +341,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels, most, further = components(edges), FIRST, True
     while further:
-        members = groups.select("gid", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        members = groups.select("gid", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         found = settle(tiles(members, maps, most))
         further = not found.filter("more").isEmpty()
         fresh = settle(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))

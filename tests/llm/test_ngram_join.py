@@ -102,7 +102,7 @@ def test_bitmaps_bound_the_difference():
         words = min(map(len, maps)) // 8
         two = ngram_join._words(maps, words)
         a, b = (set(named[row == k].tolist()) for k in range(2))
-        assert int(np.bitwise_count(two[0] ^ two[1]).sum()) <= len(a ^ b)
+        assert int(np.bitwise_count(two[0][0] ^ two[0][1]).sum()) <= len(a ^ b)
         assert [len(a), len(b)] == size.tolist() == [len(shingles(t)) for t in texts]
         if 100 * len(a & b) >= 90 * len(a | b):
             assert ngram_join.may_link(size[:1], size[1:], np.array([len(a ^ b)]))[0]
