@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import settle
+
 #: The 97.5 % quantile of the normal distribution (fixed value).
 Z95 = 1.959963984540054
 
@@ -106,6 +108,8 @@ def t_statistic(n: Column, mean: Column, sd: Column) -> Column:
 
 #: Ranges of p-values that are ranked apart.
 RANGES = 32
+#: So many different p-values are one range.
+ONE_RANGE = 50_000
 
 
 def benjamini_hochberg(df: DataFrame, p: str, q: str = "q", by: list[str] | None = None) -> DataFrame:
@@ -113,8 +117,10 @@ def benjamini_hochberg(df: DataFrame, p: str, q: str = "q", by: list[str] | None
     counted, cut into RANGES ranges and ordered inside these; what a range hands on (how many p lie before it,
     the least value after it) is one row. Use ``by`` for separate families."""
     by = by or []
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__m"))
-    cuts = sorted(set(counts.approxQuantile(p, [k / RANGES for k in range(1, RANGES)], 0.01)))
+    df = settle(df)
+    counts = settle(df.filter(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count("*").alias("__m")))
+    many = counts.count() > ONE_RANGE
+    cuts = sorted(set(counts.approxQuantile(p, [k / RANGES for k in range(1, RANGES)], 0.01))) if many else []
     place = F.lit(0)
     for k, cut in enumerate(cuts, 1):
         place = F.when(F.col(p) > cut, k).otherwise(place)

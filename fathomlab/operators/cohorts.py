@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from ..plans.guards import Registry, require_safe
 from ..plans.predicates import Predicate, as_filter, as_mask
@@ -12,11 +12,12 @@ from .ordered import equity
 
 
 def cohort_metrics(df: DataFrame, predicate: Predicate, registry: Registry, purpose: str = "hypothesis") -> DataFrame:
-    """Metrics of the selected rows and their coverage. The condition is a filter that scans can take."""
+    """Metrics of the selected rows, and which share of all they are; all are counted in the pass that selects."""
     require_safe(predicate, registry, purpose)
-    found = summarize(df.filter(as_filter(predicate, registry.column)))
-    cover = df.agg(F.count("*").alias("__total"))
-    return found.join(F.broadcast(cover)).withColumn("coverage", F.coalesce(F.try_divide(F.col("n").cast("double"), F.col("__total").cast("double")), F.lit(0.0))).drop("__total")
+    rows = Observation()
+    found = summarize(df.observe(rows, F.count("*").alias("n")).filter(as_filter(predicate, registry.column)))
+    total = rows.get["n"]
+    return found.withColumn("coverage", F.col("n") / F.lit(float(total)) if total else F.lit(0.0))
 
 
 def both_sides(df: DataFrame, predicate: Predicate, registry: Registry) -> DataFrame:

@@ -67,7 +67,7 @@ def candidates(df: DataFrame, keys: list[str], registry: Registry, pnl: str = "p
     """Level 1: every non-null bucket of every variable."""
     _checked(keys, registry)
     long = bucketed(df, keys, registry, [pnl]).filter("bucket IS NOT NULL")
-    return ratios(long.groupBy("variable", "bucket").agg(*sums(pnl, quantiles=False))).withColumn("net", F.col("net_profit"))
+    return ratios(long.groupBy("variable", "bucket").agg(*sums(pnl))).withColumn("net", F.col("net_profit"))
 
 
 def discover(
@@ -88,7 +88,7 @@ def discover(
     for level in range(2, max_conditions + 1):
         if truncated or len(names) < 2 or kept.isEmpty():
             break
-        counted = settle(ratios(_begun(lists, kept, level).groupBy("node").agg(*sums(pnl, quantiles=False))).withColumn("net", F.col("net_profit")).select(*_NODE))
+        counted = settle(ratios(_begun(lists, kept, level).groupBy("node").agg(*sums(pnl))).withColumn("net", F.col("net_profit")).select(*_NODE))
         tried = _extended(kept, [v for v, _ in names]).join(counted, "node", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
         tried = settle(tried.select(*_NODE))
         size = tried.count()

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..functions.stats import benjamini_hochberg, guarded_corr
 from ..model import Variable
 from ..plans.guards import Registry
+from ..session import settle
 from .metrics import ratios, sums
+from .ordered import matched
+from .quantiles import group_quantiles
 
 #: Defaults (fixed values).
 MAX_CATEGORIES, MIN_COUNT, MAX_EDGES = 24, 30, 500
@@ -17,22 +20,22 @@ NULL_LABEL = "sin valor"
 
 
 def edges_of(df: DataFrame, variables: list[Variable], registry: Registry) -> dict[str, list[float]]:
-    """Bucket edges of all ranged variables from one aggregation: given, every width, or quantiles
-    (linear between ranks, strictly increasing). The result is a few numbers per variable."""
+    """Bucket edges of all ranged variables: given, every width, or quantiles (linear between ranks, strictly increasing),
+    exact by rounds of counts for all variables together. The result is a few numbers per variable."""
     ranged = [v for v in variables if not v.categorical and v.binning.kind in ("quantile", "width")]
-    aggs: list[Column] = []
-    for k, v in enumerate(ranged):
-        c = registry.column(v.key)
-        if v.binning.kind == "quantile":
-            aggs.append(F.percentile(c, F.array(*(F.lit(i / v.binning.count) for i in range(1, v.binning.count)))).alias(f"q{k}"))
-        else:
-            aggs += [F.min(c).alias(f"a{k}"), F.max(c).alias(f"z{k}")]
-    row = df.agg(*aggs).first() if aggs else None
+    wide = [(k, registry.column(v.key)) for k, v in enumerate(ranged) if v.binning.kind == "width"]
+    row = df.agg(*(f(c).alias(f"{x}{k}") for k, c in wide for x, f in (("a", F.min), ("z", F.max)))).first() if wide else None
+    probs = {v.key: [i / v.binning.count for i in range(1, v.binning.count)] for v in ranged if v.binning.kind == "quantile"}
+    quantiles: dict[str, list[float]] = {}
+    if probs:
+        pairs = [F.struct(F.lit(k).alias("variable"), registry.column(k).cast("double").alias("x")) for k in probs]
+        long = settle(df.select(F.explode(F.array(*pairs)).alias("v")).select("v.variable", "v.x"))
+        quantiles = {r["variable"]: r["q"] for r in group_quantiles(long, ["variable"], "x", probs, by="variable").collect()}
     out: dict[str, list[float]] = {v.key: list(v.binning.edges) for v in variables if v.binning.kind == "edges"}
     for k, v in enumerate(ranged):
         if v.binning.kind == "quantile":
             found: list[float] = []
-            for e in row[f"q{k}"] or []:
+            for e in quantiles.get(v.key) or []:
                 if not found or e > found[-1]:
                     found.append(e)
             out[v.key] = found
@@ -86,11 +89,18 @@ def bucketed(df: DataFrame, keys: list[str], registry: Registry, keep: list[str]
     return df.select(*keep, F.explode(F.array(*pairs)).alias("__b")).select(*keep, "__b.variable", "__b.bucket")
 
 
-def buckets(df: DataFrame, keys: list[str], registry: Registry, pnl: str = "pnl_cents") -> DataFrame:
-    """Metrics of every bucket of every variable in one grouping, and lift over the population."""
-    long = bucketed(df, keys, registry, [pnl])
-    base = df.agg(F.avg(F.col(pnl).cast("double")).alias("__base"))
-    return ratios(long.groupBy("variable", "bucket").agg(*sums(pnl))).join(F.broadcast(base)).withColumn("lift", F.col("expectancy") - F.col("__base")).drop("__base")
+def buckets(df: DataFrame, keys: list[str], registry: Registry, pnl: str = "pnl_cents", quantiles: bool = True) -> DataFrame:
+    """Metrics of every bucket of every variable in one grouping, and lift over the population; quantiles only where they are
+    asked for."""
+    by = ["variable", "bucket"]
+    base = Observation()
+    used = dict.fromkeys([pnl, *(registry[k].column for k in keys)])
+    rows = settle(df.observe(base, F.avg(F.col(pnl).cast("double")).alias("mean")).select(*used))  # read for edges and for buckets
+    long = settle(bucketed(rows, keys, registry, [pnl]))
+    found = long.groupBy(*by).agg(*sums(pnl))
+    if quantiles:
+        found = matched(found, group_quantiles(long, by, pnl, [0.05, 0.5, 0.95], "__q"), by, "left")
+    return ratios(found).withColumn("lift", F.col("expectancy") - F.lit(base.get["mean"]).cast("double"))
 
 
 def correlations(df: DataFrame, keys: list[str], registry: Registry, pnl: str = "pnl_cents") -> DataFrame:
@@ -103,7 +113,7 @@ def correlations(df: DataFrame, keys: list[str], registry: Registry, pnl: str =
 def rank_variables(df: DataFrame, keys: list[str], registry: Registry, min_count: int = MIN_COUNT) -> DataFrame:
     """The best bucket of each variable (highest expectancy with min_count rows; not the null bucket;
     of equals the first), corrected over variables, ordered by q and then lift."""
-    found = buckets(df, keys, registry).filter((F.col("n") >= min_count) & F.col("bucket").isNotNull())
+    found = buckets(df, keys, registry, quantiles=False).filter((F.col("n") >= min_count) & F.col("bucket").isNotNull())
     w = Window.partitionBy("variable").orderBy(F.col("expectancy").desc(), F.col("bucket").asc())
     best = found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
     return benjamini_hochberg(best, "p_value", "q_value").orderBy(F.col("q_value").asc(), F.col("lift").desc_nulls_last())

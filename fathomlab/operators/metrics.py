@@ -6,11 +6,12 @@ infinite. Drawdown, streaks and equity R-squared follow (ts, tie).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.stats import t_p_value, t_statistic, wilson
 from ..session import settle
-from .ordered import by_chunk, carried, equity, matched, sliced
+from .ordered import matched, micros, sliced, walked
+from .quantiles import group_quantiles
 
 METRICS = [
     "n", "wins", "losses", "break_even", "gross_profit", "gross_loss", "net_profit", "win_rate", "ci_low", "ci_high", "profit_factor", "expectancy",
@@ -19,16 +20,13 @@ METRICS = [
 ]
 
 
-def sums(pnl: str = "pnl_cents", quantiles: bool = True) -> list[Column]:
-    """The order-free aggregates; partial sums on the map side. Exact quantiles (of the outcome's different
-    values) only where they are asked for."""
+def sums(pnl: str = "pnl_cents") -> list[Column]:
+    """The order-free aggregates; partial sums on the map side."""
     x = F.col(pnl)
-    d = x.cast("double")
     return [
         F.count(x).alias("n"), F.count_if(x > 0).alias("wins"), F.count_if(x < 0).alias("losses"), F.count_if(x == 0).alias("break_even"),
         F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0)).cast("double").alias("gross_profit"), F.coalesce(-F.sum(F.when(x < 0, x)), F.lit(0)).cast("double").alias("gross_loss"),
         F.sum(x.cast("decimal(38,0)") * x.cast("decimal(18,0)")).alias("__xx"), F.sum(F.when(x < 0, x.cast("decimal(38,0)") * x.cast("decimal(18,0)"))).alias("__down"),
-        *([F.percentile(d, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__q")] if quantiles else []),
     ]
 
 
@@ -54,66 +52,58 @@ def ratios(df: DataFrame) -> DataFrame:
         .withColumn("t_stat", t_statistic(F.col("n"), F.col("expectancy"), F.col("std_dev")))
     )
     if "__q" in df.columns:
-        d = d.withColumn("p05", F.col("__q")[0]).withColumn("median", F.col("__q")[1]).withColumn("p95", F.col("__q")[2])
+        d = d.withColumns({c: F.col("__q")[k] for k, c in enumerate(("p05", "median", "p95"))})
     return d.withColumn("p_value", t_p_value(F.col("t_stat"), (F.col("n") - 1).cast("double"))).drop("__xx", "__down", "__q")
 
 
-def drawdowns(eq: DataFrame, groups: list[str]) -> DataFrame:
-    """Greatest fall from a peak; its share of the peak and its length, at the first place that attains
-    it. The peak's place is its first; 0 where the running sum was never above 0."""
-    deepest = eq.groupBy(*groups).agg(F.max(F.struct((F.col("peak") - F.col("equity")).alias("dd"), (-F.col("i")).alias("neg"), "peak")).alias("__d"))
-    hit = matched(eq, deepest, groups)
-    place = hit.groupBy(*groups, "__d").agg(F.min(F.when((F.col("equity") == F.col("__d.peak")) & (F.col("__d.peak") > 0), F.col("i"))).alias("__at"))
-    return place.select(
+def first_pass(pnl: str) -> list[Column]:
+    """Of walked rows, beside the sums: the deepest fall from a peak, at the first place that attains it, and means."""
+    deepest = F.max(F.struct((F.col("peak") - F.col("equity")).alias("dd"), (-F.col("i")).alias("neg"), "peak")).alias("__d")
+    return [*sums(pnl), deepest, F.avg(F.col("i").cast("double")).alias("__mi"), F.avg(F.col("equity").cast("double")).alias("__me")]
+
+
+def second_pass(walked_rows: DataFrame, first: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group, drawdown and trend. The greatest fall's share of its peak and its length: the peak's place is its first, and 0
+    where the running sum was never above 0. R-squared of the equity on its place is null below three rows or without spread;
+    its sums are centred on the group's means, so that long series keep their digits."""
+    d = matched(walked_rows, first.select(*groups, "__d", "__mi", "__me"), groups)
+    a, b = F.col("i") - F.col("__mi"), F.col("equity") - F.col("__me")
+    place = F.min(F.when((F.col("equity") == F.col("__d.peak")) & (F.col("__d.peak") > 0), F.col("i"))).alias("__at")
+    s = d.groupBy(*groups).agg(F.first("__d").alias("__d"), place, F.count("*").alias("__n"), F.sum(a * b).alias("__ab"), F.sum(a * a).alias("__aa"), F.sum(b * b).alias("__bb"))
+    return s.select(
         *groups,
         F.col("__d.dd").cast("double").alias("max_drawdown"),
         F.when(F.col("__d.peak") > 0, F.col("__d.dd") / F.nullif(F.col("__d.peak"), F.lit(0))).otherwise(0.0).cast("double").alias("max_drawdown_pct"),
         F.when(F.col("__d.dd") > 0, -F.col("__d.neg") - F.coalesce("__at", F.lit(0))).otherwise(0).cast("long").alias("max_drawdown_length"),
+        F.when((F.col("__n") >= 3) & (F.col("__aa") > 0) & (F.col("__bb") > 0), F.col("__ab") * F.col("__ab") / (F.col("__aa") * F.nullif("__bb", F.lit(0.0)))).alias("equity_r2"),
     )
 
 
-def streaks(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
-    """Longest runs of wins and of losses; a zero ends both. Runs are numbered by counting the changes
-    of sign, which carry from slice to slice."""
-    cut = (df if "__chunk" in df.columns else sliced(df, ts)).withColumn("__sign", F.signum(F.col(pnl).cast("double")).cast("int"))
-    w = by_chunk(groups, [ts, tie])
-    cut = cut.withColumn("__first", F.row_number().over(w) == 1)
-    cut = cut.withColumn("__turn", F.coalesce((F.col("__sign") != F.lag("__sign").over(w)).cast("int"), F.lit(0)))
-    edges = cut.groupBy(*groups, "__chunk").agg(F.min_by("__sign", F.struct(ts, tie)).alias("__a"), F.max_by("__sign", F.struct(ts, tie)).alias("__z"))
-    order = Window.partitionBy(*groups).orderBy("__chunk")
-    edges = edges.withColumn("__new", F.coalesce((F.col("__a") != F.lag("__z").over(order)).cast("int"), F.lit(0))).drop("__a", "__z")
-    d = matched(cut, edges, [*groups, "__chunk"])
-    d = d.withColumn("__turn", F.when(F.col("__first"), F.col("__new")).otherwise(F.col("__turn")))
-    d = d.withColumn("__run", F.sum("__turn").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    d = carried(d, groups, __before=(F.sum("__turn"), "sum", F.lit(0)))
-    runs = d.groupBy(*groups, (F.col("__run") + F.col("__before")).alias("__no"), "__sign").agg(F.count("*").alias("__len"))
+def streaks(walked_rows: DataFrame, groups: list[str], pnl: str) -> DataFrame:
+    """Longest runs of wins and of losses; a zero ends both."""
+    runs = walked_rows.groupBy(*groups, "run", F.signum(F.col(pnl).cast("double")).alias("__sign")).agg(F.count("*").alias("__len"))
     longest = lambda s: F.coalesce(F.max(F.when(F.col("__sign") == s, F.col("__len"))), F.lit(0)).cast("long")
     return runs.groupBy(*groups).agg(longest(1).alias("max_wins"), longest(-1).alias("max_losses"))
 
 
-def trend(eq: DataFrame, groups: list[str]) -> DataFrame:
-    """R-squared of the equity on its place; null below three rows or without spread. Sums are centred
-    on the group's means first, so that long series keep their digits."""
-    means = eq.groupBy(*groups).agg(F.avg(F.col("i").cast("double")).alias("__mi"), F.avg(F.col("equity").cast("double")).alias("__me"))
-    d = matched(eq, means, groups)
-    a, b = F.col("i") - F.col("__mi"), F.col("equity") - F.col("__me")
-    s = d.groupBy(*groups).agg(F.count("*").alias("__n"), F.sum(a * b).alias("__ab"), F.sum(a * a).alias("__aa"), F.sum(b * b).alias("__bb"))
-    return s.select(*groups, F.when((F.col("__n") >= 3) & (F.col("__aa") > 0) & (F.col("__bb") > 0), F.col("__ab") * F.col("__ab") / (F.col("__aa") * F.nullif("__bb", F.lit(0.0)))).alias("equity_r2"))
-
-
 def summarize(df: DataFrame, groups: list[str] | None = None, ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
     """All METRICS, one row per group. Without groups there is one row even for no rows: counts 0,
-    drawdowns 0, p 1, ratios null."""
+    drawdowns 0, p 1, ratios null. ``df`` runs once: a few narrow columns of it are kept, with the bounds of their time."""
     groups = groups or []
     rows = df.filter(F.col(pnl).isNotNull())
     one = groups or ["__all"]
     if not groups:
         rows = rows.withColumn("__all", F.lit(1))
-    rows = sliced(settle(rows.select(*one, ts, tie, pnl)), ts)  # a few narrow columns, read several times
-    eq = settle(equity(rows, one, ts, tie, pnl).select(*one, "i", "equity", "peak"))
-    out = ratios(rows.groupBy(*one).agg(*sums(pnl)))
-    for part in (drawdowns(eq, one), streaks(rows, one, ts, tie, pnl), trend(eq, one)):
+    range_ = Observation()
+    rows = settle(rows.select(*one, ts, tie, pnl).observe(range_, F.min(micros(ts)).alias("low"), F.max(micros(ts)).alias("high")))
+    rows = sliced(rows, ts, bounds=(range_.get["low"], range_.get["high"]))
+    eq = walked(rows, one, ts, tie, pnl)
+    first = settle(eq.groupBy(*one).agg(*first_pass(pnl)))
+    parts = (group_quantiles(rows, one, pnl, [0.05, 0.5, 0.95], "__q"), second_pass(eq, first, one), streaks(eq, one, pnl))
+    out = first.drop("__d", "__mi", "__me")
+    for part in parts:
         out = matched(out, part, one, "left")
+    out = ratios(out)
     if groups:
         return out.select(*groups, *METRICS)
     base = df.sparkSession.range(1).select(F.lit(1).alias("__all"))

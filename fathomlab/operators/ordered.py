@@ -11,17 +11,23 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
+
 CHUNKS = 64
 
 
-def sliced(df: DataFrame, ts: str, chunks: int = CHUNKS) -> DataFrame:
-    """``df`` with ``__chunk``: slices of equal length of the whole range of ``ts``."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    low, high = df.agg(F.min(micros), F.max(micros)).first()
+def micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def sliced(df: DataFrame, ts: str, chunks: int = CHUNKS, bounds: tuple[int | None, int | None] | None = None) -> DataFrame:
+    """``df`` with ``__chunk``: slices of equal length of the whole range of ``ts``, whose ``bounds`` (in microseconds) are
+    looked up unless they are given."""
+    low, high = bounds or df.agg(F.min(micros(ts)), F.max(micros(ts))).first()
     if low is None or low == high:
         return df.withColumn("__chunk", F.lit(0).cast("long"))
     width = (high - low) // chunks + 1
-    return df.withColumn("__chunk", F.floor((micros - F.lit(low)) / F.lit(width)).cast("long"))
+    return df.withColumn("__chunk", F.floor((micros(ts) - F.lit(low)) / F.lit(width)).cast("long"))
 
 
 def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", small: bool = False) -> DataFrame:
@@ -56,6 +62,44 @@ def placed(df: DataFrame, groups: list[str], ts: str = "ts") -> DataFrame:
     return d.withColumn("__at", F.col("__n") + F.col("__i")).drop("__n", "__i")
 
 
+def walked(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
+    """``df`` with ``i`` (0-based place in its group), ``equity`` (running sum), ``peak`` (running maximum of it, at least 0) and
+    ``run`` (number of the run of outcomes of one sign), in the order of (ts, tie). Each slice is walked by itself; all
+    that it hands on is one row, from which the carries into the next ones follow."""
+    cut = df if "__chunk" in df.columns else sliced(df, ts)
+    w = by_chunk(groups, [ts, tie])
+    up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sign = F.signum(F.col(pnl).cast("double"))
+    d = settle(cut.withColumns({"__i": F.row_number().over(w), "__e": F.sum(pnl).over(up), "__turn": F.coalesce((sign != F.lag(sign).over(w)).cast("int"), F.lit(0))}).withColumns({"__m": F.max("__e").over(up), "__run": F.sum("__turn").over(up)}))
+    at = F.struct(ts, tie)
+    per = d.groupBy(*groups, "__chunk").agg(
+        F.count("*").alias("__n"), F.sum(pnl).alias("__s"), F.max("__e").alias("__top"), F.min_by(sign, at).alias("__a"), F.max_by(sign, at).alias("__z"), F.max("__run").alias("__t")
+    )
+    order = Window.partitionBy(*groups).orderBy("__chunk")  # CHUNKS rows at most
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumns({"__n0": F.coalesce(F.sum("__n").over(before), F.lit(0)), "__s0": F.coalesce(F.sum("__s").over(before), F.lit(0)), "__new": F.coalesce((F.col("__a") != F.lag("__z").over(order)).cast("int"), F.lit(0))})
+    per = per.withColumns({"__p0": F.coalesce(F.max(F.col("__s0") + F.col("__top")).over(before), F.lit(0)), "__t0": F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("__t").over(before), F.lit(0))})
+    d = matched(d, per.select(*groups, "__chunk", "__n0", "__s0", "__p0", "__t0"), [*groups, "__chunk"])
+    zero = F.lit(0).cast(per.schema["__s"].dataType)
+    return d.withColumns({
+        "i": F.col("__n0") + F.col("__i") - 1, "equity": F.col("__s0") + F.col("__e"), "peak": F.greatest(zero, "__p0", F.col("__s0") + F.col("__m")), "run": F.col("__t0") + F.col("__run")
+    }).drop("__i", "__e", "__turn", "__m", "__run", "__n0", "__s0", "__p0", "__t0")
+
+
+def equity(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
+    """As :func:`walked`, without the runs."""
+    return walked(df, groups, ts, tie, pnl).drop("run")
+
+
+def placed(df: DataFrame, groups: list[str], ts: str = "ts") -> DataFrame:
+    """``df`` with ``__chunk`` and ``__at``, the place of each row in its group, from 1."""
+    if "__at" in df.columns:
+        return df
+    cut = df if "__chunk" in df.columns else sliced(df, ts)
+    d = carried(cut.withColumn("__i", F.row_number().over(by_chunk(groups, [ts]))), groups, __n=(F.count("*"), "sum", F.lit(0)))
+    return d.withColumn("__at", F.col("__n") + F.col("__i")).drop("__n", "__i")
+
+
 def equity(df: DataFrame, groups: list[str], ts: str = "entry_ts", tie: str = "id", pnl: str = "pnl_cents") -> DataFrame:
     """``df`` with ``i`` (0-based place in its group), ``equity`` (running sum) and ``peak`` (running
     maximum of it, at least 0), in the order of (ts, tie)."""

@@ -312,15 +312,3 @@ SELECT g.instrument, g.direction, g.entry_ts, minutes, (SELECT coalesce(min(m),
 @query("x_path_details", PATH)
 def details(spark, sf_dir) -> DataFrame:
     return _simulated(spark, sf_dir).select("instrument", "direction", "entry_ts", "minutes", "minutes_to_mae", "minutes_to_mfe", *r6("max_speed"), "pullbacks", (F.round("efficiency", 5) + 0.0).alias("efficiency"), *r6("pnl_money"))
-
-
-@query("run_research", None)
-def run_research(spark, sf_dir) -> DataFrame:
-    """Bars to trades with features: rules, path, and the point-in-time features of each entry."""
-    b = bars_h1(spark, sf_dir)
-    c = rules.closed(b, 60, "UTC")
-    signals = rules.opening_range_breakout(c, 180, 540, 1320, tp=150, sl=100, hold=360).unionByName(rules.range_fade(c, tp=150, sl=100, hold=360)).unionByName(rules.time_of_day(c, 600, tp=150, sl=100, hold=360))
-    known = features.entry_rows(features.volatility_features(features.candle_features(b))).filter("entry_ts IS NOT NULL")
-    t = features.time_features(F.col("entry_ts"), INSTRUMENT)
-    known = known.select("instrument", "entry_ts", "candle_bodyRatio", "candle_isBullish", "volatility_atr", "volatility_range15", *(t[k].alias(k) for k in ("time_minuteOfDay", "time_dayOfWeek")))
-    return simulate(signals, b, INSTRUMENT).join(known, ["instrument", "entry_ts"], "left")
