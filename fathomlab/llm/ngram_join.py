@@ -46,7 +46,7 @@ SHINGLE = 3
 SHARE, LIMIT = 100, 90
 SKETCH = 1 << 20
 LEAST_BITS, MOST_BITS = 64, 1 << 15
-BLOCK = 256
+BLOCK = 1024
 #: Pairs of a node with other components that a round checks, and by what the next one multiplies them.
 FIRST, GROWTH = 4, 8
 #: Pairs with one node that are checked in one task.
