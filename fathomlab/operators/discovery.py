@@ -24,7 +24,7 @@ from ..errors import LookaheadError
 from ..functions.stats import benjamini_hochberg
 from ..plans.guards import Registry
 from ..session import settle
-from .marginal import bucket, bucketed, edges_of
+from .marginal import bucket, bucketed, edges_of, effective
 from .metrics import ratios, summarize, sums
 
 MAX_CONDITIONS, TOP, MAX_SEARCH_SPACE = 3, 20, 2_000_000
@@ -75,6 +75,7 @@ def discover(
     max_search_space: int = MAX_SEARCH_SPACE, max_frontier: int | None = None,
 ) -> Found:
     """All conjunctions of up to ``max_conditions`` buckets of different variables that the search reaches."""
+    registry = effective(df, keys, registry)
     single = settle(candidates(df, keys, registry, pnl))
     level1 = single.select("variable", "bucket", "n").collect()  # buckets of variables, not rows
     names = sorted(((r["variable"], r["bucket"]) for r in level1 if r["n"] >= min_trades), key=lambda x: (keys.index(x[0]), x[1]))

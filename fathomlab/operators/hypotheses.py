@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..errors import ConfigError, ValidationError
 from ..model import Split
+from .intervals import overlaps
 
 SOFT_USES, HARD_USES = 10, 20
 
@@ -29,11 +30,12 @@ def decide(training: DataFrame, validation: DataFrame) -> DataFrame:
 
 
 def overlapping(splits: DataFrame) -> DataFrame:
-    """Splits (name, role, a, b, embargo) that are not for training, and whether each overlaps a
-    training split once embargoes are added. A semi join on a condition between two small tables."""
-    t = splits.filter("role = 'training'").select(F.col("a").alias("ta"), F.col("b").alias("tb"), F.col("embargo").alias("te"))
+    """Splits (name, role, a, b, embargo) that are not for training, and whether each overlaps a training split once
+    each end is pushed out by its embargo."""
+    end = F.date_add("b", F.col("embargo")).alias("end")
+    t = splits.filter("role = 'training'").select(F.col("a").alias("ta"), F.date_add("b", F.col("embargo")).alias("tb"))
     v = splits.filter("role <> 'training'")
-    near = v.join(F.broadcast(t), (F.col("a") < F.expr("date_add(tb, te)")) & (F.col("ta") < F.expr("date_add(b, embargo)")), "left_semi").select("name", F.lit(True).alias("hit"))
+    near = overlaps(v.select("name", "a", end), t, "a", "end", "ta", "tb").select("name").distinct().withColumn("hit", F.lit(True))
     return v.join(near, "name", "left").withColumn("overlaps", F.coalesce("hit", F.lit(False))).drop("hit")
 
 

@@ -62,12 +62,17 @@ def distinct_values(df: DataFrame, keys: list[str], registry: Registry, limit: i
     return df.agg(F.array(*pairs).alias("__p")).select(F.explode("__p").alias("__p")).select("__p.*")
 
 
+def effective(df: DataFrame, keys: list[str], registry: Registry) -> Registry:
+    """``registry`` with categories that have more than MAX_CATEGORIES values, or none, as continuous variables."""
+    categories = [k for k in keys if registry[k].categorical]
+    if not categories:
+        return registry
+    wide = [r["variable"] for r in distinct_values(df, categories, registry).filter("values IS NULL OR size(values) = 0").collect()]
+    return Registry({**registry, **{k: replace(registry[k], value_type="continuous") for k in wide}}) if wide else registry
+
+
 def analyze_variable(df: DataFrame, key: str, registry: Registry, pnl: str = "pnl_cents") -> DataFrame:
-    """Buckets of one variable. A category with more than MAX_CATEGORIES values, or without any, is cut into
-    ranges like a continuous variable."""
-    v = registry[key]
-    if v.categorical and distinct_values(df, [key], registry).filter("values IS NULL OR size(values) = 0").count():
-        registry = Registry({**registry, key: replace(v, value_type="continuous")})
+    """Buckets of one variable."""
     return buckets(df, [key], registry, pnl)
 
 
@@ -82,7 +87,9 @@ def bucket(c: Column, edges: list[float] | None) -> Column:
 
 
 def bucketed(df: DataFrame, keys: list[str], registry: Registry, keep: list[str]) -> DataFrame:
-    """Long form: one row per observation and variable, with its bucket (null: no value)."""
+    """Long form: one row per observation and variable, with its bucket (null: no value). A category with too many values, or
+    without any, is cut into ranges like a continuous variable."""
+    registry = effective(df, keys, registry)
     variables = [registry[k] for k in keys]
     edges = edges_of(df, variables, registry)
     pairs = [F.struct(F.lit(v.key).alias("variable"), bucket(registry.column(v.key), None if v.categorical else edges.get(v.key, [])).alias("bucket")) for v in variables]

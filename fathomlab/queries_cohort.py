@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .functions.stats import benjamini_hochberg, bonferroni, wilson
 from .operators import cohorts, discovery, hypotheses, marginal, metrics
+from .operators.intervals import inside
 from .operators.ordered import equity
 from .plans.language import parse
 from .plans.predicates import And, Between, Compare, In, IsNull, Not, Or, Predicate, as_filter, as_mask
@@ -387,7 +388,8 @@ def split_overlap(spark, sf_dir) -> DataFrame:
     table = spark.createDataFrame(rows, "name string, role string, a string, b string, embargo int").withColumn("a", F.to_date("a")).withColumn("b", F.to_date("b"))
     flagged = hypotheses.overlapping(table)
     orders = read(spark, sf_dir, "orders").select("o_orderdate")
-    return flagged.join(orders, (F.col("o_orderdate") >= F.col("a")) & (F.col("o_orderdate") < F.col("b")), "left").groupBy("name", "overlaps").agg(F.count("o_orderdate").alias("n"))
+    counts = inside(orders, "o_orderdate", flagged.select("name", "a", "b"), "a", "b").groupBy("name").agg(F.count("*").alias("n"))
+    return flagged.join(counts, "name", "left").select("name", "overlaps", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("j8_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")

@@ -330,6 +330,60 @@ def live_mean(spark, sf_dir) -> DataFrame:
     return _live(spark, sf_dir, "mean", lambda b: live_bars.sliding_stream(b, 20)).select("instrument", "ts", F.round("mean", 6).alias("sma20"))
 
 
+@query("st4_live_indicators", f"SELECT e.instrument, e.ts, ema20, atr14 FROM ({ORACLE_BARS['w1_ema']}) e JOIN ({ORACLE_BARS['w4_atr']}) a ON a.instrument = e.instrument AND a.ts = e.ts")
+def live_indicators(spark, sf_dir) -> DataFrame:
+    """Averages after every bar of a stream."""
+    d = _live(spark, sf_dir, "indicators", live_bars.indicator_stream)
+    return d.select("instrument", "ts", F.round("ema", 5).alias("ema20"), F.round("atr", 5).alias("atr14"))
+
+
+_E1 = SIM[: SIM.index("sg AS (")] + f"sg AS ({ORACLE_BARS['e1_time_of_day']})" + SIM[SIM.index(",\np AS (") : SIM.rindex("SELECT instrument, direction, entry_ts, round(any_value(ep)")]
+
+
+@query("st4_live_trades", f"""{_E1}, z AS (SELECT instrument, direction, entry_ts, max(bts) AS exit_ts, coalesce(arg_max(coalesce(reason, '-'), bts), '-') AS exit_reason, any_value(ep) AS ep, any_value(sn) AS sn, arg_max(close, bts) AS last FROM y GROUP BY ALL)
+SELECT instrument, direction, entry_ts, exit_ts, exit_reason, round(CASE exit_reason WHEN 'stop_loss' THEN -150 WHEN 'take_profit' THEN 150 ELSE (last - ep) * sn END, 6) AS pnl_points FROM z WHERE exit_reason <> '-'""")
+def live_trades(spark, sf_dir) -> DataFrame:
+    """Trades of a rule as they end, of a stream of bars; equal to the batch's."""
+    d = _live(spark, sf_dir, "trades", lambda b: live_bars.trade_stream(b, 600, "UTC", 60, tp=150, sl=150, hold=360))
+    return d.filter("exit_reason <> 'session_end'").select("instrument", "direction", "entry_ts", "exit_ts", "exit_reason", (F.round("pnl_points", 6) + 0.0).alias("pnl_points"))
+
+
+@query("s15_feature_matrix", f"""WITH {OBS_SQL}, m AS (SELECT id, pnl_cents, CASE WHEN id % 11 = 0 THEN NULL ELSE f_balance END AS balance, CASE WHEN id % 7 < 2 THEN NULL ELSE f_lines END AS lines, f_discount AS discount FROM obs)
+SELECT variable, count(*) AS n, count(*) FILTER (WHERE v IS NULL) AS nulls, round(sum(v), 2) AS total, CAST(sum(CASE WHEN id % 5 = 0 THEN 0 ELSE pnl_cents END) AS BIGINT) AS net
+FROM (SELECT id, pnl_cents, unnest(['obs_balance', 'obs_discount', 'obs_lines', 'obs_note']) AS variable, unnest([balance, discount, lines, NULL]) AS v FROM m) GROUP BY variable""")
+def matrix(spark, sf_dir) -> DataFrame:
+    """Features stored as JSON with empty texts, infinities and words among the numbers, loaded by the keys that occur."""
+    from .sources.matrix import feature_matrix, null_counts
+
+    lines = F.when(F.col("id") % 7 == 0, "").when(F.col("id") % 7 == 1, "Infinity").otherwise(F.col("f_lines").cast("string"))
+    stored = observations(spark, sf_dir).select("id", F.when(F.col("id") % 5 != 0, F.col("pnl_cents")).alias("pnl_cents"), F.to_json(F.struct(
+        F.when(F.col("id") % 11 != 0, F.col("f_balance")).alias("obs.balance"), lines.alias("obs.lines"), F.col("f_discount").alias("obs.discount"), F.lit("a word").alias("obs.note"),
+    )).alias("features"))
+    m = feature_matrix(stored, "features", ["id", "pnl_cents"], "pnl_cents")
+    names = [c for c in m.columns if c.startswith("obs_")]
+    sums = m.select("pnl_cents", F.explode(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(c).alias("v")) for c in names))).alias("x"))
+    sums = sums.groupBy("x.variable").agg(F.round(F.sum("x.v"), 2).alias("total"), F.sum("pnl_cents").alias("net"))
+    return null_counts(m, names).join(sums, "variable")
+
+
+@query("k3_k5_stored_replacement", f"""WITH {OBS_SQL}, a AS (SELECT id, pnl_cents, f_year FROM obs WHERE id % 3 <> 0), n AS (SELECT id, pnl_cents + 100 AS pnl_cents, CASE WHEN id % 10 = 0 THEN 1990.0 ELSE f_year END AS f_year FROM obs WHERE f_year = 1996 AND id % 2 = 0),
+u AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n)
+SELECT CAST(f_year AS INT) AS y, count(*) AS n, CAST(sum(pnl_cents) AS BIGINT) AS net, f_year NOT IN (1996, 1990, 1997) AS kept FROM u WHERE f_year <> 1997 OR id % 4 <> 1 GROUP BY f_year""")
+def replacement(spark, sf_dir) -> DataFrame:
+    """A table stored by years: rows put in by key (some move to another year), twice, and rows deleted. Other years keep their files."""
+    d = observations(spark, sf_dir).select("id", "pnl_cents", F.col("f_year").cast("int").alias("y"))
+    path = scratch(spark, "trades")
+    d.filter("id % 3 <> 0").write.partitionBy("y").parquet(path)
+    files = lambda: spark.read.schema(d.schema).parquet(path).select("y", F.col("_metadata.file_name").alias("f")).groupBy("y").agg(F.sort_array(F.collect_set("f")).alias("f"))
+    before = storage.settle(files().withColumnRenamed("f", "before"))
+    new = d.filter("y = 1996 AND id % 2 = 0").withColumn("pnl_cents", F.col("pnl_cents") + 100).withColumn("y", F.when(F.col("id") % 10 == 0, 1990).otherwise(F.col("y")))
+    for _ in range(2):
+        storage.replace_stored(path, new, ["id"], ["pnl_cents"], ["y"])
+    storage.delete_stored(path, d, (F.col("y") == 1997) & (F.col("id") % 4 == 1), ["y"])
+    same = files().join(before, "y", "left").select("y", F.coalesce(F.col("f") == F.col("before"), F.lit(False)).alias("kept"))
+    return spark.read.schema(d.schema).parquet(path).groupBy("y").agg(F.count("*").alias("n"), F.sum("pnl_cents").alias("net")).join(same, "y")
+
+
 @query("sc10_formatted", f"""WITH {OBS_SQL}, g AS (SELECT f_year, count(*) AS n, count(*) FILTER (WHERE pnl_cents > 0) / nullif(count(*) FILTER (WHERE pnl_cents <> 0), 0) AS wr,
   CASE WHEN count(*) > 1 THEN stddev_samp(CAST(pnl_cents AS DOUBLE)) END AS sd FROM obs WHERE rule_id = 'P' GROUP BY 1)
 SELECT f_year, printf('%.2f', sd / 100) AS sd, printf('%.1f%%', wr * 100) AS win_rate, format('{{:,}}', n) AS n FROM g WHERE n > 1""")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..errors import ValidationError
@@ -91,9 +91,110 @@ def sliding_stream(bars: DataFrame, size: int) -> DataFrame:
     return bars.groupBy("instrument").applyInPandasWithState(step, "instrument string, ts timestamp_ntz, mean double", "last long, held array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def indicator_stream(bars: DataFrame, ema: int = 20, atr: int = 14) -> DataFrame:
+    """Exponential average of closes and average true range after every bar, null until there are enough: the state of an
+    instrument is a few numbers, however long it runs. Bars that are not later than the last one are ignored."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, n, mean, spread, before = state.get if state.exists else (0, 0, 0.0, 0.0, None)
+        out = []
+        for b in pd.concat(list(frames)).sort_values("ts").drop_duplicates("ts").itertuples():
+            micros = b.ts.value // 1000
+            if micros <= last:
+                continue
+            size = b.high - b.low if before is None else max(b.high - b.low, abs(b.high - before), abs(b.low - before))
+            n += 1
+            mean = mean + b.close / ema if n <= ema else mean + 2 / (ema + 1) * (b.close - mean)
+            spread = spread + size / atr if n <= atr else spread + (size - spread) / atr
+            last, before = micros, b.close
+            out.append((key[0], b.ts, mean if n >= ema else None, spread if n >= atr else None))
+        state.update((last, n, mean, spread, before))
+        if out:
+            yield pd.DataFrame(out, columns=["instrument", "ts", "ema", "atr"])
+
+    kept = "last long, n long, mean double, spread double, before double"
+    return bars.groupBy("instrument").applyInPandasWithState(step, "instrument string, ts timestamp_ntz, ema double, atr double", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def trade_stream(
+    bars: DataFrame, minute: int, tz: str, minutes: int = 1, tp: float = 40, sl: float = 40, hold: float = 120, days: tuple[int, ...] = (1, 2, 3, 4, 5),
+    spread: float = 1.0, slippage: float = 0.5, late: str = "10 minutes", idle: str = "36 hours",
+) -> DataFrame:
+    """The time-of-day rule live: both directions at the bar after the one that closes at ``minute``, each given out when it
+    ends. The state of an instrument is what is open. When the watermark is ``idle`` past its last bar, a timer ends what is
+    open there at that bar's close."""
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    close = local(F.col("ts") + F.make_dt_interval(mins=F.lit(minutes)), tz)
+    due = (F.hour(close) * 60 + F.minute(close) == minute) & (F.weekday(close) + 1).isin(*days)
+    d = bars.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).withColumn("due", due)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, price, pending, opened, signs, entries = state.get if state.exists else (0, 0.0, False, [], [], [])
+        held = list(zip(opened, signs, entries))
+        out: list[tuple] = []
+
+        def close_(position: tuple, micros: int, at: float, reason: str) -> None:
+            begun, sign, entry = position
+            out.append((key[0], "long" if sign > 0 else "short", pd.Timestamp(begun, unit="us"), entry, pd.Timestamp(micros, unit="us"), reason, (at - entry) * sign))
+
+        if state.hasTimedOut:
+            for position in held:
+                close_(position, last, price, "session_end")
+            state.remove()
+        else:
+            for b in pd.concat(list(frames)).sort_values("ts").drop_duplicates("ts").itertuples():
+                micros = b.ts.value // 1000
+                if micros <= last:
+                    continue
+                if pending:
+                    held += [(micros, sign, b.open + sign * (spread / 2 + slippage)) for sign in (1, -1)]
+                left = []
+                for position in held:
+                    begun, sign, entry = position
+                    worst, best = (b.low, b.high) if sign > 0 else (b.high, b.low)
+                    if (worst - entry) * sign <= -sl:
+                        close_(position, micros, entry - sign * sl, "stop_loss")
+                    elif (best - entry) * sign >= tp:
+                        close_(position, micros, entry + sign * tp, "take_profit")
+                    elif micros - begun >= hold * 60_000_000:
+                        close_(position, micros, b.close, "time_limit")
+                    else:
+                        left.append(position)
+                last, price, pending, held = micros, b.close, bool(b.due), left
+            state.update((last, price, pending, [x[0] for x in held], [x[1] for x in held], [x[2] for x in held]))
+            state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs() + 1) + wait)
+        if out:
+            yield pd.DataFrame(out, columns=["instrument", "direction", "entry_ts", "entry_price", "exit_ts", "exit_reason", "pnl_points"])
+
+    out = "instrument string, direction string, entry_ts timestamp_ntz, entry_price double, exit_ts timestamp_ntz, exit_reason string, pnl_points double"
+    kept = "last long, price double, pending boolean, opened array<long>, signs array<int>, entries array<double>"
+    return d.groupBy("instrument").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+class Progress(StreamingQueryListener):
+    """What streams have read so far: (run, batch, rows, rows a second) of each batch, and how each run ended."""
+
+    def __init__(self):
+        self.batches: list[tuple[str, int, int, float]] = []
+        self.ended: dict[str, str | None] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append((str(p.runId), p.batchId, p.numInputRows, p.processedRowsPerSecond))
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended[str(event.runId)] = event.exception
+
+    def rows(self, query: StreamingQuery) -> int:
+        return sum(n for run, _, n, _ in self.batches if run == str(query.runId))
+
+
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Work through everything that is there now, into Parquet files, and stop. The query's ``recentProgress`` says
-    how many rows each batch read."""
+    """Work through everything that is there now, into Parquet files, and stop. A :class:`Progress` that listens to the session
+    hears how many rows each batch read."""
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return q
