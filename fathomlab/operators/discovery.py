@@ -5,19 +5,24 @@ and bucket. A node is an ascending list of candidates of different variables. On
 was kept is extended by every later candidate of another variable; each extension counts in the universe of
 the multiplicity correction (an empty one with p = 1), and those with min_trades rows are kept.
 
-An observation carries the sorted list of its own candidates, made in its row without a shuffle; a level
-groups the lists' subsets that begin with a kept node, so the work of a level is one grouping. Extensions,
-p-values and corrections stay in Spark; the driver sees candidates and counts.
-
-Two valves bound the search, in the order of evaluation (by node): the universe grows to ``max_search_space``,
-and a level keeps ``max_frontier`` nodes; what was evaluated up to there counts.
+Observations are laid out once in slices of SLICE rows: outcomes, and for each candidate a bitmap of the rows that meet it.
+A level is one pass over the slices: a node's rows are the AND of its bitmaps, and products of their outcomes with the
+bitmaps of all candidates give the sums of all extensions at once. Sums are exact: outcomes and their squares go in
+digits of DIGIT bits. A task adds up its slices, so what it sends follows the nodes of the level and not the rows.
+
+Two valves bound the search, in the order of evaluation (by node) and before a level is made: the universe grows to
+``max_search_space``, and a level keeps ``max_frontier`` nodes; what was evaluated up to there counts. So the nodes of a level,
+which go to all tasks, are bounded by the second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..errors import LookaheadError
@@ -30,8 +35,10 @@ from .metrics import ratios, summarize, sums
 MAX_CONDITIONS, TOP, MAX_SEARCH_SPACE = 3, 20, 2_000_000
 #: Nodes that a level keeps: a share of FRONTIER_ROWS by the number of observations, LEAST_FRONTIER at least.
 FRONTIER_ROWS, LEAST_FRONTIER = 250_000_000, 200
-#: Up to so many kept nodes are broadcast.
-BROADCAST_NODES = 100_000
+#: Rows of a slice, bits of a digit of sums, and sums of nodes and candidates that a task holds.
+SLICE, DIGIT, HELD = 1 << 16, 22, 1 << 21
+#: Up to so many patterns are looked up in an observation's own row.
+FEW_PATTERNS = 500
 _NODE = ["node", "n", "net", "win_rate", "profit_factor", "t_stat", "p_value"]
 
 
@@ -85,16 +92,20 @@ def discover(
     number = F.create_map(*(x for j, (v, b) in enumerate(names) for x in (F.struct(F.lit(v).alias("variable"), F.lit(float(b)).alias("bucket")), F.lit(j)))) if names else None
     node = F.lit(None).cast("int") if number is None else F.try_element_at(number, F.struct("variable", F.col("bucket").cast("double").alias("bucket")))
     evaluated = single.select(F.when(node.isNotNull(), F.array(node)).alias("node"), *_NODE[1:])
+    slices = settle(_slices(lists, len(names), pnl)) if max_conditions > 1 and len(names) > 1 else None
     kept, universe, truncated = evaluated.filter("node IS NOT NULL").select("node"), len(level1), False
     for level in range(2, max_conditions + 1):
         if truncated or len(names) < 2 or kept.isEmpty():
             break
-        counted = settle(ratios(_begun(lists, kept, level).groupBy("node").agg(*sums(pnl))).withColumn("net", F.col("net_profit")).select(*_NODE))
-        tried = _extended(kept, [v for v, _ in names]).join(counted, "node", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
-        tried = settle(tried.select(*_NODE))
-        size = tried.count()
+        wanted = _extended(kept, [v for v, _ in names])
+        size = wanted.count()
         if universe + size > max_search_space:
-            tried, truncated = settle(tried.orderBy("node").limit(max(0, max_search_space - universe))), True
+            wanted, truncated = wanted.orderBy("node").limit(max(0, max_search_space - universe)), True
+        wanted = settle(wanted)
+        heads = [tuple(r[0]) for r in wanted.select(F.slice("node", 1, level - 1)).distinct().collect()]  # max_frontier at most
+        counted = settle(ratios(_counted(slices, sorted(heads), [v for v, _ in names])).withColumn("net", F.col("net_profit")).select(*_NODE))
+        tried = wanted.join(counted, "node", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
+        tried = settle(tried.select(*_NODE))
         frequent = tried.filter(F.col("n") >= min_trades)
         if frequent.count() >= max_frontier:
             last = F.array(*map(F.lit, frequent.select("node").orderBy("node").limit(max_frontier).agg(F.max("node")).first()[0]))
@@ -120,15 +131,93 @@ def _lists(df: DataFrame, keys: list[str], registry: Registry, names: list[tuple
     return df.filter(F.col(pnl).isNotNull()).select("id", "entry_ts", pnl, F.sort_array(own).alias("own"))
 
 
-def _begun(lists: DataFrame, kept: DataFrame, level: int) -> DataFrame:
-    """Rows (outcome columns, node): subsets of ``level`` candidates that begin with a kept node."""
-    columns = [c for c in lists.columns if c != "own"]
-    subsets = lists.select(*columns, F.explode(_subsets(F.col("own"), level)).alias("node"))
-    if level == 2:  # every candidate is a kept node
-        return subsets
-    heads = kept.select(F.col("node").alias("head"))
-    small = heads.count() <= BROADCAST_NODES
-    return subsets.withColumn("head", F.slice("node", 1, level - 1)).join(F.broadcast(heads) if small else heads, "head", "left_semi").drop("head")
+def _slices(lists: DataFrame, count: int, pnl: str) -> DataFrame:
+    """rows, outcomes (64-bit integers) and bits (a packed bitmap for each of ``count`` candidates) of slices of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            own, outcome = table.column(1).combine_chunks(), np.asarray(table.column(0)).astype("<i8")
+            met = np.zeros((count, table.num_rows), bool)
+            ptr = np.asarray(own.offsets)
+            met[np.asarray(own.flatten()), np.repeat(np.arange(table.num_rows), np.diff(ptr))] = True
+            bits = np.packbits(met, axis=1)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([table.num_rows], pa.int32()), pa.array([outcome.tobytes()], pa.binary()), pa.array([[x.tobytes() for x in bits]], pa.list_(pa.binary()))], ["rows", "outcomes", "bits"]
+            )
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SLICE:
+                yield out()
+                held.clear()
+        if sum(b.num_rows for b in held):
+            yield out()
+
+    return lists.select(F.col(pnl).cast("long").alias("outcome"), "own").mapInArrow(run, "rows int, outcomes binary, bits array<binary>")
+
+
+#: Columns of sums: counts, then digits of gains, of losses, and of the squares of all outcomes and of losses.
+_DIGITS = {"gain": 3, "loss": 3, "xx": 3, "down": 3}
+_SUMS = ["n", "wins", "losses", *(f"{c}{k}" for c, d in _DIGITS.items() for k in range(d))]
+
+
+def _measures(outcome: np.ndarray) -> np.ndarray:
+    """Of each outcome (below 2 ** 31 in size) the columns _SUMS, in floats that hold their sums over a slice exactly."""
+    if len(outcome) and max(abs(int(outcome.min())), int(outcome.max())) >= 1 << 31:
+        raise ValueError("an outcome of 2 ** 31 or more")
+    digits = lambda x: [((x >> (DIGIT * k)) & ((1 << DIGIT) - 1)).astype(np.float64) for k in range(3)]
+    gain, loss = np.maximum(outcome, 0), np.maximum(-outcome, 0)
+    return np.column_stack([np.ones(len(outcome)), outcome > 0, outcome < 0, *digits(gain), *digits(loss), *digits(outcome * outcome), *digits(loss * loss)])
+
+
+def _counted(slices: DataFrame, heads: list[tuple[int, ...]], variables: list[str]) -> DataFrame:
+    """node and its sums, for all extensions of ``heads`` that have rows."""
+    number = {v: k for k, v in enumerate(dict.fromkeys(variables))}
+    of = np.array([number[v] for v in variables])
+    shared = slices.sparkSession.sparkContext.broadcast((np.array(heads, np.int32), of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, of = shared.value
+        part = max(1, HELD // (len(of) * len(_SUMS)))
+        whole = np.zeros((len(nodes), len(of), len(_SUMS)), np.int64) if len(nodes) <= part else None
+
+        def out(begin: int, total: np.ndarray) -> pa.RecordBatch:
+            head, more = np.nonzero(total[:, :, 0])
+            ids = np.concatenate([nodes[begin + head], more[:, None].astype(np.int32)], axis=1)
+            width = ids.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(ids.reshape(-1)))
+            return pa.RecordBatch.from_arrays([lists, *(pa.array(total[head, more, k]) for k in range(len(_SUMS)))], ["node", *_SUMS])
+
+        for batch in batches:
+            for rows, outcomes, bits in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                measure = _measures(np.frombuffer(outcomes, "<i8"))
+                packed = np.stack([np.frombuffer(x, np.uint8) for x in bits])
+                met = np.unpackbits(packed, axis=1, count=rows).T.astype(np.float64)
+                for begin in range(0, len(nodes), part):
+                    some = nodes[begin : begin + part]
+                    total = np.zeros((len(some), len(of), len(_SUMS)), np.int64)
+                    for k, node in enumerate(some):
+                        at = np.flatnonzero(np.unpackbits(np.bitwise_and.reduce(packed[node], axis=0), count=rows))
+                        later = np.flatnonzero((np.arange(len(of)) > node[-1]) & ~np.isin(of, of[node]))
+                        if len(at) and len(later):
+                            total[k, later] = met[at][:, later].T @ measure[at]
+                    if whole is not None:
+                        whole += total
+                    else:
+                        yield out(begin, total)
+        if whole is not None:
+            yield out(0, whole)
+
+    schema = "node array<int>, " + ", ".join(f"{c} long" for c in _SUMS)
+    d = slices.mapInArrow(run, schema).groupBy("node").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    whole = lambda c: reduce(lambda x, y: x + y, (F.col(f"{c}{k}").cast("decimal(28,0)") * F.lit(1 << (DIGIT * k)).cast("decimal(20,0)") for k in range(3))).cast("decimal(38,0)")
+    return d.select(
+        "node", "n", "wins", "losses", (F.col("n") - F.col("wins") - F.col("losses")).alias("break_even"), whole("gain").cast("double").alias("gross_profit"),
+        whole("loss").cast("double").alias("gross_loss"), whole("xx").alias("__xx"), whole("down").alias("__down"),
+    )
 
 
 def _extended(kept: DataFrame, variables: list[str]) -> DataFrame:
@@ -176,11 +265,16 @@ def top(
     if max_drawdown_pct is None:
         worst = best.orderBy("q_value").limit(k).agg(F.max("q_value")).first()[0]
         best = settle(best.filter(F.col("q_value") <= (1.0 if worst is None else worst)))
-    wanted = F.broadcast(best.select("node")) if best.count() <= BROADCAST_NODES else best.select("node")
-    depths = [r[0] for r in best.select(F.size("node")).distinct().collect()]
-    per_level = [found.lists.select("id", "entry_ts", pnl, F.explode(F.transform("own", lambda j: F.array(j)) if d == 1 else _subsets(F.col("own"), d)).alias("node")).join(wanted, "node", "left_semi") for d in sorted(depths)]
+    if best.count() <= FEW_PATTERNS:
+        listed = [r["node"] for r in best.select("node").collect()]
+        listed = F.array(*(F.array(*map(F.lit, node)) for node in listed)) if listed else F.array().cast("array<array<int>>")
+        per_level = [found.lists.select("id", "entry_ts", pnl, F.explode(F.filter(listed, lambda node: F.size(F.array_except(node, "own")) == 0)).alias("node"))]
+    else:
+        depths = [r[0] for r in best.select(F.size("node")).distinct().collect()]
+        subsets = lambda d: F.transform("own", lambda j: F.array(j)) if d == 1 else _subsets(F.col("own"), d)
+        per_level = [found.lists.select("id", "entry_ts", pnl, F.explode(subsets(d)).alias("node")).join(best.select("node"), "node", "left_semi") for d in sorted(depths)]
     shape = "pattern string, depth int, n long, win_rate double, profit_factor double, equity_r2 double, q_value double"
-    if not per_level:
+    if best.isEmpty():
         return best.sparkSession.createDataFrame([], shape)
     full = summarize(reduce(DataFrame.unionByName, per_level), ["node"], pnl=pnl).join(best, "node")
     if max_drawdown_pct is not None:

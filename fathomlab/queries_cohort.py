@@ -88,7 +88,7 @@ def splits(spark, sf_dir) -> DataFrame:
     return one(TRAIN).unionByName(one(VALIDATION))
 
 
-METRIC_ROUNDED = [m for m in metrics.METRICS if m != "p_value"]
+METRIC_ROUNDED = metrics.METRICS
 _INTEGER = {"n", "wins", "losses", "break_even", "max_drawdown_length", "max_wins", "max_losses"}
 
 
@@ -98,6 +98,14 @@ def shown(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.col(c).cast("long").alias(c) if c in _INTEGER else finite(c).alias(c) for c in METRIC_ROUNDED))
 
 
+def p_sql(t: str, v: str) -> str:
+    """P(T > t) of Student's distribution with ``v`` degrees of freedom: its density summed from 0 to t by Simpson's rule; 1 where
+    there is no t or no degree."""
+    terms = f"list_transform(range(0, 2001), lambda i: (CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * power(1 + power(abs({t}) * i / 2000, 2) / ({v}), -(({v}) + 1) / 2.0))"
+    inner = f"exp(lgamma((({v}) + 1) / 2.0) - lgamma(({v}) / 2.0)) / sqrt(({v}) * pi()) * abs({t}) / 6000 * list_sum({terms})"
+    return f"CASE WHEN {t} IS NULL OR {v} <= 0 THEN 1 WHEN {t} >= 0 THEN greatest(0, 0.5 - {inner}) ELSE 0.5 + {inner} END"
+
+
 def metrics_sql(source: str, key: str) -> str:
     """All metrics of ``source`` (with columns g, entry_ts, id, pnl_cents) by g, in DuckDB."""
     return f"""
@@ -124,8 +132,8 @@ SELECT a.g AS {key}, a.n, w AS wins, l AS losses, b AS break_even, gp AS gross_p
  round(CASE WHEN dpk > 0 THEN dd / dpk ELSE 0 END, 6) AS max_drawdown_pct, CAST(CASE WHEN dd > 0 THEN di - coalesce(pi, 0) ELSE 0 END AS BIGINT) AS max_drawdown_length,
  mw AS max_wins, ml AS max_losses, round(CASE WHEN a.n >= 3 AND aa > 0 AND bb > 0 THEN ab * ab / (aa * bb) END, 6) AS equity_r2,
  round(q[2], 6) AS median, round(q[1], 6) AS p05, round(q[3], 6) AS p95,
- round(CASE WHEN a.n >= 2 THEN CASE WHEN sd > 0 THEN (gp - gl) / a.n / (sd / sqrt(a.n)) WHEN gp > gl THEN NULL ELSE 0 END END, 6) AS t_stat
-FROM a JOIN deep ON deep.g = a.g LEFT JOIN peak ON peak.g = a.g JOIN st ON st.g = a.g JOIN tr ON tr.g = a.g, (SELECT 1.959963984540054 AS z, 1.959963984540054 * 1.959963984540054 AS z2)"""
+ round(tt, 6) AS t_stat, round({p_sql("tt", "a.n - 1")}, 6) AS p_value
+FROM (SELECT *, CASE WHEN n >= 2 THEN CASE WHEN sd > 0 THEN (gp - gl) / n / (sd / sqrt(n)) WHEN gp > gl THEN NULL ELSE 0 END END AS tt FROM a) a JOIN deep ON deep.g = a.g LEFT JOIN peak ON peak.g = a.g JOIN st ON st.g = a.g JOIN tr ON tr.g = a.g, (SELECT 1.959963984540054 AS z, 1.959963984540054 * 1.959963984540054 AS z2)"""
 
 
 COND = "coalesce(f_lines > 4, false) AND NOT coalesce(f_segment = 2, false)"
@@ -325,10 +333,36 @@ def triples(spark, sf_dir) -> DataFrame:
     return found.nodes.filter(F.size("conditions") == 3).select(*(c[k][f].alias(f"{f}_{name}") for k, name in enumerate("abc") for f in ("variable", "bucket")), "n")
 
 
-@query("d_discover_top", None)
+def _label(v: str, b: str) -> str:
+    return f"{v} || '=' || format('{{:g}}', CAST({b} AS DOUBLE))"
+
+
+_STATS = "count(*) AS n, sum(pnl_cents) AS s, sum(CAST(pnl_cents AS DOUBLE) * pnl_cents) AS ss"
+TOP = f"""{SPACE},
+e2 AS (SELECT a.variable AS va, a.bucket AS ba, b2.variable AS vb, b2.bucket AS bb, {_STATS.replace("pnl_cents", "a.pnl_cents")} FROM m a JOIN m b2 ON a.id = b2.id AND a.variable < b2.variable GROUP BY ALL),
+r3 AS (SELECT p2.va, p2.ba, p2.vb, p2.bb, z.variable AS vc, z.bucket AS bc, a.id, a.pnl_cents FROM p2 JOIN m a ON a.variable = va AND a.bucket = ba JOIN m b2 ON b2.id = a.id AND b2.variable = vb AND b2.bucket = bb JOIN m z ON z.id = a.id AND z.variable > vb),
+e3 AS (SELECT va, ba, vb, bb, vc, bc, {_STATS} FROM r3 GROUP BY ALL),
+zu AS (SELECT [{_label("variable", "bucket")}] AS node, n, s, ss FROM (SELECT variable, bucket, {_STATS} FROM x WHERE bucket IS NOT NULL GROUP BY 1, 2)
+  UNION ALL SELECT [{_label("c1.variable", "c1.bucket")}, {_label("c2.variable", "c2.bucket")}], coalesce(e2.n, 0), e2.s, e2.ss FROM c c1 JOIN c c2 ON c1.variable < c2.variable
+    LEFT JOIN e2 ON va = c1.variable AND ba = c1.bucket AND vb = c2.variable AND bb = c2.bucket
+  UNION ALL SELECT [{_label("p2.va", "p2.ba")}, {_label("p2.vb", "p2.bb")}, {_label("c.variable", "c.bucket")}], coalesce(e3.n, 0), e3.s, e3.ss FROM p2 JOIN c ON c.variable > p2.vb
+    LEFT JOIN e3 ON e3.va = p2.va AND e3.ba = p2.ba AND e3.vb = p2.vb AND e3.bb = p2.bb AND e3.vc = c.variable AND e3.bc = c.bucket),
+zt AS (SELECT *, CASE WHEN n >= 2 THEN CASE WHEN sd > 0 THEN s / n / (sd / sqrt(n)) WHEN s > 0 THEN 1e9 ELSE 0 END END AS t FROM (SELECT *, sqrt(greatest(0, ss - CAST(s AS DOUBLE) * s / nullif(n, 0)) / nullif(n - 1, 0)) AS sd FROM zu)),
+pv AS MATERIALIZED (SELECT *, {p_sql("t", "n - 1")} AS p FROM zt),
+zq AS MATERIALIZED (SELECT *, least(1.0, min(raw) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS q FROM (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM pv)),
+rows_ AS (SELECT [{_label("variable", "bucket")}] AS node, id, pnl_cents FROM m UNION ALL SELECT [{_label("a.variable", "a.bucket")}, {_label("b2.variable", "b2.bucket")}], a.id, a.pnl_cents FROM m a JOIN m b2 ON a.id = b2.id AND a.variable < b2.variable
+  UNION ALL SELECT [{_label("va", "ba")}, {_label("vb", "bb")}, {_label("vc", "bc")}], id, pnl_cents FROM r3),
+ze AS (SELECT node, pnl_cents, row_number() OVER w - 1 AS i, sum(pnl_cents) OVER (w ROWS UNBOUNDED PRECEDING) AS eq FROM (SELECT r.*, tr.entry_ts FROM rows_ r JOIN train tr ON tr.id = r.id) WINDOW w AS (PARTITION BY node ORDER BY entry_ts, id)),
+zk AS (SELECT node, count(*) FILTER (WHERE pnl_cents > 0) / nullif(count(*) FILTER (WHERE pnl_cents <> 0), 0) AS wr, sum(pnl_cents) FILTER (WHERE pnl_cents > 0) / nullif(CAST(-sum(pnl_cents) FILTER (WHERE pnl_cents < 0) AS DOUBLE), 0) AS pf, power(corr(i, eq), 2) AS r2 FROM ze GROUP BY node)
+SELECT array_to_string(list_sort(q.node), ' and ') AS pattern, CAST(len(q.node) AS INT) AS depth, q.n, round(wr, 6) AS win_rate, round(pf, 6) AS profit_factor, round(r2, 6) AS equity_r2, round(q.q, 6) AS q_value
+FROM zq q JOIN zk k ON k.node = q.node WHERE q.n >= 100 ORDER BY q.q, coalesce(r2, -1) DESC, pf DESC NULLS LAST, pattern LIMIT 20"""
+
+
+@query("d_discover_top", TOP)
 def discover_top(spark, sf_dir) -> DataFrame:
     """Patterns of up to three conditions with corrected q-values and full metrics, best first."""
-    return discovery.top(discovery.discover(in_split(observations(spark, sf_dir), TRAIN), BUCKET_KEYS, OBS, max_conditions=3, min_trades=100), k=20)
+    found = discovery.discover(in_split(observations(spark, sf_dir), TRAIN), sorted(BUCKET_KEYS), OBS, max_conditions=3, min_trades=100)
+    return discovery.top(found, k=20).select("pattern", "depth", "n", *(F.round(c, 6).alias(c) for c in ("win_rate", "profit_factor", "equity_r2", "q_value")))
 
 
 @query("i10_validate", f"""WITH {OBS_SQL}, t AS (SELECT count(*) FILTER (WHERE pnl_cents > 0) AS w, count(*) FILTER (WHERE pnl_cents <> 0) AS n FROM train WHERE {COND}),

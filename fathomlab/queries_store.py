@@ -14,7 +14,7 @@ from .operators.ordered import moving
 from .plans.builtin import builtin_plugins, installed, parse_manifests
 from .plans.language import parse
 from .queries_bars import H1, INSTRUMENT, ORACLE as ORACLE_BARS, SIM, _simulated as simulated
-from .queries_cohort import COND, OBS_SQL, TEXT
+from .queries_cohort import COND, OBS_SQL, TEXT, p_sql
 from .session import shared_dir
 from .sources.bar_files import read_bars, read_json_bars, write_bars
 from .streaming import live_bars
@@ -220,23 +220,27 @@ T_SQL = f"""{OBS_SQL}, g AS (SELECT f_year, count(*) AS n, avg(CAST(pnl_cents AS
 s AS (SELECT f_year, n - 1 AS v, m / (sd / sqrt(n)) AS t FROM g)"""
 
 
-@query("m16_normal_p_value", f"WITH {T_SQL} SELECT f_year, v AS df, round(t, 6) AS t, abs(t) < 8 AS finite FROM s WHERE v > 1000")
+@query("m16_t_and_p", f"WITH {T_SQL} SELECT f_year, v AS df, round(t, 6) AS t, round({p_sql('t', 'v')}, 6) AS p FROM s WHERE v > 0")
 def t_values(spark, sf_dir) -> DataFrame:
-    """t of the mean outcome by year; its p lies within 0.002 of the normal law's for so many rows."""
+    """t of the mean outcome by year, and its one-sided p."""
     from .operators.metrics import ratios, sums
 
-    d = ratios(observations(spark, sf_dir).groupBy("f_year").agg(*sums())).filter("n > 1001")
-    z = F.col("t_stat")
-    near = F.abs(t_p_value(z, (F.col("n") - 1).cast("double")) - _normal_upper(z)) < 0.002
-    return d.filter(near).select("f_year", (F.col("n") - 1).alias("df"), F.round("t_stat", 6).alias("t"), (F.abs(z) < 8).alias("finite"))
+    d = ratios(observations(spark, sf_dir).groupBy("f_year").agg(*sums())).filter("n > 1")
+    return d.select("f_year", (F.col("n") - 1).alias("df"), F.round("t_stat", 6).alias("t"), (F.round("p_value", 6) + 0.0).alias("p"))
 
 
-def _normal_upper(z):
-    """P(Z > z), by the rational approximation 26.2.17 of Abramowitz and Stegun (fixed values)."""
-    k = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = k * (0.319381530 + k * (-0.356563782 + k * (1.781477937 + k * (-1.821255978 + k * 1.330274429))))
-    upper = F.exp(-z * z / 2) / 2.5066282746310002 * poly
-    return F.when(z >= 0, upper).otherwise(1 - upper)
+@query("m16_small_samples", f"""WITH v AS (SELECT k, unnest(range(1, CAST(k AS BIGINT) + 2)) AS x FROM (SELECT r_regionkey + 1 AS k FROM region UNION SELECT n_nationkey + 1 FROM nation)),
+s AS (SELECT k, count(*) - 1 AS v, avg(power(-0.7, CAST(x AS INT)) + k / 60.0) / (stddev_samp(power(-0.7, CAST(x AS INT)) + k / 60.0) / sqrt(count(*))) AS t FROM v GROUP BY k) SELECT k, v AS df, round(t, 6) AS t, round({p_sql('t', 'v')}, 5) AS p FROM s WHERE v > 3""")
+def small_t_values(spark, sf_dir) -> DataFrame:
+    """t and p of few values: from 5 to 26 of them."""
+    from .functions.stats import t_statistic
+
+    keys = read(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("k")).union(read(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("k"))).distinct()
+    v = keys.select("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k") + 1)).alias("x")).select("k", (F.pow(F.lit(-0.7), "x") + F.col("k") / 60.0).alias("y"))
+    d = v.groupBy("k").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.stddev_samp("y").alias("sd")).filter("n > 4")
+    t = t_statistic(F.col("n"), F.col("m"), F.col("sd"))
+    return d.select("k", (F.col("n") - 1).alias("df"), F.round(t, 6).alias("t"), F.round(t_p_value(t, (F.col("n") - 1).cast("double")), 5).alias("p"))
+
 
 
 # Plugins, runs and streams ----------------------------------------------------------------------
