@@ -54,7 +54,7 @@ SMALL_WEIGHT, FEW_SHINGLES = 450.0, 256
 #: Bits of a bitmap for each shingle, and the weight of shingles that have a bitmap of their own.
 BITS, HEAVY = 4, 1.5
 #: Pairs of a node with other components that a round checks, and by what the next one multiplies them.
-FIRST, GROWTH = 4, 8
+FIRST, GROWTH = 8, 128
 _SALT = np.uint64(0x8F1BBCDC5A827999)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 _FIELD = np.uint64(4095)
@@ -338,7 +338,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         one = settle(open_.filter("low <> high AND size > 2").groupBy("size", "who").agg(F.min("gid").alias("gid")).select("gid"))  # pairs have met
         if one.isEmpty():
             break
-        members = settle(members.join(one, "gid", "left_semi"))
+        members = members.join(one, "gid", "left_semi")
         maps = maps or _mapped(docs, first, members.select("node").distinct(), idf)  # later rounds have a part of these nodes
         found = settle(tiles(members, maps, most, may_be_near, LEAST, 2))
         further = not found.filter("more").isEmpty()
