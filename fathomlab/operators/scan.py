@@ -28,23 +28,22 @@ SPAN, WIDTH = 512, 512
 def entering(maps: DataFrame, keys: list[str], at: str, names: list[str], count: int) -> DataFrame:
     """keys, ``at`` (0, 1, ... in each series, ``count`` at most) and, for each of ``names``, the state before the map at that
     place, if a series begins at 0. ``maps`` has columns name_a and name_b and is read twice: settled, or cheap."""
-    group = F.floor(F.col(at) / WIDTH)
-    w = Window.partitionBy(*keys, "__group").orderBy(at)
-    d = maps.withColumn("__group", group)
+    w = Window.partitionBy(*keys, "__group").orderBy("__pos")
+    own = [*keys, "__pos", "__group"]
+    d = maps.select(*keys, F.col(at).alias("__pos"), F.floor(F.col(at) / WIDTH).alias("__group"), *maps_of(names))
     step = 1
     while step < min(count, WIDTH):
         before = {x: F.coalesce(F.lag(x, step).over(w), F.lit(default)) for n in names for x, default in ((f"{n}_a", 1.0), (f"{n}_b", 0.0))}
-        d = d.select(*keys, at, "__group", *maps_of(names), *(c.alias(f"__{x}") for x, c in before.items()))
-        d = d.select(*keys, at, "__group", *(c for n in names for c in ((F.col(f"{n}_a") * F.col(f"__{n}_a")).alias(f"{n}_a"), (F.col(f"{n}_a") * F.col(f"__{n}_b") + F.col(f"{n}_b")).alias(f"{n}_b"))))
+        d = d.select(*own, *maps_of(names), *(c.alias(f"__{x}") for x, c in before.items()))
+        d = d.select(*own, *(c for n in names for c in ((F.col(f"{n}_a") * F.col(f"__{n}_a")).alias(f"{n}_a"), (F.col(f"{n}_a") * F.col(f"__{n}_b") + F.col(f"{n}_b")).alias(f"{n}_b"))))
         step *= 2
     last = lambda x, default: F.coalesce(F.lag(x).over(w), F.lit(default)).alias(x)
-    own = d.select(*keys, at, "__group", *(c for n in names for c in (last(f"{n}_a", 1.0), last(f"{n}_b", 0.0))))
+    prior = d.select(*own, *(c for n in names for c in (last(f"{n}_a", 1.0), last(f"{n}_b", 0.0))))
     if count <= WIDTH:
-        return own.select(*keys, at, *(F.col(f"{n}_b").alias(n) for n in names))
-    tops = settle(d.groupBy(*keys, "__group").agg(*(F.max_by(x, at).alias(x) for x in maps_of(names))))
-    above = entering(tops, keys, "__group", names, -(-count // WIDTH))
-    own = matched(own, above, [*keys, "__group"])
-    return own.select(*keys, at, *((F.col(f"{n}_a") * F.col(n) + F.col(f"{n}_b")).alias(n) for n in names))
+        return prior.select(*keys, F.col("__pos").alias(at), *(F.col(f"{n}_b").alias(n) for n in names))
+    tops = settle(d.groupBy(*keys, "__group").agg(*(F.max_by(x, "__pos").alias(x) for x in maps_of(names))))
+    prior = matched(prior, entering(tops, keys, "__group", names, -(-count // WIDTH)), [*keys, "__group"])
+    return prior.select(*keys, F.col("__pos").alias(at), *((F.col(f"{n}_a") * F.col(n) + F.col(f"{n}_b")).alias(n) for n in names))
 
 
 def maps_of(names: list[str]) -> list[str]:
