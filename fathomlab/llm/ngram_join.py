@@ -47,6 +47,8 @@ SHARE, LIMIT = 100, 90
 SKETCH = 1 << 20
 LEAST_BITS, MOST_BITS = 64, 1 << 15
 BLOCK = 1024
+#: Nodes of a tile that are compared with the others at once.
+AT_ONCE = 64
 #: Pairs of a node with other components that a round checks, and by what the next one multiplies them.
 FIRST, GROWTH = 4, 8
 #: Pairs with one node that are checked in one task.
@@ -148,7 +150,7 @@ def _groups(nodes: DataFrame) -> DataFrame:
 
 def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Numbers of bits in which each bitmap (row of 64-bit words) of ``a`` differs from each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.int64)
+    out = np.zeros((len(a), len(b)), np.int32)
     for k in range(a.shape[1]):
         out += np.bitwise_count(a[:, k, None] ^ b[None, :, k])
     return out
@@ -248,7 +250,7 @@ def _tile(label: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, map
     found: list[tuple[np.ndarray, np.ndarray]] = []
     more = False
     sides = [(left, right), (right, left)] if left is not right else [(left, right)]
-    for mine, theirs in sides:
+    for mine, theirs in ((mine[k : k + AT_ONCE], theirs) for mine, theirs in sides for k in range(0, len(mine), AT_ONCE)):
         differ = [_differ(plane[mine], plane[theirs]) for plane in maps]
         ok = (label[mine][:, None] != label[theirs][None, :]) & may(n[mine][:, None], n[theirs][None, :], w[mine][:, None], w[theirs][None, :], differ)
         x, y = np.nonzero(ok)
