@@ -338,9 +338,9 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         one = settle(open_.filter("low <> high AND size > 2").groupBy("size", "who").agg(F.min("gid").alias("gid")).select("gid"))  # pairs have met
         if one.isEmpty():
             break
-        members = members.join(one, "gid", "left_semi")
+        members = settle(members.join(one, "gid", "left_semi"))
         maps = maps or _mapped(docs, first, members.select("node").distinct(), idf)  # later rounds have a part of these nodes
-        found = settle(tiles(members, maps, most, may_be_near, LEAST, 2))
+        found = settle(tiles(members, maps, most, may_be_near, LEAST, 2, True))
         further = not found.filter("more").isEmpty()
         fresh = settle(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if not fresh.isEmpty():

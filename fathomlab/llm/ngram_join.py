@@ -269,12 +269,15 @@ def _tile(label: np.ndarray, n: np.ndarray, w: np.ndarray, node: np.ndarray, map
     return np.minimum(a, b), np.maximum(a, b), more
 
 
-def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = _may, ratio: float = LIMIT / SHARE, planes: int = 1) -> DataFrame:
+def tiles(members: DataFrame, maps: DataFrame, most: int, may: Bound = _may, ratio: float = LIMIT / SHARE, planes: int = 1, several: bool = False) -> DataFrame:
     """a, b, more: pairs to check of groups with several components, by tiles. ``members``: gid, node, label; ``maps``: node, n
     (the size), w (the weight), bits (of ``planes`` bitmaps). ``may`` is the bound; sizes of less than ``ratio`` to each other
-    never link."""
-    sizes = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gid")
-    held = members.join(sizes, "gid", "left_semi").select("gid", "node", "label").join(maps.select("node", "n"), "node")
+    never link. ``several``: each group is known to have several components."""
+    held = members.select("gid", "node", "label")
+    if not several:
+        sizes = members.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("gid")
+        held = held.join(sizes, "gid", "left_semi")
+    held = held.join(maps.select("node", "n"), "node")
     blocks = held.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("gid").orderBy("n", "node")) - 1) / BLOCK)).drop("n")
     blocks = settle(blocks.join(maps.select("node", "n", "w", "bits"), "node"))
     spans = blocks.groupBy("gid", "block").agg(F.min("n").alias("least"), F.max("n").alias("greatest"))
