@@ -173,3 +173,22 @@ def test_features_do_not_depend_on_slices_and_failures_stay_alone(spark):
     assert sorted(failed) == ["core-candle", "own-bad"]
     one = rows.filter("own_x IS NOT NULL OR candle_range IS NOT NULL").isEmpty()
     assert one and rows.filter("trend_ema20 IS NOT NULL").count() == 381
+
+
+def test_synthetic_days_have_a_profile_and_join_up(spark):
+    import numpy as np
+
+    from fathomlab.sources.synthetic import BASE, factors, generate_bars
+
+    rows = generate_bars(spark, "2024-01-01", 140, tz="UTC").orderBy("ts").toPandas()
+    assert len(rows) == 100 * 480 and set(rows["ts"].dt.weekday) == {0, 1, 2, 3, 4}
+    minute = rows["ts"].dt.hour * 60 + rows["ts"].dt.minute
+    move = (rows["close"] - rows["open"]).abs()
+    opened, lunch = move[(minute >= 570) & (minute < 585)].mean(), move[(minute >= 690) & (minute < 840)].mean()
+    assert 3.5 < opened / lunch < 5 and abs(factors(np.array([569, 570, 584, 585, 959, 960])) - [0.45, 3.2, 3.2, 2.0, 1.6, 0.4]).max() == 0
+    assert (rows["open"].to_numpy()[1:] == rows["close"].to_numpy()[:-1])[minute.to_numpy()[1:] != 480].all()
+    assert (rows["low"] <= rows[["open", "close"]].min(axis=1)).all() and (rows["high"] >= rows[["open", "close"]].max(axis=1)).all()
+    days = move.groupby(rows["ts"].dt.date).mean().to_numpy()
+    assert np.corrcoef(days[:-1], days[1:])[0, 1] > 0.3 and BASE / 4 < days.mean() < BASE * 4
+    again = generate_bars(spark, "2024-01-01", 140, tz="UTC").orderBy("ts").limit(50).toPandas()
+    assert again["close"].tolist() == rows["close"].tolist()[:50]
