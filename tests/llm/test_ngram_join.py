@@ -77,7 +77,7 @@ def test_crowded_group_loses_no_link(spark, monkeypatch):
     """Many edited copies of one text, of which most are not near the first: tiles of small blocks, several rounds."""
     monkeypatch.setattr(ngram_join, "BLOCK", 64)
     monkeypatch.setattr(ngram_join, "FIRST", 1)
-    monkeypatch.setattr(ngram_join, "GROWTH", 3)
+    monkeypatch.setattr(ngram_join, "GROWTH", 8)
     rng = random.Random(9)
     base = ["w%d" % rng.randrange(900) for _ in range(200)]
     rows = [(k, " ".join(edited(rng, base, rng.randrange(1, 8)))) for k in range(150)]
