@@ -278,7 +278,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     idf = document_weights(docs)
     items = settle(passages(benchmark).dropDuplicates())
     blocks = max(1, -(-items.count() // BLOCK_PASSAGES))
-    out = spark.createDataFrame([], "doc_id long, item_id long, lcs double")
+    out = None
     for first in range(0, blocks, BLOCKS_AT_ONCE):
         indexes = []
         for k in range(first, min(first + BLOCKS_AT_ONCE, blocks)):
@@ -287,7 +287,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             if rows:
                 indexes.append(Index(rows, *latent_space(block, idf, len(rows)), idf))
         if indexes:
-            out = out.unionByName(_found(docs, spark.sparkContext.broadcast(indexes)))
+            found = _found(docs, spark.sparkContext.broadcast(indexes))
+            out = found if out is None else out.unionByName(found)
+    if out is None:  # not createDataFrame, whose rows take Python workers of their own
+        out = spark.range(0).select(F.col("id").alias("doc_id"), F.col("id").alias("item_id"), F.lit(0.0).alias("lcs"))
     return out
 
 

@@ -264,19 +264,24 @@ def _signed(docs: DataFrame, idf) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, kind int, bands array<long>").dropDuplicates(["node", "kind"])
 
 
-def _own(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``nodes`` (doc_id, node) names, with ``__fl_node``; rows that share a doc_id
-    are told apart by their words."""
-    at = docs.columns.index("text")
+def _named(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a doc_id that ``nodes`` (doc_id, node) names, and last ``__fl_node``."""
     held = join_counted(docs.withColumnRenamed("doc_id", "__fl_doc"), nodes.select(F.col("doc_id").alias("__fl_doc"), F.col("node").alias("__fl_node")), "__fl_doc", "inner")
-    held = held.select(*[F.col("__fl_doc").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns], "__fl_node")
+    return held.select(*[F.col("__fl_doc").alias("doc_id") if c == "doc_id" else F.col(c) for c in docs.columns], "__fl_node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Text(batch.column(at)).segments(IS_SPACE)
-            yield batch.filter(pa.array(_keys(words.names(), words.ptr).view(np.int64) == np.asarray(batch.column(len(batch.columns) - 1))))
 
-    return held.mapInArrow(run, held.schema)
+def _matching(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Of rows as :func:`_named` gives them, with the text in column ``at``, those whose words are the node's: rows
+    that share a doc_id are told apart by their words."""
+    for batch in slices(batches):
+        words = Text(batch.column(at)).segments(IS_SPACE)
+        yield batch.filter(pa.array(_keys(words.names(), words.ptr).view(np.int64) == np.asarray(batch.column(len(batch.columns) - 1))))
+
+
+def _own(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``nodes`` (doc_id, node) names, with ``__fl_node``."""
+    held, at = _named(docs, nodes), docs.columns.index("text")
+    return held.mapInArrow(lambda batches: _matching(batches, at), held.schema)
 
 
 def _verified(docs: DataFrame, first: DataFrame, pairs: DataFrame, idf) -> DataFrame:
@@ -303,11 +308,12 @@ def _mapped(docs: DataFrame, first: DataFrame, nodes: DataFrame, idf) -> DataFra
     ends = settle(nodes.join(first, "node").select("node", "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(_matching(batches, 1)):
             n, w, maps = weighted_bitmaps(batch.column(1), idf.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(w), pa.array(maps, pa.binary())], ["node", "n", "w", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(n), pa.array(w), pa.array(maps, pa.binary())], ["node", "n", "w", "bits"])
 
-    texts = _own(docs.select("doc_id", "text"), ends).select(F.col("__fl_node").alias("node"), "text")
+    # one operator in Python: two behind each other would have two workers a task, which stay
+    texts = _named(docs.select("doc_id", "text"), ends)
     return settle(texts.mapInArrow(run, "node long, n long, w double, bits binary").dropDuplicates(["node"]))
 
 

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -208,3 +209,19 @@ def test_crowded_buckets_lose_no_link(spark):
     got = {r["doc_id"]: r["class_id"] for r in near_duplicate_groups(docs).collect()}
     assert got == dict(enumerate(want))
     assert 62 < len(set(want)) < 260
+
+
+def test_no_two_python_operators_behind_each_other(spark, monkeypatch):
+    """Each would have a worker of its own in every task, and workers stay: twice the memory of Python."""
+    plans = []
+    settle = near_dedup.settle
+    monkeypatch.setattr(near_dedup, "settle", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"x{k}" if rng.random() < 0.03 else w for k, w in enumerate(base)) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    drop_near_duplicates(docs).collect()
+    assert sum("w#" in plan and "bits#" in plan for plan in plans), "no bitmaps were made"
+    for plan in plans:
+        steps = re.findall(r"MapInArrow|Exchange|Join", plan)
+        assert ("MapInArrow", "MapInArrow") not in zip(steps, steps[1:]), plan

@@ -141,3 +141,13 @@ def test_decontamination_finds_copies_and_paraphrases(spark, odd, none):
     assert contamination_report(odd, bench).filter("contaminated").isEmpty() and contamination_report(none, bench).isEmpty()
     assert contamination_report(docs, bench.limit(0)).filter("contaminated").isEmpty()
     assert lcs_length([1, 2, 3, 4], [9, 1, 3, 9, 4])[0] == 3
+
+
+def test_leaks_take_no_python_rows(spark, none):
+    """Rows of createDataFrame come from Python workers of their own, which then stay beside those of the search."""
+    docs = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("some words of a text that is like no other one here").alias("text"))
+    bench = spark.range(2).select(F.col("id").alias("item_id"), F.lit("some words of a text that is like no other one here").alias("text"))
+    found = decontamination.leaks(docs, bench)
+    assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 6
+    empty = decontamination.leaks(docs, bench.limit(0))
+    assert empty.dtypes == found.dtypes and empty.isEmpty()
