@@ -8,6 +8,10 @@ pseudo-labels, to the other view alone; a view never learns from what it picked
 calibrated on one half of labelled documents held back from both and combined by a logistic regression on
 the other half, and every document is scored in one pass.
 
+What the views read of a document (see FEATURES) is made in one pass over the texts and kept in the shared folder:
+the cell of each of its words and shapes in two bytes, its layout and the cells of its metadata. Every round and
+the last scoring read that, not the texts.
+
 Labelled documents for fitting are a bounded sample (LABELLED per class); the unlabelled documents that are
 scored and searched for the surest are all of them, in Spark, and only those picked reach the driver.
 
@@ -22,7 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .models import Bags, bounded, dense_logistic, logistic, sigmoid
 from .quality_rules import measure
-from .shared import join_counted, settle
+from .shared import join_counted, settle, spill
 from .textops import IS_SPACE, Text, mix, slices
 
 LABELLED = 1500
@@ -38,7 +42,7 @@ ROUNDS = 3
 #: Pseudo-labels that each view hands over per round, and the least confidence for them.
 HANDED, SURE = 200, 0.95
 KEEP = 0.5
-WORDS = 1 << 15
+WORDS = 1 << 15  # a cell has two bytes
 HOSTS = 1 << 12
 
 _UPPER = np.zeros(256, bool)
@@ -91,6 +95,38 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", have("source", "string"), have("lang", "string"), have("n_chars", "long"))
 
 
+#: ``words`` and ``shapes`` hold a cell of two bytes for each word, in the text's order.
+FEATURES = "doc_id long, words binary, shapes binary, layout array<double>, meta array<long>"
+
+
+def _fixed(a: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(a.reshape(-1)), a.shape[1]).cast(pa.list_(pa.from_numpy_dtype(a.dtype)))
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """FEATURES of rows as :func:`_source` gives them."""
+    for batch in slices(batches):
+        words = Text(batch.column(1)).segments(IS_SPACE)
+        cells = _word_cells(words) if len(words.starts) else np.zeros((2, 0), np.int64)
+        ptr = pa.py_buffer((2 * words.ptr).astype(np.int32))
+        names, shapes = (pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ptr, pa.py_buffer(x.astype("<u2"))]) for x in cells)
+        meta = _meta_cells(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), names, shapes, _fixed(layout(batch.column(1))), _fixed(meta)], ["doc_id", "words", "shapes", "layout", "meta"])
+
+
+def _cells_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a column of FEATURES, row after row, and their number in each row."""
+    column = column.cast(pa.large_binary())
+    off = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2] if off[-1] else b""
+    return np.frombuffer(raw, "<u2", int(off[-1] - off[0]) // 2, int(off[0])).astype(np.int64), np.diff(off) // 2
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """FEATURES of every row of ``docs``, made once and kept."""
+    return spill(_source(docs).mapInArrow(_made, FEATURES), "quality")
+
+
 class CoTrained:
     """Weights of both views and of their combination."""
 
@@ -101,18 +137,14 @@ class CoTrained:
         self.text_fit = self.meta_fit = np.array([1.0, 0.0])
         self.both = np.array([1.0, 1.0, 0.0])
 
-    def content(self, column: pa.Array) -> np.ndarray:
-        words = Text(column).segments(IS_SPACE)
-        x = (layout(column) - self.mean) / self.scale
+    def content(self, batch: pa.RecordBatch) -> np.ndarray:
+        x = (np.asarray(batch.column(3).flatten()).reshape(-1, N_LAYOUT) - self.mean) / self.scale
         out = np.concatenate([x, x * x], axis=1) @ self.words[WORDS:] + self.words_b
-        n, row = words.counts(), words.rows()
-        if len(row):
-            cells = _word_cells(words)
-            out += np.bincount(row, self.words[cells[0]] + self.words[cells[1]], minlength=len(n)) / np.maximum(n, 1)
-        return out
+        (words, n), (shapes, _) = _cells_of(batch.column(1)), _cells_of(batch.column(2))
+        return out + np.bincount(np.repeat(np.arange(len(n)), n), self.words[words] + self.words[shapes], minlength=len(n)) / np.maximum(n, 1)
 
-    def metadata(self, hosts: list, langs: list, sizes: list) -> np.ndarray:
-        return self.meta[_meta_cells(hosts, langs, sizes)].sum(axis=1) + self.meta_b
+    def metadata(self, batch: pa.RecordBatch) -> np.ndarray:
+        return self.meta[np.asarray(batch.column(4).flatten()).reshape(-1, 3)].sum(axis=1) + self.meta_b
 
     def combined(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated views and the final score."""
@@ -164,25 +196,22 @@ class Learner:
         return model
 
 
-def _features(docs: DataFrame, wanted: DataFrame) -> list[dict]:
+def _features(made: DataFrame, wanted: DataFrame) -> list[dict]:
     """Features of the documents that ``wanted`` (doc_id, label) lists, in an order of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = Text(batch.column(1)).segments(IS_SPACE)
-            row = words.rows()
-            cells = _word_cells(words) if len(row) else np.zeros((2, 0), np.int64)
-            both, count = np.unique(np.concatenate([row, row]) * WORDS + cells.reshape(-1), return_counts=True)
+        for batch in batches:
+            (words, n), (shapes, _) = _cells_of(batch.column(1)), _cells_of(batch.column(2))
+            row = np.repeat(np.arange(len(n)), n)
+            both, count = np.unique(np.concatenate([row, row]) * WORDS + np.concatenate([words, shapes]), return_counts=True)
             ptr = pa.array(np.searchsorted(both // WORDS, np.arange(batch.num_rows + 1)), pa.int32())
-            meta = _meta_cells(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
-            fixed = lambda a, k: pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * k, pa.int32()), pa.array(a.reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(5), pa.ListArray.from_arrays(ptr, pa.array(both % WORDS, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int32())), fixed(layout(batch.column(1)), N_LAYOUT), fixed(meta, 3)],
+                [batch.column(0), batch.column(5), pa.ListArray.from_arrays(ptr, pa.array(both % WORDS, pa.int32())), pa.ListArray.from_arrays(ptr, pa.array(count, pa.int32())), batch.column(3), batch.column(4)],
                 ["doc_id", "label", "cells", "counts", "layout", "meta"],
             )
 
     found = (
-        _source(docs).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "label")
+        made.join(F.broadcast(wanted), "doc_id").select("doc_id", "words", "shapes", "layout", "meta", "label")
         .mapInArrow(run, "doc_id long, label int, cells array<int>, counts array<int>, layout array<double>, meta array<long>").toArrow().combine_chunks()
     )
     order = np.argsort(mix(np.array(found.column(0).to_pylist(), np.int64).astype(np.uint64)), kind="stable")
@@ -192,9 +221,13 @@ def _features(docs: DataFrame, wanted: DataFrame) -> list[dict]:
 
 def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
     """Learn from ``labels`` (doc_id, quality) and from all documents without a label."""
+    return _trained(features(docs), labels)
+
+
+def _trained(made: DataFrame, labels: DataFrame) -> CoTrained:
     marked = settle(labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("label")))
     counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
-    rows = _features(docs, bounded(marked, "label", LABELLED, 21))
+    rows = _features(made, bounded(marked, "label", LABELLED, 21))
     if len({r["label"] for k, r in enumerate(rows) if k % 4}) < 2:
         model = CoTrained()
         model.both = np.zeros(3)
@@ -207,37 +240,48 @@ def train(docs: DataFrame, labels: DataFrame) -> CoTrained:
             learner.fit(view, 100 if turn in (0, ROUNDS) else 40)
         if turn == ROUNDS:
             return learner.finish()
-        sure = settle(join_counted(_views(docs, learner.model).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), taken, "doc_id", "left_anti"))
+        sure = settle(join_counted(_views(made, learner.model).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), taken, "doc_id", "left_anti"))
         picks = []
         for view, p in enumerate(("p_content", "p_metadata")):
             for label, most, conf in ((1, good, F.col(p)), (0, max(1, HANDED - good), 1 - F.col(p))):
                 picks.append(sure.filter(conf >= SURE).orderBy(conf.desc(), F.xxhash64("doc_id")).limit(most).select("doc_id", F.lit(label + 2 * view).alias("label")))
         handed = settle(picks[0].unionByName(picks[1]).unionByName(picks[2]).unionByName(picks[3]))
-        for r in _features(docs, handed):
+        for r in _features(made, handed):
             learner.handed[1 - r["label"] // 2].append((r, float(r["label"] % 2)))
         taken = settle(taken.union(handed.select("doc_id")).distinct())
 
 
-def _views(docs: DataFrame, model: CoTrained) -> DataFrame:
+def _views(made: DataFrame, model: CoTrained) -> DataFrame:
     """doc_id, p_content, p_metadata by the views as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = made.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            a, b = shared.value.content(batch.column(1)), shared.value.metadata(*(batch.column(k).to_pylist() for k in (2, 3, 4)))
+        for batch in batches:
+            a, b = shared.value.content(batch), shared.value.metadata(batch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(a)), pa.array(sigmoid(b))], ["doc_id", "p_content", "p_metadata"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, p_content double, p_metadata double")
+    return made.mapInArrow(run, "doc_id long, p_content double, p_metadata double")
 
 
 def score(docs: DataFrame, model: CoTrained, keep: float = KEEP) -> DataFrame:
-    """doc_id, p_content, p_metadata, score and kept of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """doc_id, p_content, p_metadata, score and kept of every document, in one pass over the texts."""
+    return _scored(_source(docs), model, keep, _made)
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
+    """:func:`train` and :func:`score` on the same documents, whose features are made once."""
+    made = features(docs)
+    return _scored(made, _trained(made, labels), keep, iter)
+
+
+def _scored(rows: DataFrame, model: CoTrained, keep: float, made: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``made`` gives the FEATURES of ``rows``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in slices(batches):
-            a, b, s = own.combined(own.content(batch.column(1)), own.metadata(*(batch.column(k).to_pylist() for k in (2, 3, 4))))
+        for batch in made(batches):
+            a, b, s = own.combined(own.content(batch), own.metadata(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array(s), pa.array(s >= keep)], ["doc_id", "p_content", "p_metadata", "score", "kept"])
 
-    return _source(docs).mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, kept boolean")
+    return rows.mapInArrow(run, "doc_id long, p_content double, p_metadata double, score double, kept boolean")

@@ -58,10 +58,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, score, p_content, p_metadata, kept of every document."""
-    from .quality_classifier import score, train
+    from .quality_classifier import classify
 
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "score", "p_content", "p_metadata", "kept")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "score", "p_content", "p_metadata", "kept")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fathomlab.llm import decontamination, toxicity
 from fathomlab.llm.decontamination import contamination_report, drop_contaminated, lcs_length
 from fathomlab.llm.language_id import identify_languages
+from fathomlab.llm import quality_classifier
 from fathomlab.llm.quality_classifier import score as quality_score, train as quality_train
 from fathomlab.llm.quality_rules import apply_quality_rules, quality_report
 from fathomlab.llm.toxicity import score, train
@@ -151,3 +152,22 @@ def test_leaks_take_no_python_rows(spark, none):
     assert "ExistingRDD" not in found._jdf.queryExecution().executedPlan().toString() and found.count() == 6
     empty = decontamination.leaks(docs, bench.limit(0))
     assert empty.dtypes == found.dtypes and empty.isEmpty()
+
+
+def test_quality_reads_the_texts_once(spark, odd, none):
+    """All rounds and the scoring share one pass, and give what training and scoring one after the other give."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    model = quality_train(docs.mapInArrow(counted, docs.schema), labels)
+    assert seen.value == docs.count()
+    every = docs.unionByName(odd.select(*docs.columns))
+    made = quality_classifier.features(every)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(quality_classifier._scored(made, model, 0.5, iter)) == rows(quality_score(every, model))
+    assert quality_classifier.classify(odd, labels).count() == odd.count() and quality_classifier.classify(none, labels).isEmpty()
