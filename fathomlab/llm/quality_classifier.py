@@ -240,7 +240,7 @@ def _trained(made: DataFrame, labels: DataFrame) -> CoTrained:
             learner.fit(view, 100 if turn in (0, ROUNDS) else 40)
         if turn == ROUNDS:
             return learner.finish()
-        sure = settle(join_counted(_views(made, learner.model).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), taken, "doc_id", "left_anti"))
+        sure = settle(join_counted(_views(made, learner.model).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), taken, "doc_id", "left_anti", unique=True))
         picks = []
         for view, p in enumerate(("p_content", "p_metadata")):
             for label, most, conf in ((1, good, F.col(p)), (0, max(1, HANDED - good), 1 - F.col(p))):

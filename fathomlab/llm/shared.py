@@ -53,13 +53,16 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(large: DataFrame, small: DataFrame, key: str, how: str) -> DataFrame:
+def join_counted(large: DataFrame, small: DataFrame, key: str, how: str, unique: bool = False) -> DataFrame:
     """Join on one column. ``small`` (one row a key, already settled) is counted: up to
     BROADCAST_ROWS it is broadcast; beyond, ``large`` is salted so that a key holding a third of
-    its rows still spreads over SALTS tasks."""
+    its rows still spreads over SALTS tasks, unless it is ``unique`` (one row a key). Spark estimates ``small`` by
+    compressed files and without its copies, so a hint keeps it from being broadcast after all."""
     if small.count() <= BROADCAST_ROWS:
         return large.join(F.broadcast(small), key, how)
-    salted = small.withColumn("__fl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if unique:
+        return large.join(small.hint("merge"), key, how)
+    salted = small.withColumn("__fl_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     return (
         large.withColumn("__fl_salt", (F.rand(7) * SALTS).cast("int"))
         .join(salted, [key, "__fl_salt"], how)

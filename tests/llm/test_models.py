@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fathomlab.llm import decontamination, toxicity
+from fathomlab.llm import decontamination, shared, toxicity
 from fathomlab.llm.decontamination import contamination_report, drop_contaminated, lcs_length
 from fathomlab.llm.language_id import identify_languages
 from fathomlab.llm import quality_classifier
@@ -171,3 +171,13 @@ def test_quality_reads_the_texts_once(spark, odd, none):
     rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert rows(quality_classifier._scored(made, model, 0.5, iter)) == rows(quality_score(every, model))
     assert quality_classifier.classify(odd, labels).count() == odd.count() and quality_classifier.classify(none, labels).isEmpty()
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_a_side_with_too_many_rows_is_never_broadcast(spark, monkeypatch, unique):
+    """Spark takes the salted copies for as small as the side itself, far below its own limit of a broadcast."""
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 100)
+    large, small = spark.range(1000).withColumnRenamed("id", "k"), shared.settle(spark.range(0, 1000, 3).withColumnRenamed("id", "k"))
+    found = shared.join_counted(large, small, "k", "left_anti", **({"unique": True} if unique else {}))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["k"] for r in found.collect()) == [k for k in range(1000) if k % 3]
