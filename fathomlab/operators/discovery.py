@@ -10,9 +10,10 @@ A level is one pass over the slices: a node's rows are the AND of its bitmaps, a
 bitmaps of all candidates give the sums of all extensions at once. Sums are exact: outcomes and their squares go in
 digits of DIGIT bits. A task adds up its slices, so what it sends follows the nodes of the level and not the rows.
 
-Two valves bound the search, in the order of evaluation (by node) and before a level is made: the universe grows to
-``max_search_space``, and a level keeps ``max_frontier`` nodes; what was evaluated up to there counts. So the nodes of a level,
-which go to all tasks, are bounded by the second.
+Two valves bound the search, in the order of evaluation (by node): before a level is made, the universe grows to
+``max_search_space``; and a level keeps ``max_frontier`` nodes, where that is given. What was evaluated up to there counts. The
+number of observations limits neither: no node is held with its rows. The nodes of a level go to all tasks as one array
+of numbers, bounded by the first valve.
 """
 
 from __future__ import annotations
@@ -33,8 +34,6 @@ from .marginal import bucket, bucketed, edges_of, effective
 from .metrics import ratios, summarize, sums
 
 MAX_CONDITIONS, TOP, MAX_SEARCH_SPACE = 3, 20, 2_000_000
-#: Nodes that a level keeps: a share of FRONTIER_ROWS by the number of observations, LEAST_FRONTIER at least.
-FRONTIER_ROWS, LEAST_FRONTIER = 250_000_000, 200
 #: Rows of a slice, bits of a digit of sums, and sums of nodes and candidates that a task holds.
 SLICE, DIGIT, HELD = 1 << 16, 22, 1 << 21
 #: Up to so many patterns are looked up in an observation's own row.
@@ -87,8 +86,6 @@ def discover(
     level1 = single.select("variable", "bucket", "n").collect()  # buckets of variables, not rows
     names = sorted(((r["variable"], r["bucket"]) for r in level1 if r["n"] >= min_trades), key=lambda x: (keys.index(x[0]), x[1]))
     lists = settle(_lists(df, keys, registry, names, pnl))
-    if max_frontier is None:
-        max_frontier = max(LEAST_FRONTIER, FRONTIER_ROWS // max(1, lists.count()))
     number = F.create_map(*(x for j, (v, b) in enumerate(names) for x in (F.struct(F.lit(v).alias("variable"), F.lit(float(b)).alias("bucket")), F.lit(j)))) if names else None
     node = F.lit(None).cast("int") if number is None else F.try_element_at(number, F.struct("variable", F.col("bucket").cast("double").alias("bucket")))
     evaluated = single.select(F.when(node.isNotNull(), F.array(node)).alias("node"), *_NODE[1:])
@@ -102,12 +99,13 @@ def discover(
         if universe + size > max_search_space:
             wanted, truncated = wanted.orderBy("node").limit(max(0, max_search_space - universe)), True
         wanted = settle(wanted)
-        heads = [tuple(r[0]) for r in wanted.select(F.slice("node", 1, level - 1)).distinct().collect()]  # max_frontier at most
-        counted = settle(ratios(_counted(slices, sorted(heads), [v for v, _ in names])).withColumn("net", F.col("net_profit")).select(*_NODE))
+        heads = wanted.select(F.slice("node", 1, level - 1).alias("head")).distinct().toArrow().column(0).combine_chunks()  # max_search_space at most
+        heads = np.unique(np.asarray(heads.flatten(), np.int32).reshape(-1, level - 1), axis=0)
+        counted = settle(ratios(_counted(slices, heads, [v for v, _ in names])).withColumn("net", F.col("net_profit")).select(*_NODE))
         tried = wanted.join(counted, "node", "left").withColumn("p_value", F.coalesce("p_value", F.lit(1.0))).withColumn("n", F.coalesce("n", F.lit(0)))
         tried = settle(tried.select(*_NODE))
         frequent = tried.filter(F.col("n") >= min_trades)
-        if frequent.count() >= max_frontier:
+        if max_frontier is not None and frequent.count() >= max_frontier:
             last = F.array(*map(F.lit, frequent.select("node").orderBy("node").limit(max_frontier).agg(F.max("node")).first()[0]))
             truncated = truncated or not tried.filter(F.col("node") > last).isEmpty()
             tried = settle(tried.filter(F.col("node") <= last))
@@ -173,11 +171,11 @@ def _measures(outcome: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(outcome)), outcome > 0, outcome < 0, *digits(gain), *digits(loss), *digits(outcome * outcome), *digits(loss * loss)])
 
 
-def _counted(slices: DataFrame, heads: list[tuple[int, ...]], variables: list[str]) -> DataFrame:
+def _counted(slices: DataFrame, heads: np.ndarray, variables: list[str]) -> DataFrame:
     """node and its sums, for all extensions of ``heads`` that have rows."""
     number = {v: k for k, v in enumerate(dict.fromkeys(variables))}
     of = np.array([number[v] for v in variables])
-    shared = slices.sparkSession.sparkContext.broadcast((np.array(heads, np.int32), of))
+    shared = slices.sparkSession.sparkContext.broadcast((heads, of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, of = shared.value

@@ -378,3 +378,20 @@ def test_guard_and_formats(spark):
         require_complete(bars, now, 1).collect()
     row = spark.range(1).select(num(F.lit(1.234)).alias("a"), num(F.lit(float("inf"))).alias("b"), pct(F.lit(None)).alias("c"), pct(F.lit(0.256)).alias("d"), metrics_row({"n": integer(F.lit(12345))}).alias("e")).first()
     assert tuple(row) == ("1.23", "∞", "—", "25.6%", "n 12,345")
+
+
+@pytest.fixture(scope="module")
+def many_nodes(spark):
+    """Three variables of 24 categories, 20 rows for every triple; only the last triple has a gain."""
+    at = F.col("id").cast("long")
+    of = lambda k: (F.floor(at / 24**k) % 24).cast("long")
+    rows = spark.range(20 * 24**3).withColumns({"a": of(0), "b": of(1), "c": of(2), "entry_ts": F.timestamp_seconds("id").cast("timestamp_ntz")})
+    noise = (at * 7919) % 201 - 100
+    df = rows.withColumn("pnl_cents", F.when((F.col("a") == 23) & (F.col("b") == 23) & (F.col("c") == 23), noise + 1000).otherwise(noise))
+    reg = Registry.of(*(Variable(f"x.{c}", c, value_type="categorical") for c in "abc"))
+    return lambda depth: discovery.discover(df, ["x.a", "x.b", "x.c"], reg, max_conditions=depth, min_trades=20)
+
+
+def test_many_observations_do_not_cut_pairs(many_nodes):
+    found = many_nodes(2)
+    assert found.nodes.filter("size(conditions) = 2").count() == 3 * 24**2 and not found.truncated
