@@ -395,3 +395,13 @@ def many_nodes(spark):
 def test_many_observations_do_not_cut_pairs(many_nodes):
     found = many_nodes(2)
     assert found.nodes.filter("size(conditions) = 2").count() == 3 * 24**2 and not found.truncated
+
+
+@pytest.fixture(scope="module")
+def to_triples(many_nodes):
+    return many_nodes(3)
+
+
+def test_many_observations_do_not_cut_triples(to_triples):
+    triples = to_triples.nodes.filter("size(conditions) = 3")
+    assert triples.count() == triples.filter("n = 20").count() == 24**3
