@@ -405,3 +405,8 @@ def to_triples(many_nodes):
 def test_many_observations_do_not_cut_triples(to_triples):
     triples = to_triples.nodes.filter("size(conditions) = 3")
     assert triples.count() == triples.filter("n = 20").count() == 24**3
+
+
+def test_many_observations_do_not_cut_the_universe(to_triples):
+    assert (to_triples.universe, to_triples.truncated) == (3 * 24 + 3 * 24**2 + 24**3, False)
+    assert discovery.matches(to_triples).count() == to_triples.universe
