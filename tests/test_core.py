@@ -410,3 +410,7 @@ def test_many_observations_do_not_cut_triples(to_triples):
 def test_many_observations_do_not_cut_the_universe(to_triples):
     assert (to_triples.universe, to_triples.truncated) == (3 * 24 + 3 * 24**2 + 24**3, False)
     assert discovery.matches(to_triples).count() == to_triples.universe
+
+
+def test_many_observations_do_not_cut_the_best_pattern(to_triples):
+    assert discovery.top(to_triples, k=1).first()["pattern"] == "x.a=23 and x.b=23 and x.c=23"
