@@ -47,12 +47,11 @@ def stability(df: DataFrame) -> DataFrame:
 
 def downsample(df: DataFrame, place: str, value: str, most: int = 300) -> DataFrame:
     """Of a numbered series: the rows at floor(k * n / most), and the last one if its value differs
-    from the last row kept."""
+    from the last row kept. Places are whole numbers, as n / most times k in floats falls below some of them."""
     n = df.agg(F.count("*").alias("__n"), F.max_by(value, place).alias("__last"), F.max(place).alias("__end"))
     d = df.join(F.broadcast(n))
-    step = F.col("__n") / F.lit(float(most))
-    k = F.ceil(F.col(place) / step)
-    kept = d.filter((F.col("__n") <= most) | (F.floor(k * step) == F.col(place)))
+    first = f"(CAST({place} AS LONG) * {most} + __n - 1) div __n"  # the first k that reaches the place
+    kept = d.filter(f"__n <= {most} OR ({first}) * __n div {most} = {place}")
     tail = kept.agg(F.max_by(value, place).alias("__kept_value"), F.max(place).alias("__kept_end"))
     last = d.join(F.broadcast(tail)).filter((F.col(place) == F.col("__end")) & (F.col("__kept_end") < F.col("__end")) & (F.col("__kept_value") != F.col("__last")))
     return kept.select(*df.columns).unionByName(last.select(*df.columns))

@@ -414,3 +414,10 @@ def test_many_observations_do_not_cut_the_universe(to_triples):
 
 def test_many_observations_do_not_cut_the_best_pattern(to_triples):
     assert discovery.top(to_triples, k=1).first()["pattern"] == "x.a=23 and x.b=23 and x.c=23"
+
+
+@pytest.mark.parametrize("n", [0, 1, 299, 300, 313, 325])  # 313 and 325 times k / 300 are not what floats make of them
+def test_downsample_keeps_the_rows_at_whole_quotients(spark, n):
+    curve = spark.range(n).select(F.col("id").alias("i"), (F.col("id") * 7).alias("equity"))
+    kept = {k * n // 300 for k in range(300)} if n else set()
+    assert sorted(map(tuple, cohorts.downsample(curve, "i", "equity").collect())) == [(i, 7 * i) for i in sorted(kept | ({n - 1} if n else set()))]
